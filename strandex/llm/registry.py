@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import fingerprint, quality, tokens, topk, toxicity
+from strandex.llm import fingerprint, mixing, packing, quality, tokens, topk, toxicity
 from strandex.llm._store import persist
 
 #: The folder of vocabulary files is a parameter; None takes the installed package's.
@@ -48,6 +48,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.schedule(_read(spark, sf_dir, "documents"))
+    # The order of the mix is its sort by virtual finish time; one row a document needs no order.
+    taken = F.aggregate("rounds", F.lit(0).cast("long"), lambda a, s: a + s["taken"])
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_read(spark, sf_dir, "documents"))
 
@@ -56,9 +63,33 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality, op7_fingerprints, op8_top_k)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+        p AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
+        c AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap FROM p),
+        l AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+                   row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS turn FROM c),
+        t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM l WHERE level * weight <= cap ORDER BY turn LIMIT 1) * weight), cap) AS target FROM l),
+        b AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(least(greatest(floor(target) - before, 0), size) + least(greatest(floor(target) - source_size - before, 0), size) AS BIGINT) AS taken
+        FROM b""",
     "op8_top_k": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
