@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import fingerprint, mixing, packing, quality, tokens, topk, toxicity
+from strandex.llm import fingerprint, mixing, packing, quality, substrings, tokens, topk, toxicity
 from strandex.llm._store import persist
 
 #: The folder of vocabulary files is a parameter; None takes the installed package's.
@@ -34,6 +34,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_digest(substrings.repeated_spans(_read(spark, sf_dir, "documents"), min_words=13))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.train_toxicity(docs, labels, usable=~_held_out(5, 0))
@@ -67,9 +71,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 11, 1))) AS i, w FROM d WHERE doc_id IS NOT NULL),
+        g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS t FROM s),
+        f AS (SELECT t, min(doc_id) AS first FROM g GROUP BY t),
+        r AS (SELECT DISTINCT g.doc_id, g.i + k AS i FROM g JOIN f USING (t), range(0, 13) AS o(k) WHERE f.first < g.doc_id),
+        l AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN l ON d.doc_id = l.doc_id""",
     "op6_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
