@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import fingerprint, mixing, packing, quality, substrings, tokens, topk, toxicity
+from strandex.llm import fingerprint, mixing, neardup, packing, quality, substrings, tokens, topk, toxicity
 from strandex.llm._store import persist
 
 #: The folder of vocabulary files is a parameter; None takes the installed package's.
@@ -71,7 +71,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing, op10_near_duplicates)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -104,6 +108,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(least(greatest(floor(target) - before, 0), size) + least(greatest(floor(target) - source_size - before, 0), size) AS BIGINT) AS taken
         FROM b""",
+    "op10_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+        c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
     "op8_top_k": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
