@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import fingerprint, mixing, neardup, packing, quality, substrings, tokens, topk, toxicity
+from strandex.llm import fingerprint, licenses, mixing, neardup, packing, quality, substrings, tokens, topk, toxicity
 from strandex.llm._store import persist
 
 #: The folder of vocabulary files is a parameter; None takes the installed package's.
@@ -45,6 +45,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return licenses.scan_documents(docs, licenses.train_licences(docs))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = persist(quality.document_statistics(_read(spark, sf_dir, "documents")), "quality-stats")
     model = quality.train_quality(stats, _read(spark, sf_dir, "labels"), usable=~_held_out(3, 1))
@@ -75,7 +80,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op4_license_scan, op5_quality, op6_mixing, op7_fingerprints, op8_top_k, op9_packing, op10_near_duplicates)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
