@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandex.llm import _bytes as B
 from strandex.llm._store import persist
@@ -159,12 +160,17 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 4) -> DataFrame:
-    """One row a document: doc_id, text, n_words, spans (array of [begin, end) in words): its maximal repeated passages."""
+def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), hot: int = 4) -> DataFrame:
+    """One row a document: doc_id, text, n_words, spans (array of [begin, end) in words): its maximal repeated passages.
+
+    carry: other columns of docs to keep after these.
+    """
     if not K < min_words <= 63 + K:
         raise ValueError(f"min_words must be in {K + 1}..{63 + K}")
     length = min_words
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    carried = texts.columns[2:]
 
     def seed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +178,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
             columns = _find_seeds(batch.column(0).to_numpy(zero_copy_only=False), *B.string_buffer(batch.column(1)), length, hot)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int8)), *(pa.array(x) for x in columns[1:])], ["kind", "anchor", "context", "doc_id", "place"])
 
-    seeds = texts.mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long")
+    seeds = texts.select("doc_id", "text").mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long")
     by_anchor = Window.partitionBy("anchor")
     by_context = Window.partitionBy("anchor", "context")
     met = seeds.select(
@@ -215,17 +221,20 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
                     at = more.field("at").to_numpy(zero_copy_only=False)[more.field("check").to_numpy(zero_copy_only=False) == checks[i]]
                     first, last = np.concatenate([first, at]), np.concatenate([last, at])
                 spans.append([{"begin": b, "end": e} for b, e in _spans(_covered(counts[i], first, last, length))] if len(first) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], ["doc_id", "text", "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), *batch.columns[4:]], ["doc_id", "text", "n_words", "spans", *carried])
 
-    # One plan, in which both joins read the same shuffle of the texts.
+    # One plan, in which both joins read the same shuffle of the texts, and so need the same columns.
     known = texts.filter("doc_id is not null")
-    each = known.join(per_doc, "doc_id").mapInArrow(ask, "one long, two long, doc_id long, check long, at long")
+    each = known.join(per_doc, "doc_id").select("doc_id", "text", "seeds", *carried).mapInArrow(ask, "one long, two long, doc_id long, check long, at long")
     first = each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
     found = each.join(first, ["one", "two"]).filter(F.col("first") < F.col("doc_id"))
     more = found.groupBy("doc_id").agg(F.collect_list(F.struct("check", "at")).alias("more"))
-    rows = known.join(per_doc, "doc_id", "left").join(more, "doc_id", "left").select("doc_id", "text", "seeds", "more")
+    rows = known.join(per_doc, "doc_id", "left").join(more, "doc_id", "left").select("doc_id", "text", "seeds", "more", *carried)
     rows = rows.unionByName(texts.filter("doc_id is null"), allowMissingColumns=True)
-    return rows.mapInArrow(close, "doc_id long, text string, n_words long, spans array<struct<begin:int,end:int>>")
+    span = T.ArrayType(T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType()))
+    schema = T.StructType().add("doc_id", T.LongType()).add("text", T.StringType()).add("n_words", T.LongType()).add("spans", span)
+    found = rows.mapInArrow(close, T.StructType([*schema.fields, *(texts.schema[c] for c in carried)]))
+    return found.select("doc_id", "text", "n_words", "spans", *(F.col(a).alias(b) for a, b in zip(carried, carry)))
 
 
 def _items(texts: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,16 +266,19 @@ def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes, list[dict]], tuple]) -> DataFrame:
-    """Apply work to (text as bytes, spans) of each row; doc_id and n_words stay in front."""
+    """Apply work to (text as bytes, spans) of each row; doc_id, n_words and what was carried stay."""
+    rest = rows.columns[4:]
+    full = T.StructType([*T.StructType.fromDDL(f"doc_id long, n_words long, {schema}").fields, *(T.StructField(f"carry_{i}", rows.schema[c].dataType) for i, c in enumerate(rest))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             found = [work(x or b"", s) for x, s in zip(texts, batch.column(3).to_pylist())]
             columns = list(zip(*found)) or [() for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_words", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[4:]], full.fieldNames())
 
-    return rows.select("doc_id", "text", "n_words", "spans").mapInArrow(run, f"doc_id long, n_words long, {schema}")
+    out = rows.mapInArrow(run, full)
+    return out.select("doc_id", "n_words", *names, *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(rest)))
 
 
 def kept_digest(spans: DataFrame) -> DataFrame:
