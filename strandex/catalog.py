@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from strandex.plans import index, scalar
+
+QUERIES: dict = {**scalar.QUERIES, **index.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalar.ORACLE_SQL, **index.ORACLE_SQL}
