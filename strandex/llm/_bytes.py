@@ -57,7 +57,7 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each, or one row if that alone is longer."""
     n, lo = len(offsets) - 1, 0
     while lo < n:
@@ -93,7 +93,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.zeros(0, U64)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_INV, len(data))[starts] + (ends - starts).astype(U64))
+    return mix((sums[ends] - sums[starts]) * powers(_INV, len(data) + 1)[starts] + (ends - starts).astype(U64))
 
 
 def gram_hashes(items: np.ndarray, k: int, seed: int) -> np.ndarray:

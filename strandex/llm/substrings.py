@@ -163,20 +163,22 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), hot: int = 4) -> DataFrame:
     """One row a document: doc_id, text, n_words, spans (array of [begin, end) in words): its maximal repeated passages.
 
-    carry: other columns of docs to keep after these.
+    carry: columns of docs to keep beside these, in a struct named carried.
     """
     if not K < min_words <= 63 + K:
         raise ValueError(f"min_words must be in {K + 1}..{63 + K}")
     length = min_words
-    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    kept = [F.struct(*carry).alias("carried")] if carry else []
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
     carried = texts.columns[2:]
 
     def seed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            columns = _find_seeds(batch.column(0).to_numpy(zero_copy_only=False), *B.string_buffer(batch.column(1)), length, hot)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int8)), *(pa.array(x) for x in columns[1:])], ["kind", "anchor", "context", "doc_id", "place"])
+        for whole in batches:
+            whole = whole.filter(whole.column(0).is_valid())
+            for start in range(0, whole.num_rows, 2500):
+                batch = whole.slice(start, 2500)
+                columns = _find_seeds(batch.column(0).to_numpy(zero_copy_only=False), *B.string_buffer(batch.column(1)), length, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int8)), *(pa.array(x) for x in columns[1:])], ["kind", "anchor", "context", "doc_id", "place"])
 
     seeds = texts.select("doc_id", "text").mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long")
     by_anchor = Window.partitionBy("anchor")
@@ -193,7 +195,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows that anchors with several contexts leave open, by their hashes."""
-        for batch in batches:
+        for batch in _small(batches):
             _, before, items, checks = _items(batch.column(1))
             found = []
             for i in range(batch.num_rows):
@@ -210,7 +212,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
 
     def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All repeated windows of each text, as maximal spans."""
-        for batch in batches:
+        for batch in _small(batches):
             _, before, _, checks = _items(batch.column(1), hashed=False)
             counts, spans = np.diff(before), []
             for i in range(batch.num_rows):
@@ -233,8 +235,13 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
     rows = rows.unionByName(texts.filter("doc_id is null"), allowMissingColumns=True)
     span = T.ArrayType(T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType()))
     schema = T.StructType().add("doc_id", T.LongType()).add("text", T.StringType()).add("n_words", T.LongType()).add("spans", span)
-    found = rows.mapInArrow(close, T.StructType([*schema.fields, *(texts.schema[c] for c in carried)]))
-    return found.select("doc_id", "text", "n_words", "spans", *(F.col(a).alias(b) for a, b in zip(carried, carry)))
+    return rows.mapInArrow(close, T.StructType([*schema.fields, *(texts.schema[c] for c in carried)]))
+
+
+def _small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
 
 
 def _items(texts: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -267,18 +274,16 @@ def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes, list[dict]], tuple]) -> DataFrame:
     """Apply work to (text as bytes, spans) of each row; doc_id, n_words and what was carried stay."""
-    rest = rows.columns[4:]
-    full = T.StructType([*T.StructType.fromDDL(f"doc_id long, n_words long, {schema}").fields, *(T.StructField(f"carry_{i}", rows.schema[c].dataType) for i, c in enumerate(rest))])
+    full = T.StructType([*T.StructType.fromDDL(f"doc_id long, n_words long, {schema}").fields, *rows.schema.fields[4:]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             found = [work(x or b"", s) for x, s in zip(texts, batch.column(3).to_pylist())]
             columns = list(zip(*found)) or [() for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[4:]], full.fieldNames())
 
-    out = rows.mapInArrow(run, full)
-    return out.select("doc_id", "n_words", *names, *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(rest)))
+    return rows.mapInArrow(run, full)
 
 
 def kept_digest(spans: DataFrame) -> DataFrame:
