@@ -13,7 +13,8 @@ with the Jaccard similarity.
    others; of these the likeliest is verified first, then the next two, four and so on, and pairs
    that have been connected meanwhile are passed over.
 3. When no such pair is left open, the buckets that still hold members of several components
-   pair those across components, so that no link of the banding is lost.
+   are compared across components, in blocks of bounded size inside tasks: only pairs that pass
+   the screen become rows, so no link of the banding is lost and no group is written as pairs.
 4. Candidates are screened by the maximum-likelihood similarity of both sketches (the exact
    set sizes are known): a pair is given up only if similarity `threshold` is
    rejected by its likelihood ratio at five deviations. The rest is verified on the full
@@ -46,6 +47,8 @@ BANDS, ROWS = 50, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch base, rate and register limit: sets of 1 to 1e12 elements stay inside 0..LIMIT.
 BASE, RATE, LIMIT = 1.02, 20.0, 4000
+#: A likelihood ratio that rejects at five deviations: half of their square.
+REJECT = 12.5
 _MULTIPLY = np.random.default_rng(20240602).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -121,7 +124,7 @@ def likely_similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarr
 
 
 def sketch_documents(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two sums of the set's hashes, registers (uint16 bytes) and band keys of each document."""
+    """doc_id, n_shingles, two sums of the set's hashes and registers (uint16 bytes) of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,15 +134,30 @@ def sketch_documents(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", tex
                 registers = np.stack([sketch(s) for s in sets])
                 one = np.array([s.sum(dtype=_U) for s in sets], _U)
                 two = np.array([B.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) for s in sets], _U)
-                bands = band_keys(registers).view(np.int64)
-                where = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in registers], pa.binary()), pa.ListArray.from_arrays(where, pa.array(bands.ravel()))],
-                    ["doc_id", "n_shingles", "one", "two", "registers", "bands"],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in registers], pa.binary())],
+                    ["doc_id", "n_shingles", "one", "two", "registers"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, registers binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, registers binary")
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def banded(sketches: DataFrame) -> DataFrame:
+    """doc_id, band: a row for each band of each sketch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                keys = band_keys(_registers(batch.column(1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))), pa.array(keys.ravel())], ["doc_id", "band"])
+
+    return sketches.select("doc_id", "registers").mapInArrow(run, "doc_id long, band long")
 
 
 def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -169,17 +187,58 @@ def _screened(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
             size = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
             if not batch.num_rows:
                 continue
-            best, short = likely_similarity(table(2), table(3), size(4), size(5), threshold)
-            keep = pa.array(short <= 12.5)  # half the square of five deviations
+            best, short = likely_similarity(_registers(batch.column(2)), _registers(batch.column(3)), size(4), size(5), threshold)
+            keep = pa.array(short <= REJECT)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(best).filter(keep)], ["a", "b", "likely"])
 
     return joined.mapInArrow(run, "a long, b long, likely double")
 
 
+def _across(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """members (band, size, doc_id, component, n_shingles, registers) -> a, b, likely.
+
+    The pairs of one bucket and two components that pass the screen. A bucket of more
+    than `block` members is dealt by hash into blocks of about that size, and each
+    two blocks meet in a task.
+    """
+    cut = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    packed = cut.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "registers")).alias("members"))
+    alone = packed.filter("blocks = 1").select("members", F.lit(0).cast("long").alias("cut"))
+    several = packed.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    several = several.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list(F.struct("block", "members"))).alias("two"))
+    parts = F.flatten(F.transform("two", lambda t: t["members"]))
+    # Inside one block all pairs are compared, between two blocks only those across.
+    first = F.when(F.size("two") == 2, F.size(F.col("two")[0]["members"])).otherwise(F.lit(0)).cast("long")
+    units = alone.unionByName(several.select(parts.alias("members"), first.alias("cut")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u in range(batch.num_rows):
+                flat = batch.column(0).slice(u, 1).flatten()
+                ids, component, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n_shingles"))
+                registers, edge = _registers(flat.field("registers")), batch.column(1)[u].as_py()
+                left = np.arange(edge or len(ids))
+                for lo in range(0, len(left), 32):
+                    rows = left[lo : lo + 32]
+                    other = np.arange(edge or lo, len(ids))
+                    # Fewer than half of the registers agree only at ten deviations from 0.8.
+                    agree = np.stack([(registers[other] == registers[r]).sum(1) for r in rows])
+                    ratio = np.minimum(size[rows][:, None], size[other]) / np.maximum(size[rows][:, None], size[other])
+                    x, y = np.nonzero((agree >= REGISTERS * (threshold - 0.3)) & (ratio >= threshold) & (component[rows][:, None] != component[other]) & (ids[rows][:, None] != ids[other]))
+                    if not len(x):
+                        continue
+                    i, j = rows[x], other[y]
+                    likely, short = likely_similarity(registers[i], registers[j], size[i].astype(float), size[j].astype(float), threshold)
+                    keep = short <= REJECT
+                    a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(likely[keep])], ["a", "b", "likely"])
+
+    return units.select("members", "cut").mapInArrow(run, "a long, b long, likely double").dropDuplicates(["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs (a, b) -> a, b of those whose full sets have 100 * intersection >= percent * union."""
     of = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
@@ -207,9 +266,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     sets = persist(some.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     member = persist(some.select("doc_id", "one", "two", "n_shingles").join(sets, ["one", "two", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
     reps = some.join(sets.select(F.col("rep").alias("doc_id"), "one", "two", "n_shingles"), ["doc_id", "one", "two", "n_shingles"]).dropDuplicates(["doc_id"])
-    reps = persist(reps.select("doc_id", "n_shingles", "registers", "bands"), "representatives")
+    reps = persist(reps.select("doc_id", "n_shingles", "registers"), "representatives")
 
-    each = reps.select("doc_id", F.explode("bands").alias("band"))
+    each = banded(reps)
     buckets = each.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     crowded = persist(each.join(buckets, "band").select("band", "doc_id", "hub"), "crowded")
     wanted = persist(texts.join(crowded.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "wanted")
@@ -231,24 +290,25 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
         before = found if labels is None else found.unionAll(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
         labels = connected_components(before)
 
+    def settle(pairs: DataFrame) -> None:
+        """Verify all pairs, but for those that others have connected meanwhile."""
+        waiting, most = pairs, 1
+        while not waiting.isEmpty():
+            # Of each document's open pairs the likeliest first.
+            turn = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
+            ranked = persist(waiting.withColumn("turn", F.row_number().over(turn)), "ranked")
+            add(ranked.filter(F.col("turn") <= most))
+            later = labelled(labelled(ranked.filter(F.col("turn") > most), "a", "ca"), "b", "cb")
+            waiting, most = persist(later.filter("ca <> cb").select("a", "b", "likely"), "waiting"), 4 * most
+
     stars = crowded.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    waiting, most = persist(_screened(stars, reps, threshold), "candidates"), 1
-    while not waiting.isEmpty():
-        # Of each document's open pairs the likeliest first; the others wait to see whether they still matter.
-        turn = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
-        ranked = persist(waiting.withColumn("turn", F.row_number().over(turn)), "ranked")
-        add(ranked.filter(F.col("turn") <= most))
-        later = labelled(labelled(ranked.filter(F.col("turn") > most), "a", "ca"), "b", "cb")
-        waiting, most = persist(later.filter("ca <> cb").select("a", "b", "likely"), "candidates"), 2 * most
+    tried = persist(_screened(stars, reps, threshold), "candidates")
+    settle(tried)
     # What no hub has joined: members of one bucket in different components.
     placed = labelled(crowded.select("band", "doc_id"), "doc_id", "component")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    left = persist(placed.join(mixed, "band"), "mixed")
-    right = left.select("band", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    rest = left.join(right, "band").filter((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    rest = persist(_screened(rest.join(stars, ["a", "b"], "left_anti"), reps, threshold), "rest")
-    if not rest.isEmpty():
-        add(rest)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y").select("band", "size")
+    members = placed.join(mixed, "band").join(reps, "doc_id").select("band", "size", "doc_id", "component", "n_shingles", "registers")
+    settle(persist(_across(members, threshold).join(tried, ["a", "b"], "left_anti"), "rest"))
     # Components of representatives, then of their copies, then of all rows.
     found = labelled(member, "rep", "component").groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left")
