@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 SLICE = 4096
 
 
+def right(value: Column, bits: Column) -> Column:
+    """value without its lowest bits, for a number of bits that is a column."""
+    return F.call_function("shiftright", value, bits.cast("int"))
+
+
+def left(value: Column, bits: Column) -> Column:
+    """value moved up by a number of bits that is a column."""
+    return F.call_function("shiftleft", value, bits.cast("int"))
+
+
 def sequence_of(texts: DataFrame) -> DataFrame:
     """doc_id, idx, val: the symbols of encoded texts."""
     each = texts.select("doc_id", "enc", F.explode(F.sequence(F.lit(0).cast("long"), F.length("enc").cast("long") - 1)).alias("idx"))
@@ -36,7 +46,7 @@ def bit_rank(bits: DataFrame) -> DataFrame:
 
 def bit_words(bits: DataFrame, width: int = 60) -> DataFrame:
     """doc_id, word, bits, ones_before: the vector in integers of `width` bits, with the ones before each."""
-    value = F.sum(F.shiftleft(F.col("bit").cast("long"), (F.lit(width - 1) - F.col("idx") % width).cast("int")))
+    value = F.sum(left(F.col("bit").cast("long"), F.lit(width - 1) - F.col("idx") % width))
     words = bits.groupBy("doc_id", F.floor(F.col("idx") / width).alias("word")).agg(value.alias("bits"))
     return counted_before(words, ["doc_id"], F.bit_count("bits"), "ones_before", order="word")
 
@@ -45,7 +55,7 @@ def bit_rank_words(bits: DataFrame, width: int = 60) -> DataFrame:
     """bit_rank by the directory of words: ones before the word and the count of its leading bits."""
     words = bit_words(bits, width)
     asked = bits.select("doc_id", F.col("idx").alias("pos"), F.floor(F.col("idx") / width).alias("word"), (F.col("idx") % width).alias("off"))
-    inside = F.bit_count(F.shiftright(F.col("bits"), (F.lit(width) - F.col("off")).cast("int")))
+    inside = F.bit_count(right(F.col("bits"), F.lit(width) - F.col("off")))
     return asked.join(words, ["doc_id", "word"]).select("doc_id", "pos", (F.col("ones_before") + F.when(F.col("off") == 0, 0).otherwise(inside)).cast("long").alias("rank"))
 
 
@@ -56,9 +66,9 @@ def sequence_rank(seq: DataFrame) -> DataFrame:
 
 def wavelet_bits(seq: DataFrame, bits: int = 3) -> DataFrame:
     """doc_id, level, node, idx, bit: the wavelet tree's vectors; node = the value's leading bits."""
-    each = seq.withColumn("level", F.explode(F.array(*(F.lit(i) for i in range(bits)))).cast("long"))
-    shift = (F.lit(bits) - F.col("level")).cast("int")
-    each = each.withColumn("node", F.shiftright("val", shift)).withColumn("bit", F.shiftright("val", shift - 1).bitwiseAND(1))
+    each = seq.withColumn("level", F.explode(F.array(*(F.lit(i).cast("long") for i in range(bits)))))
+    shift = F.lit(bits) - F.col("level")
+    each = each.withColumn("node", right(F.col("val"), shift)).withColumn("bit", right(F.col("val"), shift - 1).bitwiseAND(1))
     placed = counted_before(each, ["doc_id", "level", "node"], F.lit(1), "place")
     return placed.select("doc_id", "level", "node", F.col("place").alias("idx"), "bit")
 
@@ -94,17 +104,16 @@ def select_table(seq: DataFrame) -> DataFrame:
 
 def first_in_range(seq: DataFrame, asked: DataFrame, bits: int = 3) -> DataFrame:
     """asked (doc_id, val, signif, l, r) -> doc_id, val, result: of the values in [l, r) that share val's `signif` leading bits the least, and its first index."""
-    shift = F.lit(bits) - F.col("signif")
-    low = lambda c: F.shiftright(c, shift.cast("int"))
+    low = lambda c: right(F.col(c), F.lit(bits) - F.col("signif"))
     found = seq.withColumnRenamed("val", "v").join(asked, "doc_id").filter((F.col("idx") >= F.col("l")) & (F.col("idx") < F.col("r")))
-    found = found.withColumn("same", F.expr(f"shiftright(v, cast({bits} - signif as int)) = shiftright(val, cast({bits} - signif as int))")).filter("same")
+    found = found.filter(low("v") == low("val"))
     return found.groupBy("doc_id", "val").agg(F.min(F.struct("v", "idx")).alias("m")).select("doc_id", "val", F.col("m.idx").alias("result"))
 
 
 def node_sizes(seq: DataFrame, bits: int = 3) -> DataFrame:
     """doc_id, level, node, n: values below each node of the tree."""
-    each = seq.withColumn("level", F.explode(F.array(*(F.lit(i) for i in range(bits + 1)))).cast("long"))
-    return each.groupBy("doc_id", "level", F.shiftright("val", (F.lit(bits) - F.col("level")).cast("int")).alias("node")).agg(F.count("*").alias("n"))
+    each = seq.withColumn("level", F.explode(F.array(*(F.lit(i).cast("long") for i in range(bits + 1)))))
+    return each.groupBy("doc_id", "level", right(F.col("val"), F.lit(bits) - F.col("level")).alias("node")).agg(F.count("*").alias("n"))
 
 
 def select_offsets(seq: DataFrame) -> DataFrame:

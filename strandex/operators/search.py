@@ -82,8 +82,9 @@ def first_positions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def search_first(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern_id, sa_lo, sa_hi, doc_id, pos: range and first hit (null where absent)."""
-    return ranges(texts, patterns).join(first_hits(texts, patterns), "pattern_id", "left")
+    """pattern_id, sa_lo, sa_hi, doc_id, pos: range and first hit (-1 where absent)."""
+    found = ranges(texts, patterns).join(first_hits(texts, patterns), "pattern_id", "left")
+    return found.fillna(-1, ["doc_id", "pos"])
 
 
 def lcp_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ _ASK = "ask AS (SELECT doc_id, CAST(v AS BIGINT) AS val, length(enc) AS n FROM d
 
 def _ask(spark: SparkSession, sf: str) -> DataFrame:
     """Every symbol value, and one that never occurs, for each text."""
-    return dna_docs(spark, sf).select("doc_id", "n", F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 4, 7)))).cast("long").alias("val"))
+    return dna_docs(spark, sf).select("doc_id", "n", F.explode(F.array(*(F.lit(v).cast("long") for v in (0, 1, 2, 3, 4, 7)))).alias("val"))
 
 
 @query("wt_rank", S.query(S.DNA, _ASK, S.POS, S.SEQ, of="SELECT a.doc_id, a.val, CAST(n // 2 AS BIGINT) AS pos, count(s.idx) AS result FROM ask a LEFT JOIN seq s ON s.doc_id = a.doc_id AND s.val = a.val AND s.idx < n // 2 GROUP BY ALL"))
@@ -238,13 +238,11 @@ def _missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FIRST = "hit AS (SELECT pattern_id, o.doc_id, pos, row_number() OVER (PARTITION BY pattern_id ORDER BY substr(enc, pos + 1), o.doc_id, pos) AS r FROM occ o JOIN dna USING (doc_id))"
-_RANGE = """low AS (SELECT p.pattern_id, p.pattern, 2 * row_number() OVER (ORDER BY p.pattern) AS turn FROM both_p p),
-ran AS (SELECT p.pattern_id, (SELECT count(*) FROM key k WHERE k.s < p.pattern) AS sa_lo, (SELECT count(*) FROM key k WHERE k.s < p.pattern || '~') AS sa_hi FROM both_p p)"""
 _KEY = "key AS MATERIALIZED (SELECT substr(enc, pos + 1, 21) AS s FROM pos)"
 # Sorted together, a pattern's place is the number of suffixes before it.
 _RAN = """one AS (SELECT s AS k, 1 AS w, CAST(NULL AS BIGINT) AS pattern_id, 1 AS side FROM key UNION ALL SELECT pattern, 0, pattern_id, 0 FROM both_p UNION ALL SELECT pattern || '~', 0, pattern_id, 2 FROM both_p),
-two AS (SELECT pattern_id, side, coalesce(sum(w) OVER (ORDER BY k, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM one),
-ran AS (SELECT pattern_id, CAST(min(CASE WHEN side = 0 THEN at END) AS BIGINT) AS sa_lo, CAST(min(CASE WHEN side = 2 THEN at END) AS BIGINT) AS sa_hi FROM two WHERE side <> 1 GROUP BY pattern_id)"""
+two AS (SELECT pattern_id, side, coalesce(sum(w) OVER (ORDER BY k, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM one),
+ran AS (SELECT pattern_id, CAST(min(CASE WHEN side = 0 THEN place END) AS BIGINT) AS sa_lo, CAST(min(CASE WHEN side = 2 THEN place END) AS BIGINT) AS sa_hi FROM two WHERE side <> 1 GROUP BY pattern_id)"""
 
 
 @query("sa_range", S.query(*_P, _KEY, _RAN, of="SELECT pattern_id, sa_lo, sa_hi FROM ran"))
@@ -262,7 +260,7 @@ def _first_pos(spark: SparkSession, sf: str) -> DataFrame:
     return search.first_positions(*_patterns(spark, sf))
 
 
-@query("search_first", S.query(*_P, S.OCC, _FIRST, _KEY, _RAN, of="SELECT ran.pattern_id, sa_lo, sa_hi, doc_id, CAST(pos AS BIGINT) AS pos FROM ran LEFT JOIN hit ON hit.pattern_id = ran.pattern_id AND r = 1"))
+@query("search_first", S.query(*_P, S.OCC, _FIRST, _KEY, _RAN, of="SELECT ran.pattern_id, sa_lo, sa_hi, coalesce(doc_id, -1) AS doc_id, CAST(coalesce(pos, -1) AS BIGINT) AS pos FROM ran LEFT JOIN hit ON hit.pattern_id = ran.pattern_id AND r = 1"))
 def _search_first(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_first(*_patterns(spark, sf))
 
