@@ -2,7 +2,7 @@
 
 A text is a row (doc_id, enc); a suffix array is a table (doc_id, sa_pos, pos). A suffix's rank is the
 number of suffixes of its text that are smaller; while suffixes tie it is that of
-the first of them. The first ranks come from 21 symbols; each round looks up the rank `h`
+the first of them. The first ranks come from 64 symbols; each round looks up the rank `h`
 symbols further on, re-ranks inside the ties and doubles h, until nothing ties. The shorter
 of two suffixes that agree to its end is the smaller (rank -1 beyond the end).
 
@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 from strandex.functions import encoding as E
 from strandex.sources.tables import materialise
 
-FIRST = 21
+#: Symbols that searches compare without the text, and those that the first ranks compare.
+FIRST, KEY = 21, 64
 
 
-def positions(texts: DataFrame, step: int = 1) -> DataFrame:
-    """One row for every step-th position of each text, with the first symbols of the suffix there."""
+def positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
+    """One row for every position of each text, with the first `width` symbols of the suffix there."""
     # Only the key leaves this stage, not the text.
-    each = texts.select("doc_id", "enc", F.explode(F.sequence(F.lit(0).cast("long"), F.length("enc").cast("long") - 1, F.lit(step).cast("long"))).alias("pos"))
-    return each.select("doc_id", "pos", F.substring("enc", F.col("pos").cast("int") + 1, F.lit(FIRST)).alias("key"))
+    each = texts.select("doc_id", "enc", F.explode(F.sequence(F.lit(0).cast("long"), F.length("enc").cast("long") - 1)).alias("pos"))
+    return each.select("doc_id", "pos", F.substring("enc", F.col("pos").cast("int") + 1, F.lit(width)).alias("key"))
 
 
 def first_ranks(keys: DataFrame, bucket: int = 5) -> DataFrame:
@@ -53,7 +54,7 @@ def refine(ranks: DataFrame, h: int) -> DataFrame:
 
 def suffix_ranks(texts: DataFrame) -> DataFrame:
     """doc_id, pos, rank of every suffix: the inverse of the suffix array."""
-    ranks, h = materialise(first_ranks(positions(texts)), "ranks"), FIRST
+    ranks, h = materialise(first_ranks(positions(texts, KEY)), "ranks"), KEY
     while not ranks.filter("ties > 1").isEmpty():
         ranks, h = materialise(refine(ranks, h), "ranks"), 2 * h
     return ranks.select("doc_id", "pos", "rank")
