@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandex.operators.suffix import positions
+
 SLICE = 4096
 
 
@@ -24,8 +26,7 @@ def left(value: Column, bits: Column) -> Column:
 
 def sequence_of(texts: DataFrame) -> DataFrame:
     """doc_id, idx, val: the symbols of encoded texts."""
-    each = texts.select("doc_id", "enc", F.explode(F.sequence(F.lit(0).cast("long"), F.length("enc").cast("long") - 1)).alias("idx"))
-    return each.select("doc_id", "idx", F.substring("enc", F.col("idx").cast("int") + 1, F.lit(1)).cast("long").alias("val"))
+    return positions(texts, 1).select("doc_id", F.col("pos").alias("idx"), F.col("key").cast("long").alias("val"))
 
 
 def counted_before(rows: DataFrame, group: list[str], value: Column, name: str, order: str = "idx") -> DataFrame:

@@ -21,13 +21,20 @@ from strandex.sources.tables import materialise
 
 #: Symbols that searches compare without the text, and those that the first ranks compare.
 FIRST, KEY = 21, 64
+#: Length of the parts that texts are cut into; more than KEY.
+PART = 1024
 
 
 def positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
     """One row for every position of each text, with the first `width` symbols of the suffix there."""
+    # A substring counts its place from the text's begin, so the text is first cut into short parts, in one pass.
+    cut = texts.select("doc_id", F.regexp_extract_all("enc", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("parts"))
+    following = F.concat(F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1))), F.array(F.lit("")))
+    each = cut.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("here"), following.alias("next"))).alias("part", "p"))
+    each = each.select("doc_id", "part", F.length("p.here").alias("size"), F.concat("p.here", F.substring("p.next", 1, width)).alias("body"))
     # Only the key leaves this stage, not the text.
-    each = texts.select("doc_id", "enc", F.explode(F.sequence(F.lit(0).cast("long"), F.length("enc").cast("long") - 1)).alias("pos"))
-    return each.select("doc_id", "pos", F.substring("enc", F.col("pos").cast("int") + 1, F.lit(width)).alias("key"))
+    each = each.select("doc_id", "part", "body", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    return each.select("doc_id", (F.col("part").cast("long") * PART + F.col("i")).alias("pos"), F.substring("body", F.col("i") + 1, F.lit(width)).alias("key"))
 
 
 def first_ranks(keys: DataFrame, bucket: int = 5) -> DataFrame:
