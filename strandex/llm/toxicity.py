@@ -142,7 +142,7 @@ def train_toxicity(
     # Rows that repeat a doc_id count once, so that the sample stays bounded.
     table = texts.select("label", "id", "text").toArrow() if max_per_class else None
     _, first = np.unique(table["id"].to_numpy(), return_index=True) if table.num_rows else (None, np.zeros(0, int))
-    table = table.take(pa.array(np.sort(first)))
+    table = table.take(pa.array(first))  # by id, so that reruns add in the same order
     label = table["label"].to_numpy().astype(int)
     taken = np.maximum(np.bincount(label, minlength=2), 1)
     weight = np.array([shares.get(0, 0) / taken[0], shares.get(1, 0) / taken[1]])[label]
