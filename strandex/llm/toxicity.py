@@ -33,6 +33,8 @@ from strandex.llm import _bytes as B
 #: Bytes of a word feature: letters, digits and all of a multi-byte character.
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+#: Bytes of a longer word that are a feature of their own.
+STEM = 6
 #: Bytes that end a sentence.
 _STOP = np.zeros(256, bool)
 _STOP[[ord(x) for x in ".!?\n"]] = True
@@ -48,12 +50,15 @@ class ToxicityModel:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence bounds, sentences before each row, and for each word its sentence and hashed feature."""
+    """Sentence bounds, sentences before each row, and the sentence and hash of each feature: words, and the first 6 bytes of longer words."""
     low = B.LOWER[data]
     s_at, s_to, s_before = B.runs(~_STOP[low], offsets)
     w_at, w_to, _ = B.runs(_WORD[low] & ~_STOP[low], offsets)
-    feature = (B.run_hashes(low, w_at, w_to) >> B.U64(64 - bits)).astype(np.int64)
-    return s_at, s_to, s_before, np.searchsorted(s_at, w_at, "right") - 1, feature
+    sentence = np.searchsorted(s_at, w_at, "right") - 1
+    whole, long = B.run_hashes(low, w_at, w_to), w_to - w_at > STEM
+    stems = B.mix(B.run_hashes(low, w_at[long], w_at[long] + STEM) + B.U64(1))
+    feature = (np.concatenate([whole, stems]) >> B.U64(64 - bits)).astype(np.int64)
+    return s_at, s_to, s_before, np.concatenate([sentence, sentence[long]]), feature
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
