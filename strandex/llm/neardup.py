@@ -220,20 +220,28 @@ def _across(members: DataFrame, threshold: float, block: int = 512) -> DataFrame
                 flat = batch.column(0).slice(u, 1).flatten()
                 ids, component, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n_shingles"))
                 registers, edge = _registers(flat.field("registers")), batch.column(1)[u].as_py()
-                left = np.arange(edge or len(ids))
-                for lo in range(0, len(left), 32):
-                    rows = left[lo : lo + 32]
-                    other = np.arange(edge or lo, len(ids))
-                    # Fewer than half of the registers agree only at ten deviations from 0.8.
-                    agree = np.stack([(registers[other] == registers[r]).sum(1) for r in rows])
-                    ratio = np.minimum(size[rows][:, None], size[other]) / np.maximum(size[rows][:, None], size[other])
-                    x, y = np.nonzero((agree >= REGISTERS * (threshold - 0.3)) & (ratio >= threshold) & (component[rows][:, None] != component[other]) & (ids[rows][:, None] != ids[other]))
-                    if not len(x):
-                        continue
-                    i, j = rows[x], other[y]
-                    likely, short = likely_similarity(registers[i], registers[j], size[i].astype(float), size[j].astype(float), threshold)
+                # Every pair across components has an end outside the largest one (of its side, between two blocks).
+                _, number, many = np.unique(component, return_inverse=True, return_counts=True)
+                found = []
+                largest = number == int(np.argmax(many))
+                for r in np.flatnonzero(~largest):
+                    if edge:
+                        other = np.arange(edge, len(ids)) if r < edge else np.arange(edge)
+                    else:
+                        other = np.arange(len(ids))
+                    fits = (component[other] != component[r]) & (ids[other] != ids[r]) & (np.minimum(size[other], size[r]) >= threshold * np.maximum(size[other], size[r]))
+                    other = other[fits]
+                    # Few agreements among the first registers, or among all, only happen at seven deviations from 0.8.
+                    for columns, share in ((64, threshold - 0.35), (REGISTERS, threshold - 0.25)):
+                        same = np.packbits(registers[other, :columns] == registers[r, :columns], axis=1)
+                        other = other[np.bitwise_count(same).sum(1) >= share * columns]
+                    found.append(np.stack([np.full(len(other), r), other]))
+                i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), int)
+                for lo in range(0, len(i), 4096):
+                    x, y = i[lo : lo + 4096], j[lo : lo + 4096]
+                    likely, short = likely_similarity(registers[x], registers[y], size[x].astype(float), size[y].astype(float), threshold)
                     keep = short <= REJECT
-                    a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
+                    a, b = np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(likely[keep])], ["a", "b", "likely"])
 
     return units.select("members", "cut").mapInArrow(run, "a long, b long, likely double").dropDuplicates(["a", "b"])
