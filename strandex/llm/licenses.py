@@ -23,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,8 +117,11 @@ class LicenceModel:
     anchors: list[str]
 
 
-def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, variants: int = 32, vocabulary: int = 4096) -> LicenceModel:
-    """Fit on the templates and on the paragraphs of at most sample_docs documents (lowest id hashes)."""
+def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, variants: int = 32, vocabulary: int = 4096, common: float = 0.005) -> LicenceModel:
+    """Fit on the templates and on the paragraphs of at most sample_docs documents (lowest id hashes).
+
+    Only n-grams with a word that at most a share `common` of the sample's lines has are features.
+    """
     spark = docs.sparkSession
     families = ["unknown", *TEMPLATES]
     given = [(families.index(f), t) for f, texts in TEMPLATES.items() for t in texts] + [(0, t) for t in NOT_LICENCES]
@@ -133,9 +136,17 @@ def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # Lines of the sample that may be licences themselves are no examples of the unknown.
     talk = F.arrays_overlap("words", F.array(*map(F.lit, ("license", "licence", "licensed", "licensing", "copyright", "spdx"))))
     plain = lines.select(F.lit(0).alias("label"), (F.col("n") % variants).alias("variant"), tokens(F.col("line")).alias("words")).filter((F.size("words") > 0) & ~talk)
-    rows = persist(varied.unionByName(plain).select("label", "variant", grams(F.col("words")).alias("grams"), "words"), "licence-train")
+    rows = persist(varied.withColumn("sampled", F.lit(False)).unionByName(plain.withColumn("sampled", F.lit(True))).select("label", "variant", grams(F.col("words")).alias("grams"), "words", "sampled"), "licence-train")
     held = F.col("variant") % 4 == 3
     counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=vocabulary).fit(rows.filter(~held))
+    lines_of = rows.filter("sampled").select(F.explode(F.array_distinct("words")).alias("w"))
+    words = sorted({w for g in counted.vocabulary for w in g.split()})
+    listed = F.broadcast(spark.createDataFrame([(w,) for w in words], "w string"))
+    frequency = {r["w"]: r["count"] for r in lines_of.join(listed, "w").groupBy("w").count().collect()}  # at most the vocabulary's words
+    most = common * rows.filter("sampled").count()
+    rare = lambda g: min(g.split(), key=lambda w: (frequency.get(w, 0), w))
+    features = [g for g in counted.vocabulary if frequency.get(rare(g), 0) <= most]
+    counted = CountVectorizerModel.from_vocabulary(features, "grams", "features", binary=True)
     table = counted.transform(rows).select("features", "label", held.alias("held"))
     table = persist(table.coalesce(4), "licence-table")
     model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60, standardization=False).fit(table.filter("not held"))
@@ -147,10 +158,7 @@ def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     matrix = model.coefficientMatrix.toArray()
     kept = [j for j in range(matrix.shape[1]) if abs(matrix[:, j]).max() > 1e-6]
     weights = [(counted.vocabulary[j], [float(x) for x in matrix[:, j]]) for j in kept]
-    words = sorted({w for g, _ in weights for w in g.split()})
-    common = rows.filter("label = 0").select(F.explode(F.array_distinct("words")).alias("w")).join(F.broadcast(spark.createDataFrame([(w,) for w in words] or [("",)], "w string")), "w")
-    frequency = {r["w"]: r["count"] for r in common.groupBy("w").count().collect()}
-    anchors = sorted({min(g.split(), key=lambda w: (frequency.get(w, 0), w)) for g, _ in weights})
+    anchors = sorted({rare(g) for g, _ in weights})
     fitted = LicenceModel(families, [float(x) for x in model.interceptVector], weights, float(calibration.coefficients[0]), float(calibration.intercept), anchors)
     import math
 
