@@ -11,8 +11,7 @@ least `least_overlap` of the shorter one's 2-grams.
 Scoring is DataFrame code. A paragraph with no n-gram of the model scores as the
 intercepts do, which training checks to be unknown; every n-gram of the model contains one
 of a few anchor words (its rarest), so paragraphs without an anchor word are passed over
-exactly. N-grams are exploded for the rest only and joined to the weights, whose number is
-bounded by `vocabulary`.
+exactly. The rest are scored row by row inside the scan; no line is shuffled to be classified.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are scanned alike; a null
 doc_id is scanned and stays null; an empty table gives no rows; other columns are ignored.
@@ -20,9 +19,10 @@ doc_id is scanned and stays null; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,22 +105,39 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def shared_part(ours: Column, theirs: Column) -> Column:
+    """The share of the shorter one's n-grams that two paragraphs have in common."""
+    return F.size(F.array_intersect(ours, theirs)) / F.greatest(F.lit(1), F.least(F.size(ours), F.size(theirs)))
+
+
+def resembles(words: Column, least: float = 0.3) -> Column:
+    """Whether a paragraph shares two 2-grams, and the share `least` of the shorter one's, with a template."""
+    given = F.array(*(F.array(*map(F.lit, _pairs(t))) for texts in TEMPLATES.values() for t in texts))
+    ours = grams(words, (2,))
+    return F.exists(given, lambda t: (F.size(F.array_intersect(ours, t)) >= 2) & (shared_part(ours, t) >= least))
+
+
+def _pairs(text: str) -> list[str]:
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
+
+
 @dataclass
 class LicenceModel:
-    """Families, their intercepts, weights by n-gram, the calibration and the anchor words."""
+    """Families, the n-gram counter and regression over it, the calibration and the anchor words."""
 
     families: list[str]
-    intercepts: list[float]
-    weights: list[tuple[str, list[float]]]
+    counter: CountVectorizerModel
+    regression: LogisticRegressionModel
     slope: float
     shift: float
     anchors: list[str]
 
 
-def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, variants: int = 32, vocabulary: int = 4096, common: float = 0.005) -> LicenceModel:
+def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, variants: int = 32, vocabulary: int = 4096) -> LicenceModel:
     """Fit on the templates and on the paragraphs of at most sample_docs documents (lowest id hashes).
 
-    Only n-grams with a word that at most a share `common` of the sample's lines has are features.
+    Features are the n-grams of the templates and the `vocabulary` most frequent ones.
     """
     spark = docs.sparkSession
     families = ["unknown", *TEMPLATES]
@@ -135,17 +152,17 @@ def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lines = sample.select(F.posexplode(paragraphs(F.col("text"))).alias("n", "line"))
     # Lines of the sample that may be licences themselves are no examples of the unknown.
     talk = F.arrays_overlap("words", F.array(*map(F.lit, ("license", "licence", "licensed", "licensing", "copyright", "spdx"))))
-    plain = lines.select(F.lit(0).alias("label"), (F.col("n") % variants).alias("variant"), tokens(F.col("line")).alias("words")).filter((F.size("words") > 0) & ~talk)
+    plain = lines.select(F.lit(0).alias("label"), (F.col("n") % variants).alias("variant"), tokens(F.col("line")).alias("words")).filter((F.size("words") > 0) & ~talk & ~resembles(F.col("words")))
     rows = persist(varied.withColumn("sampled", F.lit(False)).unionByName(plain.withColumn("sampled", F.lit(True))).select("label", "variant", grams(F.col("words")).alias("grams"), "words", "sampled"), "licence-train")
     held = F.col("variant") % 4 == 3
     counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=vocabulary).fit(rows.filter(~held))
+    theirs = templates.filter("label > 0").select(F.explode(grams(F.col("words"))).alias("g")).distinct().collect()  # bounded by TEMPLATES
+    features = sorted({*counted.vocabulary, *(r["g"] for r in theirs)})
     lines_of = rows.filter("sampled").select(F.explode(F.array_distinct("words")).alias("w"))
-    words = sorted({w for g in counted.vocabulary for w in g.split()})
+    words = sorted({w for g in features for w in g.split()})
     listed = F.broadcast(spark.createDataFrame([(w,) for w in words], "w string"))
     frequency = {r["w"]: r["count"] for r in lines_of.join(listed, "w").groupBy("w").count().collect()}  # at most the vocabulary's words
-    most = common * rows.filter("sampled").count()
     rare = lambda g: min(g.split(), key=lambda w: (frequency.get(w, 0), w))
-    features = [g for g in counted.vocabulary if frequency.get(rare(g), 0) <= most]
     counted = CountVectorizerModel.from_vocabulary(features, "grams", "features", binary=True)
     table = counted.transform(rows).select("features", "label", held.alias("held"))
     table = persist(table.coalesce(4), "licence-table")
@@ -156,14 +173,13 @@ def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scored = VectorAssembler(inputCols=["margin"], outputCol="features").transform(scored)
     calibration = LogisticRegression(regParam=1e-4, maxIter=50).fit(scored)
     matrix = model.coefficientMatrix.toArray()
-    kept = [j for j in range(matrix.shape[1]) if abs(matrix[:, j]).max() > 1e-6]
-    weights = [(counted.vocabulary[j], [float(x) for x in matrix[:, j]]) for j in kept]
-    anchors = sorted({rare(g) for g, _ in weights})
-    fitted = LicenceModel(families, [float(x) for x in model.interceptVector], weights, float(calibration.coefficients[0]), float(calibration.intercept), anchors)
+    anchors = sorted({rare(g) for j, g in enumerate(features) if abs(matrix[:, j]).max() > 0})
+    fitted = LicenceModel(families, counted, model, float(calibration.coefficients[0]), float(calibration.intercept), anchors)
     import math
 
-    top = max(fitted.intercepts)
-    p = math.exp(fitted.intercepts[0] - top) / sum(math.exp(x - top) for x in fitted.intercepts)
+    intercepts = [float(x) for x in model.interceptVector]
+    top = max(intercepts)
+    p = math.exp(intercepts[0] - top) / sum(math.exp(x - top) for x in intercepts)
     if fitted.slope * math.log((1 - p + 1e-9) / (p + 1e-9)) + fitted.shift >= 0:
         raise RuntimeError("a paragraph without any n-gram of the model would not be unknown")
     return fitted
@@ -174,26 +190,20 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_
     spark: SparkSession = docs.sparkSession
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph", "line"))
     worded = lines.withColumn("words", tokens(F.col("line"))).filter(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors or [""]))))
-    # Copies of a line are classified once.
-    kinds = worded.select("line", "words").dropDuplicates(["line"]).withColumn("gram", F.explode(grams(F.col("words"))))
-    weights = F.broadcast(spark.createDataFrame(model.weights or [("", [0.0] * len(model.families))], "gram string, w array<double>"))
-    classes = range(len(model.families))
-    summed = kinds.join(weights, "gram").groupBy("line").agg(*(F.sum(F.col("w")[k]).alias(f"s{k}") for k in classes))
-    scores = F.array(*(F.col(f"s{k}") + F.lit(model.intercepts[k]) for k in classes))
-    odds = summed.select("line", scores.alias("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    unknown = F.col("e")[0] / total
+    scored = model.regression.transform(model.counter.transform(worded.withColumn("grams", grams(F.col("words")))))
+    e = scored.select("doc_id", "text_hash", "paragraph", "line", "words", vector_to_array("probability").alias("e"))
+    unknown = F.col("e")[0]
     margin = F.log((1 - unknown + 1e-9) / (unknown + 1e-9))
     known = F.slice("e", 2, len(model.families) - 1)
     family = F.get(F.array(*map(F.lit, model.families[1:])), (F.array_position(known, F.array_max(known)) - 1).cast("int"))
-    judged = odds.select("line", family.alias("family"), (1 / (1 + F.exp(-(margin * model.slope + model.shift)))).alias("probability")).filter("probability >= 0.5")
-    listed = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, template string")
-    pairs = lambda c: grams(tokens(F.col(c)), (2,))
-    templates = F.broadcast(listed.select("family", pairs("template").alias("theirs")))
-    shared = F.size(F.array_intersect(pairs("line"), "theirs")) / F.greatest(F.lit(1), F.least(F.size(pairs("line")), F.size("theirs")))
-    compared = judged.join(templates, "family").groupBy("line", "family", "probability").agg(F.max(shared).alias("template_overlap"))
-    found = compared.withColumn("confirmed", F.col("template_overlap") >= least_overlap)
-    return worded.select("doc_id", "text_hash", "paragraph", "line").join(found, "line").select("doc_id", "text_hash", "paragraph", "line", "family", "probability", "template_overlap", "confirmed")
+    probability = 1 / (1 + F.exp(-(margin * model.slope + model.shift)))
+    judged = e.select("doc_id", "text_hash", "paragraph", "line", "words", family.alias("family"), probability.alias("probability")).filter("probability >= 0.5")
+    listed = spark.createDataFrame(list(TEMPLATES.items()), "family string, templates array<string>")
+    theirs = F.broadcast(listed.select("family", F.transform("templates", lambda t: grams(tokens(t), (2,))).alias("theirs")))
+    compared = judged.join(theirs, "family").withColumn("pairs", grams(F.col("words"), (2,)))
+    overlap = F.array_max(F.transform("theirs", lambda t: shared_part(F.col("pairs"), t)))
+    found = compared.withColumn("template_overlap", overlap).withColumn("confirmed", F.col("template_overlap") >= least_overlap)
+    return found.select("doc_id", "text_hash", "paragraph", "line", "family", "probability", "template_overlap", "confirmed")
 
 
 def scan_documents(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -92,3 +92,20 @@ def test_licences_are_found_and_talk_is_not(make_docs):
     assert got == {(1, 1, ("Apache-2.0",)), (2, 0, ()), (3, 2, ("CC-BY-NC", "MIT")), (4, 0, ()), (5, 0, ()), (None, 1, ("MIT",)), (6, 0, ())}
     assert licenses.scan_documents(make_docs(rows), model).count() == len(rows)
     assert licenses.scan_documents(make_docs([]), model).collect() == []
+
+
+def test_licences_that_are_frequent_in_the_corpus_are_found(make_docs):
+    filler = "the quick fox ran over the hill and the dog slept\n" * 3
+    frequent = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "CC0": "Released under CC0 1.0 Universal, public domain dedication.",
+        "Proprietary": "All rights reserved. No part of this publication may be reproduced without prior written permission.",
+    }
+    each = list(frequent.items())
+    rows = [(i, filler + each[i % len(each)][1] + "\n" + filler) for i in range(60)] + [(60, filler)]
+    docs = make_docs(rows)
+    got = {r.doc_id: tuple(r.licences) for r in licenses.scan_documents(docs, licenses.train_licences(docs)).collect()}
+    assert got == {**{i: (each[i % len(each)][0],) for i in range(60)}, 60: ()}
