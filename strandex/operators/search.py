@@ -29,10 +29,23 @@ def mutated(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("pattern", F.concat(F.substring("pattern", F.lit(1), at), other, F.substring("pattern", at + 2, F.length("pattern"))))
 
 
+def _lengths(parts: DataFrame, name: str, q: int) -> list[int]:
+    """The lengths, at most q, on which patterns are joined: q and those of shorter patterns."""
+    rows = parts.filter(F.col(name).isNotNull()).select(F.least(F.length(name), F.lit(q)).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in rows) or [q]
+
+
+def _with_grams(rows: DataFrame, name: str, lengths: list[int]) -> DataFrame:
+    """rows with gram, the beginning of a column, once for each length that it has."""
+    each = [F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths]
+    gram = each[0] if len(each) == 1 else F.explode(F.array(*each))
+    return rows.withColumn("gram", gram).filter("gram is not null")
+
+
 def occurrences(texts: DataFrame, patterns: DataFrame, q: int = 12) -> DataFrame:
-    """pattern_id, doc_id, pos: every place of every pattern (of at least q symbols) in every text."""
-    grams = positions(texts).select("doc_id", "pos", "key", F.substring("key", 1, q).alias("gram"))
-    asked = patterns.filter(F.length("pattern") >= q).select("pattern_id", "pattern", F.substring("pattern", 1, q).alias("gram"))
+    """pattern_id, doc_id, pos: every place of every pattern in every text; those shorter than q are joined on their own length."""
+    grams = _with_grams(positions(texts).select("doc_id", "pos", "key"), "key", _lengths(patterns, "pattern", q))
+    asked = patterns.select("pattern_id", "pattern", F.substring("pattern", 1, q).alias("gram"))
     found = grams.join(asked, "gram").filter(F.substring("key", 1, FIRST).startswith(F.substring("pattern", 1, FIRST)))
     short = found.filter(F.length("pattern") <= FIRST).select("pattern_id", "doc_id", "pos")
     long = found.filter(F.length("pattern") > FIRST).join(texts.select("doc_id", "enc"), "doc_id")
@@ -50,12 +63,14 @@ def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5) -> DataFrame:
     """pattern_id, sa_lo, sa_hi: the half-open range of each pattern among the sorted suffixes of all texts.
 
     sa_lo counts the suffixes that are smaller than the pattern, also where it is
-    absent; patterns have bucket to 21 symbols. Patterns enter the sort twice, once before
+    absent. Patterns are sorted by their first 21 symbols, and longer ones are compared with the
+    texts where those agree. Patterns enter the sort twice, once before
     and once after all suffixes that begin with them ('~' is above all digits).
     """
     keys = positions(texts).select("key", F.lit(1).alias("w"), F.lit(None).cast("long").alias("pattern_id"), F.lit(1).alias("side"))
-    low = patterns.select(F.col("pattern").alias("key"), F.lit(0).alias("w"), "pattern_id", F.lit(0).alias("side"))
-    high = patterns.select(F.concat("pattern", F.lit("~")).alias("key"), F.lit(0).alias("w"), "pattern_id", F.lit(2).alias("side"))
+    head = F.substring("pattern", 1, FIRST)
+    low = patterns.select(head.alias("key"), F.lit(0).alias("w"), "pattern_id", F.lit(0).alias("side"))
+    high = patterns.select(F.concat(head, F.lit("~")).alias("key"), F.lit(0).alias("w"), "pattern_id", F.lit(2).alias("side"))
     # Equal keys are one row with their number before anything is sorted.
     keys = keys.groupBy("key", "pattern_id", "side").agg(F.sum("w").alias("w"))
     rows = keys.unionByName(low.withColumn("w", F.col("w").cast("long"))).unionByName(high.withColumn("w", F.col("w").cast("long"))).withColumn("bucket", F.substring("key", 1, bucket))
@@ -66,7 +81,16 @@ def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5) -> DataFrame:
     inside = Window.partitionBy("bucket").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, -1)
     counted = rows.withColumn("before", F.coalesce(F.sum("w").over(inside), F.lit(0))).filter("side <> 1")
     placed = counted.join(starts, "bucket").select("pattern_id", "side", (F.col("start") + F.col("before")).alias("at"))
-    return placed.groupBy("pattern_id").agg(F.min(F.when(F.col("side") == 0, F.col("at"))).alias("sa_lo"), F.min(F.when(F.col("side") == 2, F.col("at"))).alias("sa_hi"))
+    found = placed.groupBy("pattern_id").agg(F.min(F.when(F.col("side") == 0, F.col("at"))).alias("sa_lo"), F.min(F.when(F.col("side") == 2, F.col("at"))).alias("sa_hi"))
+    long = patterns.filter(F.length("pattern") > FIRST).select("pattern_id", "pattern", head.alias("key"))
+    if long.isEmpty():
+        return found
+    tied = positions(texts).join(long, "key").join(texts.select("doc_id", "enc"), "doc_id")
+    part = F.expr("substring(enc, cast(pos as int) + 1, length(pattern))")
+    tails = tied.select("pattern_id", (part < F.col("pattern")).cast("long").alias("below"), (part == F.col("pattern")).cast("long").alias("equal")).groupBy("pattern_id").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
+    extra = long.select("pattern_id").join(tails, "pattern_id", "left").fillna(0, ["below", "equal"])
+    low_at = F.col("sa_lo") + F.coalesce("below", F.lit(0).cast("long"))
+    return found.join(extra, "pattern_id", "left").select("pattern_id", low_at.alias("sa_lo"), F.when(F.col("equal").isNull(), F.col("sa_hi")).otherwise(low_at + F.col("equal")).alias("sa_hi"))
 
 
 def first_hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -109,7 +133,7 @@ def splits(patterns: DataFrame, d: int) -> DataFrame:
 
 
 def grouped_search(texts: DataFrame, patterns: DataFrame, array: DataFrame, d: int, q: int = 8) -> DataFrame:
-    """pattern_id, doc_id, k, sa_pos, pos: all occurrences through the index of d-letter symbols.
+    """pattern_id, doc_id, k, sa_pos, pos: all occurrences of patterns of more than d letters through the index of d-letter symbols.
 
     For each k the right part must begin the suffix and the reversed left part the
     reversed symbol before it: a range of its numbers. A suffix at the text's
@@ -121,14 +145,19 @@ def grouped_search(texts: DataFrame, patterns: DataFrame, array: DataFrame, d: i
         "doc_id", "sa_pos", "pos",
         F.substring("enc", at + 1, F.lit(64)).alias("head"),
         E.octal(F.reverse(F.substring("enc", F.greatest(at - d, F.lit(0)) + 1, F.lit(d)))).alias("rev"),
-    ).withColumn("gram", F.substring("head", 1, q))
-    each = patterns.filter((F.length("pattern") > d) & (F.length("pattern") <= 64)).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("k"))
+    )
+    each = patterns.filter(F.length("pattern") > d).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("k"))
     least = E.octal(F.rpad(F.reverse(F.substring("pattern", F.lit(1), F.col("k"))), d, "0"))
     most = E.octal(F.rpad(F.reverse(F.substring("pattern", F.lit(1), F.col("k"))), d, "7"))
     asked = each.select("pattern_id", "k", F.substring("pattern", F.col("k") + 1, F.length("pattern")).alias("right"), least.alias("least"), most.alias("most")).withColumn("gram", F.substring("right", 1, q))
-    found = suffixes.join(asked, "gram").filter(F.col("head").startswith(F.col("right")))
+    found = _with_grams(suffixes, "head", _lengths(asked, "right", q)).join(asked, "gram").filter(F.col("head").startswith(F.substring("right", 1, 64)))
     found = found.filter((F.col("k") == 0) | ((F.col("pos") > 0) & F.col("rev").between(F.col("least"), F.col("most"))))
-    return found.select("pattern_id", "doc_id", F.col("k").cast("long").alias("k"), "sa_pos", (F.col("pos") * d - F.col("k")).alias("pos"))
+    short = found.filter(F.length("right") <= 64).drop("right")
+    if not asked.filter(F.length("right") > 64).isEmpty():
+        here = F.expr(f"substring(enc, cast(pos * {d} as int) + 1, length(right)) = right")
+        long = found.filter(F.length("right") > 64).join(full, "doc_id").filter(here)
+        short = short.unionByName(long.drop("right", "enc"))
+    return short.select("pattern_id", "doc_id", F.col("k").cast("long").alias("k"), "sa_pos", (F.col("pos") * d - F.col("k")).alias("pos"))
 
 
 def snippet(enc: Column, pos: Column, width: int = 25) -> Column:

@@ -120,3 +120,24 @@ def test_tree_splits_evenly_with_smaller_nodes_first(spark, texts):
         n = next(i for i in range(10) if t[x + i : x + i + 1] != t[y + i : y + i + 1])
         want[t[y : y + n]] = want.get(t[y : y + n], 1) + 1
     assert sorted((r.lcp, r.n_children) for r in nodes) == sorted((len(p), c) for p, c in want.items())
+
+
+def test_search_of_all_pattern_lengths(spark):
+    rnd = random.Random(11)
+    same = "".join(rnd.choice("1234") for _ in range(150))
+    plain = {0: same + "0", 1: "2" + same + "10", 2: "12" * 80 + "0", 3: "".join(rnd.choice("1234") for _ in range(200)) + "0", 4: "10"}
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in plain.items()], "doc_id long, enc string, n long").cache()
+    cut = [plain[i][p : p + n] for i, p in ((0, 5), (2, 3), (3, 30)) for n in (1, 3, 8, 11, 12, 16, 21, 22, 32, 64, 65, 80, 120)]
+    asked = list(dict.fromkeys([*cut, *(c[:-1] + str(int(c[-1]) % 4 + 1) for c in cut), "12" * 90]))
+    patterns = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string").cache()
+    want = {(n, i, p) for n, s in enumerate(asked) for i, t in plain.items() for p in range(len(t)) if t.startswith(s, p)}
+    got = [tuple(r) for r in search.occurrences(frame, patterns).select("pattern_id", "doc_id", "pos").collect()]
+    assert len(got) == len(want) and set(got) == want
+    everything = [t[k:] for t in plain.values() for k in range(len(t))]
+    got = {r.pattern_id: (r.sa_lo, r.sa_hi) for r in search.ranges(frame, patterns).collect()}
+    for n, s in enumerate(asked):
+        low = sum(x < s for x in everything)
+        assert got[n] == (low, low + sum(x.startswith(s) for x in everything))
+    got = [(r.pattern_id, r.doc_id, r.pos) for r in search.grouped_search(frame, patterns, suffix.suffix_array(frame, 8), 8).collect()]
+    want = {w for w in want if len(asked[w[0]]) > 8}
+    assert len(got) == len(want) and set(got) == want
