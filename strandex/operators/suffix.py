@@ -37,6 +37,36 @@ def positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
     return each.select("doc_id", (F.col("part").cast("long") * PART + F.col("i")).alias("pos"), F.substring("body", F.col("i") + 1, F.lit(width)).alias("key"))
 
 
+def joined_positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
+    """positions() of one text, doc_id 0: all texts in the order of (doc_id, enc), without their terminators, and one at the end.
+
+    No row holds more than one text: each gets its offset, sums inside ranges of doc_id plus the
+    ranges' own sums, and is cut at multiples of PART, where the cuts of neighbours meet in one row.
+    """
+    body = texts.select("doc_id", F.expr("substring(enc, 1, length(enc) - 1)").alias("body")).filter("body <> ''")
+    cut = materialise(body.repartitionByRange("doc_id", "body").withColumn("slice", F.spark_partition_id()), "texts")
+    size = F.length("body").cast("long")
+    nothing = F.lit(0).cast("long")
+    # One row a range.
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("slice").agg(F.sum(size).alias("size")).select("slice", F.coalesce(F.sum("size").over(earlier), nothing).alias("start"))
+    inside = Window.partitionBy("slice").orderBy("doc_id", "body").rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.withColumn("within", F.coalesce(F.sum(size).over(inside), nothing))
+    placed = within.join(F.broadcast(starts), "slice").select((F.col("start") + F.col("within")).alias("at"), "body")
+    end = cut.agg(F.coalesce(F.sum(size), nothing).alias("at")).select("at", F.lit("0").alias("body"))
+    # Blanks before a text's begin make its cuts fall on multiples of PART.
+    filled = F.concat(F.repeat(F.lit(" "), F.pmod("at", F.lit(PART)).cast("int")), F.col("body"))
+    pieces = placed.unionByName(end).select("at", F.posexplode(F.regexp_extract_all(filled, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).alias("i", "piece"))
+    pieces = pieces.select((F.floor(F.col("at") / PART) + F.col("i")).alias("part"), F.struct("at", F.ltrim("piece").alias("piece")).alias("p"))
+    # A text that began earlier has the smaller offset.
+    met = pieces.groupBy("part").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    parts = materialise(met.select("part", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("here")), "parts")
+    following = parts.select((F.col("part") - 1).alias("part"), F.substring("here", 1, width).alias("next"))
+    each = parts.join(following, "part", "left").select("part", F.length("here").alias("size"), F.concat("here", F.coalesce("next", F.lit(""))).alias("body"))
+    each = each.select("part", "body", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    return each.select(nothing.alias("doc_id"), (F.col("part") * PART + F.col("i")).alias("pos"), F.substring("body", F.col("i") + 1, F.lit(width)).alias("key"))
+
+
 def first_ranks(keys: DataFrame, bucket: int = 5) -> DataFrame:
     """keys (doc_id, pos, key) -> doc_id, pos, rank, ties: ranks by the key."""
     cut = keys.withColumn("bucket", F.substring("key", 1, bucket))
@@ -59,9 +89,10 @@ def refine(ranks: DataFrame, h: int) -> DataFrame:
     return done.unionByName(inside.select("doc_id", "pos", (F.col("rank") + F.col("within")).alias("rank"), F.col("same").alias("ties")))
 
 
-def suffix_ranks(texts: DataFrame) -> DataFrame:
-    """doc_id, pos, rank of every suffix: the inverse of the suffix array."""
-    ranks, h = materialise(first_ranks(positions(texts, KEY)), "ranks"), KEY
+def suffix_ranks(texts: DataFrame, joined: bool = False) -> DataFrame:
+    """doc_id, pos, rank of every suffix: the inverse of the suffix array; joined takes all texts as one."""
+    keys = joined_positions(texts, KEY) if joined else positions(texts, KEY)
+    ranks, h = materialise(first_ranks(keys), "ranks"), KEY
     while not ranks.filter("ties > 1").isEmpty():
         ranks, h = materialise(refine(ranks, h), "ranks"), 2 * h
     return ranks.select("doc_id", "pos", "rank")

@@ -36,16 +36,11 @@ for _d in range(1, 9):
         return suffix.suffix_array(dna_docs(spark, sf), d)
 
 
-def _genome(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents as one text, by doc_id; a text is bound by what a row holds."""
-    parts = dna_docs(spark, sf).select(F.struct("doc_id", F.expr("substring(enc, 1, length(enc) - 1)").alias("body")).alias("p"))
-    one = parts.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["body"]), ""), F.lit("0")).alias("enc"))
-    return materialise(one.select(F.lit(0).cast("long").alias("doc_id"), "enc").withColumn("n", F.length("enc").cast("long")), "genome")
-
-
 @query("suffix_array_doubling")
 def _doubling(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.suffix_array(_genome(spark, sf))
+    """All documents as one text, by doc_id."""
+    texts = dna_docs(spark, sf)
+    return suffix.suffix_array(texts, ranks=suffix.suffix_ranks(texts, joined=True))
 
 
 @query("suffix_array_text", "WITH p AS (SELECT item_id AS doc_id, text, unnest(range(0, length(text))) AS pos FROM benchmark) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY substr(text, pos + 1)) - 1 AS BIGINT) AS sa_pos, CAST(pos AS BIGINT) AS pos FROM p")

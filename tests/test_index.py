@@ -141,3 +141,16 @@ def test_search_of_all_pattern_lengths(spark):
     got = [(r.pattern_id, r.doc_id, r.pos) for r in search.grouped_search(frame, patterns, suffix.suffix_array(frame, 8), 8).collect()]
     want = {w for w in want if len(asked[w[0]]) > 8}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_all_texts_as_one(spark):
+    rnd = random.Random(13)
+    bodies = ["".join(rnd.choice("1234") for _ in range(n)) for n in (5, 0, 3000, 1, 1, 40, 1019, 2100)] + ["12" * 700, "12" * 700]
+    rows = [(n * 7 % 11, b) for n, b in enumerate(bodies)] + [(3, "4"), (3, "1")]
+    frame = spark.createDataFrame([(i, b + "0", len(b) + 1) for i, b in rows], "doc_id long, enc string, n long").repartition(3)
+    whole = "".join(b for _, b in sorted(rows)) + "0"
+    keys = suffix.joined_positions(frame, suffix.KEY).collect()
+    assert sorted((r.doc_id, r.pos, r.key) for r in keys) == [(0, p, whole[p : p + suffix.KEY]) for p in range(len(whole))]
+    got = suffix.suffix_array(frame, ranks=suffix.suffix_ranks(frame, joined=True)).collect()
+    assert [r.pos for r in sorted(got, key=lambda r: r.sa_pos)] == brute_array(whole, 1)
+    assert [tuple(r) for r in suffix.joined_positions(frame.filter("false")).collect()] == [(0, 0, "0")]
