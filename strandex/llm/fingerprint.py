@@ -5,7 +5,8 @@ Over all documents the classes are counted; the rarer a window's class, the bett
 ranks. In each run of 64 neighbouring windows the best one (the first of equals) scores a
 point, and windows with at least 16 points are the text's features. A text of fewer than
 512 code points has too few of them: its features are all its windows of 6 bytes, or its
-whole if that is shorter. Features, in text order and each once, go into a chain of Bloom filters of 2048 bits, 160 features and 5 bits a feature to a filter.
+whole if that is shorter. So are the 6-byte windows of any stretch of a longer text, of 256 bytes or
+more, that no feature covers, as in repetitive text. Features, in text order and each once, go into a chain of Bloom filters of 2048 bits, 160 features and 5 bits a feature to a filter.
 
 Two chains are compared filter by filter: the bits two filters share, less what chance
 gives, are set against the most they could share; each filter of the shorter chain takes
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandex.llm import _bytes as B
 
-WINDOW, RUN, POINTS, BITS, FEATURES, HASHES, CLASSES, LEAST, SHORT = 64, 64, 16, 2048, 160, 5, 1001, 512, 6
+WINDOW, RUN, POINTS, BITS, FEATURES, HASHES, CLASSES, LEAST, SHORT, STRETCH = 64, 64, 16, 2048, 160, 5, 1001, 512, 6, 256
 #: Classes below this are runs of few symbols; they are no features.
 WEAK = 100
 _SHARE = np.arange(WINDOW + 1) / WINDOW
@@ -95,6 +96,20 @@ def _inside(offsets: np.ndarray, span: int) -> np.ndarray:
     return np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], size)
 
 
+def _bare(offsets: np.ndarray, good: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Positions of 6-byte windows in the stretches of long rows that no window of good covers."""
+    size = offsets[-1]
+    depth = np.cumsum(np.bincount(good, minlength=size + 1) - np.bincount(good + WINDOW, minlength=size + 1))[:size]
+    free = (depth == 0) & np.repeat(long, np.diff(offsets))
+    row = np.repeat(np.arange(len(long)), np.diff(offsets))
+    cuts = np.flatnonzero((free[1:] != free[:-1]) | (row[1:] != row[:-1])) + 1
+    begin, end = np.concatenate([[0], cuts]), np.append(cuts, size)
+    wanted = free[begin] & (end - begin >= STRETCH)
+    begin, count = begin[wanted], (end - begin - SHORT + 1)[wanted]
+    first = np.concatenate([[0], np.cumsum(count)])
+    return np.arange(first[-1]) + np.repeat(begin - first[:-1], count)
+
+
 def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
     """The filter chain of each row: an array of filters by 256 bytes."""
     out: list[np.ndarray] = []
@@ -132,6 +147,9 @@ def _digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[n
         good = where[(points >= POINTS) & (rank < CLASSES - WEAK) & long[rows]]
         at.append(good)
         to.append(good + WINDOW)
+        bare = _bare(offsets, good, long)
+        at.append(bare)
+        to.append(bare + SHORT)
     start, end = np.concatenate(at), np.concatenate(to)
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]

@@ -109,3 +109,16 @@ def test_licences_that_are_frequent_in_the_corpus_are_found(make_docs):
     docs = make_docs(rows)
     got = {r.doc_id: tuple(r.licences) for r in licenses.scan_documents(docs, licenses.train_licences(docs)).collect()}
     assert got == {**{i: (each[i % len(each)][0],) for i in range(60)}, 60: ()}
+
+
+def test_repetitive_texts_have_features():
+    rnd = random.Random(4)
+    normal = " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(300))
+    ranks = fingerprint.rarity_ranks(np.arange(fingerprint.CLASSES))
+    repeated = [("abcdefghijklmno"[:p] * 800)[:800] for p in range(1, 16)] + ["=" * 800, "0 " * 400, "ha " * 300, "the " * 200]
+    for text in repeated:
+        edited = text[: len(text) * 2 // 3] + normal[: len(text) // 3]
+        parts = [x.encode() for x in (text, edited, normal, "")]
+        x, y, z, none = fingerprint.digests(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), ranks)
+        assert len(x) and fingerprint.likeness(x, x) == 1
+        assert fingerprint.likeness(x, y) > 0.4 > fingerprint.likeness(x, z) and fingerprint.likeness(x, none) == 0
