@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: [\x20\x09-\x0D], the bytes that separate words.
@@ -14,21 +15,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept between batches."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        steps = np.full(size, base, U64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
-    return have[:n]
+#: Longer runs are hashed one by one.
+_LONG = 64
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,12 +77,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run, from prefix sums of a polynomial over random byte values."""
+    """A 64-bit hash of each byte run, eight bytes at a time, each mixed before the next joins.
+
+    Runs of at most eight bytes and equal length never collide, as the mixer is a bijection.
+    """
+    size = ends - starts
     if not len(starts):
         return np.zeros(0, U64)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_INV, len(data) + 1)[starts] + (ends - starts).astype(U64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+    out = mix(mix(size.astype(U64) + U64(0x9E3779B97F4A7C15)) ^ (eight[starts] & _LOW_BYTES[np.minimum(size, 8)]))
+    done, open_runs = 8, np.flatnonzero((size > 8) & (size <= _LONG))
+    while len(open_runs):
+        here = eight[starts[open_runs] + done] & _LOW_BYTES[np.minimum(size[open_runs] - done, 8)]
+        out[open_runs] = mix(out[open_runs] * U64(0xD6E8FEB86659FD93) ^ here)
+        done += 8
+        open_runs = open_runs[size[open_runs] > done]
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+    return out
 
 
 def gram_hashes(items: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -101,13 +105,32 @@ def gram_hashes(items: np.ndarray, k: int, seed: int) -> np.ndarray:
     n = len(items) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    base = U64((0xD6E8FEB86659FD93 + 2 * seed) & (2**64 - 1))
-    out = items[:n].copy()
-    for j in range(1, k):
-        out = out * base + items[j : j + n]
+    out = items[:n] + U64((0xD6E8FEB86659FD93 * (2 * seed + 1)) & (2**64 - 1))
+    for j in range(1, k):  # neither linear in the ring nor in the bits, so that no sequence cancels itself
+        out *= U64(0x9FB21C651E98DF25)
+        out ^= out >> U64(29)
+        out ^= items[j : j + n]
     return mix(out)
 
 
+def range_hashes(items: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of items first .. stop - 1 of each pair, by the two overlapping powers of two that cover it."""
+    out = np.zeros(len(first), U64)
+    if not len(first):
+        return out
+    size = stop - first
+    level, block, width = mix(items ^ U64(0x51ED270B27D4EB4F)), 0, 1
+    power = np.frexp(size.astype(float))[1] - 1
+    while True:
+        here = np.flatnonzero(power == block)
+        left, right = level[first[here]], level[stop[here] - width]
+        out[here] = mix((left * U64(0x9FB21C651E98DF25)) ^ mix(right ^ size[here].astype(U64)))
+        if not (power > block).any():
+            return out
+        level = mix(level[:-width] * U64(0xD1342543DE82EF95) ^ level[width:])
+        block, width = block + 1, 2 * width
+
+
 def row_of(counts_before: np.ndarray) -> np.ndarray:
     """The row that each item belongs to, from the items before each row (n+1)."""
     return np.repeat(np.arange(len(counts_before) - 1), np.diff(counts_before))

@@ -6,27 +6,30 @@ K = clamp(floor(1 - log_b(h)), 0, q + 1) with h the minimum of exponential varia
 sketches merge by the larger register, and registers agree with a probability that grows
 with the Jaccard similarity.
 
-1. Documents with equal sets are one representative, found by a 128-bit sum of their shingle
-   hashes; copies never meet as pairs.
-2. The registers are cut into bands; equal bands make a bucket. In a bucket every member is
-   paired with the bucket's least id only. Bands differ, so a member meets many
-   others; of these the likeliest is verified first, then the next two, four and so on, and pairs
-   that have been connected meanwhile are passed over.
-3. When no such pair is left open, the buckets that still hold members of several components
-   are compared across components, in blocks of bounded size inside tasks: only pairs that pass
-   the screen become rows, so no link of the banding is lost and no group is written as pairs.
-4. Candidates are screened by the maximum-likelihood similarity of both sketches (the exact
-   set sizes are known): a pair is given up only if similarity `threshold` is
-   rejected by its likelihood ratio at five deviations. The rest is verified on the full
+1. Documents with equal sets are one node, found by a 128-bit sum of their shingle hashes;
+   copies never meet as pairs. Nodes are numbered so that sets with many copies come first.
+2. The registers are cut into bands; equal bands make a bucket, and its first node is its hub.
+   The first of a node's hubs is its home. Every node is compared with its home: one pair a node.
+3. What that leaves open are buckets whose nodes lie in several components. Nodes are
+   dealt into cells by home, by whether they are in their home's component, and, in
+   large homes, by hash, so that a cell has a bounded size. Two cells that share such a bucket
+   meet once in a task, whatever the number of bands they share. There the pairs of
+   different components that share a band are compared, and only those links
+   leave the task that join two components: fewer rows than the cells have components.
+4. To compare is, in both steps: sizes that can reach the threshold, then the maximum-likelihood similarity of
+   both sketches (the exact set sizes are known), which gives a pair up only if the threshold
+   is rejected by its likelihood ratio at five deviations, then the full
    shingle sets, with integers.
-5. Components come from the verified links by repeated minimum labels and label jumping.
+5. Components come from the links by alternating large-star and small-star steps, which take a
+   number of rounds that is logarithmic for chains, until nothing changes.
 
 With 50 bands of 5 registers a pair of similarity 0.8 shares no band with probability 2e-9.
+The work of step 3 is quadratic in cells of one crowd of unconnected near-duplicates; the rows are not.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and are their
-own components; with fewer words than k the whole sequence is the one shingle; repeated rows
-belong to one component (if rows that share an id differ, one of their texts stands for it in
-the verification); a null doc_id is sketched, but neither linked nor kept back by others; other
+own components; with fewer words than k the whole sequence is the one shingle; repeated rows,
+and rows that share an id but not a text, are documents of their own; a null doc_id is sketched, but neither linked nor kept back by others
+(`without_copies` links it like any other); an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -36,8 +39,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandex.llm import _bytes as B
 from strandex.llm._store import persist
@@ -49,6 +53,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.02, 20.0, 4000
 #: A likelihood ratio that rejects at five deviations: half of their square.
 REJECT = 12.5
+#: Shingles of a cell, about: two cells meet in a task.
+CELL = 1 << 18
 _MULTIPLY = np.random.default_rng(20240602).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -106,14 +112,17 @@ def _log_likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.nda
     return more * np.log(a) + less * np.log(b) + same * np.log(np.clip(1 - a - b, 1e-12, 1))
 
 
-def likely_similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def likely_similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float, steps: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Maximum-likelihood similarity of rows of registers, and how far the log-likelihood of `threshold` lies below it."""
-    more, less = (x > y).sum(1), (x < y).sum(1)
-    same = x.shape[1] - more - less
+    return _likely((x > y).sum(1), (x < y).sum(1), x.shape[1], nx, ny, threshold, steps)
+
+
+def _likely(more: np.ndarray, less: np.ndarray, registers: int, nx: np.ndarray, ny: np.ndarray, threshold: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    same = registers - more - less
     u = nx / (nx + ny)
     most = np.minimum(nx, ny) / np.maximum(nx, ny)
     lo, hi = np.zeros(len(u)), most.copy()
-    for _ in range(40):  # the likelihood is concave: golden-section search
+    for _ in range(steps):  # the likelihood is concave: golden-section search
         a, b = hi - 0.618 * (hi - lo), lo + 0.618 * (hi - lo)
         left = _log_likelihood(a, u, more, less, same) > _log_likelihood(b, u, more, less, same)
         lo, hi = np.where(left, lo, a), np.where(left, b, hi)
@@ -123,202 +132,264 @@ def likely_similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarr
     return best, np.where(most < threshold, np.inf, np.where(best >= threshold, 0.0, short))
 
 
+def plausible(more: np.ndarray, less: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the likelihood of pairs with so many larger and smaller registers does not reject the threshold."""
+    out = np.minimum(nx, ny) >= threshold * np.maximum(nx, ny)
+    # Fewer agreements only happen at more than five deviations from the threshold.
+    out &= REGISTERS - more - less >= (threshold - 0.25) * REGISTERS
+    at = np.flatnonzero(out)
+    for lo in range(0, len(at), 4096):
+        i = at[lo : lo + 4096]
+        x, y = nx[i].astype(float), ny[i].astype(float)
+        u, d = x / (x + y), [more[i], less[i], REGISTERS - more[i] - less[i]]
+        top = np.minimum(x, y) / np.maximum(x, y)
+        there = np.minimum(threshold, top)
+        # Where the likelihood still rises at the threshold, its maximum is at or above it.
+        falls = np.flatnonzero(_log_likelihood(np.minimum(there + 1e-4, top), u, *d) < _log_likelihood(there, u, *d))
+        if len(falls):
+            out[i[falls]] = _likely(d[0][falls], d[1][falls], REGISTERS, x[falls], y[falls], threshold, 16)[1] <= REJECT
+    return out
+
+
 def sketch_documents(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two sums of the set's hashes and registers (uint16 bytes) of each document."""
+    """doc_id, text_hash, n_shingles, two sums of the set's hashes and registers (uint16 bytes) of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                sets = shingle_hashes(*B.string_buffer(batch.column(1)), k)
+                sets = shingle_hashes(*B.string_buffer(batch.column(2)), k)
                 registers = np.stack([sketch(s) for s in sets])
                 one = np.array([s.sum(dtype=_U) for s in sets], _U)
                 two = np.array([B.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) for s in sets], _U)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in registers], pa.binary())],
-                    ["doc_id", "n_shingles", "one", "two", "registers"],
+                    [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in registers], pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "one", "two", "registers"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, registers binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, one long, two long, registers binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def banded(sketches: DataFrame) -> DataFrame:
-    """doc_id, band: a row for each band of each sketch."""
+def banded(sketches: DataFrame, *columns: str) -> DataFrame:
+    """The given columns and band: a row for each band of each sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                keys = band_keys(_registers(batch.column(1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))), pa.array(keys.ravel())], ["doc_id", "band"])
+                keys = band_keys(_registers(batch.column(0))).view(np.int64)
+                each = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([*(c.take(each) for c in batch.columns[1:]), pa.array(keys.ravel())], [*columns, "band"])
 
-    return sketches.select("doc_id", "registers").mapInArrow(run, "doc_id long, band long")
+    rows = sketches.select("registers", *columns)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("band", T.LongType())]))
 
 
-def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component: the smallest node that each node reaches.
 
-    Each round takes the least label of the neighbours and then the label's own
-    label, so that long chains shrink by more than half; it ends when no label falls.
+    Large-star: every node's larger neighbours move to its smallest neighbour; small-star: so
+    do its smaller ones. Both keep the components, and end in one star each.
+    Neighbours are never gathered: the smallest is an aggregate, and the move a join.
     """
-    both = persist(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = persist(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        known = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "theirs").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        new = persist(lower.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("component")), "labels")
-        if new.filter("component < old").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
-    raise RuntimeError("components did not settle")
-
-
-def _screened(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) of representatives -> a, b, likely: those for which the threshold is not rejected."""
-    of = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("registers").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
+    pair = lambda a, b: (F.col(a).alias("a"), F.col(b).alias("b"))
+    ordered = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, before = persist(ordered.distinct(), "links"), None
+    while True:
+        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if state == before:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        before = state
+        both = edges.select("a", "b").unionAll(edges.select(*pair("b", "a")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        edges = persist(small.filter("a <> b").distinct(), "links")
+
+
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, _U) for x in column.to_pylist()]
+
+
+def _home_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """nodes (node, home, n_shingles, registers, items) -> a, b: nodes that are linked with their homes."""
+    theirs = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"), F.col("items").alias("ia"))
+    pairs = nodes.filter("node <> home").join(theirs, F.col("home") == F.col("a")).select("a", F.col("node").alias("b"), "na", F.col("n_shingles").alias("nb"), "ra", F.col("registers").alias("rb"), "ia", F.col("items").alias("ib"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                x, y = _registers(batch.column(4)), _registers(batch.column(5))
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                keep = plausible((x > y).sum(1), (x < y).sum(1), na, nb, percent / 100)
+                left, right = _sets_of(batch.column(6)), _sets_of(batch.column(7))
+                for i in np.flatnonzero(keep):
+                    both = len(np.intersect1d(left[i], right[i], assume_unique=True))
+                    keep[i] = 100 * both >= percent * (int(na[i]) + int(nb[i]) - both)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+class _Overlaps:
+    """Exact intersection sizes of one set with others: frequent elements by bitmaps, rare ones by lists."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, number, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        frequent = many > max(4, len(sets) // 32)
+        place = np.cumsum(frequent) - 1
+        hit = frequent[number]
+        bits = np.zeros((len(sets), -(-max(1, int(frequent.sum())) // 64) * 64), bool)
+        bits[row[hit], place[number[hit]]] = True
+        self.bits = np.packbits(bits, axis=1).view(_U)
+        rare = ~hit & (many[number] > 1)
+        self.rare_row, self.rare = row[rare], number[rare]
+        order = np.argsort(self.rare, kind="stable")
+        self.by_element, self.sorted = self.rare_row[order], self.rare[order]
+        self.first = np.searchsorted(self.rare_row, np.arange(len(sets) + 1))
+
+    def of(self, r: int, others: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(self.bits[others] & self.bits[r]).sum(1).astype(np.int64)
+        mine = self.rare[self.first[r] : self.first[r + 1]]
+        if len(mine):
+            lo, hi = np.searchsorted(self.sorted, mine, "left"), np.searchsorted(self.sorted, mine, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            out += np.bincount(self.by_element[at], minlength=len(self.bits))[others]
+        return out
+
+
+def _join_cells(components: np.ndarray, sizes: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links between nodes join, at most one for each join; cut > 0: only pairs across it count."""
+    _, label = np.unique(components, return_inverse=True)
+    name = components[np.unique(label, return_index=True)[1]]
+    overlaps, joined = _Overlaps(sets), []
+    probes = np.arange(cut) if cut else np.arange(len(sizes))
+    if cut and len(sizes) - cut < cut:
+        probes = np.arange(cut, len(sizes))
+    threshold = percent / 100
+    for r in probes:
+        other = np.arange(r + 1, len(sizes)) if not cut else (np.arange(cut, len(sizes)) if r < cut else np.arange(cut))
+        fits = (label[other] != label[r]) & (np.minimum(sizes[other], sizes[r]) >= threshold * np.maximum(sizes[other], sizes[r]))
+        other = other[fits]
+        if not len(other):
+            continue
+        theirs = registers[other]
+        share = (theirs == registers[r]).reshape(-1, BANDS, ROWS).all(2).any(1)
+        other, theirs = other[share], theirs[share]
+        keep = plausible((registers[r] > theirs).sum(1), (registers[r] < theirs).sum(1), np.full(len(other), sizes[r]), sizes[other], threshold)
+        other = other[keep]
+        if not len(other):
+            continue
+        both = overlaps.of(r, other)
+        linked = other[100 * both >= percent * (sizes[other] + sizes[r] - both)]
+        for found in np.unique(label[linked]):
+            joined.append((int(name[label[r]]), int(name[found])))
+            label = np.where(label == found, label[r], label)
+    return joined
+
+
+def _cell_links(placed: DataFrame, percent: int) -> DataFrame:
+    """placed (node, home, component, n_shingles, registers, items) -> a, b: pairs of components that further links join."""
+    own = placed.select(F.col("node").alias("_home"), F.col("component").alias("_main"))
+    sided = placed.join(own, F.col("home") == F.col("_home")).withColumn("apart", F.col("component") != F.col("_main")).drop("_home", "_main")
+    totals = sided.groupBy("home", "apart").agg(F.ceil(F.sum("n_shingles") / CELL).cast("long").alias("_blocks")).withColumnsRenamed({"home": "_home", "apart": "_apart"})
+    dealt = sided.join(totals, (F.col("home") == F.col("_home")) & (F.col("apart") == F.col("_apart"))).withColumn("cell", F.struct("home", "apart", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block")))
+    dealt = persist(dealt.select("node", "component", "cell", "n_shingles", "registers", "items"), "cells")
+    per = banded(dealt, "component", "cell").groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    crowds = per.groupBy("band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.array_sort(F.collect_list(F.struct("cell", "lo", "hi"))).alias("cells")).filter("x < y")
+    open_pair = lambda p, q: F.least(p["lo"], q["lo"]) < F.greatest(p["hi"], q["hi"])
+    onward = lambda p, i: F.transform(F.filter(F.slice("cells", i + 1, F.size("cells")), lambda q: open_pair(p, q)), lambda q: F.struct(p["cell"].alias("i"), q["cell"].alias("j")))
+    units = persist(crowds.select(F.explode(F.flatten(F.transform("cells", onward))).alias("u")).select("u.i", "u.j").distinct(), "units")
+    packed = dealt.groupBy("cell").agg(F.collect_list(F.struct("component", "n_shingles", "registers", "items")).alias("members"))
+    of = lambda c: packed.select(F.col("cell").alias(c), F.col("members").alias(f"m{c}"))
+    met = units.join(of("i"), "i").join(of("j"), "j").select("mi", F.when(F.col("i") != F.col("j"), F.col("mj")).alias("mj"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)
-            if not batch.num_rows:
-                continue
-            best, short = likely_similarity(_registers(batch.column(2)), _registers(batch.column(3)), size(4), size(5), threshold)
-            keep = pa.array(short <= REJECT)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(best).filter(keep)], ["a", "b", "likely"])
+            for u in range(batch.num_rows):
+                sides = [batch.column(c).slice(u, 1).flatten() for c in (0, 1) if batch.column(c)[u].is_valid]
+                field = lambda name: pa.concat_arrays([s.field(name) for s in sides])  # noqa: E731, B023
+                found = _join_cells(field("component").to_numpy(), field("n_shingles").to_numpy(), _registers(field("registers")), _sets_of(field("items")), len(sides[0]) if len(sides) > 1 else 0, percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long, likely double")
+    return met.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """members (band, size, doc_id, component, n_shingles, registers) -> a, b, likely.
+def _label(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """rows with column mapped to its component, where it has one."""
+    known = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return rows.join(known, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_component", column)).drop("_node", "_component")
 
-    The pairs of one bucket and two components that pass the screen. A bucket of more
-    than `block` members is dealt by hash into blocks of about that size, and each
-    two blocks meet in a task.
-    """
-    cut = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    packed = cut.groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "registers")).alias("members"))
-    alone = packed.filter("blocks = 1").select("members", F.lit(0).cast("long").alias("cut"))
-    several = packed.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    several = several.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list(F.struct("block", "members"))).alias("two"))
-    parts = F.flatten(F.transform("two", lambda t: t["members"]))
-    # Inside one block all pairs are compared, between two blocks only those across.
-    first = F.when(F.size("two") == 2, F.size(F.col("two")[0]["members"])).otherwise(F.lit(0)).cast("long")
-    units = alone.unionByName(several.select(parts.alias("members"), first.alias("cut")))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def grouped_rows(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and the first (doc_id, text_hash) of the component: one row a document.
+
+    component_id and first are null for documents that are linked with nothing by definition.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = persist(sketch_documents(texts, k=k), "sketches")
+    some = sketched.filter((F.col("n_shingles") > 0) & (F.lit(null_ids) | F.col("doc_id").isNotNull()))
+    key = ["one", "two", "n_shingles"]
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    sets = some.groupBy(*key).agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("registers").alias("registers"))
+    popular = F.lit(15) - F.least(F.lit(15), F.floor(F.log2("copies")))
+    sets = persist(sets.withColumn("node", F.monotonically_increasing_id() + F.shiftleft(popular.cast("long"), 56)), "sets")
+
+    each = banded(sets, "node")
+    buckets = each.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
+    crowded = persist(each.join(buckets, "band").groupBy("node").agg(F.min("hub").alias("home")), "crowded")
+    wanted = sets.join(crowded, "node").select("node", "home", "n_shingles", "registers", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+
+    def items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for u in range(batch.num_rows):
-                flat = batch.column(0).slice(u, 1).flatten()
-                ids, component, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n_shingles"))
-                registers, edge = _registers(flat.field("registers")), batch.column(1)[u].as_py()
-                # Every pair across components has an end outside the largest one (of its side, between two blocks).
-                _, number, many = np.unique(component, return_inverse=True, return_counts=True)
-                found = []
-                largest = number == int(np.argmax(many))
-                for r in np.flatnonzero(~largest):
-                    if edge:
-                        other = np.arange(edge, len(ids)) if r < edge else np.arange(edge)
-                    else:
-                        other = np.arange(len(ids))
-                    fits = (component[other] != component[r]) & (ids[other] != ids[r]) & (np.minimum(size[other], size[r]) >= threshold * np.maximum(size[other], size[r]))
-                    other = other[fits]
-                    # Few agreements among the first registers, or among all, only happen at seven deviations from 0.8.
-                    for columns, share in ((64, threshold - 0.35), (REGISTERS, threshold - 0.25)):
-                        same = np.packbits(registers[other, :columns] == registers[r, :columns], axis=1)
-                        other = other[np.bitwise_count(same).sum(1) >= share * columns]
-                    found.append(np.stack([np.full(len(other), r), other]))
-                i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), int)
-                for lo in range(0, len(i), 4096):
-                    x, y = i[lo : lo + 4096], j[lo : lo + 4096]
-                    likely, short = likely_similarity(registers[x], registers[y], size[x].astype(float), size[y].astype(float), threshold)
-                    keep = short <= REJECT
-                    a, b = np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(likely[keep])], ["a", "b", "likely"])
-
-    return units.select("members", "cut").mapInArrow(run, "a long, b long, likely double").dropDuplicates(["a", "b"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) -> a, b of those whose full sets have 100 * intersection >= percent * union."""
-    of = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
-    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+            sets = shingle_hashes(*B.string_buffer(batch.column(4)), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "home", "n_shingles", "registers", "items"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                left, right = (shingle_hashes(*B.string_buffer(batch.column(c)), k) for c in (2, 3))
-                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
-                union = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - both
-                keep = pa.array(100 * both >= percent * union)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    found = found.select("node", "home", "n_shingles", "registers", "text").mapInArrow(items, "node long, home long, n_shingles long, registers binary, items binary")
+    nodes = persist(found.dropDuplicates(["node"]), "nodes")
 
-    return joined.mapInArrow(run, "a long, b long")
+    stars = connected_components(_home_links(nodes, percent))
+    placed = _label(nodes.withColumn("component", F.col("node")), stars, "component")
+    crossed = connected_components(_cell_links(placed, percent))
+    labelled = _label(_label(sets.select(*key, "first", F.col("node").alias("component")), stars, "component"), crossed, "component")
+    labelled = persist(labelled, "labelled")
+    least = labelled.groupBy("component").agg(F.min("first").alias("first")).withColumnRenamed("component", "_component")
+    groups = labelled.drop("first").join(least, F.col("component") == F.col("_component")).select(*(F.col(c).alias(f"_{c}") for c in key), "first")
+    same = [F.col(c) == F.col(f"_{c}") for c in key]
+    if not null_ids:
+        same.append(F.col("doc_id").isNotNull())
+    return sketched.join(groups, same, "left").select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.struct("first.doc_id", "first.text_hash").alias("first"), F.col("_one").isNotNull().alias("grouped"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = persist(sketch_documents(texts, k=k), "sketches")
-    some = sketched.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # Equal sets are one representative, the smallest id.
-    sets = persist(some.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
-    member = persist(some.select("doc_id", "one", "two", "n_shingles").join(sets, ["one", "two", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
-    reps = some.join(sets.select(F.col("rep").alias("doc_id"), "one", "two", "n_shingles"), ["doc_id", "one", "two", "n_shingles"]).dropDuplicates(["doc_id"])
-    reps = persist(reps.select("doc_id", "n_shingles", "registers"), "representatives")
-
-    each = banded(reps)
-    buckets = each.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    crowded = persist(each.join(buckets, "band").select("band", "doc_id", "hub"), "crowded")
-    wanted = persist(texts.join(crowded.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "wanted")
-    labels = None
-    threshold = percent / 100
+    rows = grouped_rows(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
+    component = F.coalesce("component_id", "doc_id")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
-    def labelled(rows: DataFrame, column: str, name: str) -> DataFrame:
-        """rows with the present component of a column's document."""
-        if labels is None:
-            return rows.withColumn(name, F.col(column))
-        known = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-        joined = rows.join(known, F.col(column) == F.col("_node"), "left")
-        return joined.withColumn(name, F.coalesce("_component", column)).drop("_node", "_component")
-
-    def add(pairs: DataFrame) -> None:
-        """Verify pairs and join the components of those that are linked."""
-        nonlocal labels
-        found = _verified(pairs, wanted, k, percent)
-        before = found if labels is None else found.unionAll(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        labels = connected_components(before)
-
-    def settle(pairs: DataFrame) -> None:
-        """Verify all pairs, but for those that others have connected meanwhile."""
-        waiting, most = pairs, 1
-        while not waiting.isEmpty():
-            # Of each document's open pairs the likeliest first.
-            turn = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
-            ranked = persist(waiting.withColumn("turn", F.row_number().over(turn)), "ranked")
-            add(ranked.filter(F.col("turn") <= most))
-            later = labelled(labelled(ranked.filter(F.col("turn") > most), "a", "ca"), "b", "cb")
-            waiting, most = persist(later.filter("ca <> cb").select("a", "b", "likely"), "waiting"), 4 * most
-
-    stars = crowded.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = persist(_screened(stars, reps, threshold), "candidates")
-    settle(tried)
-    # What no hub has joined: members of one bucket in different components.
-    placed = labelled(crowded.select("band", "doc_id"), "doc_id", "component")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x < y").select("band", "size")
-    members = placed.join(mixed, "band").join(reps, "doc_id").select("band", "size", "doc_id", "component", "n_shingles", "registers")
-    settle(persist(_across(members, threshold).join(tried, ["a", "b"], "left_anti"), "rest"))
-    # Components of representatives, then of their copies, then of all rows.
-    found = labelled(member, "rep", "component").groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def without_copies(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, in all their columns, of which one of each group stays: that of the smallest id.
+
+    Null ids come last and are linked like any other; of rows that repeat id and text, one
+    stays. Documents without words are linked with nothing, so all of them stay.
+    """
+    rows = persist(grouped_rows(docs, k=k, percent=percent, id_col=id_col, text_col=text_col, null_ids=True).filter("grouped"), "grouped")
+    keys = rows.groupBy("doc_id", "text_hash").agg(F.first("first").alias("first"), F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    acted = persist(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "n").filter("n > 1 or not stays"), "acted")
+    of = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    once = docs.join(acted.filter("stays").select("_id", "_hash"), of, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(acted.select("_id", "_hash"), of, "left_anti").unionByName(once)

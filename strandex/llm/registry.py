@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.llm import fingerprint, licenses, mixing, neardup, packing, quality, substrings, tokens, topk, toxicity
-from strandex.llm._store import persist
+from strandex.llm._store import bound_batches, persist
 
 #: The folder of vocabulary files is a parameter; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -21,6 +21,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

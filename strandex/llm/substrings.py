@@ -94,10 +94,7 @@ def _seeds(items: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarr
 
 def _context_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
     """A hash of words first .. last + length - 1 and of the anchor's place in them."""
-    base, inverse = 0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64)
-    sums = np.zeros(len(items) + 1, _U)
-    np.cumsum(B.mix(items ^ _U(0x51ED270B)) * B.powers(base, len(items)), out=sums[1:])
-    found = (sums[last + length] - sums[first]) * B.powers(inverse, len(items) + 1)[first]
+    found = B.range_hashes(items, first, last + length)
     return B.mix(found ^ B.mix(((anchor - first) << 8 | (last - first)).astype(_U) + _U(1)))
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -46,6 +48,42 @@ def test_chain_of_links_is_one_component(make_docs):
     assert {r.component for r in neardup.connected_components(links).collect()} == {0}
 
 
+def test_long_shuffled_chain_settles(make_docs):
+    order = list(range(1000))
+    random.Random(3).shuffle(order)
+    links = make_docs([(0, "x")]).sparkSession.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    found = neardup.connected_components(links).collect()
+    assert len(found) == 1000 and {r.component for r in found} == {0}
+
+
+def test_words_that_defeat_polynomial_hashes(make_docs):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    docs = make_docs([(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, " ".join(thue)), (4, " ".join(thue.translate(str.maketrans("ab", "ba"))))])
+    assert [tuple(r)[2:] for r in neardup.near_duplicates(docs, k=1024).orderBy("doc_id").collect()] == [(1, True), (2, True), (3, True), (4, True)]
+
+
+def test_cells_and_units_lose_no_link(make_docs, monkeypatch):
+    rnd = random.Random(11)
+    words = [f"v{i}" for i in range(500)]
+    base = [rnd.choice(words) for _ in range(80)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(9)):
+            w[rnd.randrange(80)] = rnd.choice(words)
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "CELL", 1500)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(make_docs(rows), k=5).collect()) == brute(rows, 5, 80)
+
+
+def test_one_row_of_each_group_stays(make_docs):
+    text = "one two three four five six seven eight nine ten"
+    docs = make_docs([(5, text), (5, text), (7, text), (5, "another text with its own words that nothing else here has"), (None, text), (None, "only here without any id at all now"), (None, "only here without any id at all now"), (8, None), (8, None)])
+    got = neardup.without_copies(docs, k=5)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)[:7]) for r in got.collect()) == [("5", "another"), ("5", "one two"), ("8", "None"), ("8", "None"), ("None", "only he")]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
