@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
 the last return the columns of documents.
+
+Defined results: null texts stay null to the end and make no piece, as do empty ones; rows with a null
+doc_id are scored, deduplicated, mixed and packed like others, but neither have nor cause repeated
+passages; of rows that repeat id and text one stays after the second stage, while documents without words
+all stay; ties go to the smaller id; an empty table gives no rows; columns beyond those of documents
+pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.llm import mixing, neardup, packing, substrings, toxicity
-from strandex.llm._store import persist
+from strandex.llm._store import bound_batches, persist
 from strandex.llm.registry import _held_out
 
 #: Words from which a passage that stands in an earlier document too is cut out.
@@ -19,18 +25,21 @@ PASSAGE_WORDS = 40
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the sentence model scores 0.5 or more go."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train_toxicity(docs, labels, usable=~_held_out(5, 0))
-    return toxicity.score_toxicity(docs, model, keep=True).filter("_score < 0.5").select(docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the row of the smallest doc_id stays."""
+    bound_batches(spark)
     return neardup.without_copies(docs, k=5, percent=80).select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_WORDS words and more that an earlier document has too are cut out; every document stays."""
+    bound_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = substrings.without_repeats(substrings.repeated_spans(docs, min_words=PASSAGE_WORDS, carry=others))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("carried.n_chars"))
@@ -44,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their length bucket, batch and slot."""
+    """Pieces with their length bucket, batch and slot; text_hash tells which of the mixed texts of a doc_id is meant."""
     return packing.pack_documents(docs)
 
 

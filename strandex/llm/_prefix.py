@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +14,35 @@ def shuffle_key(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
 
 
-def running_sum(rows: DataFrame, group: str, order: list[str], value: str, *, key: str, digits: int = 3, name: str = "before") -> DataFrame:
-    """rows with `name`: the sum of value over the rows of the same group that come earlier.
+def sliced(rows: DataFrame, key: str, repeated: str, *, heavy: int = 10_000, per_slice: int = 50_000) -> DataFrame:
+    """rows with `slice`: ordered pieces of the order by `key`, none of much more than per_slice rows.
+
+    key is a uniformly distributed hexadecimal hash; its first digits, at least three, make the
+    slice. The rows of a value of `repeated` (null included) that has more than `heavy` rows share one key: they
+    follow the others of their digits and are cut further by `row`. rows are reread: pass a written table.
+    """
+    digits = max(3, math.ceil(math.log(max(1, rows.count() / per_slice), 16)))
+    crowds = rows.groupBy(F.col(repeated).alias("_value")).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > heavy)
+    parts = F.ceil(F.col("_rows") / per_slice).cast("long")
+    further = F.concat(F.lit("~"), F.lpad(F.pmod(F.xxhash64("row"), parts).cast("string"), 12, "0"))
+    joined = rows.join(crowds, F.col(repeated).eqNullSafe(F.col("_value")), "left")
+    return joined.withColumn("slice", F.concat(F.substring(F.col(key), 1, digits), F.coalesce(further, F.lit("")))).drop("_value", "_rows")
+
+
+def running_sum(rows: DataFrame, group: str, order: list[str], value: str, *, name: str = "before") -> DataFrame:
+    """rows with `name`: the sum of value over the rows of the same group that come earlier, by slice and then by order.
 
-    order begins with `key`, a uniformly distributed hexadecimal hash. Its first
-    `digits` digits cut each group into 16**digits slices: the slices' sums are
-    aggregated before the shuffle and added up over at most 16**digits rows a group, and
-    inside a slice a window does the rest. A slice of a group is the most that meets in
+    The slices' sums are aggregated before the shuffle and added up over one row a slice and group,
+    and inside a slice a window does the rest. A slice of a group is the most that meets in
     a task. Groups may be null.
     """
-    cut = rows.withColumn("_slice", F.substring(F.col(key), 1, digits))
-    sums = cut.groupBy(F.col(group).alias("_group"), "_slice").agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_group", F.col("_slice").alias("_cut"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = cut.withColumn("_inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = inside.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_cut")), "left")
-    return joined.withColumn(name, F.col("_start") + F.col("_inside")).drop("_slice", "_group", "_cut", "_start", "_inside")
+    sums = rows.groupBy(F.col(group).alias("_group"), F.col("slice").alias("_cut")).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy("_group").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_group", "_cut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(group, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = inside.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("slice") == F.col("_cut")), "left")
+    return joined.withColumn(name, F.col("_start") + F.col("_inside")).drop("_group", "_cut", "_start", "_inside")
 
 
 def with_row_numbers(rows: DataFrame, name: str) -> DataFrame:

@@ -9,16 +9,16 @@ The documents of a source are shuffled by a hash. A document's service begins at
 that its source has before it and ends at its own last word, both divided by the source's
 target: the virtual start and finish time. Later rounds follow a whole source later. All
 services of all sources are range-sorted by virtual finish time, which is the order of
-the mix, and the total budget is spent at virtual time 1: services that start later are
-cut off, and one that is under way then is taken up to there. Every source thus
-ends within one word of its target.
+the mix, their words are added up in that order, and the mix ends where the sum
+reaches the total budget, the sum of the whole words of the targets. At virtual time 1 every source has had
+its target; a service that is under way then is cut in two there, so that every source ends within one word of its target.
 
-Everything is DataFrame code. Hot sources are cut into hash slices for their running
-sums.
+Everything is DataFrame code. Hot sources, and ids that many rows repeat, are cut into slices for
+their running sums; the sum over the sorted services is that of their ranges first.
 
 Defined results: a null or empty text has size 0 and takes nothing; null is a source of its
-own; repeated rows are documents of their own; a table without words has targets of 0; other
-columns are ignored.
+own; repeated rows are documents of their own; ties in finish time go by source, id and row; a table without words has targets of 0;
+an empty table gives no rows; other columns are ignored (`mix_documents` returns them as they are, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandex.llm._prefix import running_sum, shuffle_key, with_row_numbers
+from strandex.llm._prefix import running_sum, shuffle_key, sliced, with_row_numbers
 from strandex.llm._store import persist
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,54 +56,81 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), bu
     return per.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, most_repeats: int = 2, seed: str = "mix") -> DataFrame:
-    """One row a document: doc_id, row, size, source, source_size, target and rounds, its services.
+def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, most_repeats: int = 2, seed: str = "mix", also: Column | None = None) -> DataFrame:
+    """One row a document: doc_id, row, size, source, source_size, target, rounds and `also`.
 
-    A service is (start, finish, taken): virtual times and the words that the
-    mix takes in that round; rounds that take nothing are left out.
+    rounds are its services (start, finish, size): virtual times and words. A service that is under
+    way at time 1 is two, before and after that time.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("long") if also is None else also).alias("also"))
     # Only ids, sources and sizes are written; the texts are read once.
     sized = persist(with_row_numbers(narrow, "row").withColumn("key", shuffle_key(seed, "doc_id")), "mix-sizes")
-    placed = running_sum(sized, "source", ["key", "doc_id", "size", "row"], "size", key="key")
+    placed = running_sum(sliced(sized, "key", "doc_id"), "source", ["key", "doc_id", "size", "row"], "size")
     targets = source_targets(sized, weights=weights, budget_share=budget_share, most_repeats=most_repeats)
     joined = placed.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    whole = F.floor("target")
+    whole, target = F.floor("target"), F.col("target")
 
     def service(turn: Column) -> Column:
         start = turn * F.col("source_size") + F.col("before")
-        return F.struct(
-            (start / F.col("target")).alias("start"),
-            ((start + F.col("size")) / F.col("target")).alias("finish"),
-            F.least(F.greatest(whole - start, F.lit(0)), F.col("size")).cast("long").alias("taken"),
-        )
+        stop = start + F.col("size")
+        cut = F.greatest(start, F.least(stop, whole))
+        piece = lambda lo, hi: F.struct(F.try_divide(lo, target).alias("start"), F.try_divide(hi, target).alias("finish"), (hi - lo).cast("long").alias("size"))
+        first = F.struct(F.try_divide(start, target).alias("start"), F.least(F.try_divide(cut, target), F.lit(1.0)).alias("finish"), (cut - start).cast("long").alias("size"))
+        return F.array(F.when(stop <= whole, piece(start, stop)).otherwise(first), piece(cut, stop))
 
-    rounds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), service), lambda s: s["taken"] > 0)
-    return joined.withColumn("rounds", rounds).select("doc_id", "row", "size", "source", "source_size", "target", "rounds")
+    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), service))
+    rounds = F.filter(each, lambda s: s["size"] > 0)  # a source without words has no services
+    return joined.withColumn("rounds", rounds).select("doc_id", "row", "size", "source", "source_size", "target", "rounds", "also")
 
 
 def mix_order(plan: DataFrame) -> DataFrame:
-    """The mix itself: one row a service, globally range-sorted by virtual finish time."""
-    each = plan.select("doc_id", "row", "source", "size", F.explode("rounds").alias("service")).select("doc_id", "row", "source", "size", "service.*")
-    return each.orderBy("finish", "source", "doc_id", "row")
+    """The mix itself: one row a service, with its place in the global sort by virtual finish time and the words taken of it.
+
+    Services after the total budget has been spent are not in the mix.
+    """
+    each = plan.select("doc_id", "row", "source", "also", F.explode("rounds").alias("service")).select("doc_id", "row", "source", "also", "service.*")
+    order = ["finish", "source", "doc_id", "row", "start"]
+    ranged = persist(each.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-services")
+    sums = ranged.groupBy(F.col("range").alias("_range")).agg(F.sum("size").alias("_words"), F.count("*").alias("_rows"))  # one row a range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_words", "_rows")))
+    budget = plan.groupBy("source").agg(F.floor(F.max("target")).alias("t")).agg(F.sum("t").alias("_budget"))
+    within = Window.partitionBy("range").orderBy(*order)
+    before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("_before", before).withColumn("_nth", F.row_number().over(within))
+    joined = placed.join(starts, F.col("range") == F.col("_range")).crossJoin(F.broadcast(budget))  # one row
+    taken = F.least(F.col("_budget") - F.col("_words") - F.col("_before"), F.col("size")).cast("long")
+    return joined.select("doc_id", "row", "source", "also", "start", "finish", (F.col("_rows") + F.col("_nth")).alias("position"), taken.alias("taken")).filter("taken > 0")
+
+
+def taken_words(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, finish and position: one row a document, the last two of its first service in the mix."""
+    plan = persist(schedule(docs, **options), "mix-plan")
+    per = mix_order(plan).groupBy(F.col("row").alias("_row")).agg(F.sum("taken").alias("taken"), F.min("finish").alias("finish"), F.min("position").alias("position"))
+    joined = plan.join(per, F.col("row") == F.col("_row"), "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "finish", "position")
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix in the columns of docs, a row for each service, in the order of virtual finish time.
+    """The documents of the mix in the columns of docs, a row for each time that one is taken, in the order of virtual finish time.
 
     A document under way at the end keeps the words taken of it, joined by spaces.
     """
     columns = docs.columns
-    plan = schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    # Equal rows take different services; one number an id tells them apart on both sides.
-    nth = Window.partitionBy("_id").orderBy("_size", "_row")
-    numbered = docs.withColumn("_id", F.col(id_col)).withColumn("_size", word_count(F.col(text_col))).withColumn("_row", F.xxhash64(F.col(source_col), F.col(text_col)))
-    numbered = numbered.withColumn("_nth", F.row_number().over(nth))
-    services = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("row").alias("_row"), "rounds").withColumn("_nth", F.row_number().over(nth))
-    services = services.select(F.col("_id").alias("_doc"), F.col("_nth").alias("_turn"), F.explode("rounds").alias("_service"))
-    joined = numbered.join(services, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_nth") == F.col("_turn")))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("_service.taken").cast("int")), " ")
-    cut = joined.withColumn(text_col, F.when(F.col("_service.taken") < F.col("_size"), head).otherwise(F.col(text_col)))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    same = F.xxhash64(*(F.col(f"`{c}`") for c in plain))
+    plan = persist(schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, also=same, **options), "mix-plan")
+    # A row of docs is known by its id and the hash of its columns, and by a number among equal ones.
+    nth = F.row_number().over(Window.partitionBy("id", "same").orderBy("row"))
+    services = mix_order(plan).select("row", F.col("doc_id").alias("id"), F.col("also").alias("same"), "position", "taken")
+    numbers = plan.select("row", F.col("doc_id").alias("id"), F.col("also").alias("same"), "size").withColumn("nth", nth).select(F.col("row").alias("_row"), "nth", F.col("size").alias("_size"))
+    services = services.join(numbers, F.col("row") == F.col("_row")).select(F.col("id").alias("_id"), F.col("same").alias("_same"), F.col("nth").alias("_nth"), "position", "taken", F.col("_size").alias("size"))
+    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col(id_col).alias("id"), same.alias("same"))
+    numbered = nested.withColumn("nth", F.row_number().over(Window.partitionBy("id", "same").orderBy(F.lit(1))))
+    joined = numbered.join(services, F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")) & (F.col("nth") == F.col("_nth")))
+    text = F.col("doc").getField(text_col)
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("taken").cast("int")), " ")
+    new = {text_col: F.when(F.col("taken") < F.col("size"), head).otherwise(text)}
     if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return cut.orderBy(F.col("_service.finish"), F.col("_id"), F.col("_nth")).select(columns)
+        new["n_chars"] = F.length(new[text_col]).cast(docs.schema["n_chars"].dataType)
+    return joined.orderBy("position").select([new.get(c, F.col("doc").getField(c)).alias(c) for c in columns])

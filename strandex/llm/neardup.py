@@ -390,6 +390,8 @@ def without_copies(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: st
     keys = rows.groupBy("doc_id", "text_hash").agg(F.first("first").alias("first"), F.count("*").alias("n"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     acted = persist(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "n").filter("n > 1 or not stays"), "acted")
-    of = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    once = docs.join(acted.filter("stays").select("_id", "_hash"), of, "left_semi").dropDuplicates([id_col, text_col])
-    return docs.join(acted.select("_id", "_hash"), of, "left_anti").unionByName(once)
+    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    of = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    once = nested.join(acted.filter("stays").select("_id", "_hash"), of, "left_semi").dropDuplicates(["id", "hash"])
+    rest = nested.join(acted.select("_id", "_hash"), of, "left_anti")
+    return rest.unionAll(once).select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

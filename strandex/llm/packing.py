@@ -11,12 +11,14 @@ Numbers inside a bucket come from sums over hash slices, so that a bucket with m
 the corpus is not one task.
 
 Defined results: documents without tokens (null or empty texts) make no piece; repeated rows
-are packed each; a batch holds one piece at least; an empty table gives no rows; other
+are packed each, in slots of their own; a batch holds one piece at least; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,30 +65,32 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return sorted(bounds)
 
 
-def pack_pieces(sizes: DataFrame, *, context: int = 2048, buckets: int = 16, batch_tokens: int = 65536, seed: str = "pack") -> DataFrame:
-    """sizes (doc_id, n_tokens) -> doc_id, piece, begin, n_tokens, bucket, batch, slot.
+def pack_pieces(sizes: DataFrame, *, also: tuple[str, ...] = (), context: int = 2048, buckets: int = 16, batch_tokens: int = 65536, seed: str = "pack") -> DataFrame:
+    """sizes (doc_id, n_tokens) -> doc_id, piece, begin, n_tokens, bucket, batch, slot, and the columns `also` of sizes.
 
     begin is the piece's first token in its document, bucket the padded length, batch a number
     from 0 within the bucket and slot the place in the batch.
     """
-    docs = with_row_numbers(sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).filter(F.col("n_tokens") > 0), "row")
+    docs = with_row_numbers(sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *also).filter(F.col("n_tokens") > 0), "row")
     docs = persist(docs.withColumn("key", shuffle_key(seed, "doc_id")), "pack-sizes")
     pieces = docs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / context))))
     pieces = pieces.withColumn("begin", F.col("piece") * context).withColumn("length", F.least(F.lit(context), F.col("n_tokens") - F.col("begin")).cast("long"))
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `context` rows
+    digits = max(3, math.ceil(math.log(max(1, sum(r["n"] for r in histogram) / 50_000), 16)))
     table = sorted((r["length"], r["n"]) for r in histogram)
     bounds = optimal_bounds(np.array([x for x, _ in table], np.int64), np.array([n for _, n in table], np.int64), buckets)
     rising = F.lit(bounds).cast("array<long>") if bounds else F.lit([context]).cast("array<long>")
     placed = pieces.withColumn("bucket", F.filter(rising, lambda b: b >= F.col("length"))[0]).withColumn("one", F.lit(1).cast("long"))
     # The slices must cut a bucket evenly; the pieces of one document share its hash but for their number.
-    placed = placed.withColumn("key", F.md5(F.concat_ws(":", "key", "piece").cast("binary")))
-    numbered = running_sum(placed, "bucket", ["key", "doc_id", "n_tokens", "row", "piece"], "one", key="key", name="nth")
+    placed = placed.withColumn("key", F.md5(F.concat_ws(":", "key", "row", "piece").cast("binary")))
+    numbered = running_sum(placed.withColumn("slice", F.substring("key", 1, digits)), "bucket", ["key", "doc_id", "n_tokens", "row", "piece"], "one", name="nth")
     room = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("bucket")))
     return numbered.select(
-        "doc_id", "piece", "begin", F.col("length").alias("n_tokens"), "bucket", F.floor(F.col("nth") / room).cast("long").alias("batch"), (F.col("nth") % room).cast("long").alias("slot")
+        "doc_id", "piece", "begin", F.col("length").alias("n_tokens"), "bucket", F.floor(F.col("nth") / room).cast("long").alias("batch"), (F.col("nth") % room).cast("long").alias("slot"), *also
     )
 
 
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """pack_pieces over the words of each text."""
-    return pack_pieces(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens")), **options)
+    """pack_pieces over the words of each text, with text_hash: the piece is words begin to begin + n_tokens of the text with that hash."""
+    sizes = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(text_col).alias("text_hash"))
+    return pack_pieces(sizes, also=("text_hash",), **options)

@@ -4,12 +4,14 @@ Each document is described by a vector of statistics of its whole text. Standard
 (means and deviations over all documents) and clipped, the vector is lifted by random
 Fourier features, which approximate a Gaussian kernel; each partition sums its part of
 the normal equations, the parts are added in a tree, and the ridge solution gives raw
-scores. Isotonic regression over a fixed number of score bins, filled from all training
-rows, turns these into probabilities.
+scores. Isotonic regression over a fixed number of score bins turns these into
+probabilities; the bins are filled from all training rows, each scored by weights that were
+fitted without its fold.
 
 Defined results: a null or empty text has the statistics of an empty text and is scored
 like any other; rows without label or doc_id train nothing; repeated rows score alike;
-without training rows every score is 0.5; other columns are ignored.
+rows that repeat a labelled doc_id train as one; without training rows every score is 0.5; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -146,7 +148,7 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, len(STATISTICS)))
 
 
-def train_quality(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "quality", features: int = 256, ridge: float = 1e-3, bins: int = 1024, seed: int = 7) -> QualityModel:
+def train_quality(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "quality", features: int = 256, ridge: float = 1e-3, bins: int = 1024, folds: int = 3, seed: int = 7) -> QualityModel:
     """Fit on every usable labelled row; what reaches the driver has the size of the model, not of the data."""
     size = len(STATISTICS)
     moments = stats.select([F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(size)] + [F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(size)]).first()
@@ -157,14 +159,18 @@ def train_quality(stats: DataFrame, labels: DataFrame, *, usable: Column | None
     given = labels.filter(usable) if usable is not None else labels
     given = given.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("doc_id is not null and label in (0, 1)")
     # One row for each labelled document, so that a repeated document weighs no more than others.
-    rows = persist(stats.join(given.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id").select("stats", "label"), "quality-train")
+    joined = stats.join(given.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id")
+    single = joined.groupBy("doc_id").agg(F.min("stats").alias("stats"), F.max("label").alias("label"))
+    rows = persist(single.select("stats", "label", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold")), "quality-train")
     width = features + 1
 
     def sums(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width + 1))
+        total = np.zeros((folds, width, width + 1))
         for frame in frames:
-            x = model.lift(_stack(frame["stats"]))
-            total += x.T @ np.concatenate([x, frame["label"].to_numpy()[:, None]], 1)
+            x, fold = model.lift(_stack(frame["stats"])), frame["fold"].to_numpy()
+            both = np.concatenate([x, frame["label"].to_numpy()[:, None]], 1)
+            for f in range(folds):
+                total[f] += x[fold == f].T @ both[fold == f]
         yield pd.DataFrame({"part": [int(rng_part())], "sums": [total.tobytes()]})
 
     def rng_part() -> int:
@@ -181,16 +187,22 @@ def train_quality(stats: DataFrame, labels: DataFrame, *, usable: Column | None
     while parts > 16:  # a tree: 16 blocks at most meet in a task
         level = level.groupBy(F.expr("part div 16").alias("_group")).applyInPandas(add, "part long, sums binary")
         parts = -(-parts // 16)
-    total = sum((np.frombuffer(r["sums"]).reshape(width, width + 1) for r in level.collect()), np.zeros((width, width + 1)))
-    count = total[-1, width - 1]
-    if not count:
+    by_fold = sum((np.frombuffer(r["sums"]).reshape(folds, width, width + 1) for r in level.collect()), np.zeros((folds, width, width + 1)))
+
+    def solve(total: np.ndarray) -> np.ndarray:
+        count = max(1.0, total[-1, width - 1])
+        return np.linalg.solve(total[:, :width] + ridge * count * np.eye(width) / width, total[:, width])
+
+    total = by_fold.sum(0)
+    if not total[-1, width - 1]:
         return model
-    model.weights = np.linalg.solve(total[:, :width] + ridge * count * np.eye(width) / width, total[:, width])
+    model.weights = solve(total)
+    without = np.stack([solve(total - by_fold[f]) for f in range(folds)])
 
     def binned(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, y, s = np.zeros(bins), np.zeros(bins), np.zeros(bins)
         for frame in frames:
-            raw = model.raw(_stack(frame["stats"]))
+            raw = (model.lift(_stack(frame["stats"])) * without[frame["fold"].to_numpy()]).sum(1)
             at = np.clip(((raw + 0.5) / 2 * bins).astype(int), 0, bins - 1)
             n += np.bincount(at, minlength=bins)
             y += np.bincount(at, frame["label"].to_numpy(), bins)

@@ -269,14 +269,14 @@ def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return *_unpack(values.field("place").to_numpy(zero_copy_only=False)), values.field("repeat").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes, list[dict]], tuple]) -> DataFrame:
+def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes | None, list[dict]], tuple]) -> DataFrame:
     """Apply work to (text as bytes, spans) of each row; doc_id, n_words and what was carried stay."""
     full = T.StructType([*T.StructType.fromDDL(f"doc_id long, n_words long, {schema}").fields, *rows.schema.fields[4:]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            found = [work(x or b"", s) for x, s in zip(texts, batch.column(3).to_pylist())]
+            found = [work(x, s) for x, s in zip(texts, batch.column(3).to_pylist())]
             columns = list(zip(*found)) or [() for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[4:]], full.fieldNames())
 
@@ -286,8 +286,8 @@ def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.Data
 def kept_digest(spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by single spaces."""
 
-    def work(text: bytes, found: list[dict]) -> tuple[int, str]:
-        words = text.split()
+    def work(text: bytes | None, found: list[dict]) -> tuple[int, str]:
+        words = (text or b"").split()
         kept, at = [], 0
         for s in found:
             kept += words[at : s["begin"]]
@@ -301,13 +301,13 @@ def kept_digest(spans: DataFrame) -> DataFrame:
 def without_repeats(spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and text: the text without its repeated passages.
 
-    Texts without repeats stay as they are; elsewhere the passages' bytes, from their first
+    Texts without repeats stay as they are, null too; elsewhere the passages' bytes, from their first
     word to their last, are cut out, and the white space around them stays.
     """
 
-    def work(text: bytes, found: list[dict]) -> tuple[int, str]:
+    def work(text: bytes | None, found: list[dict]) -> tuple[int, str]:
         if not found:
-            return 0, text.decode()
+            return 0, None if text is None else text.decode()
         data = np.frombuffer(text, np.uint8)
         at, to, _ = B.words(data, np.array([0, len(data)]))
         kept, done = [], 0

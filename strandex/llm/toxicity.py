@@ -9,13 +9,14 @@ Only documents have labels; the gradient of the bag likelihood reaches the sente
 so that the sentences which explain the label can be named afterwards. The leak takes
 up labels that no sentence explains.
 
-Training reads a bounded sample (at most `max_per_class` labelled rows of either label,
-lowest hashes first, weighted back to the true shares); scoring is one narrow map
-over whole texts with a weight table of fixed size.
+Training reads a bounded sample (at most `max_per_class` labelled documents of either label,
+lowest hashes first, weighted back to the true shares, none of more than `max_bytes`); of rows that
+repeat a doc_id one trains. Scoring is one narrow map over whole texts with a weight table of fixed size.
 
 Defined results: a null or empty text has no sentences and scores the leak; rows without
 label or doc_id train nothing; repeated rows score alike; without labels of both kinds the
-weights stay 0; other columns are ignored.
+weights stay 0; an empty table gives no rows; other columns are ignored or, with `keep` and in
+`without_toxic`, returned as they are.
 """
 
 from __future__ import annotations
@@ -127,9 +128,10 @@ def train_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_per_class: int = 3000,
+    max_bytes: int = 1 << 20,
     bits: int = 18,
 ) -> ToxicityModel:
-    """Fit on at most max_per_class labelled documents of either label.
+    """Fit on at most max_per_class labelled documents of either label, of at most max_bytes each.
 
     usable: a condition on the label rows, as a column over id_col and label_col.
     The sample is chosen on the narrow label table and its ids, bounded by
@@ -144,21 +146,36 @@ def train_toxicity(
         part = chosen.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    # Rows that repeat a doc_id count once, so that the sample stays bounded.
-    table = texts.select("label", "id", "text").toArrow() if max_per_class else None
-    _, first = np.unique(table["id"].to_numpy(), return_index=True) if table.num_rows else (None, np.zeros(0, int))
-    table = table.take(pa.array(first))  # by id, so that reruns add in the same order
+    # Rows that repeat a doc_id are one before any is collected; which, their texts' hashes decide.
+    short = texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    single = short.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = single.select("label", "id", "text").toArrow()
+    table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable")))  # by id, so that reruns add in the same order
     label = table["label"].to_numpy().astype(int)
     taken = np.maximum(np.bincount(label, minlength=2), 1)
     weight = np.array([shares.get(0, 0) / taken[0], shares.get(1, 0) / taken[1]])[label]
     return fit_bags(table["text"], label, weight, bits)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, in all their columns, whose score is below the threshold."""
+    scored = score_toxicity(docs, model, id_col=id_col, text_col=text_col, keep=True)
+    return scored.filter(F.col(scored.columns[-2]) < threshold).select(docs.columns)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, n_sentences and the offending sentences (code points [begin, end), score) of each document.
 
     keep: give the columns of docs instead, with these beside them under the names
-    _score and _offending.
+    _score and _offending, to which underscores are added while docs has such a column.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -198,12 +215,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
         span = StructType().add("begin", IntegerType()).add("end", IntegerType()).add("score", DoubleType())
         at = docs.columns.index(text_col)
-        schema = StructType(list(docs.schema.fields)).add("_score", DoubleType()).add("_offending", ArrayType(span))
+        names = [free_name(docs.columns, c) for c in ("_score", "_offending")]
+        schema = StructType(list(docs.schema.fields)).add(names[0], DoubleType()).add(names[1], ArrayType(span))
 
         def widen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 s, _, spans = score(batch.column(at))
-                yield pa.RecordBatch.from_arrays([*batch.columns, s, spans], [*batch.schema.names, "_score", "_offending"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, s, spans], [*batch.schema.names, *names])
 
         return docs.mapInArrow(widen, schema)
 

@@ -48,9 +48,11 @@ def test_plan_against_the_rule(sourced):
     taken = defaultdict(int)
     for r in plan:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
-        got = sum(s.taken for s in r.rounds)
-        assert got <= 2 * r.size
-        taken[r.source] += got
+        assert sum(s.size for s in r.rounds) == 2 * r.size
+    for r in mixing.mix_order(mixing.schedule(sourced(rows))).collect():
+        taken[r.source] += r.taken
+    per = mixing.taken_words(sourced(rows)).collect()
+    assert len(per) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in per) and sum(r.taken for r in per) == sum(taken.values())
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     again = {(r.row, r.doc_id): [tuple(x) for x in r.rounds] for r in mixing.schedule(sourced(rows)).collect()}
     assert sorted(map(str, again.values())) == sorted(str([tuple(x) for x in r.rounds]) for r in plan)
@@ -59,15 +61,40 @@ def test_plan_against_the_rule(sourced):
 def test_mix_is_sorted_by_finish_time_and_cuts_the_last(sourced):
     rows = _rows()
     plan = mixing.schedule(sourced(rows))
-    finish = [r.finish for r in mixing.mix_order(plan).collect()]
-    assert finish == sorted(finish)
+    order = sorted(mixing.mix_order(plan).collect(), key=lambda r: r.position)
+    finish = [r.finish for r in order]
+    assert finish == sorted(finish) and finish[-1] <= 1 and [r.position for r in order] == list(range(1, len(order) + 1))
+    targets = {r.source: r.target for r in plan.collect()}
+    assert sum(r.taken for r in order) == sum(int(t) for t in targets.values())
     mixed = mixing.mix_documents(sourced(rows))
     assert mixed.columns == sourced(rows).columns
-    want = sum(s.taken for r in plan.collect() for s in r.rounds)
+    want = sum(r.taken for r in order)
     assert sum(len(r.text.split()) for r in mixed.collect()) == want
     assert mixing.mix_documents(sourced([])).collect() == []
 
 
+def test_equal_ids_and_sizes_keep_their_own_services(spark):
+    rows = [(1, " ".join(["a"] * 100), "A", "keepme", 7), (1, " ".join(["b"] * 100), "B", "keepme", 8), (1, " ".join(["b"] * 100), "B", "keepme", 8)]
+    rows += [(i, " ".join(["b"] * 90), "B", "keepme", 9) for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, row long").repartition(2)
+    words = defaultdict(int)
+    for r in mixing.mix_documents(docs).collect():
+        assert r._id == "keepme" and set(r.text.split()) == {r.source.lower()} and r.row == {"A": 7}.get(r.source, 8 if r.doc_id == 1 else 9)
+        words[r.source] += len(r.text.split())
+    assert words == {"A": 200, "B": 1600}
+
+
+def test_ids_that_many_rows_share_are_cut_into_slices(spark, monkeypatch):
+    from strandex.llm import _prefix
+
+    rows = [(None, "w " * (1 + i % 5), "s", i) for i in range(400)] + [(i, "w w", "s", i) for i in range(50)]
+    cut = _prefix.sliced
+    monkeypatch.setattr(mixing, "sliced", lambda *a: cut(*a, heavy=20, per_slice=50))
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string, n long")).collect()
+    starts = sorted((min(s.start for s in r.rounds) * r.target, r.size) for r in got)
+    assert len(got) == 450 and all(a + n == pytest.approx(b) for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_bounds_are_optimal():
     rng = np.random.default_rng(4)
     for _ in range(20):
@@ -96,3 +123,5 @@ def test_pieces_cover_documents_and_batches_fit(sourced):
     for b in {r.bucket for r in got}:  # only a bucket's last batch is not full
         assert sum(n < 512 // b for (x, _), n in slots.items() if x == b) <= 1
     assert packing.pack_documents(sourced([])).collect() == []
+    one = [r for r in got if r.doc_id == 502]
+    assert len({r.text_hash for r in one}) == 1 and sorted(r.begin for r in one) == list(range(0, 3000, 128))

@@ -38,7 +38,7 @@ def test_texts_keep_what_is_no_repeat(make_docs):
     out = {r.doc_id: r for r in substrings.without_repeats(substrings.repeated_spans(docs, min_words=13, carry=("source", "spans"))).collect()}
     assert out[1].text == f"one\n{passage}  tail" and out[1].n_removed == 0
     assert out[2].text == "  two\t\nend " and out[2].n_removed == 20 and out[2].carried.source == "s2" and out[2].carried.spans == "x"
-    assert out[3].text == "clean  text " and out[4].text == ""
+    assert out[3].text == "clean  text " and out[4].text is None
 
 
 def test_ids_with_two_texts_and_empty_table(make_docs):

@@ -44,6 +44,18 @@ def test_edge_rows_and_no_labels(spark, make_docs):
     assert toxicity.score_toxicity(make_docs([]), model).collect() == []
     kept = toxicity.score_toxicity(make_docs(rows), model, keep=True)
     assert kept.columns[:8] == make_docs(rows).columns and kept.count() == 5
+    clash = make_docs(rows).withColumnsRenamed({"kept": "_score", "place": "_offending"})
+    assert toxicity.score_toxicity(clash, model, keep=True).columns == [*clash.columns, "_score_", "_offending_"]
+    assert toxicity.without_toxic(clash, model).columns == clash.columns and toxicity.without_toxic(clash, model).count() == 5
+
+
+def test_repeated_and_very_long_rows_train_once_or_not_at_all(spark, make_docs):
+    docs, labels = _bags(200)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = toxicity.train_toxicity(make_docs(docs), table)
+    many = toxicity.train_toxicity(make_docs([*docs, *[docs[0]] * 50]), table)
+    assert (plain.weights == many.weights).all() and plain.bias == many.bias
+    assert not toxicity.train_toxicity(make_docs(docs), table, max_bytes=1).weights.any()
 
 
 def test_query_folds_and_held_out_accuracy(spark):
