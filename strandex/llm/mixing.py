@@ -120,14 +120,22 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     same = F.xxhash64(*(F.col(f"`{c}`") for c in plain))
     plan = persist(schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, also=same, **options), "mix-plan")
-    # A row of docs is known by its id and the hash of its columns, and by a number among equal ones.
-    nth = F.row_number().over(Window.partitionBy("id", "same").orderBy("row"))
-    services = mix_order(plan).select("row", F.col("doc_id").alias("id"), F.col("also").alias("same"), "position", "taken")
-    numbers = plan.select("row", F.col("doc_id").alias("id"), F.col("also").alias("same"), "size").withColumn("nth", nth).select(F.col("row").alias("_row"), "nth", F.col("size").alias("_size"))
-    services = services.join(numbers, F.col("row") == F.col("_row")).select(F.col("id").alias("_id"), F.col("same").alias("_same"), F.col("nth").alias("_nth"), "position", "taken", F.col("_size").alias("size"))
+    # A row of docs is known by its id and the hash of its columns; only rows that are equal in these need a number too.
+    known = plan.select("row", F.col("doc_id").alias("id"), F.col("also").alias("same"), "size")
+    counts = known.groupBy("id", "same").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_id"), F.col("same").alias("_same"))
+    copies = persist(counts, "mix-copies")
+    equal = F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same"))
+    nth = lambda order: F.row_number().over(Window.partitionBy("id", "same").orderBy(order))
+    order = mix_order(plan).select("row", "position", "taken")
+    services = order.join(known.withColumnsRenamed({"row": "_row"}), F.col("row") == F.col("_row")).drop("_row")
     nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col(id_col).alias("id"), same.alias("same"))
-    numbered = nested.withColumn("nth", F.row_number().over(Window.partitionBy("id", "same").orderBy(F.lit(1))))
-    joined = numbered.join(services, F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")) & (F.col("nth") == F.col("_nth")))
+    theirs = services.withColumnsRenamed({"id": "_id", "same": "_same"})
+    single = nested.join(copies, equal, "left_anti").join(theirs, equal).select("doc", "position", "taken", "size")
+    numbers = known.join(copies, equal, "left_semi").select(F.col("row").alias("_row"), nth("row").alias("_nth"))
+    numbered = theirs.join(numbers, F.col("row") == F.col("_row"))
+    several = nested.join(copies, equal, "left_semi").withColumn("nth", nth(F.lit(1)))
+    several = several.join(numbered, equal & (F.col("nth") == F.col("_nth"))).select("doc", "position", "taken", "size")
+    joined = single.unionAll(several)
     text = F.col("doc").getField(text_col)
     head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("taken").cast("int")), " ")
     new = {text_col: F.when(F.col("taken") < F.col("size"), head).otherwise(text)}

@@ -54,7 +54,7 @@ BASE, RATE, LIMIT = 1.02, 20.0, 4000
 #: A likelihood ratio that rejects at five deviations: half of their square.
 REJECT = 12.5
 #: Shingles of a cell, about: two cells meet in a task.
-CELL = 1 << 18
+CELL = 1 << 17
 _MULTIPLY = np.random.default_rng(20240602).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -298,13 +298,15 @@ def _join_cells(components: np.ndarray, sizes: np.ndarray, registers: np.ndarray
     return joined
 
 
-def _cell_links(placed: DataFrame, percent: int) -> DataFrame:
-    """placed (node, home, component, n_shingles, registers, items) -> a, b: pairs of components that further links join."""
+def _cell_links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """nodes (node, n_shingles, registers, items) and placed (node, home, component, n_shingles) -> a, b: pairs of components that further links join."""
     own = placed.select(F.col("node").alias("_home"), F.col("component").alias("_main"))
-    sided = placed.join(own, F.col("home") == F.col("_home")).withColumn("apart", F.col("component") != F.col("_main")).drop("_home", "_main")
+    sided = placed.join(own, F.col("home") == F.col("_home")).select("node", "home", "component", "n_shingles", (F.col("component") != F.col("_main")).alias("apart"))
+    sided = persist(sided, "sided")
     totals = sided.groupBy("home", "apart").agg(F.ceil(F.sum("n_shingles") / CELL).cast("long").alias("_blocks")).withColumnsRenamed({"home": "_home", "apart": "_apart"})
-    dealt = sided.join(totals, (F.col("home") == F.col("_home")) & (F.col("apart") == F.col("_apart"))).withColumn("cell", F.struct("home", "apart", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block")))
-    dealt = persist(dealt.select("node", "component", "cell", "n_shingles", "registers", "items"), "cells")
+    cell = F.struct("home", "apart", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block"))
+    keyed = sided.join(totals, (F.col("home") == F.col("_home")) & (F.col("apart") == F.col("_apart"))).select("node", "component", cell.alias("cell"))
+    dealt = persist(nodes.select("node", "n_shingles", "registers", "items").join(keyed, "node"), "cells")
     per = banded(dealt, "component", "cell").groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     crowds = per.groupBy("band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.array_sort(F.collect_list(F.struct("cell", "lo", "hi"))).alias("cells")).filter("x < y")
     open_pair = lambda p, q: F.least(p["lo"], q["lo"]) < F.greatest(p["hi"], q["hi"])
@@ -361,8 +363,8 @@ def grouped_rows(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     nodes = persist(found.dropDuplicates(["node"]), "nodes")
 
     stars = connected_components(_home_links(nodes, percent))
-    placed = _label(nodes.withColumn("component", F.col("node")), stars, "component")
-    crossed = connected_components(_cell_links(placed, percent))
+    placed = _label(nodes.select("node", "home", "n_shingles", F.col("node").alias("component")), stars, "component")
+    crossed = connected_components(_cell_links(nodes, placed, percent))
     labelled = _label(_label(sets.select(*key, "first", F.col("node").alias("component")), stars, "component"), crossed, "component")
     labelled = persist(labelled, "labelled")
     least = labelled.groupBy("component").agg(F.min("first").alias("first")).withColumnRenamed("component", "_component")
