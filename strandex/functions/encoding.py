@@ -51,7 +51,7 @@ def zero_terminated(text: Column) -> Column:
 def checked_pattern(pattern: Column, strict: bool = False) -> Column:
     """A pattern's digits; null, or an error if strict, where it has other letters than ACTG."""
     other = F.raise_error(F.lit("a pattern may hold A, C, T, G only")).cast("string") if strict else F.lit(None).cast("string")
-    return F.when(pattern.rlike("^[ACGT\\x00]*$"), encode(pattern)).when(pattern.isNotNull(), other)
+    return F.when(pattern.rlike("^[ACGT\\x00]*\\z"), encode(pattern)).when(pattern.isNotNull(), other)
 
 
 def octal(digits: Column) -> Column:
@@ -62,14 +62,14 @@ def octal(digits: Column) -> Column:
 def packed(enc: Column) -> Column:
     """3 bits a symbol, high bits first, as lower-case hexadecimal, filled with zeros to whole bytes."""
     n = F.length(enc)
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(n / 8).cast("int") - 1), lambda i: F.lower(F.lpad(F.conv(F.rpad(F.substring(enc, i * 8 + 1, F.lit(8)), 8, "0"), 8, 16), 6, "0")))
+    # A text is cut in one pass: substring() would count from its begin for each group.
+    groups = F.transform(F.regexp_extract_all(enc, F.lit(".{1,8}"), F.lit(0)), lambda g: F.lower(F.lpad(F.conv(F.rpad(g, 8, "0"), 8, 16), 6, "0")))
     return F.when(n == 0, F.lit("")).otherwise(F.substring(F.array_join(groups, ""), F.lit(1), 2 * F.ceil(3 * n / 8).cast("int")))
 
 
 def unpacked(hexed: Column, n: Column) -> Column:
     """The first n symbols of packed hexadecimal."""
-    size = F.ceil(F.length(hexed) / 6).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.conv(F.rpad(F.substring(hexed, i * 6 + 1, F.lit(6)), 6, "0"), 16, 8), 8, "0"))
+    groups = F.transform(F.regexp_extract_all(hexed, F.lit(".{1,6}"), F.lit(0)), lambda g: F.lpad(F.conv(F.rpad(g, 6, "0"), 16, 8), 8, "0"))
     return F.when(n == 0, F.lit("")).otherwise(F.substring(F.array_join(groups, ""), F.lit(1), n.cast("int")))
 
 
@@ -86,8 +86,7 @@ def meta_padded(enc: Column, d: int) -> Column:
 def meta_symbols(enc: Column, d: int) -> Column:
     """The groups of d symbols, as an array of digit strings."""
     check_d(d)
-    full = meta_padded(enc, d)
-    return F.transform(F.sequence(F.lit(0), (F.length(full) / d).cast("int") - 1), lambda i: F.substring(full, i * d + 1, F.lit(d)))
+    return F.regexp_extract_all(meta_padded(enc, d), F.lit(f".{{{d}}}"), F.lit(0))
 
 
 def div_up(a: Column, b: Column) -> Column:

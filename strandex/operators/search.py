@@ -1,8 +1,8 @@
 """Batch pattern search: ranges, occurrences, offsets of grouped symbols.
 
-Patterns (pattern_id, doc_id, pattern) are a table; an index is all suffixes of all texts. Candidates come from an
-equi-join on the first `q` symbols, never from a comparison of all with all, and are
-checked on the text. Ranges need no join at all: patterns are sorted in among the
+Patterns (pattern_id, doc_id, pattern) are a table; an index is all suffixes of all texts, by their first 64 symbols: a
+stored table, or cut from the texts. Candidates come from an equi-join on the patterns' first symbols, as many
+as their length class has, never from a comparison of all with all, and are checked on the key or the text. Ranges need no join at all: patterns are sorted in among the
 suffixes' keys, bucket by bucket, and suffixes are counted.
 """
 
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
-from strandex.operators.suffix import FIRST, positions
+from strandex.operators.suffix import FIRST, KEY, positions, suffix_heads, suffix_ranks
+from strandex.sources.tables import materialise
 
 
 def sample_patterns(texts: DataFrame, length: int = 16) -> DataFrame:
@@ -29,10 +30,19 @@ def mutated(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("pattern", F.concat(F.substring("pattern", F.lit(1), at), other, F.substring("pattern", at + 2, F.length("pattern"))))
 
 
-def _lengths(parts: DataFrame, name: str, q: int) -> list[int]:
-    """The lengths, at most q, on which patterns are joined: q and those of shorter patterns."""
-    rows = parts.filter(F.col(name).isNotNull()).select(F.least(F.length(name), F.lit(q)).alias("n")).distinct().collect()
-    return sorted(r["n"] for r in rows) or [q]
+#: Symbols on which patterns of at least that length are joined; shorter ones by their own length.
+CLASSES = (8, 12, 16, FIRST)
+
+
+def _class(length: Column) -> Column:
+    """How many symbols a pattern is joined on."""
+    return F.greatest(F.when(length < CLASSES[0], length), *(F.when(length >= n, F.lit(n)) for n in CLASSES))
+
+
+def _lengths(parts: DataFrame, name: str) -> list[int]:
+    """The join lengths of the patterns at hand, at most 11."""
+    rows = parts.filter(F.col(name).isNotNull()).select(_class(F.length(name)).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in rows) or [FIRST]
 
 
 def _with_grams(rows: DataFrame, name: str, lengths: list[int]) -> DataFrame:
@@ -42,24 +52,36 @@ def _with_grams(rows: DataFrame, name: str, lengths: list[int]) -> DataFrame:
     return rows.withColumn("gram", gram).filter("gram is not null")
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame, q: int = 12) -> DataFrame:
-    """pattern_id, doc_id, pos: every place of every pattern in every text; those shorter than q are joined on their own length."""
-    grams = _with_grams(positions(texts).select("doc_id", "pos", "key"), "key", _lengths(patterns, "pattern", q))
-    asked = patterns.select("pattern_id", "pattern", F.substring("pattern", 1, q).alias("gram"))
-    found = grams.join(asked, "gram").filter(F.substring("key", 1, FIRST).startswith(F.substring("pattern", 1, FIRST)))
-    short = found.filter(F.length("pattern") <= FIRST).select("pattern_id", "doc_id", "pos")
-    long = found.filter(F.length("pattern") > FIRST).join(texts.select("doc_id", "enc"), "doc_id")
+def _asked(parts: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The distinct patterns with the symbols they are joined on."""
+    return parts.select(*columns, name, F.substring(name, F.lit(1), _class(F.length(name))).alias("gram"))
+
+
+def keyed_occurrences(texts: DataFrame, patterns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """pattern_id, doc_id, pos, key: every place of every pattern in every text, with the suffix's first 64 symbols."""
+    keys = positions(texts, KEY) if keys is None else keys
+    found = _with_grams(keys.select("doc_id", "pos", "key"), "key", _lengths(patterns, "pattern")).join(_asked(patterns, "pattern", "pattern_id"), "gram")
+    found = found.filter(F.col("key").startswith(F.substring("pattern", 1, KEY)))
+    short = found.filter(F.length("pattern") <= KEY).select("pattern_id", "doc_id", "pos", "key")
+    if patterns.filter(F.length("pattern") > KEY).isEmpty():
+        return short
+    long = found.filter(F.length("pattern") > KEY).join(texts.select("doc_id", "enc"), "doc_id")
     here = F.expr("substring(enc, cast(pos as int) + 1, length(pattern)) = pattern")
-    return short.unionByName(long.filter(here).select("pattern_id", "doc_id", "pos"))
+    return short.unionByName(long.filter(here).select("pattern_id", "doc_id", "pos", "key"))
 
 
-def counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, patterns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """pattern_id, doc_id, pos: every place of every pattern in every text."""
+    return keyed_occurrences(texts, patterns, keys).select("pattern_id", "doc_id", "pos")
+
+
+def counts(texts: DataFrame, patterns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """pattern_id, n: occurrences of each pattern in all texts, 0 where there is none."""
-    found = occurrences(texts, patterns).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    found = occurrences(texts, patterns, keys).groupBy("pattern_id").agg(F.count("*").alias("n"))
     return patterns.select("pattern_id").join(found, "pattern_id", "left").select("pattern_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5) -> DataFrame:
+def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5, keys: DataFrame | None = None) -> DataFrame:
     """pattern_id, sa_lo, sa_hi: the half-open range of each pattern among the sorted suffixes of all texts.
 
     sa_lo counts the suffixes that are smaller than the pattern, also where it is
@@ -67,7 +89,8 @@ def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5) -> DataFrame:
     texts where those agree. Patterns enter the sort twice, once before
     and once after all suffixes that begin with them ('~' is above all digits).
     """
-    keys = positions(texts).select("key", F.lit(1).alias("w"), F.lit(None).cast("long").alias("pattern_id"), F.lit(1).alias("side"))
+    suffixes = positions(texts, KEY) if keys is None else keys
+    keys = suffixes.select(F.substring("key", 1, FIRST).alias("key"), F.lit(1).alias("w"), F.lit(None).cast("long").alias("pattern_id"), F.lit(1).alias("side"))
     head = F.substring("pattern", 1, FIRST)
     low = patterns.select(head.alias("key"), F.lit(0).alias("w"), "pattern_id", F.lit(0).alias("side"))
     high = patterns.select(F.concat(head, F.lit("~")).alias("key"), F.lit(0).alias("w"), "pattern_id", F.lit(2).alias("side"))
@@ -85,7 +108,7 @@ def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5) -> DataFrame:
     long = patterns.filter(F.length("pattern") > FIRST).select("pattern_id", "pattern", head.alias("key"))
     if long.isEmpty():
         return found
-    tied = positions(texts).join(long, "key").join(texts.select("doc_id", "enc"), "doc_id")
+    tied = suffixes.select("doc_id", "pos", F.substring("key", 1, FIRST).alias("key")).join(long, "key").join(texts.select("doc_id", "enc"), "doc_id")
     part = F.expr("substring(enc, cast(pos as int) + 1, length(pattern))")
     tails = tied.select("pattern_id", (part < F.col("pattern")).cast("long").alias("below"), (part == F.col("pattern")).cast("long").alias("equal")).groupBy("pattern_id").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
     extra = long.select("pattern_id").join(tails, "pattern_id", "left").fillna(0, ["below", "equal"])
@@ -93,21 +116,30 @@ def ranges(texts: DataFrame, patterns: DataFrame, bucket: int = 5) -> DataFrame:
     return found.join(extra, "pattern_id", "left").select("pattern_id", low_at.alias("sa_lo"), F.when(F.col("equal").isNull(), F.col("sa_hi")).otherwise(low_at + F.col("equal")).alias("sa_hi"))
 
 
-def first_hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern_id, doc_id, pos: the hit whose suffix is the smallest; of equal suffixes that of the smallest doc_id, then pos."""
-    found = occurrences(texts, patterns).join(texts.select("doc_id", "enc"), "doc_id")
-    ranked = F.struct(F.expr("substring(enc, cast(pos as int) + 1)").alias("suffix"), "doc_id", "pos")
-    return found.select("pattern_id", ranked.alias("r")).groupBy("pattern_id").agg(F.min("r").alias("r")).select("pattern_id", "r.doc_id", "r.pos")
-
+def first_hits(texts: DataFrame, patterns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """pattern_id, doc_id, pos: the hit whose suffix is the smallest; of equal suffixes that of the smallest doc_id, then pos.
 
-def first_positions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    The first 64 symbols decide; only hits that tie there, and have more to come, meet their texts.
+    """
+    found = keyed_occurrences(texts, patterns, keys)
+    least = found.groupBy(F.col("pattern_id").alias("_id")).agg(F.min("key").alias("_key"))
+    best = materialise(found.join(least, (F.col("pattern_id") == F.col("_id")) & (F.col("key") == F.col("_key"))).select("pattern_id", "doc_id", "pos", "key"), "best-hits")
+    done = F.length("key") < KEY  # equal to their ends
+    first = lambda rows, key: rows.groupBy("pattern_id").agg(F.min(F.struct(key.alias("k"), "doc_id", "pos")).alias("r")).select("pattern_id", "r.doc_id", "r.pos")
+    ties = best.filter(~done).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    single = best.join(ties.filter("n > 1"), "pattern_id", "left_anti")
+    several = best.join(ties.filter("n > 1"), "pattern_id").join(texts.select("doc_id", "enc"), "doc_id")
+    return first(single, F.lit("")).unionByName(first(several, F.expr("substring(enc, cast(pos as int) + 1)")))
+
+
+def first_positions(texts: DataFrame, patterns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """pattern_id, doc_id, pos: the first position of each pattern in each text that has it."""
-    return occurrences(texts, patterns).groupBy("pattern_id", "doc_id").agg(F.min("pos").alias("pos"))
+    return occurrences(texts, patterns, keys).groupBy("pattern_id", "doc_id").agg(F.min("pos").alias("pos"))
 
 
-def search_first(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def search_first(texts: DataFrame, patterns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """pattern_id, sa_lo, sa_hi, doc_id, pos: range and first hit (-1 where absent)."""
-    found = ranges(texts, patterns).join(first_hits(texts, patterns), "pattern_id", "left")
+    found = ranges(texts, patterns, keys=keys).join(first_hits(texts, patterns, keys), "pattern_id", "left")
     return found.fillna(-1, ["doc_id", "pos"])
 
 
@@ -132,30 +164,27 @@ def splits(patterns: DataFrame, d: int) -> DataFrame:
     return each.select("pattern_id", F.lit(d).cast("long").alias("d"), F.col("k").cast("long").alias("k"), E.octal(left).alias("left_num"), full.alias("right"), (F.length(full) - F.length(right)).cast("long").alias("pad"))
 
 
-def grouped_search(texts: DataFrame, patterns: DataFrame, array: DataFrame, d: int, q: int = 8) -> DataFrame:
+def grouped_search(texts: DataFrame, patterns: DataFrame, array: DataFrame, d: int, suffixes: DataFrame | None = None) -> DataFrame:
     """pattern_id, doc_id, k, sa_pos, pos: all occurrences of patterns of more than d letters through the index of d-letter symbols.
 
     For each k the right part must begin the suffix and the reversed left part the
     reversed symbol before it: a range of its numbers. A suffix at the text's
-    begin has no symbol before it (the cyclic one counts for k = 0 only).
+    begin has no symbol before it (the cyclic one counts for k = 0 only). suffixes are suffix_heads() of the array.
     """
-    full = texts.select("doc_id", E.meta_padded(F.col("enc"), d).alias("enc"))
-    at = (F.col("pos") * d).cast("int")
-    suffixes = array.join(full, "doc_id").select(
-        "doc_id", "sa_pos", "pos",
-        F.substring("enc", at + 1, F.lit(64)).alias("head"),
-        E.octal(F.reverse(F.substring("enc", F.greatest(at - d, F.lit(0)) + 1, F.lit(d)))).alias("rev"),
-    )
+    heads = suffix_heads(texts, array, d) if suffixes is None else suffixes
+    rows = heads.select("doc_id", "sa_pos", "pos", "head", E.octal(F.reverse("before")).alias("rev"))
     each = patterns.filter(F.length("pattern") > d).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("k"))
     least = E.octal(F.rpad(F.reverse(F.substring("pattern", F.lit(1), F.col("k"))), d, "0"))
     most = E.octal(F.rpad(F.reverse(F.substring("pattern", F.lit(1), F.col("k"))), d, "7"))
-    asked = each.select("pattern_id", "k", F.substring("pattern", F.col("k") + 1, F.length("pattern")).alias("right"), least.alias("least"), most.alias("most")).withColumn("gram", F.substring("right", 1, q))
-    found = _with_grams(suffixes, "head", _lengths(asked, "right", q)).join(asked, "gram").filter(F.col("head").startswith(F.substring("right", 1, 64)))
+    parts = each.select("pattern_id", "k", F.substring("pattern", F.col("k") + 1, F.length("pattern")).alias("right"), least.alias("least"), most.alias("most"))
+    asked = _asked(parts, "right", "pattern_id", "k", "least", "most")
+    found = _with_grams(rows, "head", _lengths(parts, "right")).join(asked, "gram").filter(F.col("head").startswith(F.substring("right", 1, KEY)))
     found = found.filter((F.col("k") == 0) | ((F.col("pos") > 0) & F.col("rev").between(F.col("least"), F.col("most"))))
-    short = found.filter(F.length("right") <= 64).drop("right")
-    if not asked.filter(F.length("right") > 64).isEmpty():
+    short = found.filter(F.length("right") <= KEY).drop("right")
+    if not parts.filter(F.length("right") > KEY).isEmpty():
         here = F.expr(f"substring(enc, cast(pos * {d} as int) + 1, length(right)) = right")
-        long = found.filter(F.length("right") > 64).join(full, "doc_id").filter(here)
+        full = texts.select("doc_id", E.meta_padded(F.col("enc"), d).alias("enc"))
+        long = found.filter(F.length("right") > KEY).join(full, "doc_id").filter(here)
         short = short.unionByName(long.drop("right", "enc"))
     return short.select("pattern_id", "doc_id", F.col("k").cast("long").alias("k"), "sa_pos", (F.col("pos") * d - F.col("k")).alias("pos"))
 
@@ -166,11 +195,23 @@ def snippet(enc: Column, pos: Column, width: int = 25) -> Column:
     return F.concat(E.decode(F.substring(enc, (pos + 1).cast("int"), F.lit(width))), more)
 
 
-def text_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def text_search(texts: DataFrame, patterns: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """texts (doc_id, text), patterns (pattern_id, doc_id, pattern): in each pattern's own text, the smallest suffix
-    that begins with it (match, null if absent) and the smallest suffix that is not smaller (insertion_suffix)."""
-    joined = patterns.join(texts.select("doc_id", "text"), "doc_id")
-    each = joined.select("pattern_id", "doc_id", "pattern", F.expr("explode(transform(sequence(0, length(text) - 1), i -> substring(text, i + 1)))").alias("suffix"))
-    found = F.min(F.when(F.col("suffix").startswith(F.col("pattern")), F.col("suffix")))
-    return each.groupBy("pattern_id", "doc_id").agg(found.alias("match"), F.min(F.when(F.col("suffix") >= F.col("pattern"), F.col("suffix"))).alias("insertion_suffix"))
+    that begins with it (match, null if absent) and the smallest suffix that is not smaller (insertion_suffix).
 
+    Suffixes are compared by their first 64 symbols and their ranks; only those of patterns that are longer
+    and agree in 64 are cut from the text. The two found are cut once.
+    """
+    plain = texts.select("doc_id", F.col("text").alias("enc")).filter("enc <> ''")
+    ranks = suffix_ranks(plain) if ranks is None else ranks
+    known = positions(plain, KEY).join(ranks, ["doc_id", "pos"])
+    met = known.join(patterns.select("pattern_id", "doc_id", "pattern"), "doc_id")
+    head = F.substring("pattern", 1, KEY)
+    open_end = (F.length("pattern") > KEY) & (F.col("key") == head)
+    sure = met.filter(~open_end).select("pattern_id", "doc_id", "pos", "rank", F.col("key").startswith(F.col("pattern")).alias("hit"), (F.col("key") >= F.col("pattern")).alias("after"))
+    part = F.expr("substring(enc, cast(pos as int) + 1, length(pattern))")
+    rest = met.filter(open_end).join(plain, "doc_id").select("pattern_id", "doc_id", "pos", "rank", (part == F.col("pattern")).alias("hit"), (part >= F.col("pattern")).alias("after"))
+    first = lambda c: F.min_by(F.when(F.col(c), F.col("pos")), F.when(F.col(c), F.col("rank"))).alias(c)
+    found = sure.unionByName(rest).groupBy("pattern_id", "doc_id").agg(first("hit"), first("after"))
+    cut = lambda c: F.expr(f"substring(enc, cast({c} as int) + 1)")
+    return found.join(plain, "doc_id").select("pattern_id", "doc_id", cut("hit").alias("match"), cut("after").alias("insertion_suffix"))

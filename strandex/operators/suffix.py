@@ -25,16 +25,23 @@ FIRST, KEY = 21, 64
 PART = 1024
 
 
-def positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
-    """One row for every position of each text, with the first `width` symbols of the suffix there."""
+def positions(texts: DataFrame, width: int = FIRST, back: int = 0) -> DataFrame:
+    """One row for every position of each text, with the first `width` symbols of the suffix there, and, if asked for, at most `back` symbols before it."""
     # A substring counts its place from the text's begin, so the text is first cut into short parts, in one pass.
     cut = texts.select("doc_id", F.regexp_extract_all("enc", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("parts"))
     following = F.concat(F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1))), F.array(F.lit("")))
-    each = cut.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("here"), following.alias("next"))).alias("part", "p"))
-    each = each.select("doc_id", "part", F.length("p.here").alias("size"), F.concat("p.here", F.substring("p.next", 1, width)).alias("body"))
+    previous = F.concat(F.array(F.lit("")), F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0))))
+    each = cut.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("here"), following.alias("next"), previous.alias("prev"))).alias("part", "p"))
+    tail = F.expr(f"right(p.prev, {back})")
+    each = each.select("doc_id", "part", F.length("p.here").alias("size"), F.length(tail).alias("lead"), F.concat(tail, "p.here", F.substring("p.next", 1, width)).alias("body"))
     # Only the key leaves this stage, not the text.
-    each = each.select("doc_id", "part", "body", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
-    return each.select("doc_id", (F.col("part").cast("long") * PART + F.col("i")).alias("pos"), F.substring("body", F.col("i") + 1, F.lit(width)).alias("key"))
+    each = each.select("doc_id", "part", "body", "lead", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    at = F.col("lead") + F.col("i")
+    out = each.select("doc_id", (F.col("part").cast("long") * PART + F.col("i")).alias("pos"), F.substring("body", at + 1, F.lit(width)).alias("key"), at.alias("at"), "body")
+    if not back:
+        return out.drop("at", "body")
+    first = F.greatest(F.col("at") - back, F.lit(0))
+    return out.select("doc_id", "pos", "key", F.substring("body", first + 1, F.col("at") - first).alias("before"))
 
 
 def joined_positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
@@ -89,9 +96,10 @@ def refine(ranks: DataFrame, h: int) -> DataFrame:
     return done.unionByName(inside.select("doc_id", "pos", (F.col("rank") + F.col("within")).alias("rank"), F.col("same").alias("ties")))
 
 
-def suffix_ranks(texts: DataFrame, joined: bool = False) -> DataFrame:
-    """doc_id, pos, rank of every suffix: the inverse of the suffix array; joined takes all texts as one."""
-    keys = joined_positions(texts, KEY) if joined else positions(texts, KEY)
+def suffix_ranks(texts: DataFrame, joined: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """doc_id, pos, rank of every suffix: the inverse of the suffix array; joined takes all texts as one, keys are positions(texts, KEY)."""
+    if keys is None:
+        keys = joined_positions(texts, KEY) if joined else positions(texts, KEY)
     ranks, h = materialise(first_ranks(keys), "ranks"), KEY
     while not ranks.filter("ties > 1").isEmpty():
         ranks, h = materialise(refine(ranks, h), "ranks"), 2 * h
@@ -127,7 +135,7 @@ def rank_round(texts: DataFrame, width: int = 2) -> DataFrame:
 
 
 def common_prefix(text: Column, a: Column, b: Column, other: Column | None = None) -> Column:
-    """Length of the common prefix of text[a:] and other[b:], for texts below 2**20 symbols.
+    """Length of the common prefix of text[a:] and other[b:].
 
     Powers of two are tried from the top; beyond 32 symbols only if the first 32 agree.
     """
@@ -137,11 +145,28 @@ def common_prefix(text: Column, a: Column, b: Column, other: Column | None = Non
     far = (room >= 32) & (part(text, a, F.lit(32)) == part(other, b, F.lit(32)))
 
     def step(size: Column, power: Column) -> Column:
-        longer = size + power
-        agrees = (longer <= room) & ((longer <= 32) | far) & (part(text, a, longer) == part(other, b, longer))
-        return F.when(agrees, longer).otherwise(size)
+        # A sum beyond the largest int is beyond any text.
+        fits = (power <= room - size) & ((size + power <= 32) | far)
+        return F.when(fits, F.when(part(text, a, size + power) == part(other, b, size + power), size + power).otherwise(size)).otherwise(size)
 
-    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(19, -1, -1))), F.lit(0), step).cast("long")
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), F.lit(0), step).cast("long")
+
+
+def with_common_prefix(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (doc_id, prev, pos, ...) with lcp, the common prefix of the suffixes at prev and pos; null if prev is null.
+
+    The first 64 symbols of both are looked up; only pairs that agree in all of them meet their text.
+    """
+    keys = positions(texts, KEY)
+    ours = keys.select("doc_id", "pos", F.col("key").alias("_b"))
+    theirs = keys.select("doc_id", F.col("pos").alias("prev"), F.col("key").alias("_a"))
+    met = pairs.join(ours, ["doc_id", "pos"]).join(theirs, ["doc_id", "prev"], "left")
+    short = common_prefix(F.col("_a"), F.lit(0), F.lit(0), F.col("_b"))
+    met = materialise(met.withColumn("lcp", short).drop("_a", "_b"), "prefixes")
+    whole = F.coalesce(F.col("lcp") == KEY, F.lit(False))
+    long = met.filter(whole).join(texts.select("doc_id", F.col("enc").alias("_enc")), "doc_id")
+    long = long.withColumn("lcp", common_prefix(F.col("_enc"), F.col("prev"), F.col("pos"))).drop("_enc")
+    return met.filter(~whole).unionByName(long)
 
 
 def with_lower_neighbour(array: DataFrame) -> DataFrame:
@@ -152,21 +177,38 @@ def with_lower_neighbour(array: DataFrame) -> DataFrame:
 
 def lcp_array(texts: DataFrame, array: DataFrame) -> DataFrame:
     """doc_id, sa_pos, pos, lcp: common prefix with the suffix before (0 for the first)."""
-    joined = with_lower_neighbour(array).join(texts.select("doc_id", "enc"), "doc_id")
-    return joined.select("doc_id", "sa_pos", "pos", F.coalesce(common_prefix(F.col("enc"), F.col("prev"), F.col("pos")), F.lit(0).cast("long")).alias("lcp"))
+    found = with_common_prefix(texts, with_lower_neighbour(array))
+    return found.select("doc_id", "sa_pos", "pos", F.coalesce("lcp", F.lit(0).cast("long")).alias("lcp"))
 
 
 def inversions(texts: DataFrame, array: DataFrame) -> DataFrame:
-    """doc_id, n, inversions: neighbours of the array in the wrong order."""
-    joined = with_lower_neighbour(array).join(texts.select("doc_id", "enc"), "doc_id")
-    suffix = lambda p: F.expr(f"substring(enc, cast({p} + 1 as int))")
-    wrong = (F.col("prev").isNotNull() & (suffix("prev") >= suffix("pos"))).cast("long")
+    """doc_id, n, inversions: neighbours of the array in the wrong order.
+
+    Two suffixes are in order if their first symbols are, or if these are equal and the suffixes one symbol further on
+    stand in order in the array: no suffix is compared as a whole.
+    """
+    place = array.select("doc_id", F.col("sa_pos").alias("after"), (F.col("pos") - 1).alias("at"))
+    symbol = positions(texts, 1).select("doc_id", F.col("pos").alias("at"), F.col("key").alias("symbol"))
+    known = materialise(symbol.join(place, ["doc_id", "at"], "left").withColumn("after", F.coalesce("after", F.lit(-1).cast("long"))), "symbols")
+    of = lambda p: known.select("doc_id", F.col("at").alias(p), F.struct("symbol", "after").alias(f"{p}_key"))
+    joined = with_lower_neighbour(array).join(of("pos"), ["doc_id", "pos"]).join(of("prev"), ["doc_id", "prev"], "left")
+    wrong = F.coalesce((F.col("prev_key") >= F.col("pos_key")).cast("long"), F.lit(0).cast("long"))
     return joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(wrong).alias("inversions"))
 
 
+def suffix_heads(texts: DataFrame, array: DataFrame, d: int) -> DataFrame:
+    """doc_id, sa_pos, pos, head, before: the first 64 symbols of each suffix of the array, and at most d symbols before it."""
+    full = texts.select("doc_id", E.meta_padded(F.col("enc"), d).alias("enc"))
+    each = positions(full, KEY, d).filter(F.col("pos") % d == 0)
+    return array.join(each.select("doc_id", F.floor(F.col("pos") / d).alias("pos"), F.col("key").alias("head"), "before"), ["doc_id", "pos"]).select("doc_id", "sa_pos", "pos", "head", "before")
+
+
 def bwt(texts: DataFrame, array: DataFrame, d: int = 1) -> DataFrame:
-    """doc_id, sa_pos, rev_bwt: the octal number of the reversed symbol before each suffix, cyclic."""
+    """doc_id, sa_pos, pos, rev_bwt: the octal number of the reversed symbol before each suffix, cyclic."""
     full = E.meta_padded(F.col("enc"), d)
-    joined = array.join(texts.select("doc_id", full.alias("enc")), "doc_id")
-    at = F.when(F.col("pos") > 0, F.col("pos") - 1).otherwise((F.length("enc") / d).cast("long") - 1)
-    return joined.select("doc_id", "sa_pos", "pos", E.octal(F.reverse(F.substring("enc", (at * d + 1).cast("int"), F.lit(d)))).alias("rev_bwt"))
+    each = positions(texts.select("doc_id", full.alias("enc")), 1, d).filter(F.col("pos") % d == 0).select("doc_id", F.floor(F.col("pos") / d).alias("pos"), "before")
+    # Before a text's begin comes its end.
+    ends = texts.select("doc_id", F.lit(0).cast("long").alias("pos"), F.expr("right(enc, 1)") if d == 1 else F.right(full, F.lit(d)).alias("before"))
+    ends = ends.toDF("doc_id", "pos", "before")
+    joined = array.join(each.filter("pos > 0").unionByName(ends), ["doc_id", "pos"])
+    return joined.select("doc_id", "sa_pos", "pos", E.octal(F.reverse("before")).alias("rev_bwt"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
-from strandex.operators.suffix import common_prefix, with_lower_neighbour
+from strandex.operators.suffix import KEY, positions, with_common_prefix, with_lower_neighbour
 
 
 def nodes_needed(n: Column, room: int) -> Column:
@@ -97,9 +97,15 @@ def dump(array: DataFrame, d: int = 1) -> DataFrame:
 
 def insertion_points(texts: DataFrame, array: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern_id, doc_id, node_id, slot: suffixes smaller than the pattern in each leaf of the pattern's own text."""
-    joined = leaves(array).join(patterns.select("pattern_id", "doc_id", "pattern"), "doc_id").join(texts.select("doc_id", "enc"), "doc_id")
-    smaller = F.expr("substring(enc, cast(pos as int) + 1, length(pattern)) < pattern").cast("long")
-    return joined.groupBy("pattern_id", "doc_id", "node_id").agg(F.sum(smaller).alias("slot"))
+    keyed = leaves(array).join(positions(texts, KEY), ["doc_id", "pos"]).select("doc_id", "node_id", "pos", "key")
+    joined = keyed.join(patterns.select("pattern_id", "doc_id", "pattern"), "doc_id")
+    # The first 64 symbols decide, but for longer patterns that agree in them.
+    open_end = (F.length("pattern") > KEY) & (F.col("key") == F.substring("pattern", 1, KEY))
+    near = F.substring("key", F.lit(1), F.length("pattern")) < F.col("pattern")
+    sure = joined.filter(~open_end).select("pattern_id", "doc_id", "node_id", near.cast("long").alias("smaller"))
+    part = F.expr("substring(enc, cast(pos as int) + 1, length(pattern)) < pattern").cast("long")
+    rest = joined.filter(open_end).join(texts.select("doc_id", "enc"), "doc_id").select("pattern_id", "doc_id", "node_id", part.alias("smaller"))
+    return sure.unionByName(rest).groupBy("pattern_id", "doc_id", "node_id").agg(F.sum("smaller").alias("slot"))
 
 
 def trie_nodes(texts: DataFrame, array: DataFrame) -> DataFrame:
@@ -111,9 +117,12 @@ def trie_nodes(texts: DataFrame, array: DataFrame) -> DataFrame:
     """
     placed = leaves(array)
     pairs = with_lower_neighbour(placed.select("doc_id", "sa_pos", "pos")).join(placed.select("doc_id", "sa_pos", "node_id", "slot"), ["doc_id", "sa_pos"]).filter("slot > 0")
-    joined = pairs.join(texts.select("doc_id", "enc"), "doc_id").withColumn("lcp", common_prefix(F.col("enc"), F.col("prev"), F.col("pos")))
-    prefix = F.expr("substring(enc, cast(pos as int) + 1, cast(lcp as int))")
-    grouped = joined.groupBy("doc_id", "node_id", "lcp", F.sha2(prefix, 256).alias("prefix")).agg(F.min_by("prev", "sa_pos").alias("prefix_pos"), (F.count("*") + 1).alias("n_children"))
+    measured = with_common_prefix(texts, pairs)
+    # Equal prefixes of up to 64 symbols are told by the key, longer ones by a digest of the text.
+    near = measured.filter(F.col("lcp") <= KEY).join(positions(texts, KEY), ["doc_id", "pos"]).withColumn("prefix", F.substring("key", F.lit(1), F.col("lcp").cast("int"))).drop("key")
+    far = measured.filter(F.col("lcp") > KEY).join(texts.select("doc_id", "enc"), "doc_id")
+    far = far.withColumn("prefix", F.sha2(F.expr("substring(enc, cast(pos as int) + 1, cast(lcp as int))"), 256)).drop("enc")
+    grouped = near.unionByName(far).groupBy("doc_id", "node_id", "lcp", "prefix").agg(F.min_by("prev", "sa_pos").alias("prefix_pos"), (F.count("*") + 1).alias("n_children"))
     return grouped.select("doc_id", "node_id", "lcp", "prefix_pos", "n_children")
 
 

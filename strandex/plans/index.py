@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from strandex.functions import encoding as E
 from strandex.operators import rankselect as R
 from strandex.operators import search, suffix, tree
 from strandex.plans import sql as S
-from strandex.sources.tables import dna_docs, materialise, read
+from strandex.sources.stored import StoredIndex
+from strandex.sources.tables import dna_docs as encoded_docs
+from strandex.sources.tables import read, shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +31,35 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+_INDEXES: dict[tuple, StoredIndex] = {}
+
+
+def index_of(spark: SparkSession, sf: str) -> StoredIndex:
+    """The index of the documents, built once a session in the shared folder and read by all queries."""
+    base = shared_folder(spark)
+    name = (spark.sparkContext.applicationId, base, sf)
+    if name not in _INDEXES:
+        _INDEXES[name] = StoredIndex(spark, f"{base}/index-{uuid.uuid4().hex}", encoded_docs(spark, sf))
+    return _INDEXES[name]
+
+
+def dna_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoded documents, as the index has them."""
+    return index_of(spark, sf).texts()
+
+
+@query("index_build", S.query(S.DNA, of="SELECT stage, CAST(d AS BIGINT) AS d, CAST(CASE WHEN stage = 'text' THEN count(*) ELSE sum(ceil(length(enc) / CAST(d AS DOUBLE))) END AS BIGINT) AS \"rows\" FROM dna, (VALUES ('text', 1), ('keys', 1), ('ranks', 1), ('sa', 4), ('suffixes', 4)) AS s(stage, d) GROUP BY stage, d"))
+def _index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the tables of an index for d = 4 that is built anew."""
+    fresh = StoredIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", encoded_docs(spark, sf))
+    tables = (("suffixes", 4, fresh.suffixes(4)), ("text", 1, fresh.texts()), ("keys", 1, fresh.keys()), ("ranks", 1, fresh.ranks()), ("sa", 4, fresh.array(4)))
+    out = None
+    for stage, d, table in tables:
+        part = table.agg(F.count("*").alias("rows")).select(F.lit(stage).alias("stage"), F.lit(d).cast("long").alias("d"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Suffix arrays
 
 for _d in range(1, 9):
@@ -67,14 +100,14 @@ def _round(spark: SparkSession, sf: str) -> DataFrame:
 @query("sa_validate", S.query(S.DNA, of="SELECT doc_id, CAST(length(enc) AS BIGINT) AS n, CAST(0 AS BIGINT) AS inversions FROM dna"))
 def _validate(spark: SparkSession, sf: str) -> DataFrame:
     texts = dna_docs(spark, sf)
-    return suffix.inversions(texts, suffix.suffix_array(texts))
+    return suffix.inversions(texts, index_of(spark, sf).array())
 
 
 @query("size_check", S.query(S.DNA, of="SELECT doc_id, true AS ok FROM dna"))
 def _size_check(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the array of each text is as long as the text and a permutation of its positions."""
     texts = dna_docs(spark, sf)
-    sizes = suffix.suffix_array(texts).groupBy("doc_id").agg(F.count("*").alias("m"), F.sum("pos").alias("s"), F.sum("sa_pos").alias("r"), F.max("pos").alias("top"))
+    sizes = index_of(spark, sf).array().groupBy("doc_id").agg(F.count("*").alias("m"), F.sum("pos").alias("s"), F.sum("sa_pos").alias("r"), F.max("pos").alias("top"))
     total = F.col("n") * (F.col("n") - 1) / 2
     return texts.join(sizes, "doc_id", "left").select("doc_id", F.coalesce((F.col("m") == F.col("n")) & (F.col("s") == total) & (F.col("r") == total) & (F.col("top") == F.col("n") - 1), F.lit(False)).alias("ok"))
 
@@ -89,7 +122,7 @@ _LCP = S.query(
 @query("lcp_array", _LCP)
 def _lcp_array(spark: SparkSession, sf: str) -> DataFrame:
     texts = dna_docs(spark, sf)
-    return suffix.lcp_array(texts, suffix.suffix_array(texts))
+    return suffix.lcp_array(texts, index_of(spark, sf).array())
 
 
 for _d in range(1, 9):
@@ -98,7 +131,7 @@ for _d in range(1, 9):
     @query("bwt_d1" if _d == 1 else f"gbwt_d{_d}", S.query(S.DNA, S.full(_d), S.meta(_d), S.sa(_d), of=f"SELECT doc_id, CAST(sa_pos AS BIGINT) AS sa_pos, {S.octal(f'reverse({_before})', _d)} AS rev_bwt FROM sad"))
     def _bwt(spark: SparkSession, sf: str, d: int = _d) -> DataFrame:
         texts = dna_docs(spark, sf)
-        return suffix.bwt(texts, suffix.suffix_array(texts, d), d).select("doc_id", "sa_pos", "rev_bwt")
+        return suffix.bwt(texts, index_of(spark, sf).array(d), d).select("doc_id", "sa_pos", "rev_bwt")
 
 
 # Rank and select
@@ -188,7 +221,7 @@ def _offsets(spark: SparkSession, sf: str) -> DataFrame:
 @query("bwt_c_array", _OFFSETS.replace("SELECT doc_id, val, n, CAST", "SELECT doc_id, val, CAST"))
 def _c_array(spark: SparkSession, sf: str) -> DataFrame:
     texts = dna_docs(spark, sf)
-    symbols = suffix.bwt(texts, suffix.suffix_array(texts)).select("doc_id", F.col("rev_bwt").alias("val"))
+    symbols = suffix.bwt(texts, index_of(spark, sf).array()).select("doc_id", F.col("rev_bwt").alias("val"))
     return R.select_offsets(symbols).drop("n")
 
 
@@ -212,24 +245,24 @@ def _patterns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("occurrences", S.query(*_P, S.OCC, of="SELECT pattern_id, doc_id, CAST(pos AS BIGINT) AS pos FROM occ"))
 def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return search.occurrences(*_patterns(spark, sf))
+    return search.occurrences(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
 
 
 @query("occurrence_count", S.query(*_P, S.OCC, of="SELECT p.pattern_id, count(o.pos) AS n FROM both_p p LEFT JOIN occ o ON o.pattern_id = p.pattern_id GROUP BY p.pattern_id"))
 def _count(spark: SparkSession, sf: str) -> DataFrame:
-    return search.counts(*_patterns(spark, sf))
+    return search.counts(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
 
 
 @query("pattern_exists", S.query(*_P, S.OCC, of="SELECT pattern_id, pattern FROM both_p WHERE pattern_id IN (SELECT pattern_id FROM occ)"))
 def _exists(spark: SparkSession, sf: str) -> DataFrame:
     texts, patterns = _patterns(spark, sf)
-    return patterns.join(search.occurrences(texts, patterns), "pattern_id", "left_semi").select("pattern_id", "pattern")
+    return patterns.join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id", "left_semi").select("pattern_id", "pattern")
 
 
 @query("pattern_missing", S.query(*_P, S.OCC, of="SELECT pattern_id, pattern FROM both_p WHERE pattern_id NOT IN (SELECT pattern_id FROM occ)"))
 def _missing(spark: SparkSession, sf: str) -> DataFrame:
     texts, patterns = _patterns(spark, sf)
-    return patterns.join(search.occurrences(texts, patterns), "pattern_id", "left_anti").select("pattern_id", "pattern")
+    return patterns.join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id", "left_anti").select("pattern_id", "pattern")
 
 
 _FIRST = "hit AS (SELECT pattern_id, o.doc_id, pos, row_number() OVER (PARTITION BY pattern_id ORDER BY substr(enc, pos + 1), o.doc_id, pos) AS r FROM occ o JOIN dna USING (doc_id))"
@@ -242,28 +275,28 @@ ran AS (SELECT pattern_id, CAST(min(CASE WHEN side = 0 THEN place END) AS BIGINT
 
 @query("sa_range", S.query(*_P, _KEY, _RAN, of="SELECT pattern_id, sa_lo, sa_hi FROM ran"))
 def _sa_range(spark: SparkSession, sf: str) -> DataFrame:
-    return search.ranges(*_patterns(spark, sf))
+    return search.ranges(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
 
 
 @query("first_hit", S.query(*_P, S.OCC, _FIRST, of="SELECT pattern_id, doc_id, CAST(pos AS BIGINT) AS pos FROM hit WHERE r = 1"))
 def _first_hit(spark: SparkSession, sf: str) -> DataFrame:
-    return search.first_hits(*_patterns(spark, sf))
+    return search.first_hits(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
 
 
 @query("first_pos", S.query(*_P, S.OCC, of="SELECT pattern_id, doc_id, CAST(min(pos) AS BIGINT) AS pos FROM occ GROUP BY pattern_id, doc_id"))
 def _first_pos(spark: SparkSession, sf: str) -> DataFrame:
-    return search.first_positions(*_patterns(spark, sf))
+    return search.first_positions(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
 
 
 @query("search_first", S.query(*_P, S.OCC, _FIRST, _KEY, _RAN, of="SELECT ran.pattern_id, sa_lo, sa_hi, coalesce(doc_id, -1) AS doc_id, CAST(coalesce(pos, -1) AS BIGINT) AS pos FROM ran LEFT JOIN hit ON hit.pattern_id = ran.pattern_id AND r = 1"))
 def _search_first(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_first(*_patterns(spark, sf))
+    return search.search_first(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
 
 
 @query("search_all", S.query(*_P, S.OCC, _KEY, _RAN, of="SELECT ran.pattern_id, sa_lo, sa_hi, doc_id, CAST(pos AS BIGINT) AS pos FROM ran JOIN occ ON occ.pattern_id = ran.pattern_id"))
 def _search_all(spark: SparkSession, sf: str) -> DataFrame:
     texts, patterns = _patterns(spark, sf)
-    return search.ranges(texts, patterns).join(search.occurrences(texts, patterns), "pattern_id")
+    return search.ranges(texts, patterns, keys=index_of(spark, sf).keys()).join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id")
 
 
 @query("lcp_pattern", S.query(*_P, of="SELECT pattern_id, p.doc_id, CAST(len(list_filter(range(1, 17), lambda i: contains(enc, substr(pattern, 1, i)))) AS BIGINT) AS lcp FROM both_p p JOIN dna USING (doc_id)"))
@@ -277,7 +310,7 @@ _SNIP = "replace(translate(substr(enc, pos + 1, 25), '1234', 'ACTG'), '0', chr(9
 @query("match_snippet", S.query(*_P, S.OCC, of=f"SELECT pattern_id, doc_id, CAST(pos AS BIGINT) AS pos, {_SNIP} AS snippet FROM occ JOIN dna USING (doc_id)"))
 def _snippet(spark: SparkSession, sf: str) -> DataFrame:
     texts, patterns = _patterns(spark, sf)
-    found = search.occurrences(texts, patterns).join(texts.select("doc_id", "enc"), "doc_id")
+    found = search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()).join(texts.select("doc_id", "enc"), "doc_id")
     return found.select("pattern_id", "doc_id", "pos", search.snippet(F.col("enc"), F.col("pos")).alias("snippet"))
 
 
@@ -296,17 +329,16 @@ for _d in range(2, 9):
     @query(f"gbwt_search_d{_d}", _grouped_sql(_d))
     def _grouped(spark: SparkSession, sf: str, d: int = _d) -> DataFrame:
         texts, patterns = _patterns(spark, sf)
-        return search.grouped_search(texts, patterns, suffix.suffix_array(texts, d), d)
+        return search.grouped_search(texts, patterns, index_of(spark, sf).array(d), d, index_of(spark, sf).suffixes(d))
 
 
 @query("gbwt_count", S.query(*_P, S.OCC, of="SELECT p.pattern_id, CAST(d AS BIGINT) AS d, count(o.pos) AS n FROM both_p p CROSS JOIN range(2, 9) AS t(d) JOIN occ o ON o.pattern_id = p.pattern_id GROUP BY p.pattern_id, d"))
 def _gbwt_count(spark: SparkSession, sf: str) -> DataFrame:
     """Hits through the index of every d; they are the same for all d."""
     texts, patterns = _patterns(spark, sf)
-    ranks = suffix.suffix_ranks(texts)
-    out = None
+    index, out = index_of(spark, sf), None
     for d in range(2, 9):
-        found = search.grouped_search(texts, patterns, suffix.suffix_array(texts, d, ranks), d).groupBy("pattern_id").agg(F.count("*").alias("n"))
+        found = search.grouped_search(texts, patterns, index.array(d), d, index.suffixes(d)).groupBy("pattern_id").agg(F.count("*").alias("n"))
         part = found.select("pattern_id", F.lit(d).cast("long").alias("d"), "n")
         out = part if out is None else out.unionByName(part)
     return out
@@ -344,8 +376,7 @@ _TREE = (*_T, _up(1), _up(2), "tre AS (SELECT * FROM lev0 UNION ALL SELECT * FRO
 
 
 def _array(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    texts = dna_docs(spark, sf)
-    return texts, suffix.suffix_array(texts)
+    return dna_docs(spark, sf), index_of(spark, sf).array()
 
 
 @query("sbt_leaves", S.query(*_T, of="SELECT * FROM lev0"))
@@ -410,7 +441,7 @@ def _trie_dot(spark: SparkSession, sf: str) -> DataFrame:
 def _build_all(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts of the stages for every d, from one sorting of the suffixes."""
     texts = dna_docs(spark, sf)
-    ranks = suffix.suffix_ranks(texts)
+    ranks = index_of(spark, sf).ranks()
     parts = []
     for d in range(1, 9):
         array = suffix.suffix_array(texts, d, ranks)

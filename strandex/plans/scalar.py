@@ -82,10 +82,10 @@ def _slice(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "pos", E.slice_of(F.col("enc"), F.col("pos"), F.floor(F.col("n") / 2)).alias("value"))
 
 
-@query("pattern_validate", "SELECT doc_id, CAST(0 AS BIGINT) AS pos, CASE WHEN regexp_full_match(upper(substr(text, 1, 4)), '[ACGT]*') THEN translate(upper(substr(text, 1, 4)), 'ACTG', '1234') END AS value FROM documents")
+@query("pattern_validate", "SELECT doc_id, CAST(0 AS BIGINT) AS pos, CASE WHEN regexp_full_match(upper(text), '[ACGT]*') THEN translate(upper(text), 'ACTG', '1234') END AS value FROM documents")
 def _validate(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
-    return docs.select("doc_id", F.lit(0).cast("long").alias("pos"), E.checked_pattern(F.upper(F.substring("text", 1, 4))).alias("value"))
+    return docs.select("doc_id", F.lit(0).cast("long").alias("pos"), E.checked_pattern(F.upper("text")).alias("value"))
 
 
 @query("char_histogram", "SELECT code, count(*) AS n FROM (SELECT CAST(unicode(unnest(string_split(text, ''))) AS BIGINT) AS code FROM documents WHERE length(text) > 0) GROUP BY code")
@@ -100,12 +100,10 @@ _ALL_D = "(VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS v(d)"
 
 @query("symbol_freq", "SELECT * FROM (" + "\nUNION ALL ".join(f"({S.query(S.DNA, S.full(d), S.meta(d), of=f'SELECT CAST({d} AS BIGINT) AS d, {S.octal("sym", d)} AS num, count(*) AS n FROM met GROUP BY 2')})" for d in range(1, 9)) + ")")
 def _symbol_freq(spark: SparkSession, sf: str) -> DataFrame:
-    texts = dna_docs(spark, sf)
-    each = [texts.select(F.lit(d).cast("long").alias("d"), F.explode(E.meta_symbols(F.col("enc"), d)).alias("sym")) for d in range(1, 9)]
-    joined = each[0]
-    for more in each[1:]:
-        joined = joined.unionByName(more)
-    return joined.groupBy("d", "sym").agg(F.count("*").alias("n")).select("d", E.octal(F.col("sym")).alias("num"), "n")
+    # One pass over the texts for all d.
+    each = F.array(*(F.struct(F.lit(d).cast("long").alias("d"), E.meta_symbols(F.col("enc"), d).alias("syms")) for d in range(1, 9)))
+    cut = dna_docs(spark, sf).select(F.explode(each).alias("s")).select("s.d", F.explode("s.syms").alias("sym"))
+    return cut.groupBy("d", "sym").agg(F.count("*").alias("n")).select("d", E.octal(F.col("sym")).alias("num"), "n")
 
 
 def _meta_query(name: str, value, oracle_value) -> None:

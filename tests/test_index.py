@@ -56,7 +56,7 @@ def test_searches_agree_for_every_d(spark, texts):
     assert sorted(tuple(r) for r in search.occurrences(frame, patterns).collect()) == want
     ranks = suffix.suffix_ranks(frame).cache()
     for d in (2, 5):
-        found = search.grouped_search(frame, patterns, suffix.suffix_array(frame, d, ranks), d, q=6)
+        found = search.grouped_search(frame, patterns, suffix.suffix_array(frame, d, ranks), d)
         assert sorted((r.pattern_id, r.doc_id, r.pos) for r in found.collect()) == want
     everything = sorted(t[k:] for t in plain.values() for k in range(len(t)))
     for r in search.ranges(frame, patterns).collect():
@@ -154,3 +154,35 @@ def test_all_texts_as_one(spark):
     got = suffix.suffix_array(frame, ranks=suffix.suffix_ranks(frame, joined=True)).collect()
     assert [r.pos for r in sorted(got, key=lambda r: r.sa_pos)] == brute_array(whole, 1)
     assert [tuple(r) for r in suffix.joined_positions(frame.filter("false")).collect()] == [(0, 0, "0")]
+
+
+def test_stored_index_is_built_once_and_reopened(spark, texts, tmp_path):
+    from strandex.sources.stored import StoredIndex
+
+    frame, plain = texts
+    built = StoredIndex(spark, str(tmp_path / "index"), frame)
+    built.suffixes(3)
+    again = StoredIndex(spark, str(tmp_path / "index"))
+    patterns = search.sample_patterns(again.texts(), 14).select("pattern_id", "doc_id", "pattern").cache()
+    listed = [(r.pattern_id, r.pattern) for r in patterns.collect()]
+    want = sorted((p, i, k) for p, s in listed for i, t in plain.items() for k in range(len(t)) if t.startswith(s, k))
+    assert want and sorted(tuple(r) for r in search.occurrences(again.texts(), patterns, again.keys()).collect()) == want
+    found = search.grouped_search(again.texts(), patterns, again.array(3), 3, again.suffixes(3))
+    assert sorted((r.pattern_id, r.doc_id, r.pos) for r in found.collect()) == want
+    first = {r.pattern_id: (r.doc_id, r.pos) for r in search.first_hits(again.texts(), patterns, again.keys()).collect()}
+    for p, s in listed:
+        assert first[p] == min((t[k:], i, k) for i, t in plain.items() for k in range(len(t)) if t.startswith(s, k))[1:]
+    with pytest.raises(ValueError):
+        StoredIndex(spark, str(tmp_path / "nothing")).texts()
+
+
+def test_long_patterns_in_text_search_and_leaves(spark):
+    rnd = random.Random(5)
+    body = "".join(rnd.choice("ab") for _ in range(60)) * 4 + "c"
+    texts = spark.createDataFrame([(1, body), (2, "xyz"), (3, "")], "doc_id long, text string")
+    asked = [(1, 1, body[3:100]), (2, 1, body[3:99] + "z"), (3, 1, body[5:9]), (4, 2, "yz"), (5, 2, "zz")]
+    got = {r.pattern_id: (r.match, r.insertion_suffix) for r in search.text_search(texts, spark.createDataFrame(asked, "pattern_id long, doc_id long, pattern string")).collect()}
+    for p, i, s in asked:
+        t = {1: body, 2: "xyz"}[i]
+        ends = [t[k:] for k in range(len(t))]
+        assert got[p] == (min((e for e in ends if e.startswith(s)), default=None), min((e for e in ends if e >= s), default=None))
