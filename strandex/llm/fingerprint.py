@@ -3,10 +3,11 @@
 Every window of 64 bytes gets the entropy of its bytes, put into one of 1001 classes.
 Over all documents the classes are counted; the rarer a window's class, the better it
 ranks. In each run of 64 neighbouring windows the best one (the first of equals) scores a
-point, and windows with at least 16 points are the text's features. A text of fewer than
-512 code points has too few of them: its features are all its windows of 6 bytes, or its
-whole if that is shorter. So are the 6-byte windows of any stretch of a longer text, of 256 bytes or
-more, that no feature covers, as in repetitive text. Features, in text order and each once, go into a chain of Bloom filters of 2048 bits, 160 features and 5 bits a feature to a filter.
+point, and windows with at least 16 points are the text's features. For texts of fewer than
+512 code points the same is done with windows of 16 bytes, runs of 8 and 2 points, ranked by the
+counts of such windows in all documents. A stretch that no feature covers, of 256 bytes or more
+(32 in the shorter texts, any in a text without features), as in repetitive text, has its 6-byte windows as
+features, or its whole if it is shorter. Features, in text order and each once, go into a chain of Bloom filters of 2048 bits, 160 features and 5 bits a feature to a filter.
 
 Two chains are compared filter by filter: the bits two filters share, less what chance
 gives, are set against the most they could share; each filter of the shorter chain takes
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,30 +32,43 @@ from pyspark.sql import functions as F
 
 from strandex.llm import _bytes as B
 
-WINDOW, RUN, POINTS, BITS, FEATURES, HASHES, CLASSES, LEAST, SHORT, STRETCH = 64, 64, 16, 2048, 160, 5, 1001, 512, 6, 256
+BITS, FEATURES, HASHES, CLASSES, LEAST, SHORT = 2048, 160, 5, 1001, 512, 6
 #: Classes below this are runs of few symbols; they are no features.
 WEAK = 100
-_SHARE = np.arange(WINDOW + 1) / WINDOW
-_PART = np.rint(-_SHARE * np.log2(np.where(_SHARE > 0, _SHARE, 1)) * 1e6).astype(np.int64)
-_REMOVE = np.concatenate([[0], _PART[:-1] - _PART[1:]])
-_ADD = np.append(_PART[1:] - _PART[:-1], 0)
 
 
-def entropy_classes(data: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Scale:
+    """Bytes of a window, windows of a run, points of a feature and the bytes without feature that get 6-byte windows."""
+
+    window: int
+    run: int
+    points: int
+    stretch: int
+
+
+#: For texts of LEAST code points or more, and for shorter ones.
+SCALES = (Scale(64, 64, 16, 256), Scale(16, 8, 2, 32))
+
+
+def entropy_classes(data: np.ndarray, window: int = 64) -> np.ndarray:
     """The entropy class of every window of the buffer, by rolling counts."""
-    n = len(data) - WINDOW + 1
+    n = len(data) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    share = np.arange(window + 1) / window
+    part = np.rint(-share * np.log2(np.where(share > 0, share, 1)) * 1e6).astype(np.int64)
+    remove, add = np.concatenate([[0], part[:-1] - part[1:]]), np.append(part[1:] - part[:-1], 0)
     before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
-    for lag in range(1, WINDOW):  # equal bytes among the 63 before and the 63 after each byte
+    for lag in range(1, window):  # equal bytes among those before and those after each byte in its window
         same = (data[lag:] == data[:-lag]).view(np.uint8)
         before[lag:] += same
         after[:-lag] += same
     total = np.empty(n, np.int64)
-    total[0] = _PART[np.bincount(data[:WINDOW], minlength=256)].sum()
-    np.cumsum(_REMOVE[after[: n - 1] + 1] + _ADD[before[WINDOW : WINDOW + n - 1]], out=total[1:])
+    total[0] = part[np.bincount(data[:window], minlength=256)].sum()
+    np.cumsum(remove[after[: n - 1] + 1] + add[before[window : window + n - 1]], out=total[1:])
     total[1:] += total[0]
-    return total * (CLASSES - 1) // 6_000_000
+    return total * (CLASSES - 1) // round(1e6 * np.log2(window))
 
 
 def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -61,28 +76,31 @@ def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def class_counts(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """How many windows of all documents fall into each class: 1001 numbers."""
+    """How many windows of all documents fall into each class: a row of 1001 numbers for each scale."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
+        total = np.zeros(len(SCALES) * CLASSES, np.int64)
         for batch in batches:
             data, offsets = B.string_buffer(batch.column(0))
             for lo, hi in _parts(offsets):
                 o = offsets[lo : hi + 1]
-                found = entropy_classes(data[o[0] : o[-1]])
-                total += np.bincount(found[_inside(o - o[0], WINDOW)], minlength=CLASSES)
+                for i, scale in enumerate(SCALES):
+                    found = entropy_classes(data[o[0] : o[-1]], scale.window)
+                    total += np.bincount(i * CLASSES + found[_inside(o - o[0], scale.window)], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["class", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(CLASSES, np.int64)
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()  # at most 2002
+    out = np.zeros(len(SCALES) * CLASSES, np.int64)
     for r in rows:
         out[r["class"]] = r["n"]
-    return out
+    return out.reshape(len(SCALES), CLASSES)
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
-    """Rank of each class, the rarest first; weak classes last."""
+    """Rank of each class, the rarest first; weak classes last. One row a scale."""
+    if counts.ndim > 1:
+        return np.stack([rarity_ranks(c) for c in counts])
     order = np.lexsort((np.arange(CLASSES), counts, np.arange(CLASSES) < WEAK))
     ranks = np.empty(CLASSES, np.int64)
     ranks[order] = np.arange(CLASSES)
@@ -96,18 +114,41 @@ def _inside(offsets: np.ndarray, span: int) -> np.ndarray:
     return np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], size)
 
 
-def _bare(offsets: np.ndarray, good: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """Positions of 6-byte windows in the stretches of long rows that no window of good covers."""
+def _improbable(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray, scale: Scale, rows_wanted: np.ndarray) -> np.ndarray:
+    """Starts of the popular windows of the rows wanted."""
+    position = (1 << 40) - 1
+    groups = _inside(offsets, scale.window + scale.run - 1)
+    groups = groups[rows_wanted[np.searchsorted(offsets, groups, "right") - 1]]
+    if not len(groups):
+        return groups
+    classes = entropy_classes(data, scale.window)
+    best = (ranks[classes] << 40) | np.arange(len(classes))
+    step = 1
+    while step < scale.run:  # the best of 2, 4, ... neighbours, the first of equals
+        best = np.minimum(best[:-step], best[step:])
+        step *= 2
+    chosen = best[groups]
+    edge = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    points = np.diff(np.append(edge, len(chosen)))
+    return (chosen[edge] & position)[(points >= scale.points) & (chosen[edge] >> 40 < CLASSES - WEAK)]
+
+
+def _bare(offsets: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """6-byte windows, or whole stretches that are shorter, in the stretches that no feature covers and that have at least least[row] bytes."""
     size = offsets[-1]
-    depth = np.cumsum(np.bincount(good, minlength=size + 1) - np.bincount(good + WINDOW, minlength=size + 1))[:size]
-    free = (depth == 0) & np.repeat(long, np.diff(offsets))
-    row = np.repeat(np.arange(len(long)), np.diff(offsets))
-    cuts = np.flatnonzero((free[1:] != free[:-1]) | (row[1:] != row[:-1])) + 1
-    begin, end = np.concatenate([[0], cuts]), np.append(cuts, size)
-    wanted = free[begin] & (end - begin >= STRETCH)
-    begin, count = begin[wanted], (end - begin - SHORT + 1)[wanted]
+    none = np.zeros(0, np.int64)
+    if not size:
+        return none, none
+    depth = np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size]
+    row = np.repeat(np.arange(len(least)), np.diff(offsets))
+    cuts = np.flatnonzero(((depth[1:] == 0) != (depth[:-1] == 0)) | (row[1:] != row[:-1])) + 1
+    begin, stop = np.concatenate([[0], cuts]), np.append(cuts, size)
+    wanted = (depth[begin] == 0) & (stop - begin >= least[row[begin]])
+    begin, stop = begin[wanted], stop[wanted]
+    count = np.maximum(stop - begin - SHORT + 1, 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    return np.arange(first[-1]) + np.repeat(begin - first[:-1], count)
+    at = np.arange(first[-1]) + np.repeat(begin - first[:-1], count)
+    return at, np.minimum(at + SHORT, np.repeat(stop, count))
 
 
 def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
@@ -121,36 +162,16 @@ def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np
 
 def _digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
     n = len(offsets) - 1
-    size = np.diff(offsets)
     points_before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     long = np.diff(points_before[offsets]) >= LEAST
-    at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    tiny = np.flatnonzero((size > 0) & (size < SHORT) & ~long)
-    at.append(offsets[tiny])
-    to.append(offsets[tiny + 1])
-    every = _inside(offsets, SHORT)
-    every = every[~long[np.searchsorted(offsets, every, "right") - 1]] if len(every) else every
-    at.append(every)
-    to.append(every + SHORT)
-    if long.any():
-        position = (1 << 40) - 1
-        classes = entropy_classes(data)
-        best = (ranks[classes] << 40) | np.arange(len(classes))
-        for step in (1, 2, 4, 8, 16, 32):  # the best of 2, 4, ... 64 neighbours, the first of equals
-            best = np.minimum(best[:-step], best[step:])
-        groups = _inside(offsets, WINDOW + RUN - 1)
-        chosen = best[groups]
-        edge = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        points = np.diff(np.append(edge, len(chosen)))
-        rank, where = chosen[edge] >> 40, chosen[edge] & position
-        rows = np.searchsorted(offsets, where, "right") - 1
-        good = where[(points >= POINTS) & (rank < CLASSES - WEAK) & long[rows]]
-        at.append(good)
-        to.append(good + WINDOW)
-        bare = _bare(offsets, good, long)
-        at.append(bare)
-        to.append(bare + SHORT)
+    at, to = [], []
+    for i, (scale, wanted) in enumerate(zip(SCALES, (long, ~long))):
+        at.append(_improbable(data, offsets, ranks[i], scale, wanted))
+        to.append(at[-1] + scale.window)
     start, end = np.concatenate(at), np.concatenate(to)
+    known = np.bincount(np.searchsorted(offsets, start, "right") - 1, minlength=n)
+    bare, bare_end = _bare(offsets, start, end, np.where(known == 0, 1, np.where(long, SCALES[0].stretch, SCALES[1].stretch)))
+    start, end = np.concatenate([start, bare]), np.concatenate([end, bare_end])
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
     rows = np.searchsorted(offsets, start, "right") - 1
@@ -196,7 +217,7 @@ def text_of(chain: np.ndarray) -> str:
 def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000, most_ranges: int = 10_000) -> DataFrame:
     """Rows (bucket, context, doc_id, text) so that in each bucket, sorted, every row follows its predecessor.
 
-    Buckets are doc_id ranges between existing ids. The last row of each range, whose
+    Buckets are doc_id ranges between existing ids, at most most_ranges of them. The last row of each range, whose
     id is the range's bound, is sent to the following range too, as context; the
     greatest id is the context of the first. One shuffle, no row is held for another.
     """

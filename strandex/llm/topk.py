@@ -10,13 +10,15 @@ then selected from the most significant slice downward, with a set of rows that
 and a set that still ties; the boundary rows left at the end have equal scores and are
 resolved by the smaller id.
 
-Each block of rows meets each group of queries once, both of bounded size; what leaves a task
-is k rows a query.
+A block of rows, of bounded size, is shuffled once and indexed once; groups of queries, of bounded
+size too, follow it into its task. What leaves a task is k rows a query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
-without id, take no part; rows that repeat an id count once (with the smallest vector); only
-vectors of one length are compared; a component whose quantised value needs more than
-26 bits is an error; with fewer than k candidates all are returned.
+without id, take no part; of rows that repeat an id each is a candidate; a query id asks once, with
+its smallest vector, and rows of its own id are no candidates of it; only
+vectors of one length are compared; ties go to the smaller id; a component whose quantised value needs more than
+62 bits, or a score that needs more than 64, is an error; with fewer than k candidates all are returned; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +34,14 @@ _U = np.uint64
 
 
 def quantise(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """id and the integers floor(scale * x), one row an id, without the vectors that take no part."""
+    """id and the integers floor(scale * x) of each row, without the vectors that take no part."""
     x = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = rows.filter(F.col("id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))))
-    one = fine.groupBy("id").agg(F.min("v").alias("v"))
     value = F.transform("v", lambda e: F.floor(F.lit(float(scale)) * e))
-    small = F.forall(value, lambda e: F.abs(e) < F.lit(1 << 26))
-    checked = F.when(small, value.cast("array<int>")).otherwise(F.raise_error(F.lit("a quantised component needs more than 26 bits")).cast("array<int>"))
-    return one.select("id", checked.alias("v"))
+    small = F.forall("v", lambda e: F.abs(e) < F.lit(float(1 << 62) / scale))
+    checked = F.when(small, value.cast("array<long>")).otherwise(F.raise_error(F.lit("a quantised component needs more than 62 bits")).cast("array<long>"))
+    return fine.select("id", checked.alias("v"))
 
 
 class SlicedBlock:
@@ -109,10 +110,10 @@ class SlicedBlock:
         q = len(queries)
         sure = np.zeros((q, self.words), _U)
         tie = np.repeat(self.rows[None, :], q, 0)
-        own = np.searchsorted(self.ids, query_ids)
+        lo, hi = np.searchsorted(self.ids, query_ids, "left"), np.searchsorted(self.ids, query_ids, "right")
         for i in range(q):
-            if own[i] < len(self.ids) and self.ids[own[i]] == query_ids[i]:
-                tie[i, own[i] // 64] &= ~(_U(1) << _U(own[i] % 64))
+            for row in range(lo[i], hi[i]):
+                tie[i, row // 64] &= ~(_U(1) << _U(row % 64))
         for plane in reversed(total):
             ones = tie & plane
             some = sure | ones
@@ -123,26 +124,29 @@ class SlicedBlock:
             first = np.flatnonzero(np.unpackbits(sure[i].view(np.uint8), bitorder="little"))
             rest = np.flatnonzero(np.unpackbits(tie[i].view(np.uint8), bitorder="little"))
             for row in np.concatenate([first, rest[: max(0, k - len(first))]]):
-                yield int(query_ids[i]), int(self.ids[row]), int(self.values[row] @ queries[i])
+                yield int(query_ids[i]), int(self.ids[row]), sum(int(x) * int(y) for x, y in zip(self.values[row], queries[i]))
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, block_rows: int = 8192, query_rows: int = 1024, batch: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query against all other rows.
 
     is_query is a condition over `id`. Rows are dealt into blocks and queries into
-    groups by hash; a block is copied to each group and a group to each shard of blocks.
+    groups by hash; a group is copied to each block.
     """
     rows = quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale)
     ids = vectors.select(F.col(id_col).cast("long").alias("id"))
     size = ids.agg(F.count("id").alias("n"), F.sum(is_query.cast("long")).alias("q")).first()
     blocks, groups = max(1, -(-size["n"] // block_rows)), max(1, -(-(size["q"] or 0) // query_rows))
     keyed = rows.select(F.size("v").alias("dims"), "id", "v")
-    member = F.struct("id", "v")
-    placed = keyed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dims", "block").agg(F.collect_list(member).alias("rows"))
-    placed = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = keyed.filter(is_query).withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")).groupBy("dims", "grp").agg(F.collect_list(member).alias("queries"))
+    members = F.collect_list(F.struct("id", "v")).alias("members")
+    # Rows that repeat an id are dealt by their vectors too.
+    placed = keyed.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).groupBy("dims", "block").agg(members)
+    once = keyed.filter(is_query).groupBy("id").agg(F.min(F.struct("v", "dims")).alias("q")).select("q.dims", "id", "q.v")
+    asked = once.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")).groupBy("dims", "grp").agg(members)
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = placed.join(asked, ["dims", "block", "grp"]).select("rows", "queries")
+    both = placed.select("dims", "block", F.lit(0).alias("turn"), "members").unionAll(asked.select("dims", "block", F.lit(1).alias("turn"), "members"))
+    # A block comes before the queries that are put to it.
+    dealt = both.repartition("dims", "block").sortWithinPartitions("dims", "block", "turn").select("dims", "block", "turn", "members")
 
     def table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         flat = column.flatten()
@@ -150,15 +154,21 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, block_rows: int
         return ids, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, index = None, None
         for part in batches:
             for i in range(part.num_rows):
-                block = SlicedBlock(*table(part.column(0).slice(i, 1)))
-                query_ids, queries = table(part.column(1).slice(i, 1))
-                for lo in range(0, len(query_ids), batch):
-                    found = list(block.top(query_ids[lo : lo + batch], queries[lo : lo + batch].astype(np.int64), k))
+                here = part.column(0)[i].as_py(), part.column(1)[i].as_py()
+                ids, values = table(part.column(3).slice(i, 1))
+                if part.column(2)[i].as_py() == 0:
+                    place, index = here, SlicedBlock(ids, values)
+                    continue
+                if here != place:  # no rows in this block
+                    continue
+                for lo in range(0, len(ids), batch):
+                    found = list(index.top(ids[lo : lo + batch], values[lo : lo + batch].astype(np.int64), k))
                     columns = list(zip(*found)) or [(), (), ()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

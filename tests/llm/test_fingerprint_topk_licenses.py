@@ -17,6 +17,51 @@ def test_rolling_entropy_against_counts():
         bits = -sum(p * math.log2(p) for p in share if p)
         assert abs(got[i] - bits / 6 * 1000) <= 1.01
     assert len(fingerprint.entropy_classes(data[:63])) == 0
+    small = fingerprint.entropy_classes(data, 16)
+    for i in range(0, len(small), 5):
+        share = np.bincount(data[i : i + 16]) / 16
+        assert abs(small[i] - -sum(p * math.log2(p) for p in share if p) / 4 * 1000) <= 1.01
+
+
+def brute_features(text: bytes, ranks: np.ndarray) -> list[bytes]:
+    """The rule as stated, window by window."""
+    scale = fingerprint.SCALES[0 if len(text.decode()) >= fingerprint.LEAST else 1]
+    row = ranks[fingerprint.SCALES.index(scale)]
+    classes = fingerprint.entropy_classes(np.frombuffer(text, np.uint8), scale.window)
+    points = {}
+    for i in range(len(classes) - scale.run + 1):
+        best = min(range(i, i + scale.run), key=lambda j: (row[classes[j]], j))
+        points[best] = points.get(best, 0) + 1
+    starts = [(j, j + scale.window) for j, p in points.items() if p >= scale.points and row[classes[j]] < fingerprint.CLASSES - fingerprint.WEAK]
+    least, covered = scale.stretch if starts else 1, {x for a, b in starts for x in range(a, b)}
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and j not in covered:
+            j += 1
+        if j - i >= least:
+            starts += [(x, min(x + 6, j)) for x in range(i, max(i + 1, j - 5))]
+        i = max(j, i) + 1
+    found = [text[a:b] for a, b in sorted(starts)]
+    return list(dict.fromkeys(found))
+
+
+def test_chains_against_brute_force():
+    rnd = random.Random(8)
+    texts = ["", "x", "abcde", "the end of it", "a" * 700, "ab" * 40]
+    texts += [" ".join("".join(rnd.choice("etaoinshré") for _ in range(rnd.randint(2, 8))) for _ in range(n)) for n in (3, 10, 40, 90, 200, 900)]
+    parts = [t.encode() for t in texts]
+    ranks = np.stack([fingerprint.rarity_ranks(np.random.default_rng(i).permutation(fingerprint.CLASSES)) for i in (1, 2)])
+    for part, chain in zip(parts, fingerprint.digests(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), ranks)):
+        features = brute_features(part, ranks)
+        data = np.frombuffer(b"".join(features), np.uint8)
+        ends = np.cumsum([0, *map(len, features)])
+        hashes = fingerprint.B.run_hashes(data, ends[:-1], ends[1:])
+        bits = np.zeros((-(-len(features) // 160), 2048), bool)
+        for i, h in enumerate(hashes.tolist()):
+            for turn in range(5):
+                bits[i // 160, (h >> 11 * turn) & 2047] = True
+        assert bool(len(chain)) == bool(part) and (np.packbits(bits, axis=1) == chain).all()
 
 
 def test_fingerprints_of_all_rows(make_docs, corpus):
@@ -48,7 +93,7 @@ def test_edits_are_nearer_than_strangers():
     edited = a[: len(a) * 2 // 3] + b[: len(a) // 3]
     parts = [x.encode() for x in (a, b, edited)]
     data = np.frombuffer(b"".join(parts), np.uint8)
-    ranks = fingerprint.rarity_ranks(np.arange(fingerprint.CLASSES))
+    ranks = fingerprint.rarity_ranks(np.stack([np.arange(fingerprint.CLASSES)] * 2))
     x, y, z = fingerprint.digests(data, np.cumsum([0, *map(len, parts)]), ranks)
     assert fingerprint.likeness(x, x) == 1 and fingerprint.likeness(x, z) > 0.4 > 0.1 > fingerprint.likeness(x, y)
 
@@ -62,7 +107,7 @@ def test_top_k_against_brute_force(spark, k, block_rows, query_rows):
     rng = np.random.default_rng(3)
     values = np.round(rng.normal(0, 0.3, (230, 5)), 1).astype(np.float32)  # many ties
     rows = [(i, [float(x) for x in v], 1, "a", "b") for i, v in enumerate(values)]
-    rows += [(900, None, 1, "", ""), (1000, [1.0, None, 0.0, 0.0, 0.0], 1, "", ""), (1100, [float("nan")] * 5, 1, "", ""), (1200, [float("inf")] * 5, 1, "", ""), (None, [0.1] * 5, 1, "", ""), rows[100]]
+    rows += [(900, None, 1, "", ""), (1000, [1.0, None, 0.0, 0.0, 0.0], 1, "", ""), (1100, [float("nan")] * 5, 1, "", ""), (1200, [float("inf")] * 5, 1, "", ""), (None, [0.1] * 5, 1, "", "")]
     got = sorted(tuple(r) for r in topk.top_k(_vectors(spark, rows), F.col("id") % 100 == 0, k=k, block_rows=block_rows, query_rows=query_rows).collect())
     whole = np.floor(values.astype(float) * 1024).astype(int)
     want = []
@@ -72,6 +117,17 @@ def test_top_k_against_brute_force(spark, k, block_rows, query_rows):
     assert got == want
 
 
+def test_repeated_ids_large_components_and_lengths(spark):
+    rows = [(100, [70000.0, -3.0]), (1, [70000.0, 1.0]), (1, [70001.0, 1.0]), (2, [-5e6, 0.5]), (3, [1.0]), (100, [70000.5, -3.0]), (200, [0.0, 0.0]), (1, [70000.0, 1.0])]
+    table = _vectors(spark, [(i, [float(x) for x in v], 1, "", "") for i, v in rows])
+    floor = lambda v: [math.floor(1024 * x) for x in np.array(v, np.float32).astype(float)]
+    want = []
+    for q, v in ((100, rows[0][1]), (200, rows[6][1])):
+        scores = sorted((-sum(a * b for a, b in zip(floor(v), floor(c))), i) for i, c in rows if i != q and len(c) == len(v))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:3])]
+    assert sorted(tuple(r) for r in topk.top_k(table, F.col("id") % 100 == 0, k=3, block_rows=2).collect()) == want
+
+
 def test_few_or_no_candidates(spark):
     none = topk.top_k(_vectors(spark, []), F.col("id") % 100 == 0)
     assert none.collect() == []
@@ -114,7 +170,7 @@ def test_licences_that_are_frequent_in_the_corpus_are_found(make_docs):
 def test_repetitive_texts_have_features():
     rnd = random.Random(4)
     normal = " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(300))
-    ranks = fingerprint.rarity_ranks(np.arange(fingerprint.CLASSES))
+    ranks = fingerprint.rarity_ranks(np.stack([np.arange(fingerprint.CLASSES)] * 2))
     repeated = [("abcdefghijklmno"[:p] * 800)[:800] for p in range(1, 16)] + ["=" * 800, "0 " * 400, "ha " * 300, "the " * 200]
     for text in repeated:
         edited = text[: len(text) * 2 // 3] + normal[: len(text) // 3]
