@@ -8,13 +8,15 @@ held-out variants. A paragraph is identified if the calibrated probability of be
 at least 0.5 and the template of the predicted family that resembles it most shares at
 least `least_overlap` of the shorter one's 2-grams.
 
-Scoring is DataFrame code. A paragraph with no n-gram of the model scores as the
-intercepts do, which training checks to be unknown; every n-gram of the model contains one
-of a few anchor words (its rarest), so paragraphs without an anchor word are passed over
-exactly. The rest are scored row by row inside the scan; no line is shuffled to be classified.
+Scoring is DataFrame code. Only a paragraph that the template comparison can confirm is scored: one
+that shares two different 2-grams with the templates, or its only one. (With `least_overlap` of the
+shorter one's 2-grams to share, and three in the shortest template, fewer cannot be enough.) Each 2-gram of a template has
+an anchor, the rarer of its words, so paragraphs without an anchor are passed over
+before their 2-grams are formed. No line is shuffled to be classified.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are scanned alike; a null
-doc_id is scanned and stays null; an empty table gives no rows; other columns are ignored.
+doc_id is scanned and stays null; paragraphs of any length are read whole; an empty table trains on the templates alone
+and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,11 +112,14 @@ def shared_part(ours: Column, theirs: Column) -> Column:
     return F.size(F.array_intersect(ours, theirs)) / F.greatest(F.lit(1), F.least(F.size(ours), F.size(theirs)))
 
 
-def resembles(words: Column, least: float = 0.3) -> Column:
-    """Whether a paragraph shares two 2-grams, and the share `least` of the shorter one's, with a template."""
-    given = F.array(*(F.array(*map(F.lit, _pairs(t))) for texts in TEMPLATES.values() for t in texts))
-    ours = grams(words, (2,))
-    return F.exists(given, lambda t: (F.size(F.array_intersect(ours, t)) >= 2) & (shared_part(ours, t) >= least))
+def resembling(lines: DataFrame, least: float = 0.3) -> DataFrame:
+    """lines (line_id, words) -> line_id of those that share two 2-grams, and the share `least` of the shorter one's, with a template."""
+    pairs = lines.select("line_id", F.explode(grams(F.col("words"), (2,))).alias("pair"))
+    given = [(n, pair, len(_pairs(t))) for n, t in enumerate(x for texts in TEMPLATES.values() for x in texts) for pair in _pairs(t)]
+    theirs = F.broadcast(lines.sparkSession.createDataFrame(given, "template int, pair string, theirs int"))
+    sizes = pairs.groupBy("line_id").agg(F.count("*").alias("ours"))
+    shared = pairs.join(theirs, "pair").groupBy("line_id", "template").agg(F.count("*").alias("n"), F.max("theirs").alias("theirs")).filter("n >= 2")
+    return shared.join(sizes, "line_id").filter(F.col("n") >= least * F.least("ours", "theirs")).select("line_id").distinct()
 
 
 def _pairs(text: str) -> list[str]:
@@ -152,17 +157,22 @@ def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lines = sample.select(F.posexplode(paragraphs(F.col("text"))).alias("n", "line"))
     # Lines of the sample that may be licences themselves are no examples of the unknown.
     talk = F.arrays_overlap("words", F.array(*map(F.lit, ("license", "licence", "licensed", "licensing", "copyright", "spdx"))))
-    plain = lines.select(F.lit(0).alias("label"), (F.col("n") % variants).alias("variant"), tokens(F.col("line")).alias("words")).filter((F.size("words") > 0) & ~talk & ~resembles(F.col("words")))
-    rows = persist(varied.withColumn("sampled", F.lit(False)).unionByName(plain.withColumn("sampled", F.lit(True))).select("label", "variant", grams(F.col("words")).alias("grams"), "words", "sampled"), "licence-train")
+    worded = lines.select((F.col("n") % variants).alias("variant"), tokens(F.col("line")).alias("words"), F.monotonically_increasing_id().alias("line_id")).filter(F.size("words") > 0)
+    worded = persist(worded, "licence-lines")
+    quiet = worded.filter(~talk)
+    plain = quiet.join(resembling(quiet), "line_id", "left_anti").select(F.lit(0).alias("label"), "variant", "words")
+    # The words are written before n-grams are formed, so that they are cut once.
+    given_rows = persist(varied.withColumn("sampled", F.lit(False)).unionByName(plain.withColumn("sampled", F.lit(True))), "licence-words")
+    rows = persist(given_rows.select("label", "variant", grams(F.col("words")).alias("grams"), "words", "sampled"), "licence-train")
     held = F.col("variant") % 4 == 3
     counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=vocabulary).fit(rows.filter(~held))
     theirs = templates.filter("label > 0").select(F.explode(grams(F.col("words"))).alias("g")).distinct().collect()  # bounded by TEMPLATES
     features = sorted({*counted.vocabulary, *(r["g"] for r in theirs)})
     lines_of = rows.filter("sampled").select(F.explode(F.array_distinct("words")).alias("w"))
-    words = sorted({w for g in features for w in g.split()})
-    listed = F.broadcast(spark.createDataFrame([(w,) for w in words], "w string"))
-    frequency = {r["w"]: r["count"] for r in lines_of.join(listed, "w").groupBy("w").count().collect()}  # at most the vocabulary's words
-    rare = lambda g: min(g.split(), key=lambda w: (frequency.get(w, 0), w))
+    known = sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(t)})
+    listed = F.broadcast(spark.createDataFrame([(w,) for w in sorted({w for p in known for w in p.split()})], "w string"))
+    frequency = {r["w"]: r["count"] for r in lines_of.join(listed, "w").groupBy("w").count().collect()}  # at most the templates' words
+    anchors = sorted({min(p.split(), key=lambda w: (frequency.get(w, 0), w)) for p in known})
     counted = CountVectorizerModel.from_vocabulary(features, "grams", "features", binary=True)
     table = counted.transform(rows).select("features", "label", held.alias("held"))
     table = persist(table.coalesce(4), "licence-table")
@@ -172,25 +182,20 @@ def train_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scored = model.transform(table.filter("held")).select(margin.alias("margin"), (F.col("label") > 0).cast("double").alias("label"))
     scored = VectorAssembler(inputCols=["margin"], outputCol="features").transform(scored)
     calibration = LogisticRegression(regParam=1e-4, maxIter=50).fit(scored)
-    matrix = model.coefficientMatrix.toArray()
-    anchors = sorted({rare(g) for j, g in enumerate(features) if abs(matrix[:, j]).max() > 0})
-    fitted = LicenceModel(families, counted, model, float(calibration.coefficients[0]), float(calibration.intercept), anchors)
-    import math
-
-    intercepts = [float(x) for x in model.interceptVector]
-    top = max(intercepts)
-    p = math.exp(intercepts[0] - top) / sum(math.exp(x - top) for x in intercepts)
-    if fitted.slope * math.log((1 - p + 1e-9) / (p + 1e-9)) + fitted.shift >= 0:
-        raise RuntimeError("a paragraph without any n-gram of the model would not be unknown")
-    return fitted
+    return LicenceModel(families, counted, model, float(calibration.coefficients[0]), float(calibration.intercept), anchors)
 
 
 def scan_paragraphs(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_col: str = "text", least_overlap: float = 0.6) -> DataFrame:
-    """doc_id, text_hash, paragraph, line, family, probability, template_overlap, confirmed: the paragraphs that are not unknown."""
+    """doc_id, text_hash, paragraph, line, family, probability, template_overlap, confirmed: the paragraphs that resemble some template and are not unknown."""
+    if not 0.6 <= least_overlap <= 1:
+        raise ValueError("least_overlap must be in 0.6..1")
     spark: SparkSession = docs.sparkSession
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph", "line"))
     worded = lines.withColumn("words", tokens(F.col("line"))).filter(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors or [""]))))
-    scored = model.regression.transform(model.counter.transform(worded.withColumn("grams", grams(F.col("words")))))
+    every = F.array(*(F.lit(p) for p in sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(t)})))
+    paired = worded.withColumn("pairs", grams(F.col("words"), (2,)))
+    able = paired.filter(F.size(F.array_intersect("pairs", every)) >= F.greatest(F.lit(1), F.least(F.size("pairs"), F.lit(2))))
+    scored = model.regression.transform(model.counter.transform(able.withColumn("grams", grams(F.col("words")))))
     e = scored.select("doc_id", "text_hash", "paragraph", "line", "words", vector_to_array("probability").alias("e"))
     unknown = F.col("e")[0]
     margin = F.log((1 - unknown + 1e-9) / (unknown + 1e-9))
