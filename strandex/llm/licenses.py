@@ -191,7 +191,8 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_
         raise ValueError("least_overlap must be in 0.6..1")
     spark: SparkSession = docs.sparkSession
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph", "line"))
-    worded = lines.withColumn("words", tokens(F.col("line"))).filter(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors or [""]))))
+    # A generator keeps the words a column: inside the n-grams they would be cut anew for every word.
+    worded = lines.withColumn("words", F.explode(F.array(tokens(F.col("line"))))).filter(F.arrays_overlap("words", F.array(*map(F.lit, model.anchors or [""]))))
     every = F.array(*(F.lit(p) for p in sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(t)})))
     paired = worded.withColumn("pairs", grams(F.col("words"), (2,)))
     able = paired.filter(F.size(F.array_intersect("pairs", every)) >= F.greatest(F.lit(1), F.least(F.size("pairs"), F.lit(2))))
