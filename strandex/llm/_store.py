@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+#: Paths of the working tables of the scopes that are open, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Working tables that persist() writes inside are deleted at the end, but for those written for outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def persist(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; outside keeps it beyond the innermost scope.
 
     This cuts the lineage: a later stage rereads files that every executor can
     see, so that a lost executor costs only its own unfinished tasks.
@@ -37,4 +55,6 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_scopes) > outside:
+        _scopes[-2 if outside else -1].append(path)
     return spark.read.schema(df.schema).parquet(path)

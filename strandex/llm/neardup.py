@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandex.llm import _bytes as B
-from strandex.llm._store import persist
+from strandex.llm._store import persist, scratch
 
 _U = B.U64
 BANDS, ROWS = 50, 5
@@ -207,7 +207,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         before = state
         both = edges.select("a", "b").unionAll(edges.select(*pair("b", "a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         edges = persist(small.filter("a <> b").distinct(), "links")
@@ -334,15 +334,10 @@ def _label(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return rows.join(known, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_component", column)).drop("_node", "_component")
 
 
-def grouped_rows(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and the first (doc_id, text_hash) of the component: one row a document.
-
-    component_id and first are null for documents that are linked with nothing by definition.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = persist(sketch_documents(texts, k=k), "sketches")
-    some = sketched.filter((F.col("n_shingles") > 0) & (F.lit(null_ids) | F.col("doc_id").isNotNull()))
+def _labelled_sets(texts: DataFrame, sketched: DataFrame, k: int, percent: int, null_ids: bool) -> DataFrame:
+    """one, two, n_shingles, first, component: a row for each set."""
     key = ["one", "two", "n_shingles"]
+    some = sketched.filter((F.col("n_shingles") > 0) & (F.lit(null_ids) | F.col("doc_id").isNotNull()))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     sets = some.groupBy(*key).agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("registers").alias("registers"))
     popular = F.lit(15) - F.least(F.lit(15), F.floor(F.log2("copies")))
@@ -366,7 +361,19 @@ def grouped_rows(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     placed = _label(nodes.select("node", "home", "n_shingles", F.col("node").alias("component")), stars, "component")
     crossed = connected_components(_cell_links(nodes, placed, percent))
     labelled = _label(_label(sets.select(*key, "first", F.col("node").alias("component")), stars, "component"), crossed, "component")
-    labelled = persist(labelled, "labelled")
+    return persist(labelled, "labelled", outside=True)
+
+
+def grouped_rows(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and the first (doc_id, text_hash) of the component: one row a document.
+
+    component_id and first are null for documents that are linked with nothing by definition.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = persist(sketch_documents(texts, k=k), "sketches")
+    key = ["one", "two", "n_shingles"]
+    with scratch(docs.sparkSession):
+        labelled = _labelled_sets(texts, sketched, k, percent, null_ids)
     least = labelled.groupBy("component").agg(F.min("first").alias("first")).withColumnRenamed("component", "_component")
     groups = labelled.drop("first").join(least, F.col("component") == F.col("_component")).select(*(F.col(c).alias(f"_{c}") for c in key), "first")
     same = [F.col(c) == F.col(f"_{c}") for c in key]
@@ -388,10 +395,11 @@ def without_copies(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: st
     Null ids come last and are linked like any other; of rows that repeat id and text, one
     stays. Documents without words are linked with nothing, so all of them stay.
     """
-    rows = persist(grouped_rows(docs, k=k, percent=percent, id_col=id_col, text_col=text_col, null_ids=True).filter("grouped"), "grouped")
-    keys = rows.groupBy("doc_id", "text_hash").agg(F.first("first").alias("first"), F.count("*").alias("n"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    acted = persist(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "n").filter("n > 1 or not stays"), "acted")
+    with scratch(docs.sparkSession):
+        rows = persist(grouped_rows(docs, k=k, percent=percent, id_col=id_col, text_col=text_col, null_ids=True).filter("grouped"), "grouped")
+        keys = rows.groupBy("doc_id", "text_hash").agg(F.first("first").alias("first"), F.count("*").alias("n"))
+        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        acted = persist(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "n").filter("n > 1 or not stays"), "acted", outside=True)
     nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
     of = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
     once = nested.join(acted.filter("stays").select("_id", "_hash"), of, "left_semi").dropDuplicates(["id", "hash"])
