@@ -213,6 +213,17 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = persist(small.filter("a <> b").distinct(), "links")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """links (a, b), at most one a below each b -> node, component: the root above each b, by pointer jumping."""
+    known = persist(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots")
+    while True:
+        up = known.select(F.col("node").alias("_node"), F.col("component").alias("_up"))
+        joined = known.join(up, F.col("component") == F.col("_node"), "left")
+        known = persist(joined.select("node", F.coalesce("_up", "component").alias("component"), F.col("_up").isNotNull().alias("moved")), "roots")
+        if known.filter("moved").isEmpty():
+            return known.select("node", "component")
+
+
 def _sets_of(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, _U) for x in column.to_pylist()]
 
@@ -357,7 +368,7 @@ def _labelled_sets(texts: DataFrame, sketched: DataFrame, k: int, percent: int,
     found = found.select("node", "home", "n_shingles", "registers", "text").mapInArrow(items, "node long, home long, n_shingles long, registers binary, items binary")
     nodes = persist(found.dropDuplicates(["node"]), "nodes")
 
-    stars = connected_components(_home_links(nodes, percent))
+    stars = _roots(_home_links(nodes, percent))
     placed = _label(nodes.select("node", "home", "n_shingles", F.col("node").alias("component")), stars, "component")
     crossed = connected_components(_cell_links(nodes, placed, percent))
     labelled = _label(_label(sets.select(*key, "first", F.col("node").alias("component")), stars, "component"), crossed, "component")
