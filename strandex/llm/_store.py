@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 16 << 20
+#: The setting by which an execution removes its shuffle files at its end (Spark 4.1).
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -46,15 +48,31 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Executions inside remove their shuffle files when they end, not when the driver's garbage is next collected."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def persist(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back; outside keeps it beyond the innermost scope.
 
     This cuts the lineage: a later stage rereads files that every executor can
-    see, so that a lost executor costs only its own unfinished tasks.
+    see, so that a lost executor costs only its own unfinished tasks. The shuffle files of the
+    write go with it, as nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _without_shuffle_files(spark):
+        df.write.parquet(path)
     if len(_scopes) > outside:
         _scopes[-2 if outside else -1].append(path)
     return spark.read.schema(df.schema).parquet(path)
