@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: The setting by which an execution removes its shuffle files at its end (Spark 4.1).
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
