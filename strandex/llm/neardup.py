@@ -12,7 +12,8 @@ with the Jaccard similarity.
    The first of a node's hubs is its home. Every node is compared with its home: one pair a node.
 3. What that leaves open are buckets whose nodes lie in several components. Nodes are
    dealt into cells by home, by whether they are in their home's component, and, in
-   large homes, by hash, so that a cell has a bounded size. Two cells that share such a bucket
+   large homes, by hash, so that a cell has a bounded size; small homes around one crowd share
+   cells. Two cells that share such a bucket
    meet once in a task, whatever the number of bands they share. There the pairs of
    different components that share a band are compared, and only those links
    leave the task that join two components: fewer rows than the cells have components.
@@ -53,7 +54,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.02, 20.0, 4000
 #: A likelihood ratio that rejects at five deviations: half of their square.
 REJECT = 12.5
-#: Shingles of a cell, about: two cells meet in a task.
+#: Size of a cell, about, in shingles and a quarter of the registers a node: two cells meet in a task.
 CELL = 1 << 17
 _MULTIPLY = np.random.default_rng(20240602).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -309,21 +310,40 @@ def _join_cells(components: np.ndarray, sizes: np.ndarray, registers: np.ndarray
     return joined
 
 
+def _gathered(per: DataFrame, totals: DataFrame) -> DataFrame:
+    """_from, _to: cells that are their home's only one go into cells of the least home with which theirs shares an open bucket.
+
+    Without this a large cell would be sent once for each of the many cells of a few nodes around it.
+    One step only, and homes stay whole, so that a cell meets no more cells than its homes did.
+    """
+    crowds = per.groupBy("band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.min("cell.home").alias("lead")).filter("x < y").select("band", "lead")
+    leads = per.select("band", F.col("cell.home").alias("_home")).join(crowds, "band").groupBy("_home").agg(F.min("lead").alias("_lead"))
+    lone = totals.filter("_blocks = 1").join(leads, "_home")
+    blocks = lone.groupBy("_lead", "_apart").agg(F.ceil(F.sum("_size") / CELL).cast("long").alias("_n"))
+    block = -1 - F.pmod(F.xxhash64("_home"), F.col("_n"))
+    named = lambda home, at: F.struct(F.col(home).alias("home"), F.col("_apart").alias("apart"), at.alias("block"))
+    return persist(lone.join(blocks, ["_lead", "_apart"]).select(named("_home", F.lit(0).cast("long")).alias("_from"), named("_lead", block).alias("_to")), "moves")
+
+
 def _cell_links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """nodes (node, n_shingles, registers, items) and placed (node, home, component, n_shingles) -> a, b: pairs of components that further links join."""
     own = placed.select(F.col("node").alias("_home"), F.col("component").alias("_main"))
     sided = placed.join(own, F.col("home") == F.col("_home")).select("node", "home", "component", "n_shingles", (F.col("component") != F.col("_main")).alias("apart"))
     sided = persist(sided, "sided")
-    totals = sided.groupBy("home", "apart").agg(F.ceil(F.sum("n_shingles") / CELL).cast("long").alias("_blocks")).withColumnsRenamed({"home": "_home", "apart": "_apart"})
+    totals = sided.groupBy("home", "apart").agg(F.sum(F.col("n_shingles") + REGISTERS // 4).alias("_size")).withColumnsRenamed({"home": "_home", "apart": "_apart"})
+    totals = persist(totals.withColumn("_blocks", F.ceil(F.col("_size") / CELL).cast("long")), "totals")
     cell = F.struct("home", "apart", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block"))
     keyed = sided.join(totals, (F.col("home") == F.col("_home")) & (F.col("apart") == F.col("_apart"))).select("node", "component", cell.alias("cell"))
     dealt = persist(nodes.select("node", "n_shingles", "registers", "items").join(keyed, "node"), "cells")
-    per = banded(dealt, "component", "cell").groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    per = persist(banded(dealt, "component", "cell").groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "bands")
+    moves = _gathered(per, totals)
+    move = lambda rows: rows.join(moves, F.col("cell") == F.col("_from"), "left").withColumn("cell", F.coalesce("_to", "cell")).drop("_from", "_to")
+    per = move(per).groupBy("band", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     crowds = per.groupBy("band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.array_sort(F.collect_list(F.struct("cell", "lo", "hi"))).alias("cells")).filter("x < y")
     open_pair = lambda p, q: F.least(p["lo"], q["lo"]) < F.greatest(p["hi"], q["hi"])
     onward = lambda p, i: F.transform(F.filter(F.slice("cells", i + 1, F.size("cells")), lambda q: open_pair(p, q)), lambda q: F.struct(p["cell"].alias("i"), q["cell"].alias("j")))
     units = persist(crowds.select(F.explode(F.flatten(F.transform("cells", onward))).alias("u")).select("u.i", "u.j").distinct(), "units")
-    packed = dealt.groupBy("cell").agg(F.collect_list(F.struct("component", "n_shingles", "registers", "items")).alias("members"))
+    packed = move(dealt).groupBy("cell").agg(F.collect_list(F.struct("component", "n_shingles", "registers", "items")).alias("members"))
     of = lambda c: packed.select(F.col("cell").alias(c), F.col("members").alias(f"m{c}"))
     met = units.join(of("i"), "i").join(of("j"), "j").select("mi", F.when(F.col("i") != F.col("j"), F.col("mj")).alias("mj"))
 
