@@ -56,15 +56,15 @@ def _check(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (B.run_hashes(data, offsets[:-1], offsets[1:]) >> _U(44)).astype(np.int64)
 
 
-def _pack(word: np.ndarray, check: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """One long: first word of the anchor (31 bits), text check (20), words from the first and last window start to it (6 + 6)."""
-    return (word << 32) | (check << 12) | (before << 6) | after
+def _pack(word: np.ndarray, check: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs: first word of the anchor with the text check (20 bits), and words from the first and last window start to it (31 bits each)."""
+    return (word << 20) | check, (before << 31) | after
 
 
-def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text check, first and last window start."""
-    word = packed >> 32
-    return (packed >> 12) & 0xFFFFF, word - ((packed >> 6) & 63), word - (packed & 63)
+    word = place >> 20
+    return place & 0xFFFFF, word - (reach >> 31), word - (reach & 0x7FFFFFFF)
 
 
 def _seeds(items: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,11 +95,11 @@ def _seeds(items: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarr
 def _context_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
     """A hash of words first .. last + length - 1 and of the anchor's place in them."""
     found = B.range_hashes(items, first, last + length)
-    return B.mix(found ^ B.mix(((anchor - first) << 8 | (last - first)).astype(_U) + _U(1)))
+    return B.mix(found ^ B.mix(((anchor - first) << 32 | (last - first)).astype(_U) + _U(1)))
 
 
 def _find_seeds(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, hot: int) -> list[np.ndarray]:
-    """Rows (kind, anchor, context, doc_id, place) of one batch, equal seeds met."""
+    """Rows (kind, anchor, context, doc_id, place, reach) of one batch, equal seeds met."""
     found = []
     for lo, hi in B.slices(offsets):
         o = offsets[lo : hi + 1] - offsets[lo]
@@ -110,13 +110,13 @@ def _find_seeds(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length:
         if not len(anchor):
             continue
         rows = np.searchsorted(before, first, "right") - 1
-        place = _pack(anchor - before[rows], _check(part, o)[rows], anchor - first, anchor - last)
-        found.append((hashes.view(np.int64), _context_hashes(items, first, last, anchor, length).view(np.int64), ids[lo + rows], place))
+        place, reach = _pack(anchor - before[rows], _check(part, o)[rows], anchor - first, anchor - last)
+        found.append((hashes.view(np.int64), _context_hashes(items, first, last, anchor, length).view(np.int64), ids[lo + rows], place, reach))
     if not found:
-        return [np.zeros(0, np.int64)] * 5
-    h, c, doc, place = (np.concatenate(x) for x in zip(*found))
+        return [np.zeros(0, np.int64)] * 6
+    h, c, doc, place, reach = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((doc, c, h))
-    h, c, doc, place = h[order], c[order], doc[order], place[order]
+    h, c, doc, place, reach = h[order], c[order], doc[order], place[order], reach[order]
     new_anchor = np.concatenate([[True], h[1:] != h[:-1]])
     new_context = new_anchor | np.concatenate([[True], c[1:] != c[:-1]])
     smallest = doc[np.flatnonzero(new_context)][np.cumsum(new_context) - 1]
@@ -127,10 +127,9 @@ def _find_seeds(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length:
     bypass = kind >= REPEAT  # done with anchors: spread evenly
     marks = np.flatnonzero(new_anchor & (contexts[group] > hot))
     anchor = np.where(bypass, B.mix(place.view(_U) ^ doc.view(_U)).view(np.int64), h)
-    return [
-        np.concatenate([kind, np.full(len(marks), MARKER)]), np.concatenate([anchor, h[marks]]), np.concatenate([np.where(bypass, 0, c), np.zeros(len(marks), np.int64)]),
-        np.concatenate([doc, np.zeros(len(marks), np.int64)]), np.concatenate([place, np.zeros(len(marks), np.int64)]),
-    ]
+    none = np.zeros(len(marks), np.int64)
+    own = ((kind, none + MARKER), (anchor, h[marks]), (np.where(bypass, 0, c), none), (doc, none), (place, none), (reach, none))
+    return [np.concatenate(x) for x in own]
 
 
 def _window_hashes(items: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +161,8 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
 
     carry: columns of docs to keep beside these, in a struct named carried.
     """
-    if not K < min_words <= 63 + K:
-        raise ValueError(f"min_words must be in {K + 1}..{63 + K}")
+    if min_words <= K:
+        raise ValueError(f"min_words must be {K + 1} or more")
     length = min_words
     kept = [F.struct(*carry).alias("carried")] if carry else []
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
@@ -175,19 +174,19 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
             for start in range(0, whole.num_rows, 2500):
                 batch = whole.slice(start, 2500)
                 columns = _find_seeds(batch.column(0).to_numpy(zero_copy_only=False), *B.string_buffer(batch.column(1)), length, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int8)), *(pa.array(x) for x in columns[1:])], ["kind", "anchor", "context", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int8)), *(pa.array(x) for x in columns[1:])], ["kind", "anchor", "context", "doc_id", "place", "reach"])
 
-    seeds = texts.select("doc_id", "text").mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long")
+    seeds = texts.select("doc_id", "text").mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long, reach long")
     by_anchor = Window.partitionBy("anchor")
     by_context = Window.partitionBy("anchor", "context")
     met = seeds.select(
-        "kind", "doc_id", "place",
+        "kind", "doc_id", "place", "reach",
         F.min("doc_id").over(by_context).alias("first"),
         ((F.min("context").over(by_anchor) != F.max("context").over(by_anchor)) | (F.max((F.col("kind") == MARKER).cast("int")).over(by_anchor) == 1)).alias("several"),
     )
     repeat = (F.col("kind") == REPEAT) | ((F.col("kind") == SEED) & (F.col("first") < F.col("doc_id")))
     compare = (F.col("kind") == COMPARE) | ((F.col("kind") == SEED) & F.col("several"))
-    open_seeds = met.filter((F.col("kind") != MARKER) & (repeat | compare)).select("doc_id", F.struct("place", repeat.alias("repeat")).alias("seed"))
+    open_seeds = met.filter((F.col("kind") != MARKER) & (repeat | compare)).select("doc_id", F.struct("place", "reach", repeat.alias("repeat")).alias("seed"))
     per_doc = persist(open_seeds.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")), "repeat-seeds")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +265,7 @@ def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, bool)
     values = seeds.flatten()
-    return *_unpack(values.field("place").to_numpy(zero_copy_only=False)), values.field("repeat").to_numpy(zero_copy_only=False).astype(bool)
+    return *_unpack(*(values.field(x).to_numpy(zero_copy_only=False) for x in ("place", "reach"))), values.field("repeat").to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes | None, list[dict]], tuple]) -> DataFrame:

@@ -24,7 +24,7 @@ def brute(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,hot", [(13, 4), (13, 0), (6, 1), (40, 4)])
+@pytest.mark.parametrize("length,hot", [(13, 4), (13, 0), (6, 1), (40, 4), (100, 4), (250, 1)])
 def test_against_brute_force(make_docs, corpus, length, hot):
     rows = [*corpus, (None, corpus[1][1]), (12, corpus[12][1]), (-5, corpus[45][1])]
     spans = substrings.repeated_spans(make_docs(rows), min_words=length, hot=hot)
