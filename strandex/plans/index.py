@@ -299,6 +299,25 @@ def _search_all(spark: SparkSession, sf: str) -> DataFrame:
     return search.ranges(texts, patterns, keys=index_of(spark, sf).keys()).join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id")
 
 
+LENGTHS = (4, 16, 32, 64, 100)
+_EACH = "len AS (SELECT * FROM (VALUES " + ", ".join(f"({n})" for n in LENGTHS) + ") AS v(length))"
+_LONGEST = f"key AS MATERIALIZED (SELECT substr(enc, pos + 1, {max(LENGTHS)}) AS s FROM pos)"
+_SAMPLED = """both_p AS (SELECT min(doc_id) * 1000 + length AS pattern_id, length, pattern FROM (
+    SELECT doc_id, v.length, substr(enc, (doc_id * 7919 + 13) % (length(enc) - v.length) + 1, v.length) AS pattern FROM dna, len v WHERE length(enc) > v.length + 1) GROUP BY length, pattern)"""
+_FOUND = "cnt AS (SELECT length, substr(s, 1, length) AS pattern, count(*) AS n FROM key, len GROUP BY ALL)"
+
+
+@query("search_lengths", S.query(S.DNA, S.POS, _EACH, _SAMPLED, _LONGEST, _RAN, _FOUND, of="SELECT CAST(length AS BIGINT) AS length, pattern, n, sa_lo, sa_hi FROM both_p JOIN ran USING (pattern_id) JOIN cnt USING (length, pattern)"))
+def _search_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and ranges of the distinct sampled patterns of 4 to 100 letters, in one batch."""
+    texts, keys, patterns = dna_docs(spark, sf), index_of(spark, sf).keys(), None
+    for n in LENGTHS:
+        part = search.sample_patterns(texts, n).groupBy("pattern").agg((F.min("doc_id") * 1000 + n).alias("pattern_id"))
+        patterns = part if patterns is None else patterns.unionByName(part)
+    found = search.ranges(texts, patterns, keys=keys).join(search.counts(texts, patterns, keys=keys), "pattern_id")
+    return found.join(patterns, "pattern_id").select(F.length("pattern").cast("long").alias("length"), "pattern", "n", "sa_lo", "sa_hi")
+
+
 @query("lcp_pattern", S.query(*_P, of="SELECT pattern_id, p.doc_id, CAST(len(list_filter(range(1, 17), lambda i: contains(enc, substr(pattern, 1, i)))) AS BIGINT) AS lcp FROM both_p p JOIN dna USING (doc_id)"))
 def _lcp_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return search.lcp_patterns(*_patterns(spark, sf))

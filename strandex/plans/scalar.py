@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
@@ -183,6 +183,22 @@ def _mean_disp(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(means), "grp").groupBy("grp", "mean").agg(spread.alias("disp"))
 
 
+_SECTIONS = """WITH b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders),
+s AS (SELECT (o_orderkey - lo) * 10 // (hi - lo + 1) AS section, sum(o_custkey) AS s, count(*) AS n FROM orders, b GROUP BY 1)
+SELECT CAST(section AS BIGINT) AS section, CAST(floor(sum(s) OVER w / sum(n) OVER w) AS BIGINT) AS mean FROM s WINDOW w AS (ORDER BY section)"""
+
+
+@query("sectioned_means", _SECTIONS)
+def _sectioned_means(spark: SparkSession, sf: str, sections: int = 10) -> DataFrame:
+    """Integer means of growing prefixes of a list, cut into sections of its key: one row a section is all that the window sees."""
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("x"))
+    ends = rows.agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    section = F.floor((F.col("key") - F.col("lo")) * sections / (F.col("hi") - F.col("lo") + 1))
+    sums = rows.join(F.broadcast(ends)).groupBy(section.alias("section")).agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    so_far = Window.orderBy("section")
+    return sums.select("section", F.floor(F.sum("s").over(so_far) / F.sum("n").over(so_far)).alias("mean"))
+
+
 _CAP = ", ".join(f"({d}, {E.node_capacity(d, False)}, {E.node_capacity(d, True)})" for d in range(1, 9))
 
 
