@@ -76,3 +76,12 @@ def persist(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     if len(_scopes) > outside:
         _scopes[-2 if outside else -1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that persist() wrote and nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
