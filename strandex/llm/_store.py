@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
@@ -16,6 +17,11 @@ BATCH_BYTES = 4 << 20
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def column(name: str) -> Column:
+    """The column of that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session by bytes, so that very long texts do not meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandex.llm import _bytes as B
-from strandex.llm._store import persist, scratch
+from strandex.llm._store import column, persist, scratch
 
 _U = B.U64
 BANDS, ROWS = 50, 5
@@ -339,10 +339,12 @@ def _cell_links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     moves = _gathered(per, totals)
     move = lambda rows: rows.join(moves, F.col("cell") == F.col("_from"), "left").withColumn("cell", F.coalesce("_to", "cell")).drop("_from", "_to")
     per = move(per).groupBy("band", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    crowds = per.groupBy("band").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.array_sort(F.collect_list(F.struct("cell", "lo", "hi"))).alias("cells")).filter("x < y")
-    open_pair = lambda p, q: F.least(p["lo"], q["lo"]) < F.greatest(p["hi"], q["hi"])
-    onward = lambda p, i: F.transform(F.filter(F.slice("cells", i + 1, F.size("cells")), lambda q: open_pair(p, q)), lambda q: F.struct(p["cell"].alias("i"), q["cell"].alias("j")))
-    units = persist(crowds.select(F.explode(F.flatten(F.transform("cells", onward))).alias("u")).select("u.i", "u.j").distinct(), "units")
+    several = per.groupBy("band").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x < y").select("band")
+    opened = persist(per.join(several, "band"), "open-bands")
+    # Pairs of cells leave a task as rows, each once for all bands of the task; no band's cells are gathered.
+    side = lambda s: opened.select("band", F.col("cell").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    differ = F.least("lo_i", "lo_j") < F.greatest("hi_i", "hi_j")
+    units = persist(side("i").join(side("j"), "band").filter((F.col("i") <= F.col("j")) & differ).select("i", "j").distinct(), "units")
     packed = move(dealt).groupBy("cell").agg(F.collect_list(F.struct("component", "n_shingles", "registers", "items")).alias("members"))
     of = lambda c: packed.select(F.col("cell").alias(c), F.col("members").alias(f"m{c}"))
     met = units.join(of("i"), "i").join(of("j"), "j").select("mi", F.when(F.col("i") != F.col("j"), F.col("mj")).alias("mj"))
@@ -431,7 +433,7 @@ def without_copies(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: st
         keys = rows.groupBy("doc_id", "text_hash").agg(F.first("first").alias("first"), F.count("*").alias("n"))
         stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
         acted = persist(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "n").filter("n > 1 or not stays"), "acted", outside=True)
-    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    nested = docs.select(F.struct(*map(column, docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
     of = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
     once = nested.join(acted.filter("stays").select("_id", "_hash"), of, "left_semi").dropDuplicates(["id", "hash"])
     rest = nested.join(acted.select("_id", "_hash"), of, "left_anti")

@@ -28,7 +28,7 @@ independent 64-bit hashes of these.
 
 Defined results: null and empty texts have no words; a text shorter than a window has no
 repeats; rows with null doc_id neither have nor cause repeats; rows that share a doc_id
-are compared with smaller ids only, never with each other; other columns are kept or
+are compared with smaller ids only, never with each other, and told apart by a 64-bit hash of their texts; other columns are kept or
 ignored, as stated by each function.
 """
 
@@ -39,32 +39,33 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandex.llm import _bytes as B
-from strandex.llm._store import persist
+from strandex.llm._store import column, persist
 
 K = 5
 _U = B.U64
 SEED, MARKER, REPEAT, COMPARE = 0, 1, 2, 3
 
 
-def _check(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """20 bits of each row's text: tells rows that share a doc_id apart."""
-    return (B.run_hashes(data, offsets[:-1], offsets[1:]) >> _U(44)).astype(np.int64)
+def _pack(word: np.ndarray, text: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs: first word of the anchor (30 bits), words from the first and last window start to it (16 bits each), and the hash of the text (33 and 31 bits)."""
+    bits = text.view(_U)
+    return (word << 33) | (bits >> _U(31)).view(np.int64), (before << 47) | (after << 31) | (bits & _U(0x7FFFFFFF)).view(np.int64)
 
 
-def _pack(word: np.ndarray, check: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs: first word of the anchor with the text check (20 bits), and words from the first and last window start to it (31 bits each)."""
-    return (word << 20) | check, (before << 31) | after
+def _unpack(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window start."""
+    word = place >> 33
+    return word - (reach >> 47), word - ((reach >> 31) & 0xFFFF)
 
 
-def _unpack(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text check, first and last window start."""
-    word = place >> 20
-    return place & 0xFFFFF, word - (reach >> 31), word - (reach & 0x7FFFFFFF)
+def _text_of(place: Column, reach: Column) -> Column:
+    """The hash of the text that a seed is from."""
+    return F.shiftleft(place, 31).bitwiseOR(reach.bitwiseAND(0x7FFFFFFF))
 
 
 def _seeds(items: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def _context_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray, anch
     return B.mix(found ^ B.mix(((anchor - first) << 32 | (last - first)).astype(_U) + _U(1)))
 
 
-def _find_seeds(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, hot: int) -> list[np.ndarray]:
+def _find_seeds(ids: np.ndarray, texts: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, hot: int) -> list[np.ndarray]:
     """Rows (kind, anchor, context, doc_id, place, reach) of one batch, equal seeds met."""
     found = []
     for lo, hi in B.slices(offsets):
@@ -110,7 +111,7 @@ def _find_seeds(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length:
         if not len(anchor):
             continue
         rows = np.searchsorted(before, first, "right") - 1
-        place, reach = _pack(anchor - before[rows], _check(part, o)[rows], anchor - first, anchor - last)
+        place, reach = _pack(anchor - before[rows], texts[lo + rows], anchor - first, anchor - last)
         found.append((hashes.view(np.int64), _context_hashes(items, first, last, anchor, length).view(np.int64), ids[lo + rows], place, reach))
     if not found:
         return [np.zeros(0, np.int64)] * 6
@@ -161,22 +162,22 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
 
     carry: columns of docs to keep beside these, in a struct named carried.
     """
-    if min_words <= K:
-        raise ValueError(f"min_words must be {K + 1} or more")
+    if not K < min_words < 1 << 16:
+        raise ValueError(f"min_words must be {K + 1} to 65535")
     length = min_words
-    kept = [F.struct(*carry).alias("carried")] if carry else []
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
-    carried = texts.columns[2:]
+    kept = [F.struct(*map(column, carry)).alias("carried")] if carry else []
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), *kept)
+    carried = texts.columns[3:]
 
     def seed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.filter(whole.column(0).is_valid())
             for start in range(0, whole.num_rows, 2500):
                 batch = whole.slice(start, 2500)
-                columns = _find_seeds(batch.column(0).to_numpy(zero_copy_only=False), *B.string_buffer(batch.column(1)), length, hot)
+                columns = _find_seeds(batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), *B.string_buffer(batch.column(1)), length, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int8)), *(pa.array(x) for x in columns[1:])], ["kind", "anchor", "context", "doc_id", "place", "reach"])
 
-    seeds = texts.select("doc_id", "text").mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long, reach long")
+    seeds = texts.select("doc_id", "text", "text_hash").mapInArrow(seed, "kind byte, anchor long, context long, doc_id long, place long, reach long")
     by_anchor = Window.partitionBy("anchor")
     by_context = Window.partitionBy("anchor", "context")
     met = seeds.select(
@@ -186,49 +187,46 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
     )
     repeat = (F.col("kind") == REPEAT) | ((F.col("kind") == SEED) & (F.col("first") < F.col("doc_id")))
     compare = (F.col("kind") == COMPARE) | ((F.col("kind") == SEED) & F.col("several"))
-    open_seeds = met.filter((F.col("kind") != MARKER) & (repeat | compare)).select("doc_id", F.struct("place", "reach", repeat.alias("repeat")).alias("seed"))
-    per_doc = persist(open_seeds.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")), "repeat-seeds")
+    open_seeds = met.filter((F.col("kind") != MARKER) & (repeat | compare)).select("doc_id", _text_of(F.col("place"), F.col("reach")).alias("text_hash"), F.struct("place", "reach", repeat.alias("repeat")).alias("seed"))
+    # Rows that repeat id and text have the same seeds, each of which is met once.
+    per_doc = persist(open_seeds.groupBy("doc_id", "text_hash").agg(F.collect_set("seed").alias("seeds")), "repeat-seeds")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows that anchors with several contexts leave open, by their hashes."""
         for batch in _small(batches):
-            _, before, items, checks = _items(batch.column(1))
+            before, items = _items(batch.column(2))
             found = []
             for i in range(batch.num_rows):
-                check, first, last, known = _places(batch.column(2).slice(i, 1))
-                keep = (check == checks[i]) & ~known
-                size = last[keep] - first[keep] + 1
-                starts = np.unique(np.repeat(first[keep] - np.cumsum(size) + size, size) + np.arange(size.sum()))
+                first, last, known = _places(batch.column(3).slice(i, 1))
+                size = (last - first + 1)[~known]
+                starts = np.unique(np.repeat(first[~known] - np.cumsum(size) + size, size) + np.arange(size.sum()))
                 found.append((np.full(len(starts), i), starts))
             rows, starts = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
             one, two = _window_hashes(items, before[rows] + starts, length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(checks[rows]), pa.array(starts)], ["one", "two", "doc_id", "check", "at"]
-            )
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts)], ["one", "two", "doc_id", "text_hash", "at"])
 
     def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All repeated windows of each text, as maximal spans."""
         for batch in _small(batches):
-            _, before, _, checks = _items(batch.column(1), hashed=False)
-            counts, spans = np.diff(before), []
+            counts, spans = np.diff(_items(batch.column(1), hashed=False)[0]), []
             for i in range(batch.num_rows):
-                check, first, last, known = _places(batch.column(2).slice(i, 1))
-                first, last = first[known & (check == checks[i])], last[known & (check == checks[i])]
+                first, last, known = _places(batch.column(2).slice(i, 1))
+                first, last = first[known], last[known]
                 if batch.column(3)[i].is_valid:
-                    more = batch.column(3).slice(i, 1).flatten()
-                    at = more.field("at").to_numpy(zero_copy_only=False)[more.field("check").to_numpy(zero_copy_only=False) == checks[i]]
+                    at = batch.column(3).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
                     first, last = np.concatenate([first, at]), np.concatenate([last, at])
                 spans.append([{"begin": b, "end": e} for b, e in _spans(_covered(counts[i], first, last, length))] if len(first) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), *batch.columns[4:]], ["doc_id", "text", "n_words", "spans", *carried])
 
     # One plan, in which both joins read the same shuffle of the texts, and so need the same columns.
-    known = texts.filter("doc_id is not null")
-    each = known.join(per_doc, "doc_id").select("doc_id", "text", "seeds", *carried).mapInArrow(ask, "one long, two long, doc_id long, check long, at long")
+    known, row = texts.filter("doc_id is not null"), ["doc_id", "text_hash"]
+    each = known.join(per_doc, row).select(*row, "text", "seeds", *carried).mapInArrow(ask, "one long, two long, doc_id long, text_hash long, at long")
     first = each.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
     found = each.join(first, ["one", "two"]).filter(F.col("first") < F.col("doc_id"))
-    more = found.groupBy("doc_id").agg(F.collect_list(F.struct("check", "at")).alias("more"))
-    rows = known.join(per_doc, "doc_id", "left").join(more, "doc_id", "left").select("doc_id", "text", "seeds", "more", *carried)
-    rows = rows.unionByName(texts.filter("doc_id is null"), allowMissingColumns=True)
+    more = found.groupBy(*row).agg(F.collect_set("at").alias("more"))
+    rows = known.join(per_doc, row, "left").join(more, row, "left").select("doc_id", "text", "seeds", "more", *carried)
+    rows = rows.unionByName(texts.drop("text_hash").filter("doc_id is null"), allowMissingColumns=True)
     span = T.ArrayType(T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType()))
     schema = T.StructType().add("doc_id", T.LongType()).add("text", T.StringType()).add("n_words", T.LongType()).add("spans", span)
     return rows.mapInArrow(close, T.StructType([*schema.fields, *(texts.schema[c] for c in carried)]))
@@ -240,30 +238,27 @@ def _small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield whole.slice(start, rows)
 
 
-def _items(texts: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, words before each row, word hashes and text checks of a batch, slice by slice."""
+def _items(texts: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Words before each row, and word hashes, of a batch, slice by slice."""
     data, offsets = B.string_buffer(texts)
-    starts, counts, items, checks = [], [np.zeros(1, np.int64)], [], []
+    counts, items = [np.zeros(1, np.int64)], []
     total = 0
     for lo, hi in B.slices(offsets):
         o = offsets[lo : hi + 1] - offsets[lo]
         part = data[offsets[lo] : offsets[hi]]
         at, to, before = B.words(part, o)
-        starts.append(at + offsets[lo])
         counts.append(before[1:] + total)
         total += before[-1]
         if hashed:
             items.append(B.run_hashes(part, at, to))
-        checks.append(_check(part, o))
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(starts, np.int64), join(counts, np.int64), join(items, _U), join(checks, np.int64)
+    return np.concatenate(counts), np.concatenate(items) if items else np.zeros(0, _U)
 
 
-def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text check, first and last window and whether surely repeated, of one row's seeds."""
+def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window and whether surely repeated, of one row's seeds."""
     if not seeds[0].is_valid:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, bool)
+        return none, none, np.zeros(0, bool)
     values = seeds.flatten()
     return *_unpack(*(values.field(x).to_numpy(zero_copy_only=False) for x in ("place", "reach"))), values.field("repeat").to_numpy(zero_copy_only=False).astype(bool)
 

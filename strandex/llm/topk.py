@@ -14,8 +14,8 @@ A block of rows, of bounded size, is shuffled once and indexed once; groups of q
 size too, follow it into its task. What leaves a task is k rows a query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
-without id, take no part; of rows that repeat an id each is a candidate; a query id asks once, with
-its smallest vector, and rows of its own id are no candidates of it; only
+without id, take no part; rows that repeat an id are rows of their own: each is a candidate, and each of a query id asks, for
+every row but itself, so that such an id has its ranks once for each of its rows; only
 vectors of one length are compared; ties go to the smaller id; a component whose quantised value needs more than
 62 bits, or a score that needs more than 64, is an error; with fewer than k candidates all are returned; an
 empty table gives no rows; other columns are ignored.
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandex.llm._store import persist
+
 _U = np.uint64
 
 
@@ -45,11 +47,12 @@ def quantise(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
 
 
 class SlicedBlock:
-    """The bitmaps of one block of rows; rows are in ascending order of id."""
+    """The bitmaps of one block of rows; rows are in ascending order of id, and of their own number."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order].astype(np.int64)
+    def __init__(self, ids: np.ndarray, own: np.ndarray, values: np.ndarray):
+        order = np.lexsort((own, ids))
+        self.ids, self.own, self.values = ids[order], own[order], values[order].astype(np.int64)
+        self.place = {int(x): i for i, x in enumerate(self.own)}
         n, self.dims = self.values.shape
         self.low = self.values.min(0) if n else np.zeros(self.dims, np.int64)
         raised = self.values - self.low
@@ -104,15 +107,15 @@ class SlicedBlock:
                         break
         return total
 
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """(query, row, score) of the k best rows of each query, without the row of its own id."""
+    def top(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """(number of the query's row, vec_id, score) of the k best rows of each query, but for the query's own row."""
         total = self.scores(queries)
         q = len(queries)
         sure = np.zeros((q, self.words), _U)
         tie = np.repeat(self.rows[None, :], q, 0)
-        lo, hi = np.searchsorted(self.ids, query_ids, "left"), np.searchsorted(self.ids, query_ids, "right")
         for i in range(q):
-            for row in range(lo[i], hi[i]):
+            row = self.place.get(int(query_rows[i]))
+            if row is not None:
                 tie[i, row // 64] &= ~(_U(1) << _U(row % 64))
         for plane in reversed(total):
             ones = tie & plane
@@ -124,7 +127,7 @@ class SlicedBlock:
             first = np.flatnonzero(np.unpackbits(sure[i].view(np.uint8), bitorder="little"))
             rest = np.flatnonzero(np.unpackbits(tie[i].view(np.uint8), bitorder="little"))
             for row in np.concatenate([first, rest[: max(0, k - len(first))]]):
-                yield int(query_ids[i]), int(self.ids[row]), sum(int(x) * int(y) for x, y in zip(self.values[row], queries[i]))
+                yield int(query_rows[i]), int(self.ids[row]), sum(int(x) * int(y) for x, y in zip(self.values[row], queries[i]))
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, block_rows: int = 8192, query_rows: int = 1024, batch: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -133,42 +136,41 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, block_rows: int
     is_query is a condition over `id`. Rows are dealt into blocks and queries into
     groups by hash; a group is copied to each block.
     """
-    rows = quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale)
-    ids = vectors.select(F.col(id_col).cast("long").alias("id"))
-    size = ids.agg(F.count("id").alias("n"), F.sum(is_query.cast("long")).alias("q")).first()
+    rows = persist(quantise(vectors, id_col=id_col, vector_col=vector_col, scale=scale).withColumn("own", F.monotonically_increasing_id()), "quantised")
+    size = rows.agg(F.count("id").alias("n"), F.sum(is_query.cast("long")).alias("q")).first()
     blocks, groups = max(1, -(-size["n"] // block_rows)), max(1, -(-(size["q"] or 0) // query_rows))
-    keyed = rows.select(F.size("v").alias("dims"), "id", "v")
-    members = F.collect_list(F.struct("id", "v")).alias("members")
-    # Rows that repeat an id are dealt by their vectors too.
-    placed = keyed.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).groupBy("dims", "block").agg(members)
-    once = keyed.filter(is_query).groupBy("id").agg(F.min(F.struct("v", "dims")).alias("q")).select("q.dims", "id", "q.v")
-    asked = once.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")).groupBy("dims", "grp").agg(members)
+    keyed = rows.select(F.size("v").alias("dims"), "id", "own", "v")
+    members = F.collect_list(F.struct("id", "own", "v")).alias("members")
+    placed = keyed.withColumn("block", F.pmod(F.xxhash64("own"), F.lit(blocks))).groupBy("dims", "block").agg(members)
+    asked = keyed.filter(is_query).withColumn("grp", F.pmod(F.xxhash64("own", F.lit(1)), F.lit(groups)).cast("int")).groupBy("dims", "grp").agg(members)
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     both = placed.select("dims", "block", F.lit(0).alias("turn"), "members").unionAll(asked.select("dims", "block", F.lit(1).alias("turn"), "members"))
     # A block comes before the queries that are put to it.
     dealt = both.repartition("dims", "block").sortWithinPartitions("dims", "block", "turn").select("dims", "block", "turn", "members")
 
-    def table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def table(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = column.flatten()
-        ids = flat.field("id").to_numpy(zero_copy_only=False)
-        return ids, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        ids, own = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("id", "own"))
+        return ids, own, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, index = None, None
         for part in batches:
             for i in range(part.num_rows):
                 here = part.column(0)[i].as_py(), part.column(1)[i].as_py()
-                ids, values = table(part.column(3).slice(i, 1))
+                ids, own, values = table(part.column(3).slice(i, 1))
                 if part.column(2)[i].as_py() == 0:
-                    place, index = here, SlicedBlock(ids, values)
+                    place, index = here, SlicedBlock(ids, own, values)
                     continue
                 if here != place:  # no rows in this block
                     continue
                 for lo in range(0, len(ids), batch):
-                    found = list(index.top(ids[lo : lo + batch], values[lo : lo + batch].astype(np.int64), k))
+                    found = list(index.top(own[lo : lo + batch], values[lo : lo + batch].astype(np.int64), k))
                     columns = list(zip(*found)) or [(), (), ()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["asks", "vec_id", "score"])
 
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = dealt.mapInArrow(run, "asks long, vec_id long, score long")
+    order = Window.partitionBy("asks").orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    names = rows.filter(is_query).select(F.col("own").alias("asks"), F.col("id").alias("query_id"))
+    return ranked.join(names, "asks").select("query_id", "rank", "vec_id", "score")

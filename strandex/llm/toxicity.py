@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.llm import _bytes as B
+from strandex.llm._store import column
 
 #: Bytes of a word feature: letters, digits and all of a multi-byte character.
 _WORD = np.zeros(256, bool)
@@ -168,7 +169,7 @@ def free_name(columns: list[str], name: str) -> str:
 def without_toxic(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, in all their columns, whose score is below the threshold."""
     scored = score_toxicity(docs, model, id_col=id_col, text_col=text_col, keep=True)
-    return scored.filter(F.col(scored.columns[-2]) < threshold).select(docs.columns)
+    return scored.filter(column(scored.columns[-2]) < threshold).select(*map(column, docs.columns))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, threshold: float = 0.5) -> DataFrame:

@@ -51,7 +51,7 @@ def test_stages_on_nulls_repeats_ties_and_clashing_names(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text, "a"), (3, text, "a"), (2, text, "b"), (None, text, "b"), (None, None, None), (5, None, "a"), (6, "", "a"), (7, "  ", None), (8, "x " * 30000, "a")]
     rows += [(20 + i, " ".join(f"v{i}_{j}" for j in range(30 + i)), "a") for i in range(5)]
-    schema = "doc_id long, text string, source string, _id string, row long, carried string, _score double, n_chars long"
+    schema = "doc_id long, text string, source string, _id string, row long, `carried.x` string, _score double, n_chars long"
     docs = spark.createDataFrame([(*r, "keep", 1, "c", 0.5, len(r[1] or "")) for r in rows], schema)
     for name, stage in cp.STAGES:
         after = stage(spark, docs, SF)
@@ -60,7 +60,7 @@ def test_stages_on_nulls_repeats_ties_and_clashing_names(spark):
             continue
         assert after.columns == docs.columns
         got = after.collect()
-        assert all((r._id, r.row, r.carried, r._score) == ("keep", 1, "c", 0.5) for r in got)
+        assert all((r._id, r.row, r["carried.x"], r._score) == ("keep", 1, "c", 0.5) for r in got)
         if name == "toxicity":
             assert len(got) == len(rows)
         if name in ("near_duplicates", "repeated_passages"):

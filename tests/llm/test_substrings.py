@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from strandex.llm import substrings
@@ -48,3 +49,17 @@ def test_ids_with_two_texts_and_empty_table(make_docs):
     assert substrings.kept_digest(substrings.repeated_spans(make_docs([]), min_words=13)).collect() == []
     with pytest.raises(ValueError):
         substrings.repeated_spans(make_docs([]), min_words=3)
+
+
+def test_rows_that_share_an_id_are_told_apart_by_their_whole_hash(make_docs):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage), *((5, f"{passage} tail{i}") for i in range(40)), *((5, " ".join(f"c{i}x{j}" for j in range(21))) for i in range(1500))]
+    out = substrings.kept_digest(substrings.repeated_spans(make_docs(rows), min_words=13)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in out) == [(1, 20, 0, 1), (5, 21, 0, 1500), (5, 21, 20, 40)]
+    word, text = np.array([0, 7, (1 << 30) - 1]), np.array([-1, 2**63 - 1, -(2**63)])
+    place, reach = substrings._pack(word, text, np.array([0, 65535, 8]), np.array([0, 1, 0]))
+    spark = make_docs([]).sparkSession
+    frame = spark.createDataFrame(list(zip(place.tolist(), reach.tolist())), "place long, reach long")
+    assert [r[0] for r in frame.select(substrings._text_of(frame.place, frame.reach)).collect()] == text.tolist()
+    first, last = substrings._unpack(place, reach)
+    assert first.tolist() == [0, 7 - 65535, (1 << 30) - 9] and last.tolist() == [0, 6, (1 << 30) - 1]
