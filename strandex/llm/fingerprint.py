@@ -1,13 +1,12 @@
 """Similarity digests from statistically improbable byte windows.
 
-Every window of 64 bytes gets the entropy of its bytes, put into one of 1001 classes.
+Every window of 16 bytes gets the entropy of its bytes, put into one of 1001 classes.
 Over all documents the classes are counted; the rarer a window's class, the better it
-ranks. In each run of 64 neighbouring windows the best one (the first of equals) scores a
-point, and windows with at least 16 points are the text's features. For texts of fewer than
-512 code points the same is done with windows of 16 bytes, runs of 8 and 2 points, ranked by the
-counts of such windows in all documents. A stretch that no feature covers, of 256 bytes or more
-(32 in the shorter texts, any in a text without features), as in repetitive text, has its 6-byte windows as
-features, or its whole if it is shorter. Features, in text order and each once, go into a chain of Bloom filters of 2048 bits, 160 features and 5 bits a feature to a filter.
+ranks. In each run of 16 neighbouring windows the best one (the first of equals) scores a
+point, and windows with at least 4 points are the text's features. A stretch of 32 bytes or more that no
+feature covers (any in a text without features), as in repetitive text, has its 6-byte windows as
+features, or its whole if it is shorter. All of this is the same at every length, so a text and its beginning share
+their features. Features, in text order and each once, go into a chain of Bloom filters of 2048 bits, 160 features and 5 bits a feature to a filter.
 
 Two chains are compared filter by filter: the bits two filters share, less what chance
 gives, are set against the most they could share; each filter of the shorter chain takes
@@ -23,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +30,14 @@ from pyspark.sql import functions as F
 
 from strandex.llm import _bytes as B
 
-BITS, FEATURES, HASHES, CLASSES, LEAST, SHORT = 2048, 160, 5, 1001, 512, 6
+BITS, FEATURES, HASHES, CLASSES, SHORT = 2048, 160, 5, 1001, 6
+#: Bytes of a window, windows of a run, points of a feature, and the bytes without feature that get 6-byte windows.
+WINDOW, RUN, POINTS, STRETCH = 16, 16, 4, 32
 #: Classes below this are runs of few symbols; they are no features.
 WEAK = 100
 
 
-@dataclass(frozen=True)
-class Scale:
-    """Bytes of a window, windows of a run, points of a feature and the bytes without feature that get 6-byte windows."""
-
-    window: int
-    run: int
-    points: int
-    stretch: int
-
-
-#: For texts of LEAST code points or more, and for shorter ones.
-SCALES = (Scale(64, 64, 16, 256), Scale(16, 8, 2, 32))
-
-
-def entropy_classes(data: np.ndarray, window: int = 64) -> np.ndarray:
+def entropy_classes(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The entropy class of every window of the buffer, by rolling counts."""
     n = len(data) - window + 1
     if n <= 0:
@@ -76,31 +62,28 @@ def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def class_counts(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """How many windows of all documents fall into each class: a row of 1001 numbers for each scale."""
+    """How many windows of all documents fall into each class."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(SCALES) * CLASSES, np.int64)
+        total = np.zeros(CLASSES, np.int64)
         for batch in batches:
             data, offsets = B.string_buffer(batch.column(0))
             for lo, hi in _parts(offsets):
                 o = offsets[lo : hi + 1]
-                for i, scale in enumerate(SCALES):
-                    found = entropy_classes(data[o[0] : o[-1]], scale.window)
-                    total += np.bincount(i * CLASSES + found[_inside(o - o[0], scale.window)], minlength=len(total))
+                found = entropy_classes(data[o[0] : o[-1]])
+                total += np.bincount(found[_inside(o - o[0], WINDOW)], minlength=CLASSES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["class", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()  # at most 2002
-    out = np.zeros(len(SCALES) * CLASSES, np.int64)
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()  # at most 1001
+    out = np.zeros(CLASSES, np.int64)
     for r in rows:
         out[r["class"]] = r["n"]
-    return out.reshape(len(SCALES), CLASSES)
+    return out
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
-    """Rank of each class, the rarest first; weak classes last. One row a scale."""
-    if counts.ndim > 1:
-        return np.stack([rarity_ranks(c) for c in counts])
+    """Rank of each class, the rarest first; weak classes last."""
     order = np.lexsort((np.arange(CLASSES), counts, np.arange(CLASSES) < WEAK))
     ranks = np.empty(CLASSES, np.int64)
     ranks[order] = np.arange(CLASSES)
@@ -114,23 +97,22 @@ def _inside(offsets: np.ndarray, span: int) -> np.ndarray:
     return np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], size)
 
 
-def _improbable(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray, scale: Scale, rows_wanted: np.ndarray) -> np.ndarray:
-    """Starts of the popular windows of the rows wanted."""
+def _improbable(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Starts of the popular windows."""
     position = (1 << 40) - 1
-    groups = _inside(offsets, scale.window + scale.run - 1)
-    groups = groups[rows_wanted[np.searchsorted(offsets, groups, "right") - 1]]
+    groups = _inside(offsets, WINDOW + RUN - 1)
     if not len(groups):
         return groups
-    classes = entropy_classes(data, scale.window)
+    classes = entropy_classes(data)
     best = (ranks[classes] << 40) | np.arange(len(classes))
     step = 1
-    while step < scale.run:  # the best of 2, 4, ... neighbours, the first of equals
+    while step < RUN:  # the best of 2, 4, ... neighbours, the first of equals
         best = np.minimum(best[:-step], best[step:])
         step *= 2
     chosen = best[groups]
     edge = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     points = np.diff(np.append(edge, len(chosen)))
-    return (chosen[edge] & position)[(points >= scale.points) & (chosen[edge] >> 40 < CLASSES - WEAK)]
+    return (chosen[edge] & position)[(points >= POINTS) & (chosen[edge] >> 40 < CLASSES - WEAK)]
 
 
 def _bare(offsets: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,23 +144,20 @@ def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np
 
 def _digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
     n = len(offsets) - 1
-    points_before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    long = np.diff(points_before[offsets]) >= LEAST
-    at, to = [], []
-    for i, (scale, wanted) in enumerate(zip(SCALES, (long, ~long))):
-        at.append(_improbable(data, offsets, ranks[i], scale, wanted))
-        to.append(at[-1] + scale.window)
-    start, end = np.concatenate(at), np.concatenate(to)
+    start = _improbable(data, offsets, ranks)
+    end = start + WINDOW
     known = np.bincount(np.searchsorted(offsets, start, "right") - 1, minlength=n)
-    bare, bare_end = _bare(offsets, start, end, np.where(known == 0, 1, np.where(long, SCALES[0].stretch, SCALES[1].stretch)))
+    bare, bare_end = _bare(offsets, start, end, np.where(known == 0, 1, STRETCH))
     start, end = np.concatenate([start, bare]), np.concatenate([end, bare_end])
     order = np.argsort(start, kind="stable")
     start, end = start[order], end[order]
     rows = np.searchsorted(offsets, start, "right") - 1
     hashes = B.run_hashes(data, start, end)
     # Each feature once a row, at its first place.
-    _, first = np.unique(np.stack([rows.astype(np.uint64), hashes], 1), axis=0, return_index=True) if len(rows) else (0, np.zeros(0, int))
-    first.sort()
+    order = np.lexsort((hashes, rows))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+    first = np.sort(order[new])
     rows, hashes = rows[first], hashes[first]
     count = np.bincount(rows, minlength=n)
     filters = -(-count // FEATURES)
