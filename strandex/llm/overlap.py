@@ -7,8 +7,9 @@ sizes beyond that ratio never meet.
 
 1. *Long and short lists.* A count of all shingles in a fixed number of hash buckets says how long an inverted list
    will be. A document's shingles are ordered by it; lists of the common ones are long. Of its n lists all but the
-   ceil(p n / 100) - 1 longest are its short lists: two documents that link share a short list, whatever the counts
-   say, so their error costs time only. Common shingles, as those of passages that many documents hold, are never shuffled
+   ceil(p n / 100) - m longest are its short lists, with m = 1 + n / 32: two documents that link share as many short lists as the smaller one's m says, whatever the counts
+   are, so their error costs time only. A document of whose short lists fewer hold others links with none, and is left out from
+   here on. Common shingles, as those of passages that many documents hold, are never shuffled
    by their list unless a document has hardly anything else.
 2. Documents with equal sets are one node, known by two 64-bit sums and the size; nodes with many copies have
    the smallest numbers. The inverted short lists are made by a shuffle; a list's first node is its hub, and the least
@@ -54,6 +55,8 @@ _U = B.U64
 BUCKETS, CHUNK = 1 << 18, 1 << 12
 #: Size of a cell, about, in shingles: two cells meet in a task.
 CELL = 1 << 18
+#: A shingle more on the short lists, and one more that must be shared, for so many shingles of a set.
+MORE = 32
 #: Cost of a heap step against a binary search, in the method's formula for the number of long lists.
 MU = 0.0085
 
@@ -63,6 +66,11 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-percent * (a + b) // (100 + percent))
 
 
+def required(size: int, percent: int) -> int:
+    """How many short lists a set of that size shares with any set that it links with."""
+    return min(1 + size // MORE, -(-percent * size // 100))
+
+
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
@@ -110,7 +118,7 @@ def with_short_lists(texts: DataFrame, lengths: np.ndarray, k: int, percent: int
                 two = np.array([B.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) for s in sets], _U)
                 short = []
                 for s in sets:
-                    many = len(s) + 1 + (-percent * len(s) // 100) if len(s) else 0
+                    many = len(s) + (-percent * len(s) // 100) + required(len(s), percent)
                     short.append(s[np.argsort(lengths[_bucket(s)], kind="stable")[:many]].view(np.int64))  # equal lengths: by hash
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(short, pa.list_(pa.int64()))],
@@ -230,7 +238,7 @@ def _home_links(nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _met_cells(sets: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _met_cells(entries: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """node -> cell, and the pairs of cells (i, j) that share an open list and may hold links between components."""
     own = placed.select(F.col("node").alias("_home"), F.col("component").alias("_main"))
     grown = math.log(100 / percent) if percent < 100 else math.log(2)
@@ -241,8 +249,7 @@ def _met_cells(sets: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFr
     totals = sided.groupBy(*group).agg(F.ceil(F.sum("n_shingles") / CELL).cast("long").alias("_blocks"))
     cell = F.struct(*group, F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block"))
     keyed = persist(sided.join(totals, group).select("node", "component", "n_shingles", cell.alias("cell")), "keyed")
-    entries = sets.select("node", F.explode("short").alias("token")).join(keyed, "node")
-    per = persist(entries.groupBy("token", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")), "lists")
+    per = persist(entries.join(keyed, "node").groupBy("token", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")), "lists")
     several = per.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.count("*").alias("cells")).filter("x < y")
     opened = persist(per.join(several.select("token"), "token"), "open-lists")
     side = lambda s: opened.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cell", "lo", "hi", "least", "most")))
@@ -280,9 +287,16 @@ def _labelled_sets(texts: DataFrame, listed: DataFrame, k: int, percent: int) ->
     popular = F.lit(15) - F.least(F.lit(15), F.floor(F.log2("copies")))
     sets = persist(found.withColumn("node", F.monotonically_increasing_id() + F.shiftleft(popular.cast("long"), 56)), "sets")
 
-    each = sets.select("node", F.explode("short").alias("token"))
-    lists = each.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("token", "hub")
-    crowded = persist(each.join(lists, "token").groupBy("node").agg(F.min("hub").alias("home")), "crowded")
+    # What the smallest set that can link with a set shares at least: required() of its size.
+    smallest = F.floor(F.col("n_shingles") * percent / 100)
+    asked = F.greatest(F.lit(1), F.least(1 + F.floor(smallest / MORE), F.ceil(smallest * percent / 100)))
+    each = sets.select("node", asked.alias("asked"), F.explode("short").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    shared = persist(each.join(common, "token"), "shared")
+    several = shared.groupBy("node").agg(F.count("*").alias("n"), F.first("asked").alias("asked")).filter("n >= asked").select("node")
+    entries = persist(shared.join(several, "node").select("node", "token"), "entries")
+    hubs = entries.groupBy("token").agg(F.min("node").alias("hub"))
+    crowded = persist(entries.join(hubs, "token").groupBy("node").agg(F.min("hub").alias("home")), "crowded")
     wanted = sets.join(crowded, "node").select("node", "home", "n_shingles", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
 
     def items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +309,7 @@ def _labelled_sets(texts: DataFrame, listed: DataFrame, k: int, percent: int) ->
 
     stars = _roots(_home_links(nodes, percent))
     placed = _label(nodes.select("node", "home", "n_shingles", F.col("node").alias("component")), stars, "component")
-    keyed, units = _met_cells(sets, placed, percent)
+    keyed, units = _met_cells(entries, placed, percent)
     crossed = connected_components(_cell_links(nodes, keyed, units, percent))
     labelled = _label(_label(sets.select(*key, F.col("first.doc_id").alias("first"), F.col("node").alias("component")), stars, "component"), crossed, "component")
     return persist(labelled, "labelled", outside=True)
