@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the row of the smallest doc_id stays."""
     bound_batches(spark)
-    return neardup.without_copies(docs, k=5, percent=80).select(docs.columns)
+    return neardup.without_copies(docs, k=5, percent=80)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     bound_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = substrings.without_repeats(substrings.repeated_spans(docs, min_words=PASSAGE_WORDS, carry=others))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("carried.n_chars"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("carried").getField("n_chars"))
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": n_chars}
-    return cut.select([own.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns])
+    return cut.select([own.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
