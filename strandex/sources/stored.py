@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
-from strandex.operators import suffix
-from strandex.sources.tables import index_path, write_index
+from strandex.operators import fences, suffix
+from strandex.sources.tables import finished, index_path, write_index
 
 
 class StoredIndex:
@@ -18,23 +17,20 @@ class StoredIndex:
 
     texts (doc_id, enc, n), keys (doc_id, pos, key: the first 64 symbols of each suffix), ranks (doc_id, pos, rank),
     and for each d the array (doc_id, sa_pos, pos) and suffixes: the array with the head of each suffix and the symbol
-    before it. Without texts, a folder is opened that has them; a table that it lacks is written when first asked for.
+    before it. Over all texts together: blocks of the suffixes in one order, a directory each, the fences above them, parts
+    of the texts, and checkpoints of the symbols before the suffixes. Without texts, a folder is opened that has them; a table that it
+    lacks, or whose writing did not end, is written when first asked for.
     """
 
-    def __init__(self, spark: SparkSession, base: str, texts: DataFrame | None = None):
-        self.spark, self.base, self._given, self._open = spark, base, texts, {}
+    def __init__(self, spark: SparkSession, base: str, texts: DataFrame | None = None, block_rows: int = 1 << 18):
+        self.spark, self.base, self.block_rows, self._given, self._open = spark, base, block_rows, texts, {}
 
-    def _stage(self, stage: str, d: int, build: Callable[[], DataFrame], sort: list[str]) -> DataFrame:
+    def _stage(self, stage: str, d: int, build: Callable[[], DataFrame], sort: list[str], by: str | None = None) -> DataFrame:
         if (stage, d) not in self._open:
             path = index_path(self.base, stage, d)
-            try:
-                self._open[stage, d] = self.spark.read.parquet(path)
-            except AnalysisException as missing:
-                if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                    raise
-                table = build()
-                write_index(table, self.base, stage, d, sort)
-                self._open[stage, d] = self.spark.read.schema(table.schema).parquet(path)
+            if not finished(self.spark, path):
+                write_index(build(), self.base, stage, d, sort, by)
+            self._open[stage, d] = self.spark.read.parquet(path)
         return self._open[stage, d]
 
     def texts(self) -> DataFrame:
@@ -56,3 +52,40 @@ class StoredIndex:
 
     def suffixes(self, d: int) -> DataFrame:
         return self._stage("suffixes", d, lambda: suffix.suffix_heads(self.texts(), self.array(d), d), ["head"])
+
+    def blocks(self) -> DataFrame:
+        """block, sa_pos, doc_id, pos, key, before: all suffixes in one order, block_rows of them in a directory."""
+        return self._stage("blocks", 1, lambda: fences.blocks_of(self.texts(), fences.global_order(self.keys()), self.block_rows), ["sa_pos"], "block")
+
+    def fences(self) -> DataFrame:
+        return self._stage("fences", 1, lambda: fences.fence_tree(self.blocks()), ["level", "node"])
+
+    def parts(self) -> DataFrame:
+        return self._stage("parts", 1, lambda: fences.parts_of(self.texts()), ["doc_id", "part"])
+
+    def checkpoints(self) -> DataFrame:
+        return self._stage("checkpoints", 1, lambda: fences.checkpoints(self.blocks()), ["chunk"])
+
+    # Searches of patterns (pattern_id, pattern)
+
+    def ranges(self, patterns: DataFrame) -> DataFrame:
+        """pattern_id, sa_lo, sa_hi: the places of each pattern in the order of all suffixes."""
+        return fences.ranges(self.blocks(), self.block_rows, self.fences(), self.parts(), patterns)
+
+    def at(self, ranges: DataFrame) -> DataFrame:
+        """pattern_id, sa_pos, doc_id, pos: the suffixes at the places of the ranges."""
+        return fences.at_places(self.blocks(), self.block_rows, ranges)
+
+    def occurrences(self, patterns: DataFrame) -> DataFrame:
+        """pattern_id, doc_id, pos: every place of every pattern."""
+        return self.at(self.ranges(patterns)).select("pattern_id", "doc_id", "pos")
+
+    def first_hits(self, patterns: DataFrame) -> DataFrame:
+        """pattern_id, sa_lo, sa_hi, doc_id, pos: the range and its first suffix (-1 where the pattern is absent)."""
+        found = self.ranges(patterns)
+        first = self.at(found.withColumn("sa_hi", F.least("sa_hi", F.col("sa_lo") + 1))).select("pattern_id", "doc_id", "pos")
+        return found.join(first, "pattern_id", "left").fillna(-1, ["doc_id", "pos"])
+
+    def backward_ranges(self, patterns: DataFrame) -> DataFrame:
+        """ranges() by backward search."""
+        return fences.backward_ranges(self.checkpoints(), patterns)

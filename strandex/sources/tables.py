@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local folder only where that is unset and the session has one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strandex-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -62,8 +62,17 @@ def index_path(base: str, stage: str, d: int) -> str:
     return f"{base.rstrip('/')}/stage={stage}/d={d}"
 
 
-def write_index(df: DataFrame, base: str, stage: str, d: int, sort: list[str]) -> str:
-    """Write an index table sorted, so that file statistics serve as fence keys."""
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def write_index(df: DataFrame, base: str, stage: str, d: int, sort: list[str], by: str | None = None) -> str:
+    """Write an index table, each of its files sorted; by: a column with a directory for each of its values."""
     path = index_path(base, stage, d)
-    df.sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
+    if by:
+        df.repartition(by).sortWithinPartitions(by, *sort).write.mode("overwrite").partitionBy(by).parquet(path)
+    else:
+        df.sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
     return path
