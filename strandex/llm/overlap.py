@@ -12,10 +12,11 @@ sizes beyond that ratio never meet.
    here on. Common shingles, as those of passages that many documents hold, are never shuffled
    by their list unless a document has hardly anything else.
 2. Documents with equal sets are one node, known by two 64-bit sums and the size; nodes with many copies have
-   the smallest numbers. The inverted short lists are made by a shuffle; a list's first node is its hub, and the least
-   hub of a node's lists is its home. Every node is compared with its home, which joins groups of near copies in one step.
+   the smallest numbers. The inverted short lists are made by a shuffle; a list's first node is its hub, and the hub
+   that most of a node's lists have is its home. Every node is compared with its home, which joins groups of near copies in one step.
 3. *Cells.* What is open are lists whose nodes lie in several components. Nodes are dealt into cells by home, by whether they
-   are in its component, by size class and, where that is too much for a task, by hash. Cells that share an open list, differ in
+   are in its component, by size class and, where that is too much for a task, by hash. Cells that share as many open lists as
+   their smallest sets must, differ in
    components and have sizes in reach of each other meet once, in one task.
 4. *DivideSkip.* There one cell is indexed by shingle. A query's lists are divided: up to T - 1 long ones, as many as the
    method's cost formula says, and the short rest. The short lists are merged on a heap, which skips by binary search over rows
@@ -256,7 +257,9 @@ def _met_cells(entries: DataFrame, placed: DataFrame, percent: int) -> tuple[Dat
     in_reach = (100 * F.col("most_i") >= percent * F.col("least_j")) & (100 * F.col("most_j") >= percent * F.col("least_i"))
     differ = F.least("lo_i", "lo_j") < F.greatest("hi_i", "hi_j")
     met = side("i").join(side("j"), "token").filter((F.col("cell_i") <= F.col("cell_j")) & in_reach & differ)
-    return keyed, persist(met.select(F.col("cell_i").alias("i"), F.col("cell_j").alias("j")).distinct(), "units")
+    counted = met.groupBy(F.col("cell_i").alias("i"), F.col("cell_j").alias("j")).agg(F.count("*").alias("lists"), F.min(F.least("least_i", "least_j")).alias("least"))
+    asked = F.least(1 + F.floor(F.col("least") / MORE), F.ceil(F.col("least") * percent / 100))
+    return keyed, persist(counted.filter(F.col("lists") >= asked).select("i", "j"), "units")
 
 
 def _cell_links(nodes: DataFrame, keyed: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +299,9 @@ def _labelled_sets(texts: DataFrame, listed: DataFrame, k: int, percent: int) ->
     several = shared.groupBy("node").agg(F.count("*").alias("n"), F.first("asked").alias("asked")).filter("n >= asked").select("node")
     entries = persist(shared.join(several, "node").select("node", "token"), "entries")
     hubs = entries.groupBy("token").agg(F.min("node").alias("hub"))
-    crowded = persist(entries.join(hubs, "token").groupBy("node").agg(F.min("hub").alias("home")), "crowded")
+    # The hub that most of a node's lists have: lists that it shares by chance have others.
+    often = entries.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    crowded = persist(often.groupBy("node").agg(F.min(F.struct(-F.col("n"), "hub")).alias("best")).select("node", F.col("best.hub").alias("home")), "crowded")
     wanted = sets.join(crowded, "node").select("node", "home", "n_shingles", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
 
     def items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
