@@ -57,17 +57,24 @@ def _pack(word: np.ndarray, text: np.ndarray, before: np.ndarray, after: np.ndar
     return (word << 33) | (bits >> _U(31)).view(np.int64), (before << 47) | (after << 31) | (bits & _U(0x7FFFFFFF)).view(np.int64)
 
 
-def _unpack(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window start."""
-    word = place >> 33
-    return word - (reach >> 47), word - ((reach >> 31) & 0xFFFF)
-
-
 def _text_of(place: Column, reach: Column) -> Column:
     """The hash of the text that a seed is from."""
     return F.shiftleft(place, 31).bitwiseOR(reach.bitwiseAND(0x7FFFFFFF))
 
 
+def _seed_of(place: Column, reach: Column, repeat: Column) -> Column:
+    """One long: what is left once the text is known, and whether the seed is surely a repeat."""
+    before, after = F.shiftright(reach, 47), F.shiftright(reach, 31).bitwiseAND(0xFFFF)
+    word = F.shiftleft(F.shiftright(place, 33), 33)
+    return word.bitwiseOR(F.shiftleft(before, 17)).bitwiseOR(F.shiftleft(after, 1)).bitwiseOR(repeat.cast("long"))
+
+
+def _unpack(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start, and whether surely repeated."""
+    word = seed >> 33
+    return word - ((seed >> 17) & 0xFFFF), word - ((seed >> 1) & 0xFFFF), (seed & 1).astype(bool)
+
+
 def _seeds(items: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors picked by the windows of each row: anchor position, first and last window that picked it, hash."""
     grams = B.gram_hashes(items, K, 0)
@@ -187,9 +194,9 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
     )
     repeat = (F.col("kind") == REPEAT) | ((F.col("kind") == SEED) & (F.col("first") < F.col("doc_id")))
     compare = (F.col("kind") == COMPARE) | ((F.col("kind") == SEED) & F.col("several"))
-    open_seeds = met.filter((F.col("kind") != MARKER) & (repeat | compare)).select("doc_id", _text_of(F.col("place"), F.col("reach")).alias("text_hash"), F.struct("place", "reach", repeat.alias("repeat")).alias("seed"))
+    open_seeds = met.filter((F.col("kind") != MARKER) & (repeat | compare)).select("doc_id", _text_of(F.col("place"), F.col("reach")).alias("text_hash"), _seed_of(F.col("place"), F.col("reach"), repeat).alias("seed"))
     # Rows that repeat id and text have the same seeds, each of which is met once.
-    per_doc = persist(open_seeds.groupBy("doc_id", "text_hash").agg(F.collect_set("seed").alias("seeds")), "repeat-seeds")
+    per_doc = persist(open_seeds.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list("seed")).alias("seeds")), "repeat-seeds")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows that anchors with several contexts leave open, by their hashes."""
@@ -256,11 +263,7 @@ def _items(texts: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray
 
 def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window and whether surely repeated, of one row's seeds."""
-    if not seeds[0].is_valid:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, bool)
-    values = seeds.flatten()
-    return *_unpack(*(values.field(x).to_numpy(zero_copy_only=False) for x in ("place", "reach"))), values.field("repeat").to_numpy(zero_copy_only=False).astype(bool)
+    return _unpack(seeds.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes | None, list[dict]], tuple]) -> DataFrame:

@@ -61,5 +61,6 @@ def test_rows_that_share_an_id_are_told_apart_by_their_whole_hash(make_docs):
     spark = make_docs([]).sparkSession
     frame = spark.createDataFrame(list(zip(place.tolist(), reach.tolist())), "place long, reach long")
     assert [r[0] for r in frame.select(substrings._text_of(frame.place, frame.reach)).collect()] == text.tolist()
-    first, last = substrings._unpack(place, reach)
-    assert first.tolist() == [0, 7 - 65535, (1 << 30) - 9] and last.tolist() == [0, 6, (1 << 30) - 1]
+    seeds = [r[0] for r in frame.select(substrings._seed_of(frame.place, frame.reach, frame.place > 0)).collect()]
+    first, last, known = substrings._unpack(np.array(seeds))
+    assert known.tolist() == (place > 0).tolist() and first.tolist() == [0, 7 - 65535, (1 << 30) - 9] and last.tolist() == [0, 6, (1 << 30) - 1]
