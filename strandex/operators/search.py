@@ -189,10 +189,10 @@ def grouped_search(texts: DataFrame, patterns: DataFrame, array: DataFrame, d: i
     return short.select("pattern_id", "doc_id", F.col("k").cast("long").alias("k"), "sa_pos", (F.col("pos") * d - F.col("k")).alias("pos"))
 
 
-def snippet(enc: Column, pos: Column, width: int = 25) -> Column:
-    """The text at a hit: at most `width` letters, with dots where more follow."""
-    more = F.when(F.length(enc) - pos > width, F.lit("...")).otherwise(F.lit(""))
-    return F.concat(E.decode(F.substring(enc, (pos + 1).cast("int"), F.lit(width))), more)
+def snippet(begin: Column, rest: Column, width: int = 25) -> Column:
+    """The text at a hit, of which begin has the first symbols and rest is the length: at most `width` letters, with dots where more follow."""
+    more = F.when(rest > width, F.lit("...")).otherwise(F.lit(""))
+    return F.concat(E.decode(F.substring(begin, F.lit(1), F.lit(width))), more)
 
 
 def text_search(texts: DataFrame, patterns: DataFrame, ranks: DataFrame | None = None) -> DataFrame:

@@ -185,7 +185,8 @@ def inversions(texts: DataFrame, array: DataFrame) -> DataFrame:
     """doc_id, n, inversions: neighbours of the array in the wrong order.
 
     Two suffixes are in order if their first symbols are, or if these are equal and the suffixes one symbol further on
-    stand in order in the array: no suffix is compared as a whole.
+    stand in order in the array: no suffix is compared as a whole. There are none exactly if the array is sorted; in an unsorted one a
+    wrong pair also shows at the neighbours of which it is the rest.
     """
     place = array.select("doc_id", F.col("sa_pos").alias("after"), (F.col("pos") - 1).alias("at"))
     symbol = positions(texts, 1).select("doc_id", F.col("pos").alias("at"), F.col("key").alias("symbol"))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
 from strandex.operators import rankselect as R
-from strandex.operators import search, suffix, tree
+from strandex.operators import search, suffix, tree, wavelet
 from strandex.plans import sql as S
 from strandex.sources.stored import StoredIndex
 from strandex.sources.tables import dna_docs as encoded_docs
-from strandex.sources.tables import read, shared_folder
+from strandex.sources.tables import materialise, read, shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,7 +66,7 @@ for _d in range(1, 9):
 
     @query(f"suffix_array_d{_d}", S.query(S.DNA, S.full(_d), S.meta(_d), S.sa(_d), of="SELECT doc_id, CAST(sa_pos AS BIGINT) AS sa_pos, CAST(mpos AS BIGINT) AS pos FROM sad"))
     def _suffix_array(spark: SparkSession, sf: str, d: int = _d) -> DataFrame:
-        return suffix.suffix_array(dna_docs(spark, sf), d)
+        return suffix.suffix_array(dna_docs(spark, sf), d, index_of(spark, sf).ranks())
 
 
 @query("suffix_array_doubling")
@@ -103,11 +103,43 @@ def _validate(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.inversions(texts, index_of(spark, sf).array())
 
 
+_BROKEN = """w AS (SELECT doc_id, enc, sa_pos, CASE WHEN doc_id % 5 = 1 AND sa_pos < 2 AND length(enc) > 1 THEN 1 - sa_pos WHEN doc_id % 5 = 2 AND sa_pos = 0 THEN length(enc) ELSE sa_pos END AS spot, pos FROM sa),
+v AS (SELECT * FROM w WHERE NOT (doc_id % 5 = 3 AND spot = length(enc) - 1))"""
+
+
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """The arrays with errors: every fifth text has its first two suffixes swapped, others a place beyond the end, or no last suffix."""
+    array = index_of(spark, sf).array().join(dna_docs(spark, sf).select("doc_id", "n"), "doc_id")
+    kind, at = F.col("doc_id") % 5, F.col("sa_pos")
+    moved = F.when((kind == 1) & (at < 2) & (F.col("n") > 1), 1 - at).when((kind == 2) & (at == 0), F.col("n")).otherwise(at)
+    return array.withColumn("sa_pos", moved).filter(~((kind == 3) & (F.col("sa_pos") == F.col("n") - 1))).select("doc_id", "sa_pos", "pos")
+
+
+_ORDERED = "SELECT doc_id, CAST(count(*) AS BIGINT) AS n, coalesce(bool_and(b < a), true) AS ok FROM (SELECT doc_id, substr(enc, pos + 1) AS a, CASE WHEN lag(spot) OVER o = spot - 1 THEN lag(substr(enc, pos + 1)) OVER o END AS b FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY spot)) GROUP BY doc_id"
+
+
+@query("sa_validate_planted", S.query(S.DNA, S.POS, S.SA1, _BROKEN.replace("doc_id % 5 = 3", "false").replace("doc_id % 5 = 2", "false"), of=_ORDERED))
+def _validate_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Which arrays are in order, when every fifth text has its first two suffixes swapped."""
+    array = index_of(spark, sf).array().join(dna_docs(spark, sf).select("doc_id", "n"), "doc_id")
+    swapped = F.when((F.col("doc_id") % 5 == 1) & (F.col("sa_pos") < 2) & (F.col("n") > 1), 1 - F.col("sa_pos")).otherwise(F.col("sa_pos"))
+    found = suffix.inversions(dna_docs(spark, sf), array.select("doc_id", swapped.alias("sa_pos"), "pos"))
+    return found.select("doc_id", "n", (F.col("inversions") == 0).alias("ok"))
+
+
+@query("size_check_planted", S.query(S.DNA, of="SELECT doc_id, doc_id % 5 NOT IN (2, 3) AS ok FROM dna"))
+def _size_check_planted(spark: SparkSession, sf: str) -> DataFrame:
+    return _sized(dna_docs(spark, sf), _planted(spark, sf))
+
+
 @query("size_check", S.query(S.DNA, of="SELECT doc_id, true AS ok FROM dna"))
 def _size_check(spark: SparkSession, sf: str) -> DataFrame:
+    return _sized(dna_docs(spark, sf), index_of(spark, sf).array())
+
+
+def _sized(texts: DataFrame, array: DataFrame) -> DataFrame:
     """Whether the array of each text is as long as the text and a permutation of its positions."""
-    texts = dna_docs(spark, sf)
-    sizes = index_of(spark, sf).array().groupBy("doc_id").agg(F.count("*").alias("m"), F.sum("pos").alias("s"), F.sum("sa_pos").alias("r"), F.max("pos").alias("top"))
+    sizes = array.groupBy("doc_id").agg(F.count("*").alias("m"), F.sum("pos").alias("s"), F.sum("sa_pos").alias("r"), F.max("pos").alias("top"))
     total = F.col("n") * (F.col("n") - 1) / 2
     return texts.join(sizes, "doc_id", "left").select("doc_id", F.coalesce((F.col("m") == F.col("n")) & (F.col("s") == total) & (F.col("r") == total) & (F.col("top") == F.col("n") - 1), F.lit(False)).alias("ok"))
 
@@ -181,20 +213,21 @@ def _wt_rank(spark: SparkSession, sf: str) -> DataFrame:
     return R.wavelet_rank(R.sequence_of(dna_docs(spark, sf)), asked)
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored wavelet tree over each document's symbols."""
+    return index_of(spark, sf).symbol_levels()
+
+
 @query("wt_access", S.query(S.DNA, S.POS, S.SEQ, of="SELECT doc_id, CAST(idx AS BIGINT) AS pos, val AS result FROM seq"))
 def _wt_access(spark: SparkSession, sf: str) -> DataFrame:
-    """The values put together again from the tree's levels."""
-    table = R.wavelet_bits(R.sequence_of(dna_docs(spark, sf)))
-    # The last level has every value whole; select leads back to its index.
-    low = table.filter("level = 2").select("doc_id", "node", "idx", "bit")
-    placed = R.counted_before(R.sequence_of(dna_docs(spark, sf)).withColumn("node", F.shiftright("val", 1)), ["doc_id", "node"], F.lit(1), "place")
-    return placed.select("doc_id", "node", F.col("idx").alias("pos"), F.col("place").alias("idx")).join(low, ["doc_id", "node", "idx"]).select("doc_id", "pos", (F.col("node") * 2 + F.col("bit")).alias("result"))
+    """The values read from the levels of the tree, from their places alone."""
+    return wavelet.access(_levels(spark, sf), 3, dna_docs(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))).select("doc_id", F.col("idx").alias("pos"), F.col("val").alias("result"))
 
 
 @query("wt_first_in_range", S.query(S.DNA, _ASK, S.POS, S.SEQ, of="SELECT a.doc_id, a.val, CAST(arg_min(s.idx, s.val * 100000000 + s.idx) AS BIGINT) AS result FROM ask a JOIN seq s ON s.doc_id = a.doc_id AND (s.val >> 1) = (a.val >> 1) AND s.idx >= n // 4 AND s.idx < n * 3 // 4 GROUP BY a.doc_id, a.val"))
 def _first_in_range(spark: SparkSession, sf: str) -> DataFrame:
     asked = _ask(spark, sf).select("doc_id", "val", F.lit(2).alias("signif"), F.floor(F.col("n") / 4).alias("l"), F.floor(F.col("n") * 3 / 4).alias("r"))
-    return R.first_in_range(R.sequence_of(dna_docs(spark, sf)), asked)
+    return wavelet.first_in_range(_levels(spark, sf), index_of(spark, sf).symbol_places(), 3, asked)
 
 
 _WT = "wt AS (SELECT doc_id, CAST(l AS BIGINT) AS level, val >> (3 - l) AS node, (val >> (2 - l)) & 1 AS bit, idx FROM seq, range(0, 3) AS t(l))"
@@ -245,24 +278,25 @@ def _patterns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("occurrences", S.query(*_P, S.OCC, of="SELECT pattern_id, doc_id, CAST(pos AS BIGINT) AS pos FROM occ"))
 def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return search.occurrences(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
+    return index_of(spark, sf).occurrences(_patterns(spark, sf)[1])
 
 
 @query("occurrence_count", S.query(*_P, S.OCC, of="SELECT p.pattern_id, count(o.pos) AS n FROM both_p p LEFT JOIN occ o ON o.pattern_id = p.pattern_id GROUP BY p.pattern_id"))
 def _count(spark: SparkSession, sf: str) -> DataFrame:
-    return search.counts(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
+    """A count is the length of a range: no place is read."""
+    return index_of(spark, sf).ranges(_patterns(spark, sf)[1]).select("pattern_id", (F.col("sa_hi") - F.col("sa_lo")).alias("n"))
 
 
 @query("pattern_exists", S.query(*_P, S.OCC, of="SELECT pattern_id, pattern FROM both_p WHERE pattern_id IN (SELECT pattern_id FROM occ)"))
 def _exists(spark: SparkSession, sf: str) -> DataFrame:
-    texts, patterns = _patterns(spark, sf)
-    return patterns.join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id", "left_semi").select("pattern_id", "pattern")
+    patterns = _patterns(spark, sf)[1]
+    return patterns.join(index_of(spark, sf).ranges(patterns).filter("sa_lo < sa_hi"), "pattern_id").select("pattern_id", "pattern")
 
 
 @query("pattern_missing", S.query(*_P, S.OCC, of="SELECT pattern_id, pattern FROM both_p WHERE pattern_id NOT IN (SELECT pattern_id FROM occ)"))
 def _missing(spark: SparkSession, sf: str) -> DataFrame:
-    texts, patterns = _patterns(spark, sf)
-    return patterns.join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id", "left_anti").select("pattern_id", "pattern")
+    patterns = _patterns(spark, sf)[1]
+    return patterns.join(index_of(spark, sf).ranges(patterns).filter("sa_lo = sa_hi"), "pattern_id").select("pattern_id", "pattern")
 
 
 _FIRST = "hit AS (SELECT pattern_id, o.doc_id, pos, row_number() OVER (PARTITION BY pattern_id ORDER BY substr(enc, pos + 1), o.doc_id, pos) AS r FROM occ o JOIN dna USING (doc_id))"
@@ -275,28 +309,43 @@ ran AS (SELECT pattern_id, CAST(min(CASE WHEN side = 0 THEN place END) AS BIGINT
 
 @query("sa_range", S.query(*_P, _KEY, _RAN, of="SELECT pattern_id, sa_lo, sa_hi FROM ran"))
 def _sa_range(spark: SparkSession, sf: str) -> DataFrame:
-    return search.ranges(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
+    return index_of(spark, sf).ranges(_patterns(spark, sf)[1])
+
+
+@query("backward_search", S.query(*_P, _KEY, _RAN, of="SELECT pattern_id, sa_lo, sa_hi FROM ran WHERE sa_lo < sa_hi"))
+def _backward(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges of the patterns that occur, from their last letter to their first."""
+    return index_of(spark, sf).backward_ranges(_patterns(spark, sf)[1]).filter("sa_lo < sa_hi")
+
+
+@query("suffix_order", S.query(S.DNA, S.POS, of="SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (ORDER BY substr(enc, pos + 1), doc_id, pos) - 1 AS BIGINT) AS sa_pos FROM pos"))
+def _order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every suffix among all suffixes of all documents, as the ranges count them."""
+    return index_of(spark, sf).blocks().select("doc_id", "pos", "sa_pos")
 
 
 @query("first_hit", S.query(*_P, S.OCC, _FIRST, of="SELECT pattern_id, doc_id, CAST(pos AS BIGINT) AS pos FROM hit WHERE r = 1"))
 def _first_hit(spark: SparkSession, sf: str) -> DataFrame:
-    return search.first_hits(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
+    """The suffix at the begin of each range."""
+    return index_of(spark, sf).first_hits(_patterns(spark, sf)[1]).filter("sa_lo < sa_hi").select("pattern_id", "doc_id", "pos")
 
 
 @query("first_pos", S.query(*_P, S.OCC, of="SELECT pattern_id, doc_id, CAST(min(pos) AS BIGINT) AS pos FROM occ GROUP BY pattern_id, doc_id"))
 def _first_pos(spark: SparkSession, sf: str) -> DataFrame:
-    return search.first_positions(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
+    found = index_of(spark, sf).occurrences(_patterns(spark, sf)[1])
+    return found.groupBy("pattern_id", "doc_id").agg(F.min("pos").alias("pos"))
 
 
 @query("search_first", S.query(*_P, S.OCC, _FIRST, _KEY, _RAN, of="SELECT ran.pattern_id, sa_lo, sa_hi, coalesce(doc_id, -1) AS doc_id, CAST(coalesce(pos, -1) AS BIGINT) AS pos FROM ran LEFT JOIN hit ON hit.pattern_id = ran.pattern_id AND r = 1"))
 def _search_first(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_first(*_patterns(spark, sf), keys=index_of(spark, sf).keys())
+    return index_of(spark, sf).first_hits(_patterns(spark, sf)[1])
 
 
 @query("search_all", S.query(*_P, S.OCC, _KEY, _RAN, of="SELECT ran.pattern_id, sa_lo, sa_hi, doc_id, CAST(pos AS BIGINT) AS pos FROM ran JOIN occ ON occ.pattern_id = ran.pattern_id"))
 def _search_all(spark: SparkSession, sf: str) -> DataFrame:
-    texts, patterns = _patterns(spark, sf)
-    return search.ranges(texts, patterns, keys=index_of(spark, sf).keys()).join(search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()), "pattern_id")
+    index = index_of(spark, sf)
+    found = materialise(index.ranges(_patterns(spark, sf)[1]), "ranges")
+    return found.join(index.at(found).select("pattern_id", "doc_id", "pos"), "pattern_id")
 
 
 LENGTHS = (4, 16, 32, 64, 100)
@@ -310,12 +359,13 @@ _FOUND = "cnt AS (SELECT length, substr(s, 1, length) AS pattern, count(*) AS n
 @query("search_lengths", S.query(S.DNA, S.POS, _EACH, _SAMPLED, _LONGEST, _RAN, _FOUND, of="SELECT CAST(length AS BIGINT) AS length, pattern, n, sa_lo, sa_hi FROM both_p JOIN ran USING (pattern_id) JOIN cnt USING (length, pattern)"))
 def _search_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and ranges of the distinct sampled patterns of 4 to 100 letters, in one batch."""
-    texts, keys, patterns = dna_docs(spark, sf), index_of(spark, sf).keys(), None
+    texts, patterns = dna_docs(spark, sf), None
     for n in LENGTHS:
         part = search.sample_patterns(texts, n).groupBy("pattern").agg((F.min("doc_id") * 1000 + n).alias("pattern_id"))
         patterns = part if patterns is None else patterns.unionByName(part)
-    found = search.ranges(texts, patterns, keys=keys).join(search.counts(texts, patterns, keys=keys), "pattern_id")
-    return found.join(patterns, "pattern_id").select(F.length("pattern").cast("long").alias("length"), "pattern", "n", "sa_lo", "sa_hi")
+    patterns = materialise(patterns, "patterns")
+    found = index_of(spark, sf).ranges(patterns).join(patterns, "pattern_id")
+    return found.select(F.length("pattern").cast("long").alias("length"), "pattern", (F.col("sa_hi") - F.col("sa_lo")).alias("n"), "sa_lo", "sa_hi")
 
 
 @query("lcp_pattern", S.query(*_P, of="SELECT pattern_id, p.doc_id, CAST(len(list_filter(range(1, 17), lambda i: contains(enc, substr(pattern, 1, i)))) AS BIGINT) AS lcp FROM both_p p JOIN dna USING (doc_id)"))
@@ -329,8 +379,8 @@ _SNIP = "replace(translate(substr(enc, pos + 1, 25), '1234', 'ACTG'), '0', chr(9
 @query("match_snippet", S.query(*_P, S.OCC, of=f"SELECT pattern_id, doc_id, CAST(pos AS BIGINT) AS pos, {_SNIP} AS snippet FROM occ JOIN dna USING (doc_id)"))
 def _snippet(spark: SparkSession, sf: str) -> DataFrame:
     texts, patterns = _patterns(spark, sf)
-    found = search.occurrences(texts, patterns, keys=index_of(spark, sf).keys()).join(texts.select("doc_id", "enc"), "doc_id")
-    return found.select("pattern_id", "doc_id", "pos", search.snippet(F.col("enc"), F.col("pos")).alias("snippet"))
+    found = index_of(spark, sf).at(index_of(spark, sf).ranges(patterns), "key")
+    return found.join(texts.select("doc_id", "n"), "doc_id").select("pattern_id", "doc_id", "pos", search.snippet(F.col("key"), F.col("n") - F.col("pos")).alias("snippet"))
 
 
 def _grouped_sql(d: int) -> str:
@@ -347,17 +397,16 @@ for _d in range(2, 9):
 
     @query(f"gbwt_search_d{_d}", _grouped_sql(_d))
     def _grouped(spark: SparkSession, sf: str, d: int = _d) -> DataFrame:
-        texts, patterns = _patterns(spark, sf)
-        return search.grouped_search(texts, patterns, index_of(spark, sf).array(d), d, index_of(spark, sf).suffixes(d))
+        return index_of(spark, sf).grouped_search(_patterns(spark, sf)[1], d)
 
 
 @query("gbwt_count", S.query(*_P, S.OCC, of="SELECT p.pattern_id, CAST(d AS BIGINT) AS d, count(o.pos) AS n FROM both_p p CROSS JOIN range(2, 9) AS t(d) JOIN occ o ON o.pattern_id = p.pattern_id GROUP BY p.pattern_id, d"))
 def _gbwt_count(spark: SparkSession, sf: str) -> DataFrame:
     """Hits through the index of every d; they are the same for all d."""
-    texts, patterns = _patterns(spark, sf)
+    patterns = _patterns(spark, sf)[1]
     index, out = index_of(spark, sf), None
     for d in range(2, 9):
-        found = search.grouped_search(texts, patterns, index.array(d), d, index.suffixes(d)).groupBy("pattern_id").agg(F.count("*").alias("n"))
+        found = index.grouped_search(patterns, d).groupBy("pattern_id").agg(F.count("*").alias("n"))
         part = found.select("pattern_id", F.lit(d).cast("long").alias("d"), "n")
         out = part if out is None else out.unionByName(part)
     return out

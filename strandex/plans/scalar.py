@@ -82,10 +82,16 @@ def _slice(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "pos", E.slice_of(F.col("enc"), F.col("pos"), F.floor(F.col("n") / 2)).alias("value"))
 
 
-@query("pattern_validate", "SELECT doc_id, CAST(0 AS BIGINT) AS pos, CASE WHEN regexp_full_match(upper(text), '[ACGT]*') THEN translate(upper(text), 'ACTG', '1234') END AS value FROM documents")
+_ASKED = "CASE doc_id % 3 WHEN 1 THEN substr(letters, 1, 8) || 'N' WHEN 2 THEN lower(substr(letters, 1, 12)) ELSE substr(letters, 1, 16) END AS pattern"
+
+
+@query("pattern_validate", f"SELECT doc_id, pattern, CASE WHEN regexp_full_match(pattern, '[ACGT]*') THEN translate(pattern, 'ACTG', '1234') END AS value FROM (SELECT doc_id, {_ASKED} FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS letters FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))")
 def _validate(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
-    return docs.select("doc_id", F.lit(0).cast("long").alias("pos"), E.checked_pattern(F.upper("text")).alias("value"))
+    """A pattern of each document: as it is, with a letter that is none, or in small letters; only the first kind is valid."""
+    letters = dna_docs(spark, sf).select("doc_id", F.translate(F.translate("enc", "0", ""), E.DIGITS, E.LETTERS).alias("letters"))
+    kind = F.col("doc_id") % 3
+    pattern = F.when(kind == 1, F.concat(F.substring("letters", 1, 8), F.lit("N"))).when(kind == 2, F.lower(F.substring("letters", 1, 12))).otherwise(F.substring("letters", 1, 16))
+    return letters.select("doc_id", pattern.alias("pattern")).withColumn("value", E.checked_pattern(F.col("pattern")))
 
 
 @query("char_histogram", "SELECT code, count(*) AS n FROM (SELECT CAST(unicode(unnest(string_split(text, ''))) AS BIGINT) AS code FROM documents WHERE length(text) > 0) GROUP BY code")
@@ -95,9 +101,6 @@ def _histogram(spark: SparkSession, sf: str) -> DataFrame:
     return chars.groupBy("c").agg(F.count("*").alias("n")).groupBy(F.ascii("c").cast("long").alias("code")).agg(F.sum("n").alias("n"))
 
 
-_ALL_D = "(VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS v(d)"
-
-
 @query("symbol_freq", "SELECT * FROM (" + "\nUNION ALL ".join(f"({S.query(S.DNA, S.full(d), S.meta(d), of=f'SELECT CAST({d} AS BIGINT) AS d, {S.octal("sym", d)} AS num, count(*) AS n FROM met GROUP BY 2')})" for d in range(1, 9)) + ")")
 def _symbol_freq(spark: SparkSession, sf: str) -> DataFrame:
     # One pass over the texts for all d.
@@ -135,21 +138,6 @@ def _bit_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(F.col("p_partkey").alias("v"), E.bits_reversed(F.col("p_partkey"), 20).alias("reversed"))
 
 
-@query("packed_ints", "SELECT p_partkey AS v, CAST(p_size AS BIGINT) AS value FROM part")
-def _packed_ints(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten-bit integers packed six to a word, and read back by shifts."""
-    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("v"), F.col("p_size").cast("long").alias("x"))
-    placed = rows.withColumn("word", F.floor(F.col("v") / 6)).withColumn("slot", (F.col("v") % 6).cast("int"))
-    words = placed.groupBy("word").agg(F.sum(F.expr("shiftleft(x, 10 * slot)")).alias("bits"))
-    return placed.join(words, "word").select("v", F.expr("shiftright(bits, 10 * slot) & 1023").alias("value"))
-
-
-@query("index_names", f"SELECT d, 'X.comp.sa' || CASE WHEN d > 1 THEN '.d' || CAST(d AS VARCHAR) ELSE '' END AS sa, 'X.comp.sbt' || CASE WHEN d > 1 THEN '.d' || CAST(d AS VARCHAR) ELSE '' END AS sbt, 'X.comp.wt' || CASE WHEN d > 1 THEN '.d' || CAST(d AS VARCHAR) ELSE '' END AS wt FROM (SELECT CAST(d AS BIGINT) AS d FROM {_ALL_D})")
-def _names(spark: SparkSession, sf: str) -> DataFrame:
-    tail = F.when(F.col("d") > 1, F.concat(F.lit(".d"), F.col("d").cast("string"))).otherwise(F.lit(""))
-    return spark.range(1, 9).select(F.col("id").alias("d")).select("d", *(F.concat(F.lit(f"X.comp.{s}"), tail).alias(s) for s in ("sa", "sbt", "wt")))
-
-
 @query("sample_patterns", S.query(S.DNA, S.pat(), of="SELECT pattern_id, CAST(start AS BIGINT) AS start, pattern FROM pat"))
 def _sample(spark: SparkSession, sf: str) -> DataFrame:
     return search.sample_patterns(dna_docs(spark, sf)).select("pattern_id", "start", "pattern")
@@ -197,63 +185,3 @@ def _sectioned_means(spark: SparkSession, sf: str, sections: int = 10) -> DataFr
     sums = rows.join(F.broadcast(ends)).groupBy(section.alias("section")).agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     so_far = Window.orderBy("section")
     return sums.select("section", F.floor(F.sum("s").over(so_far) / F.sum("n").over(so_far)).alias("mean"))
-
-
-_CAP = ", ".join(f"({d}, {E.node_capacity(d, False)}, {E.node_capacity(d, True)})" for d in range(1, 9))
-
-
-@query("node_capacity", f"SELECT CAST(d AS BIGINT) AS d, CAST(floor(2 * 4061 / (2 * (5 + 2 * (s + 2)) + 12)) AS BIGINT) AS inner_cap, CAST(floor(2 * 4061 / (2 * (5 + 2 * (s + 2)) + 8)) AS BIGINT) AS leaf_cap FROM (SELECT d, CASE WHEN d = 1 THEN 1 ELSE ceil(3 * d / 8.0) END AS s FROM {_ALL_D})")
-def _capacity(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("d")
-    rows = spark.range(1, 9).select(F.col("id").alias("d")).withColumn("s", F.when(d == 1, F.lit(1)).otherwise(F.ceil(3 * d / 8)))
-    step = 2 * (5 + 2 * (F.col("s") + 2))
-    return rows.select("d", F.floor(F.lit(2 * 4061) / (step + 12)).alias("inner_cap"), F.floor(F.lit(2 * 4061) / (step + 8)).alias("leaf_cap"))
-
-
-def _blocks_sql() -> str:
-    return S.query(
-        "RECURSIVE " + S.DNA,
-        f"cap(d, i, l) AS (VALUES {_CAP})",
-        "b AS (SELECT doc_id, CAST(d AS BIGINT) AS d, CAST(ceil(ceil(length(enc) / CAST(d AS DOUBLE)) / l) AS BIGINT) AS nodes, i // 2 AS half FROM dna, cap)",
-        "lev AS (SELECT doc_id, d, nodes, half FROM b UNION ALL SELECT doc_id, d, CAST(ceil(nodes / CAST(half AS DOUBLE)) AS BIGINT), half FROM lev WHERE nodes > 1)",
-        of="SELECT doc_id, d, CAST(sum(nodes) AS BIGINT) AS blocks FROM lev GROUP BY doc_id, d",
-    )
-
-
-@query("sbt_block_count", _blocks_sql())
-def _block_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _blocks(spark, sf).select("doc_id", "d", "blocks")
-
-
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, d, n, blocks of each text and d, by the closed form over its length."""
-    texts = dna_docs(spark, sf).select("doc_id", F.col("n").alias("symbols"))
-    rows = None
-    for d in range(1, 9):
-        n = F.ceil(F.col("symbols") / d)
-        level = F.ceil(n / E.node_capacity(d, True))
-        total, half = level, E.node_capacity(d, False) // 2
-        for _ in range(9):  # 119 ** 9 leaves are more than a long counts
-            above = F.ceil(level / half)
-            total = total + F.when(level > 1, above).otherwise(0)
-            level = F.when(level > 1, above).otherwise(1)
-        part = texts.select("doc_id", F.lit(d).cast("long").alias("d"), n.cast("long").alias("n"), total.cast("long").alias("blocks"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
-
-
-_SIZE = S.query(
-    "RECURSIVE " + S.DNA,
-    f"cap(d, i, l) AS (VALUES {_CAP})",
-    "b AS (SELECT doc_id, CAST(d AS BIGINT) AS d, CAST(ceil(ceil(length(enc) / CAST(d AS DOUBLE)) / l) AS BIGINT) AS nodes, i // 2 AS half, CAST(ceil(length(enc) / CAST(d AS DOUBLE)) AS BIGINT) AS n FROM dna, cap)",
-    "lev AS (SELECT doc_id, d, n, nodes, half FROM b UNION ALL SELECT doc_id, d, n, CAST(ceil(nodes / CAST(half AS DOUBLE)) AS BIGINT), half FROM lev WHERE nodes > 1)",
-    "t AS (SELECT doc_id, d, n, 4096 * sum(nodes) AS tree FROM lev GROUP BY doc_id, d, n)",
-    of="SELECT d, CAST(sum(tree) AS BIGINT) AS tree_bytes, CAST(sum(CASE WHEN d = 1 THEN 0 ELSE n * 3 * d // 8 + 4 * n END) AS BIGINT) AS wavelet_bytes FROM t GROUP BY d",
-)
-
-
-@query("index_size_model", _SIZE)
-def _size_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes of the tree (4096 a block) and of the wavelet bits and select table, by d."""
-    wavelet = F.when(F.col("d") == 1, 0).otherwise(F.floor(F.col("n") * 3 * F.col("d") / 8) + 4 * F.col("n"))
-    return _blocks(spark, sf).groupBy("d").agg((4096 * F.sum("blocks")).cast("long").alias("tree_bytes"), F.sum(wavelet).cast("long").alias("wavelet_bytes"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
-from strandex.operators import fences, suffix
+from strandex.operators import fences, suffix, wavelet
+from strandex.operators.rankselect import sequence_of
 from strandex.sources.tables import finished, index_path, write_index
 
 
@@ -18,7 +19,8 @@ class StoredIndex:
     texts (doc_id, enc, n), keys (doc_id, pos, key: the first 64 symbols of each suffix), ranks (doc_id, pos, rank),
     and for each d the array (doc_id, sa_pos, pos) and suffixes: the array with the head of each suffix and the symbol
     before it. Over all texts together: blocks of the suffixes in one order, a directory each, the fences above them, parts
-    of the texts, and checkpoints of the symbols before the suffixes. Without texts, a folder is opened that has them; a table that it
+    of the texts, checkpoints of the symbols before the suffixes, and for each d the suffixes at multiples of d with a wavelet tree
+over the symbols before them. Without texts, a folder is opened that has them; a table that it
     lacks, or whose writing did not end, is written when first asked for.
     """
 
@@ -66,15 +68,42 @@ class StoredIndex:
     def checkpoints(self) -> DataFrame:
         return self._stage("checkpoints", 1, lambda: fences.checkpoints(self.blocks()), ["chunk"])
 
+    def flags(self, d: int) -> DataFrame:
+        """Bit strings: which suffixes of the order are at multiples of d."""
+        return self._stage("flags", d, lambda: wavelet.sampled_flags(self.blocks(), d), ["block"])
+
+    def grouped(self, d: int) -> DataFrame:
+        """idx, doc_id, pos, val: these suffixes in order, and the number of the reversed symbol before each."""
+        return self._stage("grouped", d, lambda: wavelet.grouped_sequence(self.texts(), self.blocks(), d), ["idx"])
+
+    def _sequence(self, d: int) -> DataFrame:
+        return self.grouped(d).select(F.lit(0).cast("long").alias("doc_id"), "idx", "val")
+
+    def wavelet(self, d: int) -> DataFrame:
+        """doc_id, level, node, block, bits, ones_before: the levels of the tree over these numbers."""
+        return self._stage("wavelet", d, lambda: wavelet.wavelet_levels(self._sequence(d), 3 * d), ["level", "node", "block"])
+
+    def select(self, d: int) -> DataFrame:
+        """doc_id, level, node, place, idx: the way back from the tree's nodes of whole letters."""
+        return self._stage("select", d, lambda: wavelet.select_places(self._sequence(d), 3 * d, [3 * k for k in range(1, d + 1)]), ["level", "node", "place"])
+
+    def symbol_levels(self) -> DataFrame:
+        """The wavelet tree over the symbols of each text."""
+        return self._stage("symbol-levels", 1, lambda: wavelet.wavelet_levels(sequence_of(self.texts()), 3), ["doc_id", "level", "node", "block"])
+
+    def symbol_places(self) -> DataFrame:
+        """Where each symbol of each text stands, by its number among equal ones."""
+        return self._stage("symbol-places", 1, lambda: wavelet.select_places(sequence_of(self.texts()), 3, [3]), ["doc_id", "node", "place"])
+
     # Searches of patterns (pattern_id, pattern)
 
     def ranges(self, patterns: DataFrame) -> DataFrame:
         """pattern_id, sa_lo, sa_hi: the places of each pattern in the order of all suffixes."""
         return fences.ranges(self.blocks(), self.block_rows, self.fences(), self.parts(), patterns)
 
-    def at(self, ranges: DataFrame) -> DataFrame:
-        """pattern_id, sa_pos, doc_id, pos: the suffixes at the places of the ranges."""
-        return fences.at_places(self.blocks(), self.block_rows, ranges)
+    def at(self, ranges: DataFrame, *columns: str) -> DataFrame:
+        """pattern_id, sa_pos, doc_id, pos and further columns of the blocks: the suffixes at the places of the ranges."""
+        return fences.at_places(self.blocks(), self.block_rows, ranges, *columns)
 
     def occurrences(self, patterns: DataFrame) -> DataFrame:
         """pattern_id, doc_id, pos: every place of every pattern."""
@@ -89,3 +118,7 @@ class StoredIndex:
     def backward_ranges(self, patterns: DataFrame) -> DataFrame:
         """ranges() by backward search."""
         return fences.backward_ranges(self.checkpoints(), patterns)
+
+    def grouped_search(self, patterns: DataFrame, d: int) -> DataFrame:
+        """pattern_id, doc_id, k, sa_pos, pos: occurrences through the wavelet tree of d-letter symbols."""
+        return wavelet.grouped_search(self, patterns, d)
