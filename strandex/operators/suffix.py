@@ -96,14 +96,25 @@ def refine(ranks: DataFrame, h: int) -> DataFrame:
     return done.unionByName(inside.select("doc_id", "pos", (F.col("rank") + F.col("within")).alias("rank"), F.col("same").alias("ties")))
 
 
-def suffix_ranks(texts: DataFrame, joined: bool = False, keys: DataFrame | None = None) -> DataFrame:
-    """doc_id, pos, rank of every suffix: the inverse of the suffix array; joined takes all texts as one, keys are positions(texts, KEY)."""
+def rank_rounds(texts: DataFrame, joined: bool = False, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """ranks (doc_id, pos, rank) of every suffix, and ties (h, doc_id, pos, rank): the suffixes that tie in their first h symbols, for h of each round.
+
+    Two suffixes agree in h symbols exactly if both are among the ties of h with one rank.
+    """
     if keys is None:
         keys = joined_positions(texts, KEY) if joined else positions(texts, KEY)
-    ranks, h = materialise(first_ranks(keys), "ranks"), KEY
-    while not ranks.filter("ties > 1").isEmpty():
+    ranks, h, ties = materialise(first_ranks(keys), "ranks"), KEY, None
+    while True:
+        tied = ranks.filter("ties > 1").select(F.lit(h).cast("long").alias("h"), "doc_id", "pos", "rank")
+        ties = tied if ties is None else ties.unionByName(tied)
+        if tied.isEmpty():
+            return ranks.select("doc_id", "pos", "rank"), ties
         ranks, h = materialise(refine(ranks, h), "ranks"), 2 * h
-    return ranks.select("doc_id", "pos", "rank")
+
+
+def suffix_ranks(texts: DataFrame, joined: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """doc_id, pos, rank of every suffix: the inverse of the suffix array; joined takes all texts as one, keys are positions(texts, KEY)."""
+    return rank_rounds(texts, joined, keys)[0]
 
 
 def suffix_array(texts: DataFrame, d: int = 1, ranks: DataFrame | None = None) -> DataFrame:
@@ -134,38 +145,46 @@ def rank_round(texts: DataFrame, width: int = 2) -> DataFrame:
     return ranked.join(ahead, ["doc_id", "pos"], "left").select("doc_id", "pos", "rank0", F.coalesce("rank1", F.lit(-1).cast("long")).alias("rank1"))
 
 
-def common_prefix(text: Column, a: Column, b: Column, other: Column | None = None) -> Column:
-    """Length of the common prefix of text[a:] and other[b:].
-
-    Powers of two are tried from the top; beyond 32 symbols only if the first 32 agree.
-    """
-    other = text if other is None else other
-    room = F.least(F.length(text) - a, F.length(other) - b).cast("int")
-    part = lambda s, at, n: F.substring(s, at.cast("int") + 1, n)
-    far = (room >= 32) & (part(text, a, F.lit(32)) == part(other, b, F.lit(32)))
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings of at most KEY symbols."""
+    room = F.least(F.length(a), F.length(b)).cast("int")
 
     def step(size: Column, power: Column) -> Column:
-        # A sum beyond the largest int is beyond any text.
-        fits = (power <= room - size) & ((size + power <= 32) | far)
-        return F.when(fits, F.when(part(text, a, size + power) == part(other, b, size + power), size + power).otherwise(size)).otherwise(size)
+        more = size + power
+        return F.when((more <= room) & (F.substring(a, F.lit(1), more) == F.substring(b, F.lit(1), more)), more).otherwise(size)
 
-    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), F.lit(0), step).cast("long")
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(KEY.bit_length() - 1, -1, -1))), F.lit(0), step).cast("long")
 
 
-def with_common_prefix(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def with_common_prefix(pairs: DataFrame, keys: DataFrame, ties: DataFrame) -> DataFrame:
     """pairs (doc_id, prev, pos, ...) with lcp, the common prefix of the suffixes at prev and pos; null if prev is null.
 
-    The first 64 symbols of both are looked up; only pairs that agree in all of them meet their text.
+    keys (doc_id, pos, key) are the first KEY symbols of all suffixes, ties those of rank_rounds(). Pairs that agree in KEY symbols go on by
+    the ties of each round, the largest first, and are at most one step long in each, as twice its symbols tie in a larger round
+    or nowhere; the rest is less than KEY symbols. No text is compared, so equal letters cost no more than others.
     """
-    keys = positions(texts, KEY)
-    ours = keys.select("doc_id", "pos", F.col("key").alias("_b"))
-    theirs = keys.select("doc_id", F.col("pos").alias("prev"), F.col("key").alias("_a"))
-    met = pairs.join(ours, ["doc_id", "pos"]).join(theirs, ["doc_id", "prev"], "left")
-    short = common_prefix(F.col("_a"), F.lit(0), F.lit(0), F.col("_b"))
-    met = materialise(met.withColumn("lcp", short).drop("_a", "_b"), "prefixes")
+    one, two = F.col("prev") + F.col("lcp"), F.col("pos") + F.col("lcp")
+
+    def looked_up(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        known = table.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col(column).alias("_v"))
+        for place, name in ((one, "_a"), (two, "_b")):
+            rows = rows.join(known.withColumnRenamed("_v", name), (F.col("doc_id") == F.col("_doc")) & (place == F.col("_pos")), "left").drop("_doc", "_pos")
+        return rows
+
+    start = pairs.withColumn("lcp", F.lit(0).cast("long"))
+    met = materialise(looked_up(start, keys, "key").withColumn("lcp", common_prefix(F.col("_a"), F.col("_b"))).drop("_a", "_b"), "prefixes")
+    met = met.withColumn("lcp", F.when(F.col("prev").isNotNull(), F.col("lcp")))
     whole = F.coalesce(F.col("lcp") == KEY, F.lit(False))
-    long = met.filter(whole).join(texts.select("doc_id", F.col("enc").alias("_enc")), "doc_id")
-    long = long.withColumn("lcp", common_prefix(F.col("_enc"), F.col("prev"), F.col("pos"))).drop("_enc")
+    rounds = [r.h for r in ties.select("h").distinct().orderBy(F.desc("h")).collect()]  # one a doubling
+    if not rounds:
+        return met
+    long = met.filter(whole).withColumn("lcp", F.lit(0).cast("long"))
+    for h in rounds:
+        step = looked_up(long, ties.filter(F.col("h") == h), "rank")
+        grown = F.when(F.col("_a") == F.col("_b"), F.col("lcp") + h).otherwise(F.col("lcp"))
+        long = materialise(step.withColumn("lcp", grown).drop("_a", "_b"), "prefixes")
+    rest = looked_up(long, keys, "key")
+    long = rest.withColumn("lcp", F.col("lcp") + F.coalesce(common_prefix(F.col("_a"), F.col("_b")), F.lit(0))).drop("_a", "_b")
     return met.filter(~whole).unionByName(long)
 
 
@@ -175,9 +194,9 @@ def with_lower_neighbour(array: DataFrame) -> DataFrame:
     return array.join(before, ["doc_id", "sa_pos"], "left")
 
 
-def lcp_array(texts: DataFrame, array: DataFrame) -> DataFrame:
+def lcp_array(array: DataFrame, keys: DataFrame, ties: DataFrame) -> DataFrame:
     """doc_id, sa_pos, pos, lcp: common prefix with the suffix before (0 for the first)."""
-    found = with_common_prefix(texts, with_lower_neighbour(array))
+    found = with_common_prefix(with_lower_neighbour(array), keys, ties)
     return found.select("doc_id", "sa_pos", "pos", F.coalesce("lcp", F.lit(0).cast("long")).alias("lcp"))
 
 

@@ -153,8 +153,8 @@ _LCP = S.query(
 
 @query("lcp_array", _LCP)
 def _lcp_array(spark: SparkSession, sf: str) -> DataFrame:
-    texts = dna_docs(spark, sf)
-    return suffix.lcp_array(texts, index_of(spark, sf).array())
+    index = index_of(spark, sf)
+    return suffix.lcp_array(index.array(), index.keys(), index.ties())
 
 
 for _d in range(1, 9):
@@ -486,8 +486,8 @@ def _sbt_dump(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("node_insertion_point", S.query(*_T, S.pat(), S.MUT, S.BOTH, of="SELECT pattern_id, doc_id, CAST(node_id AS BIGINT) AS node_id, CAST(sum(CASE WHEN substr(enc, pos + 1, 16) < pattern THEN 1 ELSE 0 END) AS BIGINT) AS slot FROM lea JOIN both_p USING (doc_id) GROUP BY ALL"))
 def _insertion(spark: SparkSession, sf: str) -> DataFrame:
-    texts, array = _array(spark, sf)
-    return tree.insertion_points(texts, array, _patterns(spark, sf)[1])
+    index = index_of(spark, sf)
+    return tree.insertion_points(index.leaf_rows(), index.keys(), index.parts(), _patterns(spark, sf)[1])
 
 
 _PAIRS = f"""nei AS (SELECT doc_id, node_id, sa_pos, substr(enc, pos + 1) AS b, lag(substr(enc, pos + 1)) OVER w AS a, lag(pos) OVER w AS prev FROM lea WINDOW w AS (PARTITION BY doc_id, node_id ORDER BY sa_pos)),
@@ -497,12 +497,28 @@ tri AS (SELECT doc_id, CAST(node_id AS BIGINT) AS node_id, lcp, CAST(arg_min(pre
 
 @query("trie_nodes", S.query(*_T, _PAIRS, of="SELECT doc_id, node_id, lcp, prefix_pos, CAST(n_children AS BIGINT) AS n_children FROM tri"))
 def _trie_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.trie_nodes(*_array(spark, sf))
+    return tree.trie_nodes(index_of(spark, sf).leaf_rows())
+
+
+# A node's parent is the deepest one of its leaf whose prefix begins its own.
+_EDGES = """prf AS (SELECT doc_id, CAST(node_id AS BIGINT) AS node_id, lcp, substr(b, 1, lcp) AS prefix, CAST(arg_min(prev, sa_pos) AS BIGINT) AS prefix_pos, CAST(count(*) + 1 AS BIGINT) AS n_children FROM bra GROUP BY doc_id, node_id, lcp, substr(b, 1, lcp)),
+par AS (SELECT c.doc_id, c.node_id, c.prefix, max(p.lcp) AS parent_lcp, arg_max(p.prefix_pos, p.lcp) AS parent_pos FROM prf c JOIN prf p ON p.doc_id = c.doc_id AND p.node_id = c.node_id AND p.lcp < c.lcp AND starts_with(c.prefix, p.prefix) GROUP BY c.doc_id, c.node_id, c.prefix),
+slo AS (SELECT doc_id, CAST(node_id AS BIGINT) AS node_id, substr(enc, pos + 1) AS s, sa_pos - min(sa_pos) OVER (PARTITION BY doc_id, node_id) AS slot FROM lea),
+spn AS (SELECT n.doc_id, n.node_id, n.prefix, CAST(min(slot) AS BIGINT) AS first_slot, CAST(max(slot) AS BIGINT) AS last_slot FROM prf n JOIN slo ON slo.doc_id = n.doc_id AND slo.node_id = n.node_id AND starts_with(slo.s, n.prefix) GROUP BY ALL),
+edg AS (SELECT prf.*, first_slot, last_slot, parent_lcp, parent_pos, CASE WHEN parent_lcp IS NOT NULL THEN substr(prefix, parent_lcp + 1, 1) END AS symbol FROM prf JOIN spn USING (doc_id, node_id, prefix) LEFT JOIN par USING (doc_id, node_id, prefix))"""
+
+
+@query("trie_edges", S.query(*_T, _PAIRS, _EDGES, of="SELECT doc_id, node_id, lcp, prefix_pos, n_children, first_slot, last_slot, parent_lcp, parent_pos, symbol FROM edg"))
+def _trie_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.trie_edges(index_of(spark, sf).leaf_rows())
+
+
+_LINE = """'"' || prefix_pos || ':' || lcp || '" [label="' || n_children || '"];' || CASE WHEN parent_lcp IS NULL THEN '' ELSE ' "' || parent_pos || ':' || parent_lcp || '" -> "' || prefix_pos || ':' || lcp || '" [label="' || translate(symbol, '01234', '$ACTG') || (lcp - parent_lcp) || '"];' END"""
 
 
-@query("trie_dot", S.query(*_T, _PAIRS, of="""SELECT doc_id, node_id, 'digraph { ' || string_agg('"' || prefix_pos || ':' || lcp || '" [label="' || n_children || '"];', ' ' ORDER BY lcp, prefix_pos) || ' }' AS dot FROM tri GROUP BY doc_id, node_id"""))
+@query("trie_dot", S.query(*_T, _PAIRS, _EDGES, of=f"SELECT doc_id, node_id, 'digraph {{ ' || string_agg({_LINE}, ' ' ORDER BY lcp, prefix_pos) || ' }}' AS dot FROM edg GROUP BY doc_id, node_id"))
 def _trie_dot(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.trie_dot(tree.trie_nodes(*_array(spark, sf)))
+    return tree.trie_dot(tree.trie_edges(index_of(spark, sf).leaf_rows()))
 
 
 @query("build_all_d", S.query(S.DNA, of="SELECT CAST(d AS BIGINT) AS d, stage, CAST(sum(CASE WHEN stage = 'text' THEN 1 ELSE ceil(length(enc) / CAST(d AS DOUBLE)) END) AS BIGINT) AS \"rows\" FROM dna, range(1, 9) AS t(d), (VALUES ('text'), ('sa'), ('bwt')) AS s(stage) GROUP BY d, stage"))

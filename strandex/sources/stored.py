@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
-from strandex.operators import fences, suffix, wavelet
+from strandex.operators import fences, suffix, tree, wavelet
 from strandex.operators.rankselect import sequence_of
 from strandex.sources.tables import finished, index_path, write_index
 
@@ -25,7 +25,7 @@ over the symbols before them. Without texts, a folder is opened that has them; a
     """
 
     def __init__(self, spark: SparkSession, base: str, texts: DataFrame | None = None, block_rows: int = 1 << 18):
-        self.spark, self.base, self.block_rows, self._given, self._open = spark, base, block_rows, texts, {}
+        self.spark, self.base, self.block_rows, self._given, self._open, self._rounds = spark, base, block_rows, texts, {}, None
 
     def _stage(self, stage: str, d: int, build: Callable[[], DataFrame], sort: list[str], by: str | None = None) -> DataFrame:
         if (stage, d) not in self._open:
@@ -46,8 +46,21 @@ over the symbols before them. Without texts, a folder is opened that has them; a
     def keys(self) -> DataFrame:
         return self._stage("keys", 1, lambda: suffix.positions(self.texts(), suffix.KEY), ["key"])
 
+    def _ranked(self) -> tuple[DataFrame, DataFrame]:
+        if self._rounds is None:
+            self._rounds = suffix.rank_rounds(self.texts(), keys=self.keys())
+        return self._rounds
+
     def ranks(self) -> DataFrame:
-        return self._stage("ranks", 1, lambda: suffix.suffix_ranks(self.texts(), keys=self.keys()), ["doc_id", "rank"])
+        return self._stage("ranks", 1, lambda: self._ranked()[0], ["doc_id", "rank"])
+
+    def ties(self) -> DataFrame:
+        """h, doc_id, pos, rank: the suffixes that tie with others of their text in h symbols."""
+        return self._stage("ties", 1, lambda: self._ranked()[1], ["h", "doc_id", "pos"])
+
+    def leaf_rows(self) -> DataFrame:
+        """The leaves of the tree over each text, a row each, with what their tries are made of."""
+        return self._stage("leaves", 1, lambda: tree.leaf_rows(self.array(), self.keys(), self.ties()), ["doc_id", "node_id"])
 
     def array(self, d: int = 1) -> DataFrame:
         return self._stage("sa", d, lambda: suffix.suffix_array(self.texts(), d, self.ranks()), ["doc_id", "sa_pos"])

@@ -1,12 +1,13 @@
 """The stored index: fences, backward search and wavelet tree, against brute force."""
 
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandex.operators import fences, search, wavelet
+from strandex.operators import fences, search, suffix, tree, wavelet
 from strandex.sources.stored import StoredIndex
 
 
@@ -124,3 +125,40 @@ def test_grouped_search_through_the_tree(spark, index, plain, asked, d):
     want = sorted(tuple(r) for r in search.grouped_search(frame, patterns, index.array(d), d).collect())
     assert sorted(tuple(r) for r in index.grouped_search(patterns, d).collect()) == want
     assert {(r[0], r[1], r[4]) for r in want} == {(n, i, p) for n, s in enumerate(asked) if len(s) > d for i, t in plain.items() for p in range(len(t)) if t.startswith(s, p)}
+
+
+def test_tries_against_prefixes(index, plain):
+    leaves = {(r.doc_id, r.node_id): r.pos for r in index.leaf_rows().collect()}
+    edges = {}
+    for r in tree.trie_edges(index.leaf_rows()).collect():
+        edges.setdefault((r.doc_id, r.node_id), {})[r.lcp, r.prefix_pos] = r
+    for key, places in leaves.items():
+        ends = [plain[key[0]][p:] for p in places]
+        assert ends == sorted(ends)
+        common = [os.path.commonprefix([a, b]) for a, b in zip(ends, ends[1:])]
+        assert {e[1][: e[0]] for e in [(r.lcp, plain[key[0]][r.prefix_pos :]) for r in edges.get(key, {}).values()]} == set(common)
+        for r in edges.get(key, {}).values():
+            prefix = plain[key[0]][r.prefix_pos :][: r.lcp]
+            inside = [i for i, e in enumerate(ends) if e.startswith(prefix)]
+            assert (r.first_slot, r.last_slot, r.n_children) == (inside[0], inside[-1], common.count(prefix) + 1)
+            above = max((c for c in set(common) if c != prefix and prefix.startswith(c)), key=len, default=None)
+            assert (r.parent_lcp, r.symbol) == ((None, None) if above is None else (len(above), prefix[len(above)]))
+            assert above is None or plain[key[0]][r.parent_pos :].startswith(above)
+
+
+def test_blind_search_in_leaves(spark, index, plain, asked):
+    rows = [(n, i, p) for n, (i, p) in enumerate((i, p) for i in (0, 2, 3, 4, 6, 9) for p in asked)]
+    patterns = spark.createDataFrame(rows, "pattern_id long, doc_id long, pattern string")
+    leaves = {}
+    for r in index.leaf_rows().collect():
+        leaves.setdefault(r.doc_id, {})[r.node_id] = [plain[r.doc_id][p:] for p in r.pos]
+    want = sorted((n, i, leaf, sum(e < p for e in ends)) for n, i, p in rows for leaf, ends in leaves[i].items())
+    got = tree.insertion_points(index.leaf_rows(), index.keys(), index.parts(), patterns)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_common_prefixes_of_equal_letters(spark, tmp_path):
+    n = 3000
+    index = index_over(spark, tmp_path / "i", {0: "1" * n + "0"}, 1000)
+    got = {r.sa_pos: r.lcp for r in suffix.lcp_array(index.array(), index.keys(), index.ties()).collect()}
+    assert got == {0: 0, 1: 0, **{i: i - 1 for i in range(2, n + 1)}}
