@@ -5,7 +5,7 @@ of p percent or more exactly if they share T(a, b) = ceil(p (a + b) / (100 + p))
 on T of the inverted lists of the query's shingles. No such pair shares less than p percent of the larger set, so
 sizes beyond that ratio never meet.
 
-1. *Long and short lists.* A count of all shingles in a fixed number of hash buckets says how long an inverted list
+1. *Long and short lists.* A count of all shingles in hash buckets, about one for 16 shingles and at most MOST_BITS bits of them, says how long an inverted list
    will be. A document's shingles are ordered by it; lists of the common ones are long. Of its n lists all but the
    ceil(p n / 100) - m longest are its short lists, with m = 1 + n / 32: two documents that link share as many short lists as the smaller one's m says, whatever the counts
    are, so their error costs time only. A document of whose short lists fewer hold others links with none, and is left out from
@@ -52,8 +52,10 @@ from strandex.llm._store import persist, scratch
 from strandex.llm.neardup import _label, _roots, _sets_of, connected_components, shingle_hashes
 
 _U = B.U64
-#: Buckets by which the lengths of inverted lists are estimated, and those that travel in a row.
-BUCKETS, CHUNK = 1 << 18, 1 << 12
+#: Bits of the number of buckets by which the lengths of inverted lists are estimated, and buckets that travel in a row.
+LEAST_BITS, MOST_BITS, CHUNK = 12, 22, 1 << 12
+#: Bits of a bitmap of text hashes.
+MARKS = 23
 #: Size of a cell, about, in shingles: two cells meet in a task.
 CELL = 1 << 18
 #: A shingle more on the short lists, and one more that must be shared, for so many shingles of a set.
@@ -72,22 +74,25 @@ def required(size: int, percent: int) -> int:
     return min(1 + size // MORE, -(-percent * size // 100))
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The highest bits of hashes, as a bucket."""
+    return (hashes >> _U(64 - bits)).astype(np.int64)
 
 
 def list_lengths(texts: DataFrame, k: int) -> np.ndarray:
     """For each bucket the bit length of the number of its shingles in all documents."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 100).bit_length()))  # some seven bytes are a word
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for s in shingle_hashes(*B.string_buffer(batch.column(0)), k):
-                total += np.bincount(_bucket(s), minlength=BUCKETS) if len(s) > CHUNK else 0
-                if len(s) <= CHUNK:
-                    np.add.at(total, _bucket(s), 1)
+            sets = shingle_hashes(*B.string_buffer(batch.column(0)), k)
+            if sets:
+                total += np.bincount(_top(np.concatenate(sets), bits), minlength=1 << bits)
         if total.any():
-            rows = total.reshape(-1, CHUNK)
+            # What one task counts beyond 16 bits is a long list already.
+            rows = np.minimum(total, 65535).astype(np.uint16).reshape(-1, CHUNK)
             some = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
 
@@ -95,20 +100,31 @@ def list_lengths(texts: DataFrame, k: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
         if total:
-            bits = [np.frexp(c.astype(float))[1].astype(np.uint8).tobytes() for c in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(bits, pa.binary())], ["chunk", "bits"])
+            length = [np.frexp(c.astype(float))[1].astype(np.uint8).tobytes() for c in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(length, pa.binary())], ["chunk", "length"])
 
-    counted = texts.select("text").mapInArrow(count, "chunk long, counts binary").repartition(16, "chunk").mapInArrow(add, "chunk long, bits binary")
-    out = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
-    for r in counted.collect():  # BUCKETS bytes in all
-        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    counted = texts.select("text").mapInArrow(count, "chunk long, counts binary").repartition(16, "chunk").mapInArrow(add, "chunk long, length binary")
+    out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint8)
+    for r in counted.collect():  # a byte a bucket, 4 MiB at most
+        out[r.chunk] = np.frombuffer(r.length, np.uint8)
     return out.ravel()
 
 
+def marked(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the highest MARKS bits of the column `hash`: 1 MiB, whatever the number of hashes."""
+    place = F.shiftrightunsigned("hash", 64 - MARKS)
+    words = hashes.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("bit"))
+    out = np.zeros(1 << MARKS - 6, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[r.word] = r.bits
+    return out.view(_U)
+
+
 def with_short_lists(texts: DataFrame, lengths: np.ndarray, k: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, two sums of the set's hashes, and the shingles of its short lists."""
+    bits = len(lengths).bit_length() - 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,7 +136,7 @@ def with_short_lists(texts: DataFrame, lengths: np.ndarray, k: int, percent: int
                 short = []
                 for s in sets:
                     many = len(s) + (-percent * len(s) // 100) + required(len(s), percent)
-                    short.append(s[np.argsort(lengths[_bucket(s)], kind="stable")[:many]].view(np.int64))  # equal lengths: by hash
+                    short.append(s[np.argsort(lengths[_top(s, bits)], kind="stable")[:many]].view(np.int64))  # equal lengths: by hash
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(short, pa.list_(pa.int64()))],
                     ["doc_id", "text_hash", "n_shingles", "one", "two", "short"],
@@ -293,24 +309,29 @@ def _labelled_sets(texts: DataFrame, listed: DataFrame, k: int, percent: int) ->
     # What the smallest set that can link with a set shares at least: required() of its size.
     smallest = F.floor(F.col("n_shingles") * percent / 100)
     asked = F.greatest(F.lit(1), F.least(1 + F.floor(smallest / MORE), F.ceil(smallest * percent / 100)))
-    each = sets.select("node", asked.alias("asked"), F.explode("short").alias("token"))
+    each = sets.select("node", F.explode("short").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     shared = persist(each.join(common, "token"), "shared")
-    several = shared.groupBy("node").agg(F.count("*").alias("n"), F.first("asked").alias("asked")).filter("n >= asked").select("node")
+    several = shared.groupBy("node").agg(F.count("*").alias("n")).join(sets.select("node", asked.alias("asked")), "node").filter("n >= asked").select("node")
     entries = persist(shared.join(several, "node").select("node", "token"), "entries")
     hubs = entries.groupBy("token").agg(F.min("node").alias("hub"))
     # The hub that most of a node's lists have: lists that it shares by chance have others.
     often = entries.join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("n"))
     crowded = persist(often.groupBy("node").agg(F.min(F.struct(-F.col("n"), "hub")).alias("best")).select("node", F.col("best.hub").alias("home")), "crowded")
-    wanted = sets.join(crowded, "node").select("node", "home", "n_shingles", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    wanted = persist(sets.join(crowded, "node").select("node", "home", "n_shingles", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "wanted")
+    marks = marked(wanted.select(F.col("_hash").alias("hash")))
 
     def items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = shingle_hashes(*B.string_buffer(batch.column(3)), k)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in whole], pa.binary())], ["node", "home", "n_shingles", "items"])
-
-    texts = texts.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("node", "home", "n_shingles", "text")
-    nodes = persist(texts.mapInArrow(items, "node long, home long, n_shingles long, items binary").dropDuplicates(["node"]), "nodes")
+        """The whole sets of the texts that the bitmap lets through; the others leave no task."""
+        for whole in batches:
+            place = _top(whole.column(1).to_numpy().view(_U), MARKS)
+            batch = whole.filter(pa.array((marks[place >> 6] >> (place & 63).astype(_U)) & _U(1) == 1))
+            found = shingle_hashes(*B.string_buffer(batch.column(2)), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "hash", "items"])
+
+    found = texts.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(items, "doc_id long, hash long, items binary")
+    of = (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    nodes = persist(wanted.join(found, of).select("node", "home", "n_shingles", "items").dropDuplicates(["node"]), "nodes")
 
     stars = _roots(_home_links(nodes, percent))
     placed = _label(nodes.select("node", "home", "n_shingles", F.col("node").alias("component")), stars, "component")

@@ -53,7 +53,7 @@ def near_copies(seed, groups, members, length, edits):
 def test_crowds_around_one_passage(make_docs, monkeypatch, cell, buckets_used):
     monkeypatch.setattr(overlap, "CELL", cell)
     if not buckets_used:  # the order of lists is free: results do not depend on it
-        monkeypatch.setattr(overlap, "list_lengths", lambda texts, k: np.zeros(overlap.BUCKETS, np.uint8))
+        monkeypatch.setattr(overlap, "list_lengths", lambda texts, k: np.zeros(1 << 12, np.uint8))
     rows = near_copies(3, 12, 12, 60, 4)
     want = expected(rows, 3, 90)
     assert 20 < len({r[2] for r in want}) < 140
@@ -95,3 +95,10 @@ def test_search_in_inverted_lists(percent):
     for query in sets:
         hits = [i for i, s in enumerate(sets) if wanted[i] and 100 * len(np.intersect1d(s, query)) >= percent * len(np.union1d(s, query))]
         assert sorted(index.search(query, percent, wanted).tolist()) == hits
+
+
+def test_bitmap_of_hashes(spark):
+    hashes = [0, -1, 2**63 - 1, -(2**63), 12345678901234567]
+    marks = overlap.marked(spark.createDataFrame([(h,) for h in hashes * 2], "hash long"))
+    place = overlap._top(np.array(hashes).view(np.uint64), overlap.MARKS)
+    assert all(int(marks[p >> 6]) >> int(p & 63) & 1 for p in place) and np.bitwise_count(marks).sum() == len(set(place.tolist()))
