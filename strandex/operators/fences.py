@@ -1,6 +1,6 @@
 """One order of all suffixes of all texts, stored in blocks, and searches that read the blocks they need.
 
-Suffixes are compared up to the end of their own text; equal ones stand in the order of (doc_id,
+Texts are strings of any letters, in the order of their code points; nucleotides are such strings too. Suffixes are compared up to the end of their own text; equal ones stand in the order of (doc_id,
 pos). A suffix's sa_pos is its place among all. The order is cut into blocks of `rows` places, each
 a partition directory of its own, and a tree of fences stands above them: a node is a row with the
 first key and the first place of each of at most FAN children, up to one root.
@@ -32,6 +32,8 @@ _IDS = 1 << 16
 #: Blocks that are named in a filter; more are found by a join.
 NAMED = 4096
 SYMBOLS = "01234"
+#: Comes behind every letter of any text.
+LAST = "\U0010ffff"
 
 
 # The order
@@ -82,10 +84,11 @@ def global_order(keys: DataFrame, per_slice: int = 1 << 20) -> DataFrame:
     return cut.withColumn("within", within).join(starts, ["rank", "slice"]).select("doc_id", "pos", (F.col("rank") + F.col("start") + F.col("within")).alias("sa_pos"))
 
 
-def blocks_of(texts: DataFrame, order: DataFrame, rows: int) -> DataFrame:
+def blocks_of(keys: DataFrame, order: DataFrame, rows: int) -> DataFrame:
     """block, sa_pos, doc_id, pos, key, before: the suffixes in order with their first KEY symbols and the symbol before them (the terminator before a text's begin)."""
-    keys = positions(texts, KEY, 1).withColumn("before", F.when(F.col("before") == "", F.lit("0")).otherwise(F.col("before")))
-    return keys.join(order, ["doc_id", "pos"]).select(F.floor(F.col("sa_pos") / rows).alias("block"), "sa_pos", "doc_id", "pos", "key", "before")
+    before = F.when(F.col("before") == "", F.lit("0")).otherwise(F.col("before")).alias("before")
+    placed = keys.select("doc_id", "pos", "key", before).join(order, ["doc_id", "pos"])
+    return placed.select(F.floor(F.col("sa_pos") / rows).alias("block"), "sa_pos", "doc_id", "pos", "key", "before")
 
 
 def fence_tree(blocks: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def only(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 def _bounds(patterns: DataFrame) -> DataFrame:
     """pattern_id, side, bound: below which keys are smaller than the pattern (0), or do not come after all that begins with it (1)."""
     head = F.substring("pattern", 1, KEY)
-    return patterns.select("pattern_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), head.alias("bound")), F.struct(F.lit(1).alias("side"), F.concat(head, F.lit("~")).alias("bound")))).alias("b")).select("pattern_id", "b.side", "b.bound")
+    return patterns.select("pattern_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), head.alias("bound")), F.struct(F.lit(1).alias("side"), F.concat(head, F.lit(LAST)).alias("bound")))).alias("b")).select("pattern_id", "b.side", "b.bound")
 
 
 def head_ranges(blocks: DataFrame, fences: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -160,6 +163,14 @@ def parts_of(texts: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("part").cast("long").alias("part"), F.concat("p.here", F.substring("p.next", 1, KEY)).alias("body"))
 
 
+def part_positions(parts: DataFrame) -> DataFrame:
+    """parts_of() -> doc_id, pos, key, before: every position with its first KEY symbols and the symbol before it, from parts alone."""
+    lead = parts.select("doc_id", (F.col("part") + 1).alias("part"), F.substring("body", PART, 1).alias("lead"))
+    each = parts.join(lead, ["doc_id", "part"], "left").withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.length("body"), F.lit(PART)) - 1)))
+    before = F.when(F.col("i") == 0, F.coalesce("lead", F.lit(""))).otherwise(F.substring("body", F.col("i"), F.lit(1)))
+    return each.select("doc_id", (F.col("part") * PART + F.col("i")).alias("pos"), F.substring("body", F.col("i") + 1, F.lit(KEY)).alias("key"), before.alias("before"))
+
+
 def _decided(found: DataFrame, patterns: DataFrame, parts: DataFrame) -> DataFrame:
     """found (pattern_id, sa_pos, doc_id, pos), places that agree with long patterns in KEY symbols -> these, with equal and below (the suffix is smaller)."""
     piece = F.explode(F.sequence(F.lit(KEY), F.length("pattern") - 1, F.lit(KEY))).alias("at")

@@ -11,6 +11,7 @@ from strandex.functions import encoding as E
 from strandex.operators import rankselect as R
 from strandex.operators import search, suffix, tree, wavelet
 from strandex.plans import sql as S
+from strandex.sources.segments import SegmentedIndex
 from strandex.sources.stored import StoredIndex
 from strandex.sources.tables import dna_docs as encoded_docs
 from strandex.sources.tables import materialise, read, shared_folder
@@ -43,6 +44,16 @@ def index_of(spark: SparkSession, sf: str) -> StoredIndex:
     return _INDEXES[name]
 
 
+def text_index_of(spark: SparkSession, sf: str) -> StoredIndex:
+    """The index of the documents' texts as they are, of any letters."""
+    base = shared_folder(spark)
+    name = (spark.sparkContext.applicationId, base, sf, "text")
+    if name not in _INDEXES:
+        plain = read(spark, sf, "documents").filter("doc_id is not null and text <> ''").select("doc_id", F.col("text").alias("enc"))
+        _INDEXES[name] = StoredIndex(spark, f"{base}/text-index-{uuid.uuid4().hex}", plain)
+    return _INDEXES[name]
+
+
 def dna_docs(spark: SparkSession, sf: str) -> DataFrame:
     """The encoded documents, as the index has them."""
     return index_of(spark, sf).texts()
@@ -318,6 +329,16 @@ def _backward(spark: SparkSession, sf: str) -> DataFrame:
     return index_of(spark, sf).backward_ranges(_patterns(spark, sf)[1]).filter("sa_lo < sa_hi")
 
 
+@query("segment_search", S.query(*_P, _KEY, _RAN, of="SELECT pattern_id, sa_lo, sa_hi FROM ran"))
+def _segment_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges over an index that two batches of documents were appended to."""
+    texts, patterns = _patterns(spark, sf)
+    grown = SegmentedIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    for i in (0, 1):
+        grown.append(texts.filter(F.pmod("doc_id", F.lit(2)) == i), f"batch-{i}")
+    return grown.ranges(patterns)
+
+
 @query("suffix_order", S.query(S.DNA, S.POS, of="SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(row_number() OVER (ORDER BY substr(enc, pos + 1), doc_id, pos) - 1 AS BIGINT) AS sa_pos FROM pos"))
 def _order(spark: SparkSession, sf: str) -> DataFrame:
     """The place of every suffix among all suffixes of all documents, as the ranges count them."""
@@ -417,6 +438,20 @@ s AS (SELECT item_id AS doc_id, substr(text, i + 1) AS suffix FROM (SELECT item_
 SELECT pattern_id, p.doc_id, min(CASE WHEN starts_with(suffix, pattern) THEN suffix END) AS "match", min(CASE WHEN suffix >= pattern THEN suffix END) AS insertion_suffix FROM p JOIN s USING (doc_id) GROUP BY pattern_id, p.doc_id"""
 
 
+_ANYWHERE = """WITH p AS (SELECT item_id AS pattern_id, substr(text, length(text) // 3 + 1, 12) AS pattern FROM benchmark WHERE length(text) > 0 AND item_id IS NOT NULL),
+s AS (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+h AS (SELECT pattern_id, s.doc_id, s.pos, substr(text, pos + 1) AS suffix FROM s JOIN p ON substr(text, pos + 1, 12) = pattern)
+SELECT p.pattern_id, count(h.pos) AS n, coalesce(arg_min(h.doc_id, (suffix, h.doc_id, h.pos)), -1) AS doc_id, CAST(coalesce(arg_min(h.pos, (suffix, h.doc_id, h.pos)), -1) AS BIGINT) AS pos FROM p LEFT JOIN h ON h.pattern_id = p.pattern_id GROUP BY p.pattern_id"""
+
+
+@query("text_search_all", _ANYWHERE)
+def _text_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of the benchmark's texts, searched in the texts of all documents: how often they stand there, and the first place in the order of suffixes."""
+    patterns = _texts(spark, sf).filter("doc_id is not null").select(F.col("doc_id").alias("pattern_id"), F.expr("substring(text, cast(length(text) div 3 as int) + 1, 12)").alias("pattern"))
+    found = text_index_of(spark, sf).first_hits(materialise(patterns, "patterns"))
+    return found.select("pattern_id", (F.col("sa_hi") - F.col("sa_lo")).alias("n"), "doc_id", "pos")
+
+
 @query("text_search", _TEXT)
 def _text_search(spark: SparkSession, sf: str) -> DataFrame:
     texts = _texts(spark, sf)

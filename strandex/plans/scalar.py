@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandex.functions import encoding as E
 from strandex.operators import search
 from strandex.plans import sql as S
-from strandex.sources.tables import dna_docs, fasta_docs, read
+from strandex.sources import fasta
+from strandex.sources.tables import dna_docs, fasta_docs, read, shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,6 +33,19 @@ _FASTA = r"""WITH r AS (SELECT doc_id, '>doc' || CAST(doc_id AS VARCHAR) || chr(
 SELECT doc_id, translate(regexp_replace(regexp_replace(raw, '>[^\n]*(\n|$)', '', 'g'), '[^ACGT]', '', 'g'), 'ACTG', '1234') || '0' AS enc FROM r"""
 
 
+_LETTERS = _FASTA + ") SELECT CAST(sum(length(enc) - 1) AS BIGINT) AS symbols, " + ", ".join(f"CAST(sum(length(enc) - length(replace(enc, '{i}', ''))) AS BIGINT) AS {c}" for i, c in enumerate("actg", 1)) + " FROM f"
+
+
+@query("fasta_parts", _LETTERS.replace("FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)", "FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), f AS ("))
+def _fasta_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Nucleotides of all documents, written as FASTA files and read back in byte ranges as numbered parts."""
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    fasta_docs(spark, sf).select("raw").write.text(path)
+    count = lambda c: F.sum(F.length("here") - F.length(F.replace("here", F.lit(c)))).cast("long")
+    counts = fasta.fasta_parts(spark, path).agg(*(count(str(i)).alias(c) for i, c in enumerate("actg", 1)))
+    return counts.select((F.col("a") + F.col("c") + F.col("t") + F.col("g")).alias("symbols"), "a", "c", "t", "g")
+
+
 @query("fasta_normalize", _FASTA)
 def _fasta(spark: SparkSession, sf: str) -> DataFrame:
     return fasta_docs(spark, sf).select("doc_id", E.fasta_normalise(F.col("raw")).alias("enc"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandex.functions import encoding as E
 from strandex.operators import fences, suffix, tree, wavelet
 from strandex.operators.rankselect import sequence_of
-from strandex.sources.tables import finished, index_path, write_index
+from strandex.sources.tables import finished, index_path, materialise, write_index
 
 
 class StoredIndex:
@@ -22,10 +22,13 @@ class StoredIndex:
     of the texts, checkpoints of the symbols before the suffixes, and for each d the suffixes at multiples of d with a wavelet tree
 over the symbols before them. Without texts, a folder is opened that has them; a table that it
     lacks, or whose writing did not end, is written when first asked for.
+
+    An index of texts that are too long for a row is given their parts (doc_id, part, body) instead: it has parts, blocks, fences and
+    checkpoints, and answers ranges, occurrences, first hits and backward search.
     """
 
-    def __init__(self, spark: SparkSession, base: str, texts: DataFrame | None = None, block_rows: int = 1 << 18):
-        self.spark, self.base, self.block_rows, self._given, self._open, self._rounds = spark, base, block_rows, texts, {}, None
+    def __init__(self, spark: SparkSession, base: str, texts: DataFrame | None = None, block_rows: int = 1 << 18, parts: DataFrame | None = None):
+        self.spark, self.base, self.block_rows, self._given, self._open, self._rounds, self._parts = spark, base, block_rows, texts, {}, None, parts
 
     def _stage(self, stage: str, d: int, build: Callable[[], DataFrame], sort: list[str], by: str | None = None) -> DataFrame:
         if (stage, d) not in self._open:
@@ -70,13 +73,19 @@ over the symbols before them. Without texts, a folder is opened that has them; a
 
     def blocks(self) -> DataFrame:
         """block, sa_pos, doc_id, pos, key, before: all suffixes in one order, block_rows of them in a directory."""
-        return self._stage("blocks", 1, lambda: fences.blocks_of(self.texts(), fences.global_order(self.keys()), self.block_rows), ["sa_pos"], "block")
+        return self._stage("blocks", 1, self._blocks, ["sa_pos"], "block")
+
+    def _blocks(self) -> DataFrame:
+        if self._parts is None:
+            return fences.blocks_of(suffix.positions(self.texts(), suffix.KEY, 1), fences.global_order(self.keys()), self.block_rows)
+        keys = materialise(fences.part_positions(self.parts()), "part-keys")
+        return fences.blocks_of(keys, fences.global_order(keys), self.block_rows)
 
     def fences(self) -> DataFrame:
         return self._stage("fences", 1, lambda: fences.fence_tree(self.blocks()), ["level", "node"])
 
     def parts(self) -> DataFrame:
-        return self._stage("parts", 1, lambda: fences.parts_of(self.texts()), ["doc_id", "part"])
+        return self._stage("parts", 1, lambda: fences.parts_of(self.texts()) if self._parts is None else self._parts, ["doc_id", "part"])
 
     def checkpoints(self) -> DataFrame:
         return self._stage("checkpoints", 1, lambda: fences.checkpoints(self.blocks()), ["chunk"])

@@ -64,8 +64,25 @@ def index_path(base: str, stage: str, d: int) -> str:
 
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    system, mark = _folder(spark, f"{path}/_SUCCESS")
+    return system.exists(mark)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    system, where = _folder(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    system, where = _folder(spark, path)
+    system.delete(where, True)
 
 
 def write_index(df: DataFrame, base: str, stage: str, d: int, sort: list[str], by: str | None = None) -> str:

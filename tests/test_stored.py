@@ -162,3 +162,18 @@ def test_common_prefixes_of_equal_letters(spark, tmp_path):
     index = index_over(spark, tmp_path / "i", {0: "1" * n + "0"}, 1000)
     got = {r.sa_pos: r.lcp for r in suffix.lcp_array(index.array(), index.keys(), index.ties()).collect()}
     assert got == {0: 0, 1: 0, **{i: i - 1 for i in range(2, n + 1)}}
+
+
+def test_texts_of_any_letters(spark, tmp_path):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abé\n ~z\U0001f600") for _ in range(rnd.randint(1, 9)))
+    same = " ".join(word() for _ in range(60))
+    plain = {0: same, 1: same[5:], 2: "z" * 150, 3: "~", **{i: " ".join(word() for _ in range(20)) for i in range(4, 12)}}
+    index = index_over(spark, tmp_path / "i", plain, 50)
+    asked = [t[p : p + n] for t in plain.values() for p, n in ((0, 1), (3, 4), (10, 70), (1, 130)) if p + n <= len(t)] + ["~~", "zz", "\U0001f600\U0001f600"]
+    asked = list(dict.fromkeys(asked))
+    patterns = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
+    order = sorted((t[p:].encode(), i, p) for i, t in plain.items() for p in range(len(t)))
+    assert [(r.doc_id, r.pos) for r in index.blocks().orderBy("sa_pos").collect()] == [x[1:] for x in order]
+    want = {n: (lo := sum(s < p.encode() for s, _, _ in order), lo + sum(s.startswith(p.encode()) for s, _, _ in order)) for n, p in enumerate(asked)}
+    assert {r.pattern_id: (r.sa_lo, r.sa_hi) for r in index.ranges(patterns).collect()} == want
