@@ -5,7 +5,7 @@ of p percent or more exactly if they share T(a, b) = ceil(p (a + b) / (100 + p))
 on T of the inverted lists of the query's shingles. No such pair shares less than p percent of the larger set, so
 sizes beyond that ratio never meet.
 
-1. *Long and short lists.* A count of all shingles in hash buckets, about one for 16 shingles and at most MOST_BITS bits of them, says how long an inverted list
+1. *Long and short lists.* A count of all shingles in a fixed number of hash buckets says how long an inverted list
    will be. A document's shingles are ordered by it; lists of the common ones are long. Of its n lists all but the
    ceil(p n / 100) - m longest are its short lists, with m = 1 + n / 32: two documents that link share as many short lists as the smaller one's m says, whatever the counts
    are, so their error costs time only. A document of whose short lists fewer hold others links with none, and is left out from
@@ -53,7 +53,7 @@ from strandex.llm.neardup import _label, _roots, _sets_of, connected_components,
 
 _U = B.U64
 #: Bits of the number of buckets by which the lengths of inverted lists are estimated, and buckets that travel in a row.
-LEAST_BITS, MOST_BITS, CHUNK = 12, 22, 1 << 12
+BITS, CHUNK = 20, 1 << 12
 #: Bits of a bitmap of text hashes.
 MARKS = 23
 #: Size of a cell, about, in shingles: two cells meet in a task.
@@ -81,15 +81,13 @@ def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def list_lengths(texts: DataFrame, k: int) -> np.ndarray:
     """For each bucket the bit length of the number of its shingles in all documents."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // 100).bit_length()))  # some seven bytes are a word
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             sets = shingle_hashes(*B.string_buffer(batch.column(0)), k)
             if sets:
-                total += np.bincount(_top(np.concatenate(sets), bits), minlength=1 << bits)
+                total += np.bincount(_top(np.concatenate(sets), BITS), minlength=1 << BITS)
         if total.any():
             # What one task counts beyond 16 bits is a long list already.
             rows = np.minimum(total, 65535).astype(np.uint16).reshape(-1, CHUNK)
@@ -106,8 +104,8 @@ def list_lengths(texts: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(length, pa.binary())], ["chunk", "length"])
 
     counted = texts.select("text").mapInArrow(count, "chunk long, counts binary").repartition(16, "chunk").mapInArrow(add, "chunk long, length binary")
-    out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint8)
-    for r in counted.collect():  # a byte a bucket, 4 MiB at most
+    out = np.zeros(((1 << BITS) // CHUNK, CHUNK), np.uint8)
+    for r in counted.collect():  # a byte a bucket, 1 MiB
         out[r.chunk] = np.frombuffer(r.length, np.uint8)
     return out.ravel()
 
