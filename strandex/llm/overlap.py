@@ -7,7 +7,7 @@ sizes beyond that ratio never meet.
 
 1. *Long and short lists.* A count of all shingles in a fixed number of hash buckets says how long an inverted list
    will be. A document's shingles are ordered by it; lists of the common ones are long. Of its n lists all but the
-   ceil(p n / 100) - m longest are its short lists, with m = 1 + n / 32: two documents that link share as many short lists as the smaller one's m says, whatever the counts
+   ceil(p n / 100) - m longest are its short lists, with m = 1 + n / 12: two documents that link share as many short lists as the smaller one's m says, whatever the counts
    are, so their error costs time only. A document of whose short lists fewer hold others links with none, and is left out from
    here on. Common shingles, as those of passages that many documents hold, are never shuffled
    by their list unless a document has hardly anything else.
@@ -59,7 +59,7 @@ MARKS = 23
 #: Size of a cell, about, in shingles: two cells meet in a task.
 CELL = 1 << 18
 #: A shingle more on the short lists, and one more that must be shared, for so many shingles of a set.
-MORE = 32
+MORE = 12
 #: Cost of a heap step against a binary search, in the method's formula for the number of long lists.
 MU = 0.0085
 
