@@ -94,3 +94,19 @@ def test_sketches_merge_and_estimate():
     assert abs(best[0] - 1600 / 2400) < 0.12 and short[0] < 12.5
     far = neardup.likely_similarity(neardup.sketch(a)[None], neardup.sketch(pool[1900:])[None], np.array([2000.0]), np.array([1100.0]), 0.8)
     assert np.isinf(far[1][0])
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_recall_of_the_bands(similarity):
+    """Pairs of that similarity share a band, and likelihood does not reject them."""
+    rng = np.random.default_rng(int(100 * similarity))
+    pairs, size = 150, 400
+    same = round(2 * size * similarity / (1 + similarity))
+    found = 0
+    for _ in range(pairs):
+        pool = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
+        x, y = neardup.sketch(pool[:size]), neardup.sketch(np.concatenate([pool[:same], pool[size : 2 * size - same]]))
+        shares = (neardup.band_keys(np.stack([x, y]))[0] == neardup.band_keys(np.stack([x, y]))[1]).any()
+        n = np.array([size])
+        found += bool(shares and neardup.plausible(np.array([(x > y).sum()]), np.array([(x < y).sum()]), n, n, 0.8)[0])
+    assert found >= 0.99 * pairs
