@@ -236,7 +236,7 @@ def backward_ranges(checked: DataFrame, patterns: DataFrame) -> DataFrame:
     state = patterns.select("pattern_id", "pattern", side).select("pattern_id", "pattern", "b.side", "b.at")
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
     for turn in range(longest):
-        if turn and turn % 16 == 0:  # plans stay short
+        if turn and turn % 4 == 0:  # plans and their code stay short
             state = materialise(state, "steps")
         letter = F.substring("pattern", F.length("pattern") - turn, F.lit(1))
         going = F.length("pattern") > turn
