@@ -222,9 +222,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
         def widen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 s, _, spans = score(batch.column(at))
-                yield pa.RecordBatch.from_arrays([*batch.columns, s, spans], [*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns, s, spans], schema.fieldNames())
 
-        return docs.mapInArrow(widen, schema)
+        # mapInArrow looks columns up by name, dots and all.
+        return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(widen, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
