@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandex.operators.suffix import KEY, PART, positions
+from strandex.operators.suffix import KEY, PART, PER_SLICE, positions, running_sums
 from strandex.sources.tables import materialise
 
 #: Children of a node of the fence tree.
@@ -39,22 +39,6 @@ LAST = "\U0010ffff"
 # The order
 
 
-def _numbered(sizes: DataFrame, key: str, per_slice: int) -> DataFrame:
-    """sizes (key, n; a row for each key) with start: the sum of n over all smaller keys.
-
-    Splitters are sampled from the keys at hand, so that slices are even whatever the keys begin with.
-    """
-    rows = materialise(sizes, "sizes")
-    slices = max(1, rows.count() // per_slice)
-    cut = materialise(rows.repartitionByRange(slices, key).withColumn("slice", F.spark_partition_id()), "slices")
-    # One row a slice.
-    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("slice").agg(F.sum("n").alias("n")).select("slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    within = cut.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return within.join(starts, "slice").select(key, "n", (F.col("before") + F.col("within")).alias("start"))
-
-
 def _refined(ranks: DataFrame, h: int) -> DataFrame:
     """ranks (doc_id, pos, rank, open), true to h symbols, made true to 2 h: open rows tie with others and have more to come."""
     tied, done = ranks.filter("open"), ranks.filter("not open")
@@ -62,15 +46,13 @@ def _refined(ranks: DataFrame, h: int) -> DataFrame:
     paired = materialise(tied.join(ahead, ["doc_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1).cast("long"))), "pairs")
     # Equal pairs are one row before ties are ordered, so that copies of a text make no large group.
     kinds = paired.groupBy("rank", "next").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    placed = kinds.select("rank", "next", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("within"))
-    moved = paired.join(placed, ["rank", "next"])
-    return done.unionByName(moved.select("doc_id", "pos", (F.col("rank") + F.col("within")).alias("rank"), ((F.col("n") > 1) & (F.col("next") >= 0)).alias("open")))
+    moved = paired.join(running_sums(kinds, ["rank"], "next"), ["rank", "next"])
+    return done.unionByName(moved.select("doc_id", "pos", (F.col("rank") + F.col("start")).alias("rank"), ((F.col("n") > 1) & (F.col("next") >= 0)).alias("open")))
 
 
-def global_order(keys: DataFrame, per_slice: int = 1 << 20) -> DataFrame:
+def global_order(keys: DataFrame, per_slice: int = PER_SLICE) -> DataFrame:
     """keys (doc_id, pos, key) -> doc_id, pos, sa_pos: the place of each suffix among all suffixes of all texts."""
-    kinds = _numbered(keys.groupBy("key").agg(F.count("*").alias("n")), "key", per_slice)
+    kinds = running_sums(keys.groupBy("key").agg(F.count("*").alias("n")), [], "key", per_slice)
     ranks = materialise(keys.join(kinds, "key").select("doc_id", "pos", F.col("start").alias("rank"), ((F.col("n") > 1) & (F.length("key") == KEY)).alias("open")), "ranks")
     h = KEY
     while not ranks.filter("open").isEmpty():

@@ -6,8 +6,8 @@ the first of them. The first ranks come from 64 symbols; each round looks up the
 symbols further on, re-ranks inside the ties and doubles h, until nothing ties. The shorter
 of two suffixes that agree to its end is the smaller (rank -1 beyond the end).
 
-No window spans a whole text: the first ranks are counted inside buckets of the first
-symbols, with the buckets' sizes summed beforehand, and later rounds only sort inside ties. One
+No window spans a whole text or tie: in every round the different keys are dealt to slices by sampled
+splitters, with the slices' sizes summed beforehand, and rounds after the first only sort inside ties. One
 long text is therefore as parallel as many short ones.
 """
 
@@ -23,6 +23,8 @@ from strandex.sources.tables import materialise
 FIRST, KEY = 21, 64
 #: Length of the parts that texts are cut into; more than KEY.
 PART = 1024
+#: Different keys that are sorted in one slice.
+PER_SLICE = 1 << 20
 
 
 def positions(texts: DataFrame, width: int = FIRST, back: int = 0) -> DataFrame:
@@ -74,26 +76,43 @@ def joined_positions(texts: DataFrame, width: int = FIRST) -> DataFrame:
     return each.select(nothing.alias("doc_id"), (F.col("part") * PART + F.col("i")).alias("pos"), F.substring("body", F.col("i") + 1, F.lit(width)).alias("key"))
 
 
-def first_ranks(keys: DataFrame, bucket: int = 5) -> DataFrame:
-    """keys (doc_id, pos, key) -> doc_id, pos, rank, ties: ranks by the key."""
-    cut = keys.withColumn("bucket", F.substring("key", 1, bucket))
-    sizes = cut.groupBy("doc_id", "bucket").agg(F.count("*").alias("size"))
-    earlier = Window.partitionBy("doc_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("doc_id", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("doc_id", "bucket").orderBy("key")
-    same = Window.partitionBy("doc_id", "bucket", "key")
-    ranked = cut.withColumn("within", F.rank().over(inside) - 1).withColumn("ties", F.count("*").over(same))
-    return ranked.join(starts, ["doc_id", "bucket"]).select("doc_id", "pos", (F.col("start") + F.col("within")).alias("rank"), "ties")
+def running_sums(sizes: DataFrame, group: list[str], key: str, per_slice: int = PER_SLICE) -> DataFrame:
+    """sizes (group..., key, n; a row for each) with start: the sum of n over the smaller keys of its group.
+
+    Rows are dealt to slices by splitters that Spark samples from the very rows, group and key together. As no two are
+    equal, slices are even whatever the keys begin with and however many rows one group has.
+    """
+    rows = materialise(sizes, "sizes")
+    slices = max(1, rows.count() // per_slice)
+    cut = materialise(rows.repartitionByRange(slices, *group, key).withColumn("slice", F.spark_partition_id()), "slices")
+    # One row for each group in a slice.
+    earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*group, "slice").agg(F.sum("n").alias("n")).select(*group, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*group, "slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return within.join(starts, [*group, "slice"]).select(*group, key, "n", (F.col("before") + F.col("within")).alias("start"))
+
+
+def first_ranks(keys: DataFrame, per_slice: int = PER_SLICE) -> DataFrame:
+    """keys (doc_id, pos, key) -> doc_id, pos, rank, ties: ranks by the key.
+
+    Equal keys of a text are one row before they are sorted.
+    """
+    kinds = running_sums(keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")), ["doc_id"], "key", per_slice)
+    return keys.join(kinds, ["doc_id", "key"]).select("doc_id", "pos", F.col("start").alias("rank"), F.col("n").alias("ties"))
 
 
-def refine(ranks: DataFrame, h: int) -> DataFrame:
-    """One doubling round: ranks true to h symbols become true to 2 h."""
+def refine(ranks: DataFrame, h: int, per_slice: int = PER_SLICE) -> DataFrame:
+    """One doubling round: ranks true to h symbols become true to 2 h.
+
+    Equal pairs of ranks are one row before ties are ordered, and a large tie is ordered in many slices.
+    """
     tied, done = ranks.filter("ties > 1"), ranks.filter("ties = 1")
     ahead = ranks.select("doc_id", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
-    paired = tied.join(ahead, ["doc_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
-    group = Window.partitionBy("doc_id", "rank")
-    inside = paired.withColumn("within", F.rank().over(group.orderBy("next")) - 1).withColumn("same", F.count("*").over(Window.partitionBy("doc_id", "rank", "next")))
-    return done.unionByName(inside.select("doc_id", "pos", (F.col("rank") + F.col("within")).alias("rank"), F.col("same").alias("ties")))
+    paired = materialise(tied.join(ahead, ["doc_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1))), "pairs")
+    kinds = running_sums(paired.groupBy("doc_id", "rank", "next").agg(F.count("*").alias("n")), ["doc_id", "rank"], "next", per_slice)
+    moved = paired.drop("ties").join(kinds, ["doc_id", "rank", "next"])
+    return done.unionByName(moved.select("doc_id", "pos", (F.col("rank") + F.col("start")).alias("rank"), F.col("n").alias("ties")))
 
 
 def rank_rounds(texts: DataFrame, joined: bool = False, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

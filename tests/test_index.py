@@ -46,6 +46,35 @@ def test_suffix_arrays_of_all_d(texts):
             assert r.lcp == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_ranks_in_many_slices(spark):
+    """A text of mostly one letter, and copies of it: ranks by brute force, however small the slices are."""
+    rnd = random.Random(11)
+    skewed = "".join("1" if rnd.random() < 0.9 else rnd.choice("234") for _ in range(1500)) + "1" * 500 + "0"
+    plain = {1: skewed, 2: skewed, 3: "0", 4: "1" * 200 + "0"}
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in plain.items()], "doc_id long, enc string, n long")
+    ranks, h = suffix.first_ranks(suffix.positions(frame, suffix.KEY), per_slice=100), suffix.KEY
+    while not ranks.filter("ties > 1").isEmpty():
+        ranks, h = suffix.refine(ranks, h, per_slice=50), 2 * h
+    got = {(r.doc_id, r.rank): r.pos for r in ranks.collect()}
+    assert got == {(i, k): p for i, t in plain.items() for k, p in enumerate(brute_array(t, 1))}
+
+
+def test_slices_of_a_skewed_text_are_even(spark, monkeypatch):
+    """Keys that mostly begin alike: no slice has over twice the median."""
+    written = {}
+
+    def keep(df, name="table"):
+        return written.setdefault(name, df.cache())
+
+    monkeypatch.setattr(suffix, "materialise", keep)
+    rnd = random.Random(5)
+    text = "1".join("".join(rnd.choice("1111111234") for _ in range(7)) for _ in range(5000)) + "0"
+    frame = spark.createDataFrame([(1, text, len(text))], "doc_id long, enc string, n long")
+    suffix.first_ranks(suffix.positions(frame, suffix.KEY), per_slice=2500)
+    sizes = sorted(r["count"] for r in written["slices"].groupBy("slice").count().collect())
+    assert len(sizes) > 10 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def test_searches_agree_for_every_d(spark, texts):
     frame, plain = texts
     asked = search.sample_patterns(frame, 12).select("pattern_id", "doc_id", "pattern")
