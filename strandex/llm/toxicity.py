@@ -10,8 +10,8 @@ so that the sentences which explain the label can be named afterwards. The leak
 up labels that no sentence explains.
 
 Training reads a bounded sample (at most `max_per_class` labelled documents of either label,
-lowest hashes first, weighted back to the true shares, none of more than `max_bytes`); of rows that
-repeat a doc_id one trains. Scoring is one narrow map over whole texts with a weight table of fixed size.
+lowest hashes first, weighted back to the true shares, none of more than `max_bytes`, so that the driver
+gets 2 * 3000 * 64 KiB = 375 MiB at the very most); of rows that repeat a doc_id one trains. Scoring is one narrow map over whole texts with a weight table of fixed size.
 
 Defined results: a null or empty text has no sentences and scores the leak; rows without
 label or doc_id train nothing; repeated rows score alike; without labels of both kinds the
@@ -129,7 +129,7 @@ def train_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_per_class: int = 3000,
-    max_bytes: int = 1 << 20,
+    max_bytes: int = 1 << 16,
     bits: int = 18,
 ) -> ToxicityModel:
     """Fit on at most max_per_class labelled documents of either label, of at most max_bytes each.

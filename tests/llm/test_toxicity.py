@@ -1,8 +1,12 @@
+import inspect
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 
+from strandex.llm import _bytes as B
 from strandex.llm import registry, toxicity
 
 BAD = ["grob", "zutt", "mirk"]
@@ -35,6 +39,43 @@ def test_learns_words_and_names_sentences(spark, make_docs):
             assert any(b in text[s.begin : s.end] for b in BAD) and "." not in text[s.begin : s.end]
 
 
+def _noisy_or(text, model):
+    """The score by definition: a sentence at a time, a word at a time."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    shift = 64 - int(math.log2(len(model.weights)))
+
+    def hashed(word):
+        return B.run_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+
+    clean = 1 - model.leak
+    for sentence in re.split(rb"[.!?\n]+", low):
+        if not sentence:
+            continue
+        features = set()
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", sentence):
+            features.add(int(hashed(word)[0]) >> shift)
+            if len(word) > toxicity.STEM:
+                features.add(int(B.mix(hashed(word[: toxicity.STEM]) + B.U64(1))[0]) >> shift)
+        z = model.bias + sum(float(model.weights[f]) for f in features)
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_scores_are_noisy_or_of_sentences(spark, make_docs):
+    docs, labels = _bags(300)
+    model = toxicity.train_toxicity(make_docs(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights.any()
+    extra = [(901, None), (902, ""), (903, "...!?\n"), (904, "Grob grob GROB! grobian zutt"), (905, "épsilon zutt. mirk\nmirk alphabeta")]
+    texts = dict([*docs, *extra])
+    for r in toxicity.score_toxicity(make_docs([*docs, *extra]), model).collect():
+        assert abs(r.score - _noisy_or(texts[r.doc_id], model)) < 1e-9
+
+
+def test_driver_gets_less_than_500_mb():
+    given = {k: p.default for k, p in inspect.signature(toxicity.train_toxicity).parameters.items()}
+    assert 2 * given["max_per_class"] * given["max_bytes"] < 500_000_000
+
+
 def test_edge_rows_and_no_labels(spark, make_docs):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     rows = [(1, None), (2, ""), (3, "x " * 50000), (3, "x " * 50000), (None, "y.")]
