@@ -84,6 +84,9 @@ def running_sums(sizes: DataFrame, group: list[str], key: str, per_slice: int =
     """
     rows = materialise(sizes, "sizes")
     slices = max(1, rows.count() // per_slice)
+    if slices == 1:
+        smaller = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("start", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
     cut = materialise(rows.repartitionByRange(slices, *group, key).withColumn("slice", F.spark_partition_id()), "slices")
     # One row for each group in a slice.
     earlier = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
