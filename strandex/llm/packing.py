@@ -20,12 +20,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.llm._prefix import running_sum, shuffle_key, with_row_numbers
 from strandex.llm._store import persist
-from strandex.llm.mixing import word_count
+from strandex.llm.mixing import WORD, word_count
+
+#: A word with the white space behind it, the first of a text also with that before it.
+UNIT = rf"\A[\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*|{WORD}[\x20\x09-\x0D]*"
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -65,15 +68,27 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return sorted(bounds)
 
 
-def pack_pieces(sizes: DataFrame, *, also: tuple[str, ...] = (), context: int = 2048, buckets: int = 16, batch_tokens: int = 65536, seed: str = "pack") -> DataFrame:
+def piece_texts(units: Column, n_tokens: Column, text: Column, context: int) -> Column:
+    """The texts of a document's pieces, given its words with the white space around them; put together they are the text."""
+    part = lambda i: F.array_join(F.slice(units, (i * context + 1).cast("int"), F.lit(context)), "")
+    several = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((n_tokens - 1) / context)), part)
+    return F.when(n_tokens > context, several).otherwise(F.array(text))
+
+
+def pack_pieces(
+    sizes: DataFrame, *, also: tuple[str, ...] = (), parts: str | None = None, context: int = 2048, buckets: int = 16, batch_tokens: int = 65536, seed: str = "pack"
+) -> DataFrame:
     """sizes (doc_id, n_tokens) -> doc_id, piece, begin, n_tokens, bucket, batch, slot, and the columns `also` of sizes.
 
     begin is the piece's first token in its document, bucket the padded length, batch a number
-    from 0 within the bucket and slot the place in the batch.
+    from 0 within the bucket and slot the place in the batch. `parts` names a column of sizes with the texts of a
+    document's pieces; each piece then comes with its text. Only their numbers go through the
+    windows; the texts are shuffled once, to meet them.
     """
-    docs = with_row_numbers(sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *also).filter(F.col("n_tokens") > 0), "row")
+    carried = () if parts is None else (F.col(parts).alias("parts"),)
+    docs = with_row_numbers(sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *also, *carried).filter(F.col("n_tokens") > 0), "row")
     docs = persist(docs.withColumn("key", shuffle_key(seed, "doc_id")), "pack-sizes")
-    pieces = docs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / context))))
+    pieces = docs.drop("parts").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / context))))
     pieces = pieces.withColumn("begin", F.col("piece") * context).withColumn("length", F.least(F.lit(context), F.col("n_tokens") - F.col("begin")).cast("long"))
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `context` rows
     digits = max(3, math.ceil(math.log(max(1, sum(r["n"] for r in histogram) / 50_000), 16)))
@@ -84,13 +99,27 @@ def pack_pieces(sizes: DataFrame, *, also: tuple[str, ...] = (), context: int =
     # The slices must cut a bucket evenly; the pieces of one document share its hash but for their number.
     placed = placed.withColumn("key", F.md5(F.concat_ws(":", "key", "row", "piece").cast("binary")))
     numbered = running_sum(placed.withColumn("slice", F.substring("key", 1, digits)), "bucket", ["key", "doc_id", "n_tokens", "row", "piece"], "one", name="nth")
+    if parts is not None:
+        texts = docs.select(F.col("row").alias("_row"), F.posexplode("parts").alias("_piece", "text"))
+        numbered = numbered.join(texts, (F.col("row") == F.col("_row")) & (F.col("piece") == F.col("_piece")))
+        also = (*also, "text")
     room = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("bucket")))
     return numbered.select(
         "doc_id", "piece", "begin", F.col("length").alias("n_tokens"), "bucket", F.floor(F.col("nth") / room).cast("long").alias("batch"), (F.col("nth") % room).cast("long").alias("slot"), *also
     )
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """pack_pieces over the words of each text, with text_hash: the piece is words begin to begin + n_tokens of the text with that hash."""
-    sizes = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(text_col).alias("text_hash"))
-    return pack_pieces(sizes, also=("text_hash",), **options)
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, context: int = 2048, **options) -> DataFrame:
+    """pack_pieces over the words of each text, with text_hash: the piece is words begin to begin + n_tokens of the text with that hash.
+
+    With `texts` each piece has its own text too, white space and all.
+    """
+    text = F.col(text_col)
+    sizes = docs.select(F.col(id_col).alias("doc_id"), word_count(text).alias("n_tokens"), F.xxhash64(text_col).alias("text_hash"), *([text.alias("whole")] if texts else []))
+    if not texts:
+        return pack_pieces(sizes, also=("text_hash",), context=context, **options)
+    units = F.when(F.col("n_tokens") > context, F.regexp_extract_all("whole", F.lit(UNIT), F.lit(0)))
+    # A generator keeps the words a column: inside the pieces they would be cut anew for every piece.
+    cut = sizes.withColumn("units", F.explode(F.array(units)))
+    cut = cut.withColumn("parts", piece_texts(F.col("units"), F.col("n_tokens"), F.col("whole"), context))
+    return pack_pieces(cut.drop("units", "whole"), also=("text_hash",), parts="parts", context=context, **options)

@@ -1,4 +1,5 @@
 import itertools
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -125,3 +126,20 @@ def test_pieces_cover_documents_and_batches_fit(sourced):
     assert packing.pack_documents(sourced([])).collect() == []
     one = [r for r in got if r.doc_id == 502]
     assert len({r.text_hash for r in one}) == 1 and sorted(r.begin for r in one) == list(range(0, 3000, 128))
+
+
+def test_texts_of_pieces_make_up_the_documents(sourced):
+    odd = " \t".join(f"é{i}" for i in range(700))
+    rows = [(i, t, "s", 0, 0.0) for i, t in enumerate([f"\n {odd} \x0b", odd, odd, " one ", "a " * 128, "b " * 129, "", None, " \n", "\u00a0 x"])]
+    got = packing.pack_documents(sourced([*rows, (1, odd, "t", 0, 0.0)]), texts=True, context=128, buckets=5, batch_tokens=512).collect()
+    plain = packing.pack_documents(sourced([*rows, (1, odd, "t", 0, 0.0)]), context=128, buckets=5, batch_tokens=512).collect()
+    shape = lambda found: sorted((r.doc_id, r.piece, r.begin, r.n_tokens, r.bucket, r.text_hash) for r in found)
+    assert shape(got) == shape(plain) and len({(r.bucket, r.batch, r.slot) for r in got}) == len(got)
+    for i, t, *_ in rows:
+        parts = sorted((r.piece, r.text, r.n_tokens) for r in got if r.doc_id == i)
+        assert all(len(re.findall(mixing.WORD, x)) == n for _, x, n in parts)
+        if i == 1:  # twice in the table, each with its own pieces
+            assert [x for _, x, _ in parts[::2]] == [x for _, x, _ in parts[1::2]]
+            parts = parts[::2]
+        assert "".join(x for _, x, _ in parts) == (t if re.search(mixing.WORD, t or "") else "")
+    assert packing.pack_documents(sourced([]), texts=True).collect() == []
