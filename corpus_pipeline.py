@@ -53,8 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their length bucket, batch and slot; text_hash tells which of the mixed texts of a doc_id is meant."""
-    return packing.pack_documents(docs)
+    """Pieces with their text, length bucket, batch and slot; text_hash tells which of the mixed texts of a doc_id a piece is from."""
+    return packing.pack_documents(docs, texts=True)
 
 
 STAGES = [
