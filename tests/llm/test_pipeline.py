@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import corpus_pipeline as cp
 from strandex.llm import mixing
 
@@ -44,7 +47,14 @@ def test_every_stage_acts_and_keeps_clean_documents(spark):
     assert plan and mixed.columns == columns and mixed.count() == len(taken)
     packed = cp.pack(spark, mixed, SF).collect()
     assert sum(r.n_tokens for r in packed) == sum(r.taken for r in taken)
-    assert cp.run(spark, SF).count() == len(packed)
+    words = re.compile(mixing.WORD)
+    assert all(len(words.findall(r.text)) == r.n_tokens for r in packed)
+    # Whatever the mix took is in the pieces: whole texts of one piece, words in order of longer ones.
+    held, want = Counter(), Counter(w for r in mixed.collect() for w in words.findall(r.text or ""))
+    for r in packed:
+        held.update(words.findall(r.text))
+    assert held == want
+    assert sorted(r.text for r in cp.run(spark, SF).collect()) == sorted(r.text for r in packed)
 
 
 def test_stages_on_nulls_repeats_ties_and_clashing_names(spark):
