@@ -41,7 +41,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Passages of PASSAGE_WORDS words and more that an earlier document has too are cut out; every document stays."""
     bound_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = substrings.without_repeats(substrings.repeated_spans(docs, min_words=PASSAGE_WORDS, carry=others))
+    cut = substrings.repeated_spans(docs, min_words=PASSAGE_WORDS, carry=others, outcome=substrings.WITHOUT_REPEATS)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("carried").getField("n_chars"))
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": n_chars}
     return cut.select([own.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])

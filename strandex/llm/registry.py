@@ -36,7 +36,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.kept_digest(substrings.repeated_spans(_read(spark, sf_dir, "documents"), min_words=13))
+    return substrings.repeated_spans(_read(spark, sf_dir, "documents"), min_words=13, outcome=substrings.KEPT_DIGEST)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

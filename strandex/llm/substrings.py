@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -164,10 +165,20 @@ def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), hot: int = 4) -> DataFrame:
+class Outcome(NamedTuple):
+    """Columns made from (text as bytes, spans) of each row, in place of text and spans."""
+
+    schema: str
+    types: list[pa.DataType]
+    work: Callable[[bytes | None, list[dict]], tuple]
+
+
+def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), hot: int = 4, outcome: Outcome | None = None) -> DataFrame:
     """One row a document: doc_id, text, n_words, spans (array of [begin, end) in words): its maximal repeated passages.
 
     carry: columns of docs to keep beside these, in a struct named carried.
+    outcome: made where the spans are found, so that a text goes to one Python worker and
+    not, with its spans, on to another; the columns are then those of kept_digest() or without_repeats().
     """
     if not K < min_words < 1 << 16:
         raise ValueError(f"min_words must be {K + 1} to 65535")
@@ -236,7 +247,11 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
     rows = rows.unionByName(texts.drop("text_hash").filter("doc_id is null"), allowMissingColumns=True)
     span = T.ArrayType(T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType()))
     schema = T.StructType().add("doc_id", T.LongType()).add("text", T.StringType()).add("n_words", T.LongType()).add("spans", span)
-    return rows.mapInArrow(close, T.StructType([*schema.fields, *(texts.schema[c] for c in carried)]))
+    full = T.StructType([*schema.fields, *(texts.schema[c] for c in carried)])
+    if outcome is None:
+        return rows.mapInArrow(close, full)
+    made = _made(outcome, full)
+    return rows.mapInArrow(lambda batches: _apply(close(batches), outcome, made.fieldNames()), made)
 
 
 def _small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -266,33 +281,54 @@ def _places(seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unpack(seeds.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def _per_row(rows: DataFrame, schema: str, names: list[str], types: list[pa.DataType], work: Callable[[bytes | None, list[dict]], tuple]) -> DataFrame:
-    """Apply work to (text as bytes, spans) of each row; doc_id, n_words and what was carried stay."""
-    full = T.StructType([*T.StructType.fromDDL(f"doc_id long, n_words long, {schema}").fields, *rows.schema.fields[4:]])
+def _made(outcome: Outcome, spans: T.StructType) -> T.StructType:
+    """The columns of an outcome; doc_id, n_words and what was carried stay."""
+    return T.StructType([*T.StructType.fromDDL(f"doc_id long, n_words long, {outcome.schema}").fields, *spans.fields[4:]])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            found = [work(x, s) for x, s in zip(texts, batch.column(3).to_pylist())]
-            columns = list(zip(*found)) or [() for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[4:]], full.fieldNames())
 
-    return rows.mapInArrow(run, full)
+def _apply(batches: Iterable[pa.RecordBatch], outcome: Outcome, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in _small(batches):
+        texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+        found = [outcome.work(x, s) for x, s in zip(texts, batch.column(3).to_pylist())]
+        columns = list(zip(*found)) or [() for _ in outcome.types]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, outcome.types)), *batch.columns[4:]], names)
 
 
-def kept_digest(spans: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by single spaces."""
+def _per_row(spans: DataFrame, outcome: Outcome) -> DataFrame:
+    made = _made(outcome, spans.schema)
+    return spans.mapInArrow(lambda batches: _apply(batches, outcome, made.fieldNames()), made)
+
+
+def _digest(text: bytes | None, found: list[dict]) -> tuple[int, str]:
+    words = (text or b"").split()
+    kept, at = [], 0
+    for s in found:
+        kept += words[at : s["begin"]]
+        at = s["end"]
+    kept += words[at:]
+    return len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    def work(text: bytes | None, found: list[dict]) -> tuple[int, str]:
-        words = (text or b"").split()
-        kept, at = [], 0
-        for s in found:
-            kept += words[at : s["begin"]]
-            at = s["end"]
-        kept += words[at:]
-        return len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return _per_row(spans, "n_removed long, kept_sha256 string", ["n_removed", "kept_sha256"], [pa.int64(), pa.string()], work)
+def _cut(text: bytes | None, found: list[dict]) -> tuple[int, str | None]:
+    if not found:
+        return 0, None if text is None else text.decode()
+    data = np.frombuffer(text, np.uint8)
+    at, to, _ = B.words(data, np.array([0, len(data)]))
+    kept, done = [], 0
+    for s in found:
+        kept.append(text[done : at[s["begin"]]])
+        done = to[s["end"] - 1]
+    kept.append(text[done:])
+    return sum(s["end"] - s["begin"] for s in found), b"".join(kept).decode()
+
+
+KEPT_DIGEST = Outcome("n_removed long, kept_sha256 string", [pa.int64(), pa.string()], _digest)
+WITHOUT_REPEATS = Outcome("n_removed long, text string", [pa.int64(), pa.string()], _cut)
+
+
+def kept_digest(spans: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by single spaces."""
+    return _per_row(spans, KEPT_DIGEST)
 
 
 def without_repeats(spans: DataFrame) -> DataFrame:
@@ -301,17 +337,4 @@ def without_repeats(spans: DataFrame) -> DataFrame:
     Texts without repeats stay as they are, null too; elsewhere the passages' bytes, from their first
     word to their last, are cut out, and the white space around them stays.
     """
-
-    def work(text: bytes | None, found: list[dict]) -> tuple[int, str]:
-        if not found:
-            return 0, None if text is None else text.decode()
-        data = np.frombuffer(text, np.uint8)
-        at, to, _ = B.words(data, np.array([0, len(data)]))
-        kept, done = [], 0
-        for s in found:
-            kept.append(text[done : at[s["begin"]]])
-            done = to[s["end"] - 1]
-        kept.append(text[done:])
-        return sum(s["end"] - s["begin"] for s in found), b"".join(kept).decode()
-
-    return _per_row(spans, "n_removed long, text string", ["n_removed", "text"], [pa.int64(), pa.string()], work)
+    return _per_row(spans, WITHOUT_REPEATS)

@@ -64,3 +64,24 @@ def test_rows_that_share_an_id_are_told_apart_by_their_whole_hash(make_docs):
     seeds = [r[0] for r in frame.select(substrings._seed_of(frame.place, frame.reach, frame.place > 0)).collect()]
     first, last, known = substrings._unpack(np.array(seeds))
     assert known.tolist() == (place > 0).tolist() and first.tolist() == [0, 7 - 65535, (1 << 30) - 9] and last.tolist() == [0, 6, (1 << 30) - 1]
+
+
+def test_each_text_goes_to_one_worker_where_its_spans_are_found(make_docs, corpus):
+    docs = make_docs([*corpus, (None, corpus[1][1]), (12, corpus[12][1])])
+    spans = substrings.repeated_spans(docs, min_words=13, carry=("source",))
+    for outcome, apart in ((substrings.KEPT_DIGEST, substrings.kept_digest), (substrings.WITHOUT_REPEATS, substrings.without_repeats)):
+        found = substrings.repeated_spans(docs, min_words=13, carry=("source",), outcome=outcome)
+        assert found.schema == apart(spans).schema
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, apart(spans).collect()))
+
+
+def test_query_and_stage_have_no_second_python_pass_over_the_texts(make_docs, monkeypatch):
+    import corpus_pipeline
+    from strandex.llm import registry
+
+    docs = make_docs([(1, "a b"), (2, "a b")]).select("doc_id", "text", "source")
+    docs = docs.selectExpr("*", "1L AS n_chars")
+    monkeypatch.setattr(registry, "_read", lambda *_: docs)
+    for found in (registry.op2_substring_dedup(docs.sparkSession, ""), corpus_pipeline.cut_repeated_passages(docs.sparkSession, docs, "")):
+        # The windows that are asked for, on both sides of their join, and the spans.
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
