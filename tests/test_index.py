@@ -216,3 +216,9 @@ def test_long_patterns_in_text_search_and_leaves(spark):
         t = {1: body, 2: "xyz"}[i]
         ends = [t[k:] for k in range(len(t))]
         assert got[p] == (min((e for e in ends if e.startswith(s)), default=None), min((e for e in ends if e >= s), default=None))
+
+
+def test_bits_beyond_those_reversed_count_for_nothing(spark):
+    values = [0, 1, 5, (1 << 20) - 1, 1 << 20, (1 << 20) + 3, 1_200_000, (1 << 40) + 6]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select(E.bits_reversed(F.col("v"), 20).alias("r"))
+    assert [r.r for r in got.collect()] == [sum(((v >> i) & 1) << (19 - i) for i in range(20)) for v in values]
