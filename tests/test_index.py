@@ -222,3 +222,48 @@ def test_bits_beyond_those_reversed_count_for_nothing(spark):
     values = [0, 1, 5, (1 << 20) - 1, 1 << 20, (1 << 20) + 3, 1_200_000, (1 << 40) + 6]
     got = spark.createDataFrame([(v,) for v in values], "v long").select(E.bits_reversed(F.col("v"), 20).alias("r"))
     assert [r.r for r in got.collect()] == [sum(((v >> i) & 1) << (19 - i) for i in range(20)) for v in values]
+
+
+@pytest.mark.parametrize("local", [1 << 20, 100])
+def test_texts_are_sorted_where_they_are_read(spark, texts, tmp_path, monkeypatch, local):
+    """Arrays, sequences and common prefixes of each text without a shuffle; texts of over 100 symbols by rounds in the second case."""
+    import os
+
+    from strandex.operators import whole
+    from strandex.sources.stored import StoredIndex
+
+    monkeypatch.setattr(whole, "LOCAL", local)
+    frame, plain = texts
+    index = StoredIndex(spark, str(tmp_path / "index"), frame)
+    for d in (1, 2, 3, 8):
+        got, before = {}, {}
+        for r in index.array(d).collect():
+            got.setdefault(r.doc_id, {})[r.sa_pos] = r.pos
+        want = {i: brute_array(t, d) for i, t in plain.items()}
+        assert {i: [x[p] for p in sorted(x)] for i, x in got.items()} == want
+        for r in index.bwt(d).collect():
+            before[r.doc_id, r.sa_pos] = r.rev_bwt
+        full = {i: t.ljust(-(-len(t) // d) * d, "0") for i, t in plain.items()}
+        assert before == {(i, k): int((full[i][p * d - d : p * d] if p else full[i][-d:])[::-1], 8) for i, a in want.items() for k, p in enumerate(a)}
+        if local > 1000:
+            assert "Exchange" not in index.array(d).unionByName(index.bwt(d).select("doc_id", "sa_pos", "pos"))._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.sa_pos): (r.pos, r.lcp) for r in index.lcp().collect()}
+    ends = {i: sorted(t[p:] for p in range(len(t))) for i, t in plain.items()}
+    assert got == {(i, k): (len(plain[i]) - len(e), len(os.path.commonprefix([e, x[k - 1]])) if k else 0) for i, x in ends.items() for k, e in enumerate(x)}
+    assert (tmp_path / "index/stage=long-ranks").exists() == (local < 1000)
+
+
+def test_suffixes_of_any_letters_in_a_task():
+    import os
+
+    from strandex.operators import whole
+
+    rnd = random.Random(1)
+    half = "".join(rnd.choice("1234") for _ in range(900))
+    some = ["", "0", "10", "1" * 700 + "0", "12" * 500 + "0", half + half + "0", half + "1" + half + "0", ""]
+    for plain in (some, ["abé\n ~z\U0001f600" * 9, "", "zz", "é" * 50], [""], []):
+        starts, order, common = whole.sorted_suffixes(plain, prefixes=True)
+        for i, t in enumerate(plain):
+            want = sorted(range(len(t)), key=lambda p: t[p:])
+            assert list(order[starts[i] : starts[i + 1]] - starts[i]) == want
+            assert list(common[starts[i] : starts[i + 1]]) == [0][: len(t)] + [len(os.path.commonprefix([t[a:], t[b:]])) for a, b in zip(want, want[1:])]
