@@ -267,3 +267,24 @@ def test_suffixes_of_any_letters_in_a_task():
             want = sorted(range(len(t)), key=lambda p: t[p:])
             assert list(order[starts[i] : starts[i + 1]] - starts[i]) == want
             assert list(common[starts[i] : starts[i + 1]]) == [0][: len(t)] + [len(os.path.commonprefix([t[a:], t[b:]])) for a, b in zip(want, want[1:])]
+
+
+def test_no_row_of_a_position_is_joined(spark, texts):
+    """Ranks by words and dense ranks make their positions above the last join, where no guess of their size can have them broadcast."""
+    frame, plain = texts
+    bits = R.sequence_of(frame).select("doc_id", "idx", (F.col("val") >= 3).cast("long").alias("bit"))
+    for found in (suffix.rank_round(frame), R.bit_rank_words(bits)):
+        lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert next(i for i, x in enumerate(lines) if "explode(" in x) < next(i for i, x in enumerate(lines) if "Join " in x)
+    some = bits.filter("idx % 7 <> 3")  # a vector need not have all positions
+    assert {tuple(r) for r in R.bit_rank_words(some).collect()} == {tuple(r) for r in R.bit_rank(some).collect()}
+    long = "".join(random.Random(4).choice("1234") for _ in range(2500)) + "0"
+    more = {**plain, 99: long}
+    for width in (2, 3):
+        want = {}
+        for i, t in more.items():
+            kinds = sorted({t[p : p + width] for p in range(len(t))})
+            at = [kinds.index(t[p : p + width]) for p in range(len(t))]
+            want |= {(i, p): (at[p], at[p + width] if p + width < len(t) else -1) for p in range(len(t))}
+        got = suffix.rank_round(spark.createDataFrame(list(more.items()), "doc_id long, enc string"), width).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.pos): (r.rank0, r.rank1) for r in got} == want
