@@ -177,3 +177,29 @@ def test_texts_of_any_letters(spark, tmp_path):
     assert [(r.doc_id, r.pos) for r in index.blocks().orderBy("sa_pos").collect()] == [x[1:] for x in order]
     want = {n: (lo := sum(s < p.encode() for s, _, _ in order), lo + sum(s.startswith(p.encode()) for s, _, _ in order)) for n, p in enumerate(asked)}
     assert {r.pattern_id: (r.sa_lo, r.sa_hi) for r in index.ranges(patterns).collect()} == want
+
+
+def test_places_and_first_hits_by_a_join(spark, plain, asked):
+    """Patterns of all lengths without an index; no key of 64 symbols goes through the join with all positions."""
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in plain.items()], "doc_id long, enc string, n long")
+    patterns = spark.createDataFrame([(n, 0, s) for n, s in enumerate(asked)], "pattern_id long, doc_id long, pattern string")
+    hits = {(n, i, p) for n, s in enumerate(asked) for i, t in plain.items() for p in range(len(t)) if t.startswith(s, p)}
+    got = [tuple(r) for r in search.occurrences(frame, patterns).collect()]
+    assert len(got) == len(hits) and set(got) == hits
+    first = {}
+    for n, i, p in hits:
+        first[n] = min(first.get(n, ("~",)), (plain[i][p:], i, p))
+    assert {r.pattern_id: (r.doc_id, r.pos) for r in search.first_hits(frame, patterns).collect()} == {n: x[1:] for n, x in first.items()}
+    plan = search.occurrences(frame, patterns.filter("length(pattern) = 16"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and f", {suffix.KEY}) AS key" not in plan.split("xxhash64")[-1]
+
+
+def test_joins_go_by_measured_sizes(spark, tmp_path):
+    """All positions of a text are far more than Spark guesses; no join with them is planned as a broadcast."""
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.set(static, "10m"), spark.conf.unset(adaptive)
+    index = index_over(spark, tmp_path / "i", {i: "1234" * 2000 + "0" for i in range(3)}, 1000)
+    assert spark.conf.get(adaptive) == "10m"
+    keys = suffix.positions(index.texts(), suffix.KEY)
+    plan = keys.join(keys.groupBy("key").count(), "key")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
