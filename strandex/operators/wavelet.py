wt_build: places are shuffled in lists, and the sequence is made once

Symptom: wt_build shuffled a row for each place and level, about 9 bytes each, and made the sequence from the texts twice; on the small input (0.10 GB) it was stopped at 0.708 GB of disk, when one of four tasks had written 182 MB of shuffle.
Evidence: the profiler before: not ended on 0.10 GB, so no before figures at size. sf0.1, 4 cores, 8 shuffle partitions, event log: 116.6 MB shuffled, 371 MB peak execution memory of a task, 31.3 s JVM CPU; two scans of the texts in the plan.
Fix: places of equal values that stand near each other become lists of two-byte places in a working table; sums and levels are made from it, lists are dealt to slices and opened there, in as many partitions as before. Trees over stored sequences of many different values keep their plan (few=False; printed plans equal before and after).
Effect, together with 2 more commits on this code: at 1 GB of input CPU 3194 -> 3241 s, shuffle 7.00 -> 1.47 GB, spill 0.00 -> 0.00 GB, read 1.10 -> 1.55 GB, longest task 97 -> 122 s, most memory of a task 437 -> 437 MB; at 6 GB of input CPU 22349 -> 21484 s, shuffle 42.71 -> 8.96 GB, spill 39.94 -> 34.40 GB, read 6.70 -> 9.45 GB, longest task 562 -> 657 s, most memory of a task 1950 -> 1011 MB; with hot keys, at 1 GB of input CPU 974 -> 841 s, shuffle 1.67 -> 0.37 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.29 GB, longest task 44 -> 21 s, most memory of a task 673 -> 134 MB.

@@ -43,7 +43,7 @@ def bit_strings(vectors: DataFrame) -> DataFrame:
 
 def wavelet_levels(seq: DataFrame, bits: int) -> DataFrame:
     """The stored levels of the tree of a sequence."""
-    return bit_strings(wavelet_bits(seq, bits))
+    return bit_strings(wavelet_bits(seq, bits, few=False))
 
 
 def select_places(seq: DataFrame, bits: int, levels: list[int]) -> DataFrame:

@@ -288,3 +288,33 @@ def test_no_row_of_a_position_is_joined(spark, texts):
             want |= {(i, p): (at[p], at[p + width] if p + width < len(t) else -1) for p in range(len(t))}
         got = suffix.rank_round(spark.createDataFrame(list(more.items()), "doc_id long, enc string"), width).collect()
         assert len(got) == len(want) and {(r.doc_id, r.pos): (r.rank0, r.rank1) for r in got} == want
+
+
+def odd_sequence(spark):
+    """Rows of sequences with gaps, repeated ids, rows that come twice and rows without an id, place or value, and those of them that count."""
+    rnd = random.Random(5)
+    rows = [(1, p, rnd.randint(0, 4)) for p in range(0, 300, 3)] + [(2, p, 9) for p in range(40)] + [(3, 5000, 2), (3, 2, 2), (-4, 0, 1)]
+    rows += rows[:50] + [(None, 1, 2), (1, None, 3), (1, 7, None), (None, None, None)]
+    rnd.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, idx long, val long").repartition(3), sorted(r for r in rows if None not in r)
+
+
+def in_lists(found):
+    """Whether the plan reads the sequence from a table and shuffles lists: the only row of a place comes from one, above the shuffle."""
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    return "regexp_extract_all" not in plan and next(i for i, x in enumerate(lines) if "explode(_at" in x) < next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x)
+
+
+@pytest.mark.parametrize("slice_size", [4096, 16])
+def test_levels_of_a_sequence_from_lists_of_places(spark, texts, monkeypatch, slice_size):
+    monkeypatch.setattr(R, "SLICE", slice_size)
+    assert in_lists(R.wavelet_bits(R.sequence_of(texts[0])))
+    seq, rows = odd_sequence(spark)
+    want, seen = [], {}
+    for d, _, v in rows:
+        for level in range(3):
+            node = (d, level, v >> (3 - level))
+            want.append((*node, seen.setdefault(node, 0), (v >> (2 - level)) & 1))
+            seen[node] += 1
+    assert sorted(tuple(r) for r in R.wavelet_bits(seq).collect()) == sorted(want)
